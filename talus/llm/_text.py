@@ -16,7 +16,14 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)]))
 
 
-_POW, _INV = (_powers(b, _CHUNK + 1) for b in (_BASE, pow(_BASE, -1, _MOD)))
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash base and of its inverse; those of usual lengths are kept."""
+    if n > len(_POW):
+        return tuple(_powers(b, n) for b in (_BASE, pow(_BASE, -1, _MOD)))
+    return _POW, _INV
+
+
+_POW, _INV = (_powers(b, 2 * _CHUNK + 1) for b in (_BASE, pow(_BASE, -1, _MOD)))
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -69,7 +76,7 @@ class Words:
                     back = min(stop + int(gap[0]) if len(gap) else n, int(cut[i]) if i < len(cut) else n)
                 stop = back
             b = data[at:stop]
-            pow_, inv = (_POW, _INV) if len(b) <= _CHUNK else (_powers(x, len(b) + 1) for x in (_BASE, pow(_BASE, -1, _MOD)))
+            pow_, inv = powers(len(b) + 1)
             blank = end[b]
             left = np.empty(len(b), bool)
             left[0], left[1:] = True, blank[:-1]
