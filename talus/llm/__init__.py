@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("minhash", "linededup", "decontaminate", "bpe", "licenses", "ann", "chat")
+MODULES = ("minhash", "linededup", "decontaminate", "bpe", "licenses", "ann", "chat", "secrets")
 
 
 def queries() -> dict:
