@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("minhash", "linededup", "decontaminate", "bpe", "licenses", "ann", "chat", "secrets")
+MODULES = ("minhash", "licenses", "ann", "toxicity", "linededup", "quality", "bpe", "secrets", "chat", "decontaminate")
 
 
 def queries() -> dict:
