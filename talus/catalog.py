@@ -1,11 +1,475 @@
-"""Every query of the engine with the SQL that checks it."""
+"""Every query of the engine with the DuckDB SQL that checks it."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from talus import model as M
+from talus.functions import geometry as G
+from talus.operators import blocks, fit, labels, roughness, spatial, summary
+from talus.operators import surface as S
+from talus.sources import tables as T
+
+K, MERGE_ANGLE, CLEAN_ANGLE, FACTOR = 20, 60.0, 60.0, 2.5
+RADIUS, CELL = 0.035, 20.0
+ZONES = {"zones": {"block": [[2.0, 1.0], [30.0, 5.0], [40.0, 60.0], [10.0, 80.0]], "non-block": [[20.0, 40.0], [49.0, 40.0], [49.0, 90.0], [35.0, 55.0], [20.0, 90.0]]}, "mode_order": ["block", "non-block"]}
+INSTANCES = {"instances": [{"id": 1, "vertices_xy": [[1, 1], [20, 1], [20, 50]]}, {"id": 2, "vertices_xy": [[10, 10], [30, 10], [30, 70], [10, 70]]}, {"vertices_xy": [[25, 5], [45, 95], [48, 5]]}]}
+
+Q: dict = {}
+O: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        Q[name] = f
+        if sql:
+            O[name] = " ".join(sql.split())
+        return f
+
+    return keep
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
+    return df.selectExpr(*[f"{G.r(c, digits)} AS {c}" if c in columns else f"`{c}`" for c in df.columns])
+
+
+r = G.r
+# SQL views that the checks share
+
+PTS = "pts AS (SELECT vec_id AS pid, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z, label AS grp FROM embeddings)"
+EVT = "evt AS (SELECT event_id AS pid, (epoch_us(ts) / 3.6e9) % 720 AS x, CAST(user_id AS DOUBLE) AS y, value AS z FROM events)"
+LI = "li AS (SELECT l_quantity AS x, l_extendedprice / 1000 AS y, 100 * l_discount AS z, l_returnflag AS grp FROM lineitem)"
+NBR = f"{PTS}, nbr AS (SELECT * FROM (SELECT pid, nid, dist, CAST(row_number() OVER (PARTITION BY pid ORDER BY dist, nid) AS INTEGER) AS rank FROM (SELECT a.pid, b.pid AS nid, {G.distance()} AS dist FROM pts a JOIN pts b ON a.pid <> b.pid)) WHERE rank <= {K})"
+COORD = "co AS (SELECT n.pid, n.rank, p.x, p.y, p.z FROM nbr n JOIN pts p ON n.nid = p.pid)"
+
+
+def eig(rows: str, key: str, ddof: int = 1, normals: bool = False) -> str:
+    steps = [*G.eigen_steps(), *(G.normal_steps() if normals else [])]
+    return G.nest(f"(SELECT *, {G.covariance(ddof)} FROM (SELECT {key}, {G.moments()} FROM {rows} GROUP BY {key}) AS m)", steps)
+
+
+RECV = f"""{NBR}, sl AS (SELECT n.pid, n.nid, n.rank, (a.z - b.z) / greatest({G.distance()}, 1e-12) AS slope FROM nbr n JOIN pts a ON a.pid = n.pid JOIN pts b ON b.pid = n.nid),
+  recv AS (SELECT pid, CASE WHEN min(slope) > 0 THEN pid ELSE arg_min(nid, (slope, rank)) END AS parent FROM sl GROUP BY pid)"""
+LABELS = f"""{RECV}, walk AS (SELECT pid, parent, 0 AS depth FROM recv UNION ALL SELECT w.pid, n.parent, w.depth + 1 FROM walk w JOIN recv n ON n.pid = w.parent WHERE n.parent <> w.parent AND w.depth < 60),
+  lab AS (SELECT w.pid, max(CASE WHEN n.pid = n.parent THEN n.pid END) AS label FROM walk w JOIN recv n ON n.pid = w.parent GROUP BY w.pid),
+  don AS (SELECT parent AS pid, count(*) AS donors FROM recv WHERE pid <> parent GROUP BY parent),
+  seg AS (SELECT l.pid, l.label, coalesce(d.donors, 0) AS donors FROM lab l LEFT JOIN don d ON d.pid = l.pid)"""
+BORDER = f"""{LABELS}, {COORD}, nor AS (SELECT pid, nx, ny, nz FROM {eig('co', 'pid', normals=True)} AS e),
+  nl AS (SELECT n.pid, n.nid, a.label AS li, b.label AS lj, a.donors FROM nbr n JOIN seg a ON a.pid = n.pid JOIN seg b ON b.pid = n.nid),
+  bor AS (SELECT pid FROM nl WHERE li IS NOT NULL AND donors = 0 GROUP BY pid HAVING {K} - sum(CASE WHEN li = lj THEN 1 ELSE 0 END) >= {K / 4}),
+  ang AS (SELECT li, lj, avg({G.angle(('a.nx', 'a.ny', 'a.nz'), ('b.nx', 'b.ny', 'b.nz'))}) AS mean_angle FROM nl JOIN bor ON bor.pid = nl.pid JOIN nor a ON a.pid = nl.pid JOIN nor b ON b.pid = nl.nid WHERE lj IS NOT NULL GROUP BY li, lj)"""
+EDGES = f"""{BORDER}, rad AS (SELECT s.label, sqrt(sum(pi() * n.dist * n.dist) / pi()) AS radius FROM nbr n JOIN seg s ON s.pid = n.pid WHERE n.rank = 1 AND s.label IS NOT NULL GROUP BY s.label),
+  me AS (SELECT DISTINCT l.li, l.lj FROM nl l JOIN rad a ON a.label = l.li JOIN rad b ON b.label = l.lj JOIN pts p ON p.pid = l.li JOIN pts q ON q.pid = l.lj LEFT JOIN ang g ON g.li = l.li AND g.lj = l.lj
+    WHERE l.li <> l.lj AND {FACTOR * M.RADIUS_CORRECTION!r} * (a.radius + b.radius) > {G.distance('p', 'q')} AND coalesce(g.mean_angle, 0) <= {MERGE_ANGLE})"""
+MERGED = f"""{EDGES}, both_ AS (SELECT li AS a, lj AS b FROM me UNION SELECT lj, li FROM me), reach AS (SELECT DISTINCT label AS a, label AS b FROM seg WHERE label IS NOT NULL UNION SELECT reach.a, both_.b FROM reach JOIN both_ ON both_.a = reach.b),
+  comp AS (SELECT a AS label, min(b) AS root FROM reach GROUP BY a)"""
+
+
+class Cloud:
+    """The vector cloud with what the segmentation queries build on it, each step once."""
+
+    def __init__(self, spark, d):
+        self.pts = T.vectors(spark, d)
+        self.nbr = S.cut(spatial.knn(self.pts, K))
+
+    def normals(self):
+        return S.normals(self.nbr, self.pts)
+
+    def labels(self):
+        return S.cut(S.watershed(S.receivers(self.nbr, self.pts)))
+
+    def edges(self, seg):
+        return S.merge_edges(self.pts, self.nbr, seg, self.normals(), K, FACTOR, MERGE_ANGLE)
+
+
+@query("normalise_cloud", f"WITH {PTS} SELECT pid, {r('x - min(x) OVER ()')} AS x, {r('y - min(y) OVER ()')} AS y, {r('z - min(z) OVER ()')} AS z FROM pts")
+def _(spark, d):
+    return rounded(S.normalise(T.vectors(spark, d).select("pid", "x", "y", "z")), "x", "y", "z")
+
+
+@query("voxel_downsample", f"WITH {LI} SELECT CAST(floor(x / 5.0) AS BIGINT) AS cx, CAST(floor(y / 5.0) AS BIGINT) AS cy, CAST(floor(z / 5.0) AS BIGINT) AS cz, count(*) AS n, {r('avg(x)')} AS x, {r('avg(y)')} AS y, {r('avg(z)')} AS z FROM li GROUP BY 1, 2, 3")
+def _(spark, d):
+    return rounded(S.voxels(T.lines(spark, d), 5.0, None), "x", "y", "z")
+
+
+@query("cloud_span_cap", f"WITH {LI} SELECT {r('0.15 * greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z))')} AS cap FROM li")
+def _(spark, d):
+    return rounded(S.span_cap(T.lines(spark, d), 0.15), "cap")
+
+
+@query("knn_graph", f"WITH {NBR} SELECT pid, rank, nid, {r('dist', 6)} AS dist FROM nbr")
+def _(spark, d):
+    return rounded(spatial.knn(T.vectors(spark, d), K), "dist", digits=6).select("pid", "rank", "nid", "dist")
+
+
+@query("spacing_median", f"WITH {NBR} SELECT {r('quantile_cont(dist, 0.5)', 6)} AS spacing FROM nbr WHERE rank = 1")
+def _(spark, d):
+    return rounded(S.spacing(Cloud(spark, d).nbr), "spacing", digits=6)
+
+
+@query("nearest_surface", f"WITH {NBR} SELECT pid, {r('pi() * dist * dist', 6)} AS surface FROM nbr WHERE rank = 1")
+def _(spark, d):
+    return rounded(Cloud(spark, d).nbr.where("rank = 1").selectExpr("pid", "pi() * dist * dist AS surface"), "surface", digits=6)
+
+
+@query("statistical_denoise", f"WITH {NBR}, m AS (SELECT pid, avg(dist) AS md FROM nbr WHERE rank <= 4 GROUP BY pid), t AS (SELECT avg(md) + stddev_pop(md) AS top FROM m) SELECT m.pid, {r('m.md', 6)} AS mean_dist FROM m, t WHERE m.md <= t.top")
+def _(spark, d):
+    c = Cloud(spark, d)
+    return rounded(S.denoise(c.pts, c.nbr, 4, 1.0).select("pid", "mean_dist"), "mean_dist", digits=6)
+
+
+@query("event_denoise")
+def _(spark, d):
+    c = T.events(spark, d)
+    return rounded(S.denoise(c, spatial.knn(c, 4), 4, 1.0).select("pid", "mean_dist"), "mean_dist", digits=6)
+
+
+@query("quadratic_detrend")
+def _(spark, d):
+    return rounded(S.detrend(T.events(spark, d))[0], "x", "z")
+
+
+@query("rotate_horizontal")
+def _(spark, d):
+    return rounded(S.rotate_horizontal(T.vectors(spark, d).select("pid", "x", "y", "z")), "x", "y", "z")
+
+
+@query("plane_fit_coeffs", f"WITH {LI} SELECT n, {r('-nx / nz')} AS a, {r('-ny / nz')} AS b, {r('(sz + nx / nz * sx + ny / nz * sy) / n')} AS c FROM {G.nest(f'(SELECT *, {G.covariance(0)} FROM (SELECT {G.moments()} FROM li) AS m)', [*G.eigen_steps(), *G.normal_steps()])} AS t")
+def _(spark, d):
+    p = S.plane(T.lines(spark, d)).selectExpr("n", "-nx / nz AS a", "-ny / nz AS b", "(sz + nx / nz * sx + ny / nz * sy) / n AS c")
+    return rounded(p, "a", "b", "c")
+
+
+@query("point_covariance_eigs", f"WITH {NBR}, {COORD} SELECT pid, {r('l0')} AS l0, {r('l1')} AS l1, {r('l2')} AS l2 FROM {eig('co', 'pid')} AS e")
+def _(spark, d):
+    c = Cloud(spark, d)
+    return rounded(S.eigen_table(S.neighbour_coordinates(c.nbr, c.pts)).select("pid", "l0", "l1", "l2"), "l0", "l1", "l2")
+
+
+@query("point_normals", f"WITH {NBR}, {COORD} SELECT pid, {r('nx')} AS nx, {r('ny')} AS ny, {r('nz')} AS nz FROM {eig('co', 'pid', normals=True)} AS e")
+def _(spark, d):
+    return rounded(Cloud(spark, d).normals(), "nx", "ny", "nz")
+
+
+_SHAPES = " UNION ALL ".join(f"SELECT pid, {s} AS s, greatest(l0, 1e-12) AS l0, greatest(l1, 1e-12) AS l1, greatest(l2, 1e-12) AS l2 FROM {eig(f'(SELECT * FROM co WHERE rank <= {s}) AS c{s}', 'pid')} AS e{s}" for s in S.scales(K))
+FEATS = f"""{NBR}, {COORD}, sh AS ({_SHAPES}), zz AS (SELECT pid, quantile_cont(z, 0.15) AS lo, quantile_cont(z, 0.85) AS hi, stddev_pop(z) AS sd FROM co GROUP BY pid),
+  sc AS (SELECT pid, max(CASE WHEN s = {K} THEN l0 / l2 END) AS scattering, avg(l0 / (l0 + l1 + l2)) AS curvature_mean, max(l0 / (l0 + l1 + l2)) AS curvature_max, avg((l1 - l0) / l2) AS planarity_mean FROM sh GROUP BY pid),
+  ft AS (SELECT p.pid, p.z - zz.lo AS top_hat, zz.hi - zz.lo AS local_relief, zz.sd AS local_zstd, scattering, curvature_mean, curvature_max, planarity_mean FROM pts p JOIN zz ON zz.pid = p.pid JOIN sc ON sc.pid = p.pid)"""
+_STD = " + ".join(f"({w!r}) * ({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () > 0 THEN stddev_pop({c}) OVER () ELSE 1 END" for w, c in zip(M.BLOCK_WEIGHTS, M.BLOCK_FEATURES, strict=True))
+
+
+@query("local_surface_features", f"WITH {FEATS} SELECT pid, {', '.join(f'{r(c)} AS {c}' for c in M.BLOCK_FEATURES)} FROM ft")
+def _(spark, d):
+    c = Cloud(spark, d)
+    return rounded(S.surface_features(c.nbr, c.pts, K), *M.BLOCK_FEATURES)
+
+
+@query("blockiness_score", f"WITH {FEATS} SELECT pid, {r('1 / (1 + exp(-greatest(-50, least(50, t))))')} AS score FROM (SELECT pid, {_STD} + ({M.BLOCK_BIAS!r}) AS t FROM ft)")
+def _(spark, d):
+    c = Cloud(spark, d)
+    return rounded(S.block_score(S.surface_features(c.nbr, c.pts, K)).select("pid", "score"), "score")
+
+
+_EVT3 = f"{EVT}, ev AS (SELECT pid, x / 720 AS x, y / (SELECT max(y) FROM evt) AS y, z / (SELECT max(z) FROM evt) AS z FROM evt)"
+
+
+def unit_events(spark, d):
+    e = T.events(spark, d)
+    top = F.broadcast(e.agg(F.max("y").alias("my"), F.max("z").alias("mz")))  # one row
+    return e.join(top).selectExpr("pid", "x / 720 AS x", "y / my AS y", "z / mz AS z")
+
+
+@query("radius_pairs", f"WITH {_EVT3} SELECT a.pid, b.pid AS nid, {r(G.distance(), 6)} AS dist FROM ev a JOIN ev b ON a.pid < b.pid AND abs(a.x - b.x) <= {RADIUS} AND abs(a.y - b.y) <= {RADIUS} WHERE {G.distance()} <= {RADIUS}")
+def _(spark, d):
+    return rounded(spatial.radius_pairs(unit_events(spark, d), RADIUS), "dist", digits=6)
+
+
+_COMP = f"{PTS}, ed AS (SELECT a.pid AS a, b.pid AS b FROM pts a JOIN pts b ON a.pid <> b.pid WHERE {G.distance()} <= 0.12), reach AS (SELECT pid AS a, pid AS b FROM pts UNION SELECT reach.a, ed.b FROM reach JOIN ed ON ed.a = reach.b)"
+
+
+@query("radius_components", f"WITH RECURSIVE {_COMP} SELECT a AS id, min(b) AS root FROM reach GROUP BY a")
+def _(spark, d):
+    return blocks.radius_components(T.vectors(spark, d), 0.12)
+
+
+@query("steepest_receiver", f"WITH {RECV} SELECT pid, parent FROM recv")
+def _(spark, d):
+    c = Cloud(spark, d)
+    return S.receivers(c.nbr, c.pts)
+
+
+@query("watershed_roots", f"WITH RECURSIVE {LABELS} SELECT pid, label, donors FROM seg")
+def _(spark, d):
+    return Cloud(spark, d).labels()
+
+
+@query("watershed_sizes", f"WITH RECURSIVE {LABELS} SELECT s.label, count(*) AS n, {r('min(p.z)')} AS zmin, {r('max(p.z)')} AS zmax, {r('avg(p.x)')} AS xmean FROM seg s JOIN pts p ON p.pid = s.pid WHERE s.label IS NOT NULL GROUP BY s.label")
+def _(spark, d):
+    c = Cloud(spark, d)
+    rows = c.pts.drop("label").join(c.labels().where("label IS NOT NULL"), "pid")
+    return rounded(rows.groupBy("label").agg(F.count("*").alias("n"), F.min("z").alias("zmin"), F.max("z").alias("zmax"), F.avg("x").alias("xmean")), "zmin", "zmax", "xmean")
+
+
+@query("label_neighbour_graph", f"WITH RECURSIVE {LABELS} SELECT DISTINCT a.label AS li, b.label AS lj FROM nbr n JOIN seg a ON a.pid = n.pid JOIN seg b ON b.pid = n.nid WHERE a.label IS NOT NULL AND b.label IS NOT NULL")
+def _(spark, d):
+    c = Cloud(spark, d)
+    return S.label_neighbours(c.nbr, c.labels())
+
+
+@query("border_angles", f"WITH RECURSIVE {BORDER} SELECT li, lj, {r('mean_angle', 3)} AS mean_angle FROM ang")
+def _(spark, d):
+    c = Cloud(spark, d)
+    return rounded(S.border_angles(c.nbr, c.labels(), c.normals(), K), "mean_angle", digits=3)
+
+
+@query("merge_edges", f"WITH RECURSIVE {EDGES} SELECT li, lj FROM me")
+def _(spark, d):
+    c = Cloud(spark, d)
+    return c.edges(c.labels())
+
+
+@query("merge_components", f"WITH RECURSIVE {MERGED} SELECT s.pid, c.root AS label, s.donors FROM seg s LEFT JOIN comp c ON c.label = s.label")
+def _(spark, d):
+    c = Cloud(spark, d)
+    seg = c.labels()
+    return S.relabel(seg, c.edges(seg))
+
+
+_FLAT = f"SELECT label, n, {r('sqrt(greatest(l1, 0e0)) / nullif(sqrt(greatest(l2, 0e0)), 0e0)')} AS r2, {r('sqrt(greatest(l0, 0e0)) / nullif(sqrt(greatest(l2, 0e0)), 0e0)')} AS r3"
+
+
+@query("flatness_filter", f"WITH RECURSIVE {MERGED}, fin AS (SELECT c.root AS label, p.x, p.y, p.z FROM seg s JOIN comp c ON c.label = s.label JOIN pts p ON p.pid = s.pid) {_FLAT} FROM {eig('fin', 'label', 0)} AS e WHERE n >= 5")
+def _(spark, d):
+    c = Cloud(spark, d)
+    seg = c.labels()
+    return rounded(S.flat_labels(c.pts.drop("label"), S.relabel(seg, c.edges(seg)), 5, 0.1).where("n >= 5").select("label", "n", "r2", "r3"), "r2", "r3")
+
+
+@query("clean_labels")
+def _(spark, d):
+    c = Cloud(spark, d)
+    return S.clean(c.pts.drop("label"), c.nbr, c.labels(), c.normals(), K, CLEAN_ANGLE, 5, 0.1)
+
+
+_GRID = f"{EVT}, b AS (SELECT min(x) AS lx, min(y) AS ly FROM evt), ras AS (SELECT CAST(floor((x - lx) / {CELL}) AS BIGINT) AS gx, CAST(floor((y - ly) / {CELL}) AS BIGINT) AS gy, min(z) AS value FROM evt, b GROUP BY 1, 2)"
+
+
+@query("smrf_min_raster", f"WITH {_GRID} SELECT gx, gy, {r('value')} AS value FROM ras")
+def _(spark, d):
+    return rounded(S.min_raster(T.events(spark, d), CELL), "value")
+
+
+_NEAR = lambda s, o: f"{o} AS (SELECT a.gx, a.gy, max(b.value) AS value FROM {s} a JOIN {s} b ON abs(a.gx - b.gx) <= 1 AND abs(a.gy - b.gy) <= 1 GROUP BY a.gx, a.gy)"
+
+
+@query("smrf_opening", f"WITH {_GRID}, {_NEAR('ras', 'ero').replace('max(', 'min(')}, {_NEAR('ero', 'dil')} SELECT gx, gy, {r('value')} AS value FROM dil")
+def _(spark, d):
+    return rounded(S.opened(S.min_raster(T.events(spark, d), CELL), 1), "value")
+
+
+@query("smrf_nonground")
+def _(spark, d):
+    return rounded(S.nonground(T.events(spark, d), CELL, window=40.0), "ground_height", "height_above_ground", "threshold")
+
+
+@query("bilinear_lookup", f"""WITH {LI}, g AS (SELECT i AS gx, j AS gy, CAST(i * i + 3 * j AS DOUBLE) AS value FROM range(0, 11) a(i), range(0, 21) b(j)),
+  p AS (SELECT o_orderkey AS pid, greatest(0e0, least(10e0, (o_orderkey % 1000) / 90e0)) AS fx, greatest(0e0, least(20e0, o_totalprice / 20000)) AS fy FROM orders),
+  q AS (SELECT pid, fx, fy, CAST(floor(fx) AS BIGINT) AS a, CAST(floor(fy) AS BIGINT) AS b FROM p)
+  SELECT pid, {r('sum(g.value * (CASE WHEN k.i = 0 THEN 1 - (fx - a) ELSE fx - a END) * (CASE WHEN k.j = 0 THEN 1 - (fy - b) ELSE fy - b END))', 9)} AS value
+  FROM q, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) k(i, j), g WHERE g.gx = least(a + k.i, 10) AND g.gy = least(b + k.j, 20) GROUP BY pid""")
+def _(spark, d):
+    grid = spark.range(11 * 21).selectExpr("id DIV 21 AS gx", "id % 21 AS gy").selectExpr("gx", "gy", "CAST(gx * gx + 3 * gy AS DOUBLE) AS value")
+    at = T.table(spark, d, "orders").selectExpr("o_orderkey AS pid", "(o_orderkey % 1000) / 90e0 AS x", "o_totalprice / 20000 AS y")
+    return rounded(spatial.bilinear(grid, at, 1.0, 11, 21), "value", digits=9)
+
+
+@query("nearest_label_transfer", f"WITH {PTS}, c AS (SELECT a.pid, b.pid AS nid, b.grp, {G.distance()} AS dist, row_number() OVER (PARTITION BY a.pid ORDER BY {G.distance()}, b.pid) AS rn FROM pts a JOIN pts b ON b.pid % 3 = 0) SELECT pid, nid, {r('dist', 6)} AS dist, grp AS label FROM c WHERE rn = 1")
+def _(spark, d):
+    c = T.vectors(spark, d)
+    return rounded(spatial.nearest_label(c, c.where("pid % 3 = 0")), "dist", digits=6)
+
+
+@query("grow_labels", f"WITH {PTS}, c AS (SELECT a.pid, b.pid AS nid, {G.distance()} AS dist FROM pts a JOIN pts b ON b.pid % 5 = 0 AND a.pid % 5 <> 0), k AS (SELECT pid, arg_min(nid, (dist, nid)) AS nid FROM c WHERE dist <= 0.2 GROUP BY pid) SELECT pid, CAST(pid // 5 AS BIGINT) AS label FROM pts WHERE pid % 5 = 0 UNION ALL SELECT pid, CAST(nid // 5 AS BIGINT) FROM k")
+def _(spark, d):
+    c = T.vectors(spark, d).select("pid", "x", "y", "z")
+    own = c.where("pid % 5 = 0").selectExpr("pid", "pid DIV 5 AS label")
+    return blocks.grow(c, own, c.selectExpr("pid", "1e0 AS score"), 0.2)
+
+
+@query("group_obb_extent")
+def _(spark, d):
+    rows = T.vectors(spark, d).selectExpr("CAST(label AS BIGINT) AS label", "x", "y", "z", "0e0 AS surface")
+    return rounded(fit.fit(rows, sizing="block").selectExpr("label", "n", *[f"extents[{i}] AS e{i}" for i in range(3)]), "e0", "e1", "e2")
+
+
+_BOX = f"{LI}, s AS (SELECT grp, count(*) AS n, max(x) - min(x) AS a, max(y) - min(y) AS b, max(z) - min(z) AS c FROM li GROUP BY grp)"
+
+
+@query("ellipsoid_area_volume", f"WITH {_BOX} SELECT grp, {r(G.ellipsoid_area('a', 'b', 'c'), 2)} AS area, {r(G.ellipsoid_volume('a', 'b', 'c'), 2)} AS volume FROM s")
+def _(spark, d):
+    s = T.lines(spark, d).groupBy("grp").agg(*[(F.max(c) - F.min(c)).alias(o) for c, o in zip("xyz", "abc", strict=True)])
+    return rounded(s.selectExpr("grp", f"{G.ellipsoid_area('a', 'b', 'c')} AS area", f"{G.ellipsoid_volume('a', 'b', 'c')} AS volume"), "area", "volume", digits=2)
+
+
+def toy_models(spark, d):
+    """A model table with known columns out of the events, for the summary operators."""
+    return T.events(spark, d).selectExpr("pid AS label", "pid % 7 <> 0 AS fitok", "pid % 11 <> 0 AS aqualityok", "CAST(NULL AS BOOLEAN) AS sizecapok", "array(x, y, z) AS c", "array(1 + z / 10, 1 + z / 20, 1 + z / 40) AS r", "array(x - 360, y - 40, z) AS axis_map", "array(z, x - 300, y - 50) AS axis_x", "1 + z AS v", "2 + z AS a")
+
+
+MOD = f"{EVT}, mod AS (SELECT pid AS label, x, y, z, 1 + z / 10 AS r0, 1 + z / 20 AS r1, 1 + z / 40 AS r2, 1 + z AS v, 2 + z AS a FROM evt WHERE pid % 7 <> 0 AND pid % 11 <> 0)"
+_AM = "(atan2(CASE WHEN y - 40 < 0 THEN -1 ELSE 1 END * (y - 40), CASE WHEN y - 40 < 0 THEN -1 ELSE 1 END * (x - 360)) + pi() / 2)"
+_AX = "(atan2(CASE WHEN y - 50 < 0 THEN -1 ELSE 1 END * (x - 300), CASE WHEN y - 50 < 0 THEN -1 ELSE 1 END * (y - 50)) + pi() / 2)"
+
+
+@query("accepted_models", f"WITH {MOD} SELECT count(*) AS n FROM mod")
+def _(spark, d):
+    return summary.accepted(toy_models(spark, d)).agg(F.count("*").alias("n"))
+
+
+@query("orientation_angles", f"WITH {MOD} SELECT label, {r(f'{_AM} - pi() * floor({_AM} / pi())')} AS angle_map, {r(f'{_AX} - pi() * floor({_AX} / pi())')} AS angle_x FROM mod")
+def _(spark, d):
+    return rounded(summary.orientations(toy_models(spark, d)).select("label", "angle_map", "angle_x"), "angle_map", "angle_x")
+
+
+_EDGE = lambda w, lo, hi: f"SELECT '{w}' AS what, greatest(2, CAST(ceil(sqrt(count(*))) AS INTEGER)) AS nbin, {lo} AS lo, greatest({hi}, {lo} * 1.01) AS hi FROM mod"
+
+
+@query("size_distribution_edges", f"WITH {MOD}, e AS ({_EDGE('diameter', 'greatest(min(2 * r2), 1e-6)', 'max(2 * r0)')} UNION ALL {_EDGE('volume', 'greatest(min(v), 1e-9)', 'max(v)')} UNION ALL {_EDGE('area', 'greatest(min(a), 1e-9)', 'max(a)')}), k AS (SELECT *, CAST(unnest(range(nbin)) AS INTEGER) AS i FROM e) SELECT what, i, {r('lo + (hi - lo) * i / (nbin - 1)', 7)} AS lin, {r('exp(ln(lo) + (ln(hi) - ln(lo)) * i / (nbin - 1))', 7)} AS log FROM k")
+def _(spark, d):
+    return rounded(summary.edges(toy_models(spark, d)), "lin", "log", digits=7)
+
+
+@query("histogram_log_bins", f"WITH {LI} SELECT least(24, 1 + CAST(floor((ln(y) - ln(0.5)) / (ln(120.0) - ln(0.5)) * 24) AS INTEGER)) AS bin, count(*) AS n FROM li WHERE y BETWEEN 0.5 AND 120.0 GROUP BY 1")
+def _(spark, d):
+    return summary.histogram(T.lines(spark, d), "y", 0.5, 120.0, 24, log=True)
+
+
+@query("angle_rose", f"WITH {MOD}, t AS (SELECT {_AM} - pi() * floor({_AM} / pi()) AS g FROM mod), u AS (SELECT (pi() - g) - pi() * floor((pi() - g) / pi()) AS angle FROM t) SELECT least(20, 1 + CAST(floor(angle / 3.141592653589793 * 20) AS INTEGER)) AS bin, count(*) AS n FROM u WHERE angle BETWEEN 0 AND 3.141592653589793 GROUP BY 1")
+def _(spark, d):
+    return summary.rose(summary.orientations(toy_models(spark, d)), "angle_map", 20, mirrored=True)
+
+
+@query("top_k_volume", f"WITH {MOD} SELECT label, {r('v')} AS v FROM mod ORDER BY mod.v DESC, label LIMIT 30")
+def _(spark, d):
+    return rounded(summary.accepted(toy_models(spark, d)).orderBy(F.desc("v"), "label").limit(30).select("label", "v"), "v")
+
+
+@query("quantiles", f"WITH {LI} SELECT grp, {r('quantile_cont(y, 0.1)')} AS q10, {r('quantile_cont(y, 0.5)')} AS q50, {r('quantile_cont(y, 0.92)')} AS q92, {r('quantile_cont(y, 0.9997)')} AS q9997 FROM li GROUP BY grp")
+def _(spark, d):
+    q = T.lines(spark, d).groupBy("grp").agg(F.expr("percentile(y, array(0.1, 0.5, 0.92, 0.9997))").alias("q"))
+    return rounded(q.selectExpr("grp", "q[0] AS q10", "q[1] AS q50", "q[2] AS q92", "q[3] AS q9997"), "q10", "q50", "q92", "q9997")
+
+
+@query("robust_unit_interval", f"WITH {LI}, b AS (SELECT quantile_cont(y, 0.1) AS lo, quantile_cont(y, 0.9) AS hi FROM li) SELECT grp, {r('avg(greatest(0e0, least(1e0, (y - lo) / (hi - lo))))')} AS u FROM li, b GROUP BY grp")
+def _(spark, d):
+    rows = T.lines(spark, d)
+    b = F.broadcast(rows.agg(F.expr("percentile(y, 0.1)").alias("lo"), F.expr("percentile(y, 0.9)").alias("hi")))  # one row
+    return rounded(rows.join(b).groupBy("grp").agg(F.expr("avg(greatest(0e0, least(1e0, (y - lo) / (hi - lo))))").alias("u")), "u")
+
+
+def _zone_sql(zones) -> str:
+    code = "0"
+    for value, corners in zones:
+        code = f"CASE WHEN {G.in_polygon('x', 'y', corners)} THEN {value} ELSE {code} END"
+    return f"CAST({code} AS INTEGER)"
+
+
+_ZN = labels.normalise_zones(ZONES)
+_Z = [(labels.ZONES[m], _ZN["zones"][m]) for m in _ZN["mode_order"]]
+_I = [(p["id"], p["vertices_xy"]) for p in labels.normalise_instances(INSTANCES)]
+
+
+@query("points_in_polygon", f"WITH {LI} SELECT grp, count(*) AS n FROM li WHERE {G.in_polygon('x', 'y', _Z[0][1])} GROUP BY grp")
+def _(spark, d):
+    return T.lines(spark, d).where(G.in_polygon("x", "y", _Z[0][1])).groupBy("grp").agg(F.count("*").alias("n"))
+
+
+@query("zone_labels_last_wins", f"WITH {LI} SELECT {_zone_sql(_Z)} AS code, count(*) AS n FROM li GROUP BY 1")
+def _(spark, d):
+    return labels.counts(labels.zone_labels(T.lines(spark, d), ZONES))
+
+
+@query("instance_labels", f"WITH {LI} SELECT {_zone_sql(_I)} AS code, count(*) AS n FROM li GROUP BY 1")
+def _(spark, d):
+    return labels.counts(labels.instance_labels(T.lines(spark, d), INSTANCES))
+
+
+@query("ternary_coordinates", f"WITH {PTS}, co AS (SELECT a.pid, b.x, b.y, b.z FROM pts a JOIN pts b ON {G.distance()} <= 0.2), e AS (SELECT pid, n, {', '.join(G.normalised())} FROM {eig('co', 'pid')} AS m WHERE n >= 10) SELECT pid, CAST(0.4 AS DOUBLE) AS diameter, {', '.join(f'{r(c)} AS {c}' for c in ('e0', 'e1', 'e2', 'tx', 'ty'))} FROM (SELECT *, {', '.join(G.barycentric())} FROM e)")
+def _(spark, d):
+    return rounded(roughness.ternary(T.vectors(spark, d), 0.4).where("e0 IS NOT NULL"), "e0", "e1", "e2", "tx", "ty")
+
+
+@query("param_row_lookup", "SELECT p_name AS name, coalesce(CASE WHEN p_size > 25 THEN p_size END, 20) AS nnptcloud, lower(trim(p_brand)) IN ('brand#11', 'brand#12') AS denoise FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS rn FROM part) WHERE rn = 1")
+def _(spark, d):
+    first = T.table(spark, d, "part").groupBy("p_name").agg(F.min_by(F.struct("p_size", "p_brand"), "p_partkey").alias("p"))
+    return first.selectExpr("p_name AS name", "coalesce(CASE WHEN p.p_size > 25 THEN p.p_size END, 20) AS nnptcloud", "lower(trim(p.p_brand)) IN ('brand#11', 'brand#12') AS denoise")
+
+
+@query("colour_binary", f"WITH {EVT} SELECT pid, CAST(CASE WHEN z > 50 THEN 220 ELSE 90 END AS SMALLINT) AS red, CAST(CASE WHEN z > 50 THEN 80 ELSE 90 END AS SMALLINT) AS green, CAST(CASE WHEN z > 50 THEN 40 ELSE 90 END AS SMALLINT) AS blue FROM evt")
+def _(spark, d):
+    return summary.colour_binary(T.events(spark, d), "z > 50", (220, 80, 40), (90, 90, 90)).select("pid", "red", "green", "blue")
+
+
+@query("colour_ramp")
+def _(spark, d):
+    return summary.colour_ramp(T.events(spark, d), "z").select("pid", "red", "green", "blue")
+
+
+@query("fibonacci_sphere", f"SELECT i AS id, {r('cos(pi() * (1 + sqrt(5e0)) * i) * sin(acos(1 - 2 * (i + 0.5e0) / 500))')} AS x, {r('sin(pi() * (1 + sqrt(5e0)) * i) * sin(acos(1 - 2 * (i + 0.5e0) / 500))')} AS y, {r('1 - 2 * (i + 0.5e0) / 500')} AS z FROM range(500) t(i)")
+def _(spark, d):
+    return rounded(summary.sphere_points(spark, 500), "x", "y", "z")
+
+
+def _segments(spark, d):
+    return T.vectors(spark, d).selectExpr("CAST(label AS BIGINT) AS label", "x", "y", "z", "0.01e0 AS surface")
+
+
+@query("ellipsoid_fit")
+def _(spark, d):
+    return fit.fit(_segments(spark, d)).selectExpr("label", "n", "fitok", "aqualityok", "round(major_diameter, 3) AS major_diameter")
+
+
+@query("hybrid_fit")
+def _(spark, d):
+    return fit.fit(_segments(spark, d), strategy="hybrid_direct").selectExpr("label", "n", "fitok", "round(major_diameter, 3) AS major_diameter")
+
+
+@query("convex_hull_volume")
+def _(spark, d):
+    return fit.fit(_segments(spark, d), sizing="block").selectExpr("label", "n", "round(v, 4) AS volume", "round(a, 4) AS area", "round(acover, 2) AS fill")
+
+
+@query("roughness_multiscale")
+def _(spark, d):
+    return rounded(roughness.roughness(T.vectors(spark, d), M.Parameters(minscale=0.1, maxscale=0.5), "fast"), "rough", digits=6)
+
+
+@query("block_split")
+def _(spark, d):
+    c = T.events(spark, d).selectExpr("pid", "0L AS root", "x / 24 AS x", "y AS y", "CAST(pid % 2 AS DOUBLE) AS score", "z AS local_relief", "z AS top_hat")
+    return blocks.split(c, 1.0, 2.0, 5, 100).groupBy("root", "part").agg(F.count("*").alias("n"))
+
+
+@query("granulo_export")
+def _(spark, d):
+    return rounded(summary.granulo(fit.fit(_segments(spark, d))), "Xc", "Yc", "Zc", "Dmax", "Dmed", "Dmin", "angle_Mview", "angle_Xview", digits=3)
+
+
+@query("box_edges")
+def _(spark, d):
+    return summary.box_edges(fit.fit(_segments(spark, d), sizing="block"))
+
+
+@query("ellipsoid_mesh")
+def _(spark, d):
+    return rounded(summary.ellipsoid_mesh(fit.fit(_segments(spark, d))), "x", "y", "z", digits=3)
+
 
 def queries() -> dict:
-    return {}
+    return dict(Q)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(O)
+
