@@ -125,16 +125,16 @@ def scan(index: Index, words: np.ndarray, text: np.ndarray, first: np.ndarray, l
     votes = sorted({(int(text[p]), int(index.template[k]), int(p - index.place[k])) for p in at.tolist() for k in range(lo[p], hi[p])})
     found, k = [], 0
     while k < len(votes):
-        doc, name, shift = votes[k]
-        last = k
-        while last + 1 < len(votes) and votes[last + 1][:2] == (doc, name) and votes[last + 1][2] - votes[last][2] <= BAND:
+        doc, name, _ = votes[k]
+        t = index.words[name]
+        band, last = max(1, min(BAND, len(t) // 3)), k  # copies of a short notice may stand close together
+        while last + 1 < len(votes) and votes[last + 1][:2] == (doc, name) and votes[last + 1][2] - votes[last][2] <= band:
             last += 1
         middle = votes[(k + last) // 2][2]
         k = last + 1
-        t = index.words[name]
-        a = max(int(first[doc]), middle - 2 * BAND)
-        b = min(int(first[doc + 1]), middle + len(t) + 2 * BAND)
-        m, x, y = align(t, words[a:b], middle - a, 2 * BAND)
+        a = max(int(first[doc]), middle - band)
+        b = min(int(first[doc + 1]), middle + len(t) + band)
+        m, x, y = align(t, words[a:b], middle - a, band)
         if m and m >= least * len(t):
             found.append((doc, name, m, a + x, a + y))
     found.sort(key=lambda f: (f[0], -f[2], f[3], f[1]))
