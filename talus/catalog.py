@@ -361,6 +361,28 @@ def _(spark, d):
     return rounded(q.selectExpr("grp", "q[0] AS q10", "q[1] AS q50", "q[2] AS q92", "q[3] AS q9997"), "q10", "q50", "q92", "q9997")
 
 
+@query("minima_filter", f"WITH {EVT}, b AS (SELECT quantile_cont(z, 0.95) AS bound FROM evt) SELECT pid, {r('x')} AS x, {r('y')} AS y, {r('z')} AS z FROM evt, b WHERE z < bound")
+def _(spark, d):
+    cloud = T.events(spark, d)
+    return rounded(S.minima(cloud, cloud.selectExpr("pid", "z AS rough")), "x", "y", "z")
+
+
+@query("elongation_volume", f"WITH {MOD} SELECT label, {r('1 - r2 / greatest(r0, 1e-12)')} AS elongation, {r('log10(greatest(v, 1e-12))')} AS log_volume FROM mod")
+def _(spark, d):
+    m = T.events(spark, d).where("pid % 7 <> 0 AND pid % 11 <> 0").selectExpr("pid AS label", "1 + z / 10 AS r0", "1 + z / 40 AS r2", "1 + z AS v")
+    return rounded(summary.elongation(m.selectExpr("label", "array(r0, r0, r2) AS r", "v")), "elongation", "log_volume")
+
+
+@query("stride_sample")
+def _(spark, d):
+    return summary.stride_sample(T.events(spark, d), 1000).select("pid")
+
+
+@query("bootstrap_sample")
+def _(spark, d):
+    return summary.bootstrap_sample(T.events(spark, d), 1000).groupBy("pid").agg(F.count("*").alias("draws"))
+
+
 @query("robust_unit_interval", f"WITH {LI}, b AS (SELECT quantile_cont(y, 0.1) AS lo, quantile_cont(y, 0.9) AS hi FROM li) SELECT grp, {r('avg(greatest(0e0, least(1e0, (y - lo) / (hi - lo))))')} AS u FROM li, b GROUP BY grp")
 def _(spark, d):
     rows = T.lines(spark, d)

@@ -79,6 +79,25 @@ def display_sample(rows: DataFrame, most: int, seed: int = 0) -> DataFrame:
     return rows.orderBy(F.col("label") == 0, F.xxhash64("pid", F.lit(seed))).limit(most)
 
 
+def bootstrap_sample(rows: DataFrame, most: int, seed: int = 0) -> DataFrame:
+    """min(``most``, rows) draws with replacement; ids need not be dense. A draw is a place in the order of a seeded hash.
+
+    Places are dealt by range over buckets of the hash: bucket sizes come first, so no window runs over the whole table."""
+    spark, n = rows.sparkSession, 1 << 12
+    keyed = rows.withColumn("h_", F.xxhash64("pid", F.lit(seed))).withColumn("b_", F.pmod("h_", F.lit(n)).cast("int"))
+    sizes = keyed.groupBy("b_").agg(F.count("*").alias("m")).orderBy("b_")
+    before = sizes.selectExpr("b_", "sum(m) OVER (ORDER BY b_) - m AS before")  # one row a bucket: 4,096 at most
+    placed = keyed.join(F.broadcast(before), "b_").withColumn("place", F.expr("before + row_number() OVER (PARTITION BY b_ ORDER BY h_, pid) - 1"))
+    total = sizes.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    draws = spark.range(min(most, total)).selectExpr(f"pmod(xxhash64(id, {seed}), {max(total, 1)}L) AS place")
+    return placed.join(draws, "place").select(rows.columns)
+
+
+def elongation(models: DataFrame) -> DataFrame:
+    """1 - shortest / longest radius and log10 of the volume of each model (radii longest first)."""
+    return models.selectExpr("label", "1 - r[2] / greatest(r[0], 1e-12) AS elongation", "log10(greatest(v, 1e-12)) AS log_volume")
+
+
 def box_edges(models: DataFrame, most: int = 30) -> DataFrame:
     """(label, edge, from corner, to corner) of the largest boxes: the table a figure draws."""
     pairs = [(a, b) for a in range(8) for b in range(a + 1, 8) if (a ^ b) in (1, 2, 4)]

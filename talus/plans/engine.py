@@ -69,7 +69,7 @@ def coloured(raw: DataFrame, result: Result) -> dict[str, DataFrame]:
     own = result.cloud.join(result.labels.select("pid", "label"), "pid", "left")
     near = spatial.nearest_label(raw, own).select("pid", "label")
     o = summary.orientations(result.models).select("label", "angle_map")
-    v = summary.accepted(result.models).selectExpr("label", "log10(greatest(v, 1e-12)) AS volume", "1 - r[2] / r[0] AS elongation").join(o, "label", "left")
+    v = summary.elongation(summary.accepted(result.models)).withColumnRenamed("log_volume", "volume").join(o, "label", "left")
     at = raw.join(near, "pid").join(v, "label", "left")
     return {c: summary.colour_ramp(at, c).select("pid", "x", "y", "z", "red", "green", "blue") for c in ("volume", "elongation", "angle_map")}
 

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from talus import model as M
-from talus.operators import blocks, fit, graph, labels, roughness, spatial
+from talus.operators import blocks, fit, graph, labels, roughness, spatial, summary
 from talus.operators import surface as S
 from talus.plans import engine
 from talus.sources import files
@@ -227,3 +227,17 @@ def test_stream_equals_batch(spark, tmp_path):
     a = rollup.read_voxels(spark, str(tmp_path / "out")).orderBy("cx", "cy", "cz").toPandas()
     b = S.voxels(f, 1.0).orderBy("cx", "cy", "cz").toPandas()
     assert (a["n"] == b["n"]).all() and np.allclose(a[["x", "y", "z"]], b[["x", "y", "z"]])
+
+
+def test_draws_with_replacement_ignore_partitions(spark):
+    rows = spark.range(500).selectExpr("id * 7 AS pid", "id AS x")
+    draw = lambda r: sorted((g["pid"], g["x"]) for g in summary.bootstrap_sample(r, 300, seed=3).collect())
+    one = draw(rows.repartition(1))
+    assert len(one) == 300 and one == draw(rows.repartition(7)) and len(set(one)) < 300 and all(p == 7 * x for p, x in one)
+    assert len(draw(rows.limit(20))) == 20 and draw(rows.limit(0)) == []
+
+
+def test_elongation_and_volume(spark):
+    m = spark.createDataFrame([(1, [2.0, 1.5, 1.0], 10.0), (2, [1.0, 1.0, 1.0], 0.0)], "label long, r array<double>, v double")
+    got = {g["label"]: (g["elongation"], g["log_volume"]) for g in summary.elongation(m).collect()}
+    assert got == {1: (0.5, 1.0), 2: (0.0, -12.0)}
