@@ -19,7 +19,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that an earlier document or line has; documents that lose every line go, others keep their columns (n_chars follows the text)."""
-    kept = linededup.dedup_lines(docs).where("n_removed = 0 OR length(text) > 0")
+    kept = linededup.dedup_lines(docs, **linededup.WHOLE).where("n_removed = 0 OR length(text) > 0")
     return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(docs.columns)
 
 

@@ -1,8 +1,9 @@
 """Line dedup by a deletion-neighbourhood join.
 
 Two lines are near-equal if at most one word was inserted, deleted or replaced, by words of the lower-cased line; lines of fewer
-than ``fuzzy_words`` words must be equal, and lines of fewer than ``least_words`` words are too short to count as copies and always
-stay. A line goes if any earlier line (smaller doc_id, then smaller line number) of the whole input is near-equal to it; what
+than ``fuzzy_words`` words must be equal, and lines of fewer than ``least_words`` words always stay. ``WHOLE``, which the query and the
+pipeline use, leaves no line out: every line with a word goes if it is a copy, and from two words on if it is one edit away (any two
+lines of one word are one replacement apart, so those must be equal). A line goes if any earlier line (smaller doc_id, then smaller line number) of the whole input is near-equal to it; what
 stays is joined again in its order.
 
 1. Equal lines are grouped (minima are combined before the shuffle): all but the earliest go.
@@ -30,6 +31,8 @@ from talus.llm._text import Words, buffers, mix, slices
 
 #: Packed line numbers of at most so many bytes are broadcast; more are joined by a shuffle.
 BROADCAST_BYTES = 24 << 20
+#: Every line that has a word takes part, and an edit counts in every line that keeps a word.
+WHOLE = {"least_words": 1, "fuzzy_words": 2}
 _M = np.array([pow(0xA24BAED4963EE407, i + 1, 1 << 64) for i in range(4096)], np.uint64)
 
 
@@ -38,11 +41,11 @@ def _power(i: np.ndarray) -> np.ndarray:
     return np.where(i < 4096, _M[np.minimum(i, 4095)], mix(i.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)) | np.uint64(1))
 
 
-def levels_of(sizes: np.ndarray) -> list[int]:
+def levels_of(sizes: np.ndarray, fuzzy_words: int) -> list[int]:
     """How many first or last words a line may have to share with one of a word more or less, or as many, and at most one edit:
     ``half`` holds for the lines of 2 * half to 4 * half words, so that two such lines always have a level in common."""
     most = int(sizes.max()) if len(sizes) else 0
-    return [half for half in (1 << i for i in range(2, 40)) if 2 * half <= most]
+    return [half for half in (1 << i for i in range(40)) if fuzzy_words < 4 * half and 2 * half <= most]
 
 
 def line_hashes(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +106,7 @@ def _lines(least_words: int, fuzzy_words: int):
                 some, h1, h2 = some[keep], h1[keep], h2[keep]
                 a, n = a[some], (b - a)[some]
                 line, key = [], []
-                for half in levels_of(n):
+                for half in levels_of(n, fuzzy_words):
                     at = np.flatnonzero((n >= max(2 * half, fuzzy_words)) & (n <= 4 * half))
                     for side, first in enumerate((a[at], a[at] + n[at] - half)):
                         sums = np.zeros(len(at), np.uint64)
@@ -208,7 +211,7 @@ def dedup_lines(docs: DataFrame, least_words: int = 3, fuzzy_words: int = 8) ->
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup_lines(docs).selectExpr("doc_id", "CAST(n_removed AS BIGINT) AS n_removed", "CAST(length(text) AS BIGINT) AS n_chars", "sha2(text, 256) AS text_sha256")
+    return dedup_lines(docs, **WHOLE).selectExpr("doc_id", "CAST(n_removed AS BIGINT) AS n_removed", "CAST(length(text) AS BIGINT) AS n_chars", "sha2(text, 256) AS text_sha256")
 
 
 QUERIES = {"op5_line_dedup": op5_line_dedup}

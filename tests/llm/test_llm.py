@@ -147,6 +147,25 @@ def test_line_dedup_odd_rows(spark, monkeypatch):
     assert got == sorted([(1, None), (2, ""), (3, "a b c d"), (3, "a b c d"), (4, "z"), (None, "a b c d"), (5, "\n\n")], key=str)
 
 
+def test_line_dedup_of_short_lines(spark, tmp_path):
+    """The query and the pipeline leave no line out by its length."""
+    import corpus_pipeline
+
+    r = random.Random(12)
+    line = lambda: " ".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(0, 9)))
+    rows = [(1, "Page\nall rights reserved by acme"), (2, "page\nfoot note\nall rights reserved by emca"), (3, "Foot note\nnote\nsome rights reserved")]
+    rows += [(10 + i, "\n".join(line() for _ in range(r.randrange(1, 5)))) for i in range(60)]
+    want = removed(rows, least=1, fuzzy=2)
+    assert [want[i] for i in (1, 2, 3)] == [set(), {0, 2}, {0}]
+    docs(spark, rows).select("doc_id", "text", "lang").write.parquet(f"{tmp_path}/documents.parquet")
+    for g in linededup.op5_line_dedup(spark, str(tmp_path)).collect():
+        assert g["n_removed"] == len(want[g["doc_id"]])
+    long = docs(spark, rows).selectExpr("doc_id", "text", "CAST(0 AS BIGINT) AS n_chars")
+    kept = {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in want[i]) for i, t in rows}
+    got = {g["doc_id"]: g["text"] for g in corpus_pipeline.line_dedup(spark, long, "").collect()}
+    assert got == {i: t for i, t in kept.items() if t or not want[i]}
+
+
 def test_decontamination_recall_and_silence(spark):
     r = random.Random(4)
     items = [(i, words(r, 14 + i % 40, 3000)) for i in range(60)]
