@@ -69,13 +69,14 @@ def variant_hashes(words: np.ndarray) -> np.ndarray:
 
 def split_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text number, first and last byte of each line of a batch; empty texts have none."""
-    ends = np.flatnonzero(data == 10)
-    stop = offsets[1:][np.diff(offsets) > 0]
-    ends = np.unique(np.concatenate([ends, stop]))
-    text = np.searchsorted(offsets, ends, "left") - 1
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    starts = np.where((starts < len(data)) & (starts != offsets[text]) & (len(data) > 0), starts + 1, starts) if len(ends) else starts
-    return text, np.maximum(starts, offsets[text]), ends
+    breaks, some = np.flatnonzero(data == 10), np.flatnonzero(np.diff(offsets))
+    # a text's end and a newline at the start of the next one are two ends at one offset
+    text = np.concatenate([np.searchsorted(offsets, breaks, "right") - 1, some])
+    ends = np.concatenate([breaks, offsets[some + 1]])
+    order = np.lexsort((ends, text))
+    text, ends = text[order], ends[order]
+    first = np.concatenate([[True], text[1:] != text[:-1]])[: len(text)]
+    return text, np.where(first, offsets[text], np.roll(ends, 1) + 1), ends
 
 
 def _numbered(text: np.ndarray) -> np.ndarray:

@@ -166,6 +166,13 @@ def test_line_dedup_of_short_lines(spark, tmp_path):
     assert got == {i: t for i, t in kept.items() if t or not want[i]}
 
 
+def test_line_dedup_after_a_leading_newline(spark):
+    """A newline that starts a text is a line end of its own beside the end of the text before it."""
+    rows = [(1, "\na b c d\nonly here once"), (2, "x y z w"), (3, "\nA b c d\nanother line here"), (4, "\nunique words stay here\nx y z w"), (5, ""), (6, "\n\na b c d")]
+    got = {g["doc_id"]: (g["text"], g["n_removed"]) for g in linededup.dedup_lines(docs(spark, rows).drop("n_removed").coalesce(1)).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("x y z w", 0), 3: ("\nanother line here", 1), 4: ("\nunique words stay here", 1), 5: ("", 0), 6: ("\n", 1)}
+
+
 def test_decontamination_recall_and_silence(spark):
     r = random.Random(4)
     items = [(i, words(r, 14 + i % 40, 3000)) for i in range(60)]
