@@ -1,10 +1,11 @@
-"""License scan: winnowed fingerprints in an inverted index, then banded alignment.
+"""License scan: winnowed fingerprints in an inverted index, then local alignment.
 
 A text's words are lower-cased runs of letters and digits. Of every ``WINDOW`` consecutive ``GRAM``-word hashes of a template the least is kept
 (winnowing), with its place. The kept ones form an inverted index, which is a fixed set of templates and so a broadcast of bounded size. Hashes of
-a text that are in the index vote for (template, diagonal); each cluster of close diagonals is a candidate. A banded local
-alignment of template and text around the cluster gives the matched words, and with them coverage (matched words of the template / its
-words) and span. All hashes of the text are looked up, so any shared run of GRAM + WINDOW - 1 words of a template is found.
+a text that are in the index vote for a template. A local alignment (match 2, any other word -1) of the whole template with the text around
+its votes gives the matched words, and with them coverage (matched words of the template / its words) and span; it has no band, so it goes
+over whatever is put in or left out, as long as what matches on either side is worth more. All hashes of the text are looked up, so any
+shared run of GRAM + WINDOW - 1 words of a template is found.
 
 Cases: null and empty texts report nothing; a text that holds several copies of a template reports each; a template inside a longer one (of equal span) is
 left out unless it covers more; repeated rows give repeated results; null ids are carried; other columns are not read.
@@ -12,6 +13,8 @@ left out unless it covers more; repeated rows give repeated results; null ids ar
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from talus.llm._store import small_batches
 from talus.llm._text import PUNCT, Words, buffers, grams, slices
 
-GRAM, WINDOW, BAND = 3, 2, 6
+GRAM, WINDOW = 3, 2
 
 _MIT_GRANT = (
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
@@ -91,28 +94,77 @@ class Index:
         self.template, self.place = (np.array([f[k] for f in found], np.int64) for k in (1, 2))
 
 
-def align(template: np.ndarray, text: np.ndarray, shift: int, band: int) -> tuple[int, int, int]:
-    """Banded local alignment (match 2, else -1): matched words, and first word and end of the aligned part of ``text``.
-
-    Template word i stands near text word i + shift."""
-    top, at_top = 0, (0, 0, 0)
-    row: dict[int, tuple[int, int, int]] = {}
-    for i, x in enumerate(template.tolist()):
-        now: dict[int, tuple[int, int, int]] = {}
-        for j in range(max(0, i + shift - band), min(len(text), i + shift + band + 1)):
-            s, m, first = row.get(j - 1, (0, 0, j))
-            if s <= 0:
-                s, m, first = 0, 0, j
-            c = (s + 2, m + 1, first) if text[j] == x else (s - 1, m, first)
-            for s, m, first in (row.get(j, (0, 0, j)), now.get(j - 1, (0, 0, j))):
-                if s - 1 > c[0]:
-                    c = s - 1, m, first
-            if c[0] > 0:
-                now[j] = c
-                if c[0] > top:
-                    top, at_top = c[0], (c[1], c[2], j + 1)
-        row = now
-    return at_top
+def align(template: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Local alignment (match 2, else -1) of the whole template with the whole text: for each end in ``text`` the best score, its
+    matched words and its first word."""
+    n = len(text)
+    at = np.arange(n)
+    score, matched, first = np.zeros(n, np.int64), np.zeros(n, np.int64), at.copy()
+    best = score.copy(), matched.copy(), first.copy()
+    for x in template:
+        same = text == x
+        s, m, f = (np.concatenate([z[:1] * 0, z[:-1]]) for z in (score, matched, first))
+        fresh = s <= 0
+        s, m, f = np.where(same, s + 2, s - 1), m + same, np.where(fresh, at, f)
+        m[fresh] = same[fresh]
+        up = score - 1 > s
+        s, m, f = np.where(up, score - 1, s), np.where(up, matched, m), np.where(up, first, f)
+        # words of the text left out: the best of all places before, less one for each word between
+        ahead = s + at
+        top = np.maximum.accumulate(ahead)
+        new = np.concatenate([np.ones(1, bool), ahead[1:] > top[:-1]])
+        source = np.maximum.accumulate(np.where(new, at, 0))
+        source = np.where(ahead == top, at, source)
+        score, matched, first = np.maximum(top - at, 0), m[source], f[source]
+        better = score > best[0]
+        for b, z in zip(best, (score, matched, first), strict=True):
+            b[better] = z[better]
+    return best
+
+
+class Spans:
+    """Spans of one template in one text, none over another, by their start."""
+
+    def __init__(self):
+        self.starts, self.ends = [], []
+
+    def overlap(self, a: int, b: int) -> bool:
+        i = bisect.bisect_left(self.starts, b)
+        return i > 0 and self.ends[i - 1] > a
+
+    def cover(self, a: int, b: int) -> bool:
+        i = bisect.bisect_right(self.starts, a)
+        return i > 0 and self.ends[i - 1] >= b
+
+    def add(self, a: int, b: int) -> None:
+        i = bisect.bisect_left(self.starts, a)
+        self.starts.insert(i, a)
+        self.ends.insert(i, b)
+
+
+def copies(template: np.ndarray, text: np.ndarray, votes: np.ndarray, least: float) -> list[tuple[int, int, int]]:
+    """(matched words, first word, end) of each copy of the template in ``text``, where ``votes`` are the places of shared fingerprints."""
+    reach, need = 3 * len(template), max(1, least * len(template))  # a score above 0 spans at most three times the matched words
+    known = np.isin(text, template)
+    cut = np.flatnonzero(np.diff(votes) > 2 * reach) + 1
+    todo = [(max(0, int(v[0]) - reach), min(len(text), int(v[-1]) + reach)) for v in np.split(votes, cut)]
+    found = []
+    while todo:
+        a, b = todo.pop()
+        i, j = np.searchsorted(votes, [a, b])
+        count = np.concatenate([[0], np.cumsum(known[a:b])])
+        if i == j or (count[reach:] - count[: len(count) - reach] if len(count) > reach else count[-1:]).max() < need:
+            continue
+        score, m, first = align(template, text[a:b])
+        ends = np.flatnonzero((m >= need) & (score > 0))
+        spans = Spans()
+        for e in ends[np.lexsort((ends, -score[ends]))].tolist():
+            if not spans.overlap(int(first[e]), e + 1):
+                spans.add(int(first[e]), e + 1)
+                found.append((int(m[e]), a + int(first[e]), a + e + 1))
+        if spans.starts:  # what lies between may hold copies whose best alignment ran into another one
+            todo += [(a + x, a + y) for x, y in zip([0, *spans.ends], [*spans.starts, b - a], strict=True) if y - x >= need]
+    return found
 
 
 def scan(index: Index, words: np.ndarray, text: np.ndarray, first: np.ndarray, least: float) -> list[tuple[int, int, int, int, int]]:
@@ -122,25 +174,23 @@ def scan(index: Index, words: np.ndarray, text: np.ndarray, first: np.ndarray, l
     g = grams(words, GRAM)
     lo, hi = np.searchsorted(index.hash, g, "left"), np.searchsorted(index.hash, g, "right")
     at = np.flatnonzero((hi > lo) & (text[: len(g)] == text[GRAM - 1 :]))
-    votes = sorted({(int(text[p]), int(index.template[k]), int(p - index.place[k])) for p in at.tolist() for k in range(lo[p], hi[p])})
-    found, k = [], 0
-    while k < len(votes):
-        doc, name, _ = votes[k]
-        t = index.words[name]
-        band, last = max(1, min(BAND, len(t) // 3)), k  # copies of a short notice may stand close together
-        while last + 1 < len(votes) and votes[last + 1][:2] == (doc, name) and votes[last + 1][2] - votes[last][2] <= band:
-            last += 1
-        middle = votes[(k + last) // 2][2]
-        k = last + 1
-        a = max(int(first[doc]), middle - band)
-        b = min(int(first[doc + 1]), middle + len(t) + band)
-        m, x, y = align(t, words[a:b], middle - a, band)
-        if m and m >= least * len(t):
-            found.append((doc, name, m, a + x, a + y))
+    votes: dict[tuple[int, int], list[int]] = {}
+    for p in at.tolist():
+        for name in set(index.template[lo[p] : hi[p]].tolist()):
+            votes.setdefault((int(text[p]), name), []).append(p)
+    found = []
+    for (doc, name), places in votes.items():
+        a, b = int(first[doc]), int(first[doc + 1])
+        found += [(doc, name, m, a + x, a + y) for m, x, y in copies(index.words[name], words[a:b], np.array(places) - a, least)]
     found.sort(key=lambda f: (f[0], -f[2], f[3], f[1]))
     kept: list[tuple[int, int, int, int, int]] = []
-    for f in found:
-        if not any(f[0] == o[0] and f[3] < o[4] and o[3] < f[4] and (f[1] == o[1] or o[3] <= f[3] and f[4] <= o[4]) for o in kept[-64:]):
+    spans: dict[int, Spans] = {}
+    for k, f in enumerate(found):
+        if k and found[k - 1][0] != f[0]:
+            spans = {}
+        own = spans.setdefault(f[1], Spans())
+        if not own.overlap(f[3], f[4]) and not any(o.cover(f[3], f[4]) for o in spans.values()):
+            own.add(f[3], f[4])
             kept.append(f)
     return sorted(kept)
 

@@ -219,6 +219,21 @@ def test_licenses(spark):
     assert 0.95 < one["coverage"] < 1 and rows[0][1].encode()[one["first_byte"] : one["end_byte"]].startswith(b"Permission")
 
 
+def test_licenses_with_runs_put_in_or_left_out(spark):
+    mit, r = licenses.TEMPLATES["MIT"].split(), random.Random(13)
+    cut = mit[:80] + mit[88:]
+    put = mit[:80] + words(r, 40).split() + mit[80:]
+    numbered = [x for i, w in enumerate(mit) for x in ([f"n{i}", w] if i % 10 == 5 else [w])]
+    notice = "Released under the MIT License."
+    rows = [(1, " ".join(cut)), (2, words(r, 30) + " " + " ".join(put) + " " + words(r, 30)), (3, " ".join(numbered)), (4, (notice + " ") * 150 + " ".join(mit)), (5, " ".join(mit[:60]))]
+    out = licenses.find_licenses(docs(spark, rows)).collect()
+    got = {(i, n): sorted((g["matched_words"], g["first_byte"], g["end_byte"]) for g in out if (g["doc_id"], g["license"]) == (i, n)) for i, n in {(g["doc_id"], g["license"]) for g in out}}
+    assert set(got) == {(1, "MIT"), (2, "MIT"), (3, "MIT"), (4, "MIT"), (4, "MIT-notice")}
+    n = len(licenses.Index({"MIT": licenses.TEMPLATES["MIT"]}).words[0])
+    assert [got[i, "MIT"][0][0] for i in (1, 2, 3, 4)] == [n - 8, n, n, n] and len(got[4, "MIT-notice"]) == 150
+    assert rows[1][1].encode()[slice(*got[2, "MIT"][0][1:])].decode() == " ".join(put).rstrip(".")
+
+
 def test_neighbours_equal_brute_force(spark):
     r = np.random.default_rng(6)
     x = r.normal(size=(900, 64)).astype(np.float32) + (np.arange(900) % 7)[:, None] * 0.1
