@@ -1,6 +1,6 @@
 """Secret scan on DataFrame functions alone: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of 16 or more of ``A-Za-z0-9+/=_-`` with a digit in it. Its features are whole numbers that built-in functions compute: length, shares of
+A candidate is a run of 16 or more of ``A-Za-z0-9+/=_-``, with digits or without. Its features are whole numbers that built-in functions compute: length, shares of
 digits, capitals and vowels, changes of character class, share covered by dictionary pieces, plain hexadecimal, known prefixes, neighbouring words
 (words for a key, words that say otherwise, an assignment before it, a quote after it), and the path. The forest is trained from labelled
 findings (``findings()`` makes a seeded set; ``train`` takes any) on the driver and becomes a SQL expression, so the scan runs no Python. Finding the
@@ -74,7 +74,7 @@ def findings(n: int = 1600, seed: int = 11) -> list[tuple[str, str, str, str, in
     r = random.Random(seed)
     hexa, base = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     of = lambda s, k: "".join(r.choice(s) for _ in range(k))
-    word = lambda: "".join(r.choice(PIECES.split("|") + ["er", "on", "an", "re", "ha", "ou"]) for _ in range(r.randint(1, 3)))
+    word = lambda: "".join(r.choice(PIECES.split("|") + ["er", "on", "an", "re", "ha", "ou", "ai", "le", "elle", "pa", "mi", "do", "ru", "ka", "so"]) for _ in range(r.randint(1, 3)))
     prose = lambda k: " ".join(word() for _ in range(k))
     keys = ["token", "secret", "password", "api_key", "API_KEY", "access_key", "private_key", "Authorization: Bearer", "client_secret", "passwd"]
     doubts = ["sha256", "commit", "md5", "checksum", "uuid", "example", "invoice", "order", "digest", "integrity", "sample key"]
@@ -83,26 +83,31 @@ def findings(n: int = 1600, seed: int = 11) -> list[tuple[str, str, str, str, in
     out = []
     for _ in range(n):
         kind = r.random()
-        secret = r.choice([lambda: of(hexa, r.choice([32, 40, 64])), lambda: of(base, r.randint(20, 48)), lambda: of(base + "+/", 40), lambda: "AKIA" + of(base[:26] + "0123456789", 16), lambda: "ghp_" + of(base, 36), lambda: "sk-" + of(base, 40)])()
+        secret = r.choice([lambda: of(hexa, r.choice([32, 40, 64])), lambda: of(base, r.randint(16, 48)), lambda: of(base + "+/", 40), lambda: of(base[:52], r.randint(16, 32)), lambda: "AKIA" + of(base[:26] + "0123456789", 16), lambda: "ghp_" + of(base, 36), lambda: "sk-" + of(base, 40)])()
         before, after, path = prose(3) + " ", " " + prose(2), r.choice(paths)
-        if not re.search("[0-9]", secret):
-            secret += "7"
         if kind < 0.4:  # named and assigned
             quote = r.choice(['"', '"', "", "`"])
-            out.append((secret, before + r.choice(keys) + r.choice([" = ", "=", ": "]) + quote, quote + after, path, 1))
+            out.append((secret, before + r.choice(["", "", "", r.choice(doubts) + ".com "]) + r.choice(keys) + r.choice([" = ", "=", ": "]) + quote, quote + after, path, 1))
         elif kind < 0.47:  # only a known prefix
-            out.append((r.choice(["AKIA" + of(base[:26] + "0123456789", 16), "ghp_" + of(base, 35) + "1", "glpat-" + of(base, 19) + "2"]), before, after, path, 1))
+            out.append((r.choice(["AKIA" + of(base[:26] + "0123456789", 16), "ghp_" + of(base, 36), "glpat-" + of(base, 20), *["AKIA" + of(base[:26], 16), "ghp_" + of(base[:52], 36)][: r.randint(0, 2)]]), before, after, path, 1))
         elif kind < 0.62:  # digests and ids
             out.append((r.choice([of(hexa, r.choice([32, 40, 64])) + "0", "-".join(of(hexa, k) for k in (8, 4, 4, 4, 11)) + "1"]), before + r.choice(doubts) + r.choice([" ", "=", ": "]), after, path, 0))
         elif kind < 0.72:  # bare numbers and hashes in prose
             out.append((r.choice([of("0123456789", r.randint(16, 19)), of(hexa, 39) + "4"]), before, after, path, 0))
-        elif kind < 0.87:  # words, paths, addresses
-            joined = r.choice(["_", "-", "/", ""]).join(word() for _ in range(5)) + str(r.randint(0, 99))
-            out.append(((joined + "abcdefghijklmnop")[: max(16, len(joined))] + "1", before + r.choice(["", "see ", "file = ", "token "]), after, path, 0))
+        elif kind < 0.87:  # words, paths, addresses, names after a key word
+            number, case = r.choice([(str(r.randint(0, 99)), "1"), ("", "")]), r.choice([str, str.upper, str.capitalize])
+            joined = case(r.choice(["_", "-", "/", "", ""]).join(word() for _ in range(5)) + number[0])
+            out.append(((joined + "abcdefghijklmnop")[: max(16, len(joined))] + number[1], before + r.choice(["", "", "see ", "file = ", "token ", r.choice(keys) + " = "]), after, path, 0))
         elif kind < 0.94:  # placeholders in tests and documentation
             out.append((r.choice([secret, "x" * 20 + "0", "0123456789abcdef0123"]), before + "example " + r.choice(keys) + " = \"", "\"" + after, r.choice(tests), 0))
         else:  # rules of one sign
-            out.append((r.choice("=-_") * r.randint(16, 40) + "1", before, after, path, 0))
+            out.append((r.choice("=-_") * r.randint(16, 40) + r.choice(["1", ""]), before, after, path, 0))
+    for _ in range(n // 2):  # long words in prose: most candidates without a digit
+        long = "".join(word() for _ in range(4)).ljust(16, "e")[: r.randint(16, 24)]
+        out.append((r.choice([str, str.capitalize, str.upper])(long), prose(3) + r.choice([" ", ". ", "\n", "! "]), r.choice([" ", ". ", ", "]) + prose(2), r.choice(paths), 0))
+    for _ in range(n // 12):  # names of functions and members after a key word
+        name = r.choice("_-/").join(word() for _ in range(r.randint(4, 5))).ljust(16, "e")
+        out.append((name, prose(3) + " " + r.choice(keys) + r.choice([" = ", "=", ": "]), r.choice(["(", ".", ";", " "]) + prose(2), r.choice(paths), 0))
     return [(c, b[-40:], a[:8], p, y) for c, b, a, p, y in out]
 
 
@@ -157,9 +162,9 @@ def find_secrets(docs: DataFrame, forest: tuple | list | None = None, least_scor
     each = rows.selectExpr("doc_id", "row", "p", "posexplode(zip_with(found, zip_with(slice(rest, 1, size(found)), slice(rest, 2, size(found)), (x, y) -> struct(x AS before, y AS after)), (c, z) -> struct(c AS found, z.before AS before, z.after AS after))) AS (n, x)")
     each = each.selectExpr("doc_id", "row", "p", "n", "x.found AS c", "x.before.n AS skipped", "x.before.b AS b", "x.after.a AS a")
     named = ", ".join(f"'{n}', {e}" for e, n in zip(feature_sql("spark"), NAMES, strict=True))
-    each = each.selectExpr("doc_id", "row", "n", "skipped", "length(c) AS size", f"IF(c RLIKE '[0-9]', named_struct('c', c, {named}), NULL) AS f")
+    each = each.selectExpr("doc_id", "row", "n", "skipped", "length(c) AS size", f"named_struct('c', c, {named}) AS f")
     order = Window.partitionBy("doc_id", "row").orderBy("n")  # features stand below this, so a filter on the score can't copy them into each tree
-    each = each.withColumn("end", F.sum(F.expr("skipped + size")).over(order)).where("f IS NOT NULL").select("doc_id", "end", "f.*")
+    each = each.withColumn("end", F.sum(F.expr("skipped + size")).over(order)).select("doc_id", "end", "f.*")
     trees = forest or default_forest()
     total = " + ".join(f"({tree_sql(t)})" for t in trees)
     scored = each.selectExpr("doc_id", "end - length(c) + 1 AS first_char", "CAST(length(c) AS BIGINT) AS n_chars", "sha2(c, 256) AS secret_sha256", f"CAST({total} AS DOUBLE) / {len(trees) * LEAF}D AS score")

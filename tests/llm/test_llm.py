@@ -282,6 +282,19 @@ def test_secrets(spark):
     assert good >= 0.95 * len(held)
 
 
+def test_secrets_without_a_digit(spark):
+    r = random.Random(14)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    of = lambda k, s=letters: "".join(r.choice(s) for _ in range(k))
+    rows = [(i, f'conf api_key = "{of(20)}" end') for i in range(40)] + [(100 + i, f'the password: "{of(16)}"') for i in range(40)]
+    rows += [(200 + i, f"uses AKIA{of(16, letters[:26])} here") for i in range(40)]
+    rows += [(300 + i, f"some {w} here") for i, w in enumerate(["internationalization", "thanonontioniner", "uncharacteristically", "ERSCHSCHBERBERTZ", "get_user_name_from_session", "src/main/java/com/example", "-" * 30, "=" * 20])]
+    rows += [(400, "token = get_token_from_session(user)"), (401, "the token internationalization is long")]
+    t = docs(spark, rows).selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS path")
+    found = {g["doc_id"] for g in secrets.find_secrets(t).collect()}
+    assert all(sum(a <= i < a + 40 for i in found) >= 36 for a in (0, 100, 200)) and not any(i >= 300 for i in found)
+
+
 def test_quality_from_positives_and_unlabelled():
     from talus.llm._features import text_features
 
