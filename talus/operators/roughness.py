@@ -14,6 +14,16 @@ from talus.operators.spatial import extent, radius_join
 from talus.operators.surface import eigen_table
 
 
+def poisson(u: str, mean: float) -> str:
+    """SQL for the count that a Poisson variable has at u, uniform in 0 to 1: how many values of its distribution are at most u.
+    The values left out at either end are nearer to 0 and 1 than u can be."""
+    reach = 8 * math.sqrt(mean) + 40
+    k = range(max(0, math.floor(mean - reach)), math.ceil(mean + reach) + 1)
+    bounds = np.cumsum([math.exp(i * math.log(mean) - mean - math.lgamma(i + 1)) for i in k])
+    array = ", ".join(f"{b!r}D" for b in bounds[bounds < 1 - 1e-12].tolist())
+    return f"transform(array({u}), v -> {k[0]} + size(filter(array({array}), b -> b <= v)))[0]"
+
+
 def roughness(cloud: DataFrame, par: Parameters, mode: str = "matlab", seed: int = 0) -> DataFrame:
     """(pid, rough): mean over scales and random centres of the distance to the plane of a centre's ball, by its radius.
 
@@ -33,9 +43,7 @@ def roughness(cloud: DataFrame, par: Parameters, mode: str = "matlab", seed: int
         draws = max(1, round(many / r**2)) if mode == "matlab" else min(n, int(np.clip(area / r**2, 32, 512)))
         # each point is drawn as often as a Poisson variable of its share says: with replacement, whatever the partitions
         u = f"(pmod(xxhash64(pid, {seed}, {i}), 1000000007) + 0.5e0) / 1000000007e0"
-        lam = draws / n
-        weight = f"CASE WHEN {u} < {math.exp(-lam)!r} THEN 0 WHEN {u} < {math.exp(-lam) * (1 + lam)!r} THEN 1 WHEN {u} < {math.exp(-lam) * (1 + lam + lam**2 / 2)!r} THEN 2 ELSE 3 END"
-        centres = cloud.selectExpr("pid", "x", "y", "z", f"{weight} AS w").where("w > 0")
+        centres = cloud.selectExpr("pid", "x", "y", "z", f"{poisson(u, draws / n)} AS w").where("w > 0")
         ball = radius_join(cloud, centres, r).select("pid", F.col("nid").alias("centre"))
         rows = ball.join(cloud, "pid").selectExpr("centre AS pid", "x", "y", "z")
         p = eigen_table(rows, ddof=0, normals=True).where(f"n >= {3 if mode == 'matlab' else 6}").selectExpr("pid AS centre", "sx / n AS mx", "sy / n AS my", "sz / n AS mz", "nx", "ny", "nz")

@@ -121,6 +121,37 @@ def test_minima_filter_drops_equal_roughness(spark):
         roughness.roughness(f, M.Parameters(), "other")
 
 
+def test_matlab_roughness_counts_every_draw(spark):
+    means = [0.05, 1.0, 3.5, 12.0, 300.0, 2000.0]
+    u = "(id + 0.5e0) / 20000e0"
+    for mean, got in zip(means, spark.range(20000).selectExpr(*[f"{roughness.poisson(u, m)} AS w{i}" for i, m in enumerate(means)]).toPandas().to_numpy().T):
+        assert got.mean() == pytest.approx(mean, rel=2e-3) and got.var() == pytest.approx(mean, rel=1e-2)
+
+    r, n = np.random.default_rng(3), 24
+    p = np.repeat([[0, 0, 0], [2, 0, 0.1], [0, 2, 0.1], [2, 2, 0]], 6, axis=0) + r.random((n, 3)) * [0.07, 0.07, 0.03]
+    f, par = frame(spark, p), M.Parameters(minscale=0.1, maxscale=1.0)
+    area = float(np.prod(np.ptp(p[:, :2], axis=0)))
+    radii = np.geomspace(0.1, 1.0, round(area))[::-1]
+    assert round(round(area) / 0.1**2) / n > 3
+    hashes = f.orderBy("pid").selectExpr(*[f"(pmod(xxhash64(pid, 0, {i}), 1000000007) + 0.5e0) / 1000000007e0 AS u{i}" for i in range(len(radii))]).toPandas().to_numpy()
+    sums, weights = np.zeros(n), np.zeros(n)
+    for i, radius in enumerate(radii.tolist()):
+        mean = round(round(area) / radius**2) / n
+        for c in range(n):
+            w, part, total = 0, math.exp(-mean), math.exp(-mean)
+            while total <= hashes[c, i]:
+                w, part = w + 1, part * mean / (w + 1)
+                total += part
+            near = np.flatnonzero(((p - p[c]) ** 2).sum(axis=1) <= radius**2)
+            if w and len(near) >= 3:
+                q = p[near] - p[near].mean(axis=0)
+                normal = np.linalg.svd(q)[2][2]
+                sums[near] += -(q @ (normal * np.sign(normal[2]))) * w / radius
+                weights[near] += w
+    out = roughness.roughness(f, par).orderBy("pid").toPandas()["rough"].to_numpy()
+    assert out == pytest.approx(sums / np.maximum(weights, 1), abs=1e-6) and abs(out).max() > 1e-3
+
+
 def test_smrf_flags_bumps_only(spark):
     r = np.random.default_rng(0)
     p = np.concatenate([r.random((3000, 3)) * [30, 30, 0], r.random((60, 3)) * [1, 1, 0.2] + [12, 12, 2.0]])
