@@ -297,6 +297,22 @@ def _(spark, d):
     return blocks.grow(c, own, c.selectExpr("pid", "1e0 AS score"), 0.2)
 
 
+_CELL = ", ".join(f"floor({c} / 0.1)" for c in "xyz")
+
+
+@query("processed_label_transfer", f"WITH {PTS}, v AS (SELECT min(pid) AS pid, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM pts GROUP BY {_CELL}), c AS (SELECT a.pid, b.pid AS nid, {G.distance()} AS dist, row_number() OVER (PARTITION BY a.pid ORDER BY {G.distance()}, b.pid) AS rn FROM pts a CROSS JOIN v b) SELECT c.pid, nid, {r('dist', 6)} AS dist, p.grp AS label FROM c JOIN pts p ON p.pid = nid WHERE rn = 1")
+def _(spark, d):
+    c = T.vectors(spark, d)
+    return rounded(spatial.nearest_label(c, S.voxels(c, 0.1).select("pid", "x", "y", "z").join(c.select("pid", "label"), "pid")), "dist", digits=6)
+
+
+@query("grow_cell_labels", f"WITH {PTS}, w AS (SELECT *, count(*) OVER (PARTITION BY {_CELL}) AS n, min(pid) OVER (PARTITION BY {_CELL}) AS label FROM pts), c AS (SELECT a.pid, b.pid AS nid, b.label, {G.distance()} AS dist FROM w a JOIN w b ON a.n < 3 AND b.n >= 3), k AS (SELECT pid, arg_min(label, (dist, nid)) AS label FROM c WHERE dist <= 0.2 GROUP BY pid) SELECT pid, label FROM w WHERE n >= 3 UNION ALL SELECT pid, label FROM k")
+def _(spark, d):
+    c = T.vectors(spark, d).select("pid", "x", "y", "z")
+    own = c.selectExpr("pid", f"count(*) OVER (PARTITION BY {_CELL}) AS n", f"min(pid) OVER (PARTITION BY {_CELL}) AS label").where("n >= 3").select("pid", "label")
+    return blocks.grow(c, own, c.selectExpr("pid", "1e0 AS score"), 0.2)
+
+
 @query("group_obb_extent")
 def _(spark, d):
     rows = T.vectors(spark, d).selectExpr("CAST(label AS BIGINT) AS label", "x", "y", "z", "0e0 AS surface")

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from talus import catalog
 from talus import model as M
 from talus.operators import blocks, fit, graph, labels, roughness, spatial, summary
 from talus.operators import surface as S
@@ -152,6 +153,17 @@ def test_matlab_roughness_counts_every_draw(spark):
     assert out == pytest.approx(sums / np.maximum(weights, 1), abs=1e-6) and abs(out).max() > 1e-3
 
 
+def test_label_queries_join_whole_clouds(spark):
+    duckdb, d = pytest.importorskip("duckdb"), "/root/testdata/sf0.001"
+    q, o = catalog.queries(), catalog.oracle_sql()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{d}/embeddings.parquet'")
+    for name in ("processed_label_transfer", "grow_cell_labels"):
+        got, want = q[name](spark, d), con.execute(o[name])
+        assert got.columns == [c[0] for c in want.description]
+        assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
 def test_smrf_flags_bumps_only(spark):
     r = np.random.default_rng(0)
     p = np.concatenate([r.random((3000, 3)) * [30, 30, 0], r.random((60, 3)) * [1, 1, 0.2] + [12, 12, 2.0]])
