@@ -8,7 +8,7 @@ import pyarrow as pa
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE, _MOD = 0x9E3779B97F4A7C15 | 1, 1 << 64
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -23,7 +23,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW, _INV
 
 
-_POW, _INV = (_powers(b, 2 * _CHUNK + 1) for b in (_BASE, pow(_BASE, -1, _MOD)))
+_POW, _INV = (_powers(b, _CHUNK + 2) for b in (_BASE, pow(_BASE, -1, _MOD)))
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -61,7 +61,7 @@ class Words:
     """Words of a batch of texts: hash, text number, byte positions. ``first[i]:first[i+1]`` are those of text i."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, end: np.ndarray = BLANK):
-        """end: which bytes end a word. Works in pieces of a megabyte or one longer word, cut between words."""
+        """end: which bytes end a word. Works in pieces of a quarter of a megabyte or one longer word, cut between words."""
         h, starts, ends = [], [], []
         at, n = 0, len(data)
         cut = offsets[:-1]
@@ -122,7 +122,7 @@ def sequence_hash(hashes: np.ndarray) -> np.uint64:
     return out
 
 
-def slices(offsets: np.ndarray, most: int = 8 << 20):
+def slices(offsets: np.ndarray, most: int = 1 << 20):
     """Ranges of texts of at most so many bytes together (one text at least)."""
     at = 0
     while at < len(offsets) - 1:

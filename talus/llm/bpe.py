@@ -9,16 +9,21 @@ decoded again from the ids alone.
 The vocabulary file (its path is a parameter; the file reaches the executors as a broadcast) is the JSON of a byte-level BPE tokenizer
 without normaliser. Special tokens in a text become their own ids, as the tokenizers library does without ``encode_special_tokens``.
 
+A worker holds about ``AT_ONCE`` characters of text at a time with their results, whatever the batches' size, and remembers the ids of
+pretokens up to ``REMEMBERED_BYTES``. A longer text is encoded whole, in pieces cut where white space follows something else: no pretoken
+reaches over such a place, and none looks back over it.
+
 Cases: a null text counts as empty; an empty text has no ids and decodes to an empty text; repeated rows give repeated results;
-null ids are carried; texts of any length are encoded whole. Other columns are not read.
+null ids are carried; texts of any length are encoded whole; an empty table gives an empty one. Other columns are carried by ``encode``, but for
+own columns named n_tokens, ids or decoded, which the results replace.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import heapq
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -26,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from talus.llm._store import small_batches
-from talus.llm._text import mix, powers
+from talus.llm._text import buffers, mix, powers
 
 #: How a byte-level tokenizer splits text before the merges: a fixed value of the format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters of text that are split at once, and whose new pretokens are merged together.
-AT_ONCE, TOGETHER = 2_000_000, 12_000_000
-#: Distinct pretokens whose ids a task remembers.
-REMEMBERED = 500_000
+#: Bytes of text that are split at a time, and whose new pretokens are merged and results given out together.
+SPLIT, AT_ONCE = 250_000, 2_000_000
+#: About so many bytes of pretokens with their ids are remembered by a task: it begins anew beyond.
+REMEMBERED_BYTES = 48 << 20
 
 
 def byte_symbols() -> dict[str, int]:
@@ -49,6 +54,7 @@ class Vocabulary:
     def __init__(self, text: str):
         spec = json.loads(text)
         model, byte = spec["model"], byte_symbols()
+        self._check(spec)
         ids = model["vocab"]
         self.bytes: list[bytes] = [b""] * (max([*ids.values(), *(t["id"] for t in spec["added_tokens"])]) + 1)
         for token, i in ids.items():
@@ -71,6 +77,19 @@ class Vocabulary:
             if a in back and b in back:
                 self.dense[back[a], back[b]] = r
 
+    @staticmethod
+    def _check(spec: dict) -> None:
+        """Raises where the file asks for something that isn't done here."""
+        before, other = spec.get("pre_tokenizer") or {}, []
+        other += ["a normaliser"] if spec.get("normalizer") else []
+        other += [f"the pre-tokenizer {before.get('type')}"] if before.get("type") != "ByteLevel" or not before.get("use_regex", True) else []
+        other += ["add_prefix_space"] if before.get("add_prefix_space") else []
+        other += [f"the model {spec['model'].get('type')}"] if spec["model"].get("type", "BPE") != "BPE" else []
+        other += [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if spec["model"].get(k)]
+        other += [f"{k} of {t['content']!r}" for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word") if t.get(k)]
+        if other:
+            raise ValueError(f"unsupported in a tokenizer file: {', '.join(other)}")
+
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a.astype(np.int64) << 32 | b
         at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
@@ -187,11 +206,11 @@ def split_points(code: np.ndarray, texts: np.ndarray) -> np.ndarray:
 
 
 class Coder:
-    """Encodes texts batch by batch; remembers the ids of pretokens between batches, up to ``REMEMBERED``."""
+    """Encodes texts batch by batch; remembers the ids of pretokens between batches, up to ``REMEMBERED_BYTES``."""
 
     def __init__(self, v: Vocabulary):
-        self.v, self.known = v, {}
-        self.split = None
+        self.v, self.known, self.held = v, {}, 0
+        self.split, self.may_cut = None, not any(re.search(r"\s", s) for s in v.special)
         if v.special:
             import regex
 
@@ -202,22 +221,25 @@ class Coder:
             return _pattern().findall(text)
         return [p for i, part in enumerate(self.split.split(text)) for p in ([part] if i % 2 else _pattern().findall(part))]
 
-    def learn(self, words: list[str]) -> list[tuple[int, bytes, bytes]]:
-        """For each pretoken: number of ids, decimal ids joined by commas, bytes that the ids decode to."""
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {w: self.known[w] for w in words if w in self.known}
-        for w in [w for w in new if w in self.v.special]:
-            i = self.v.special[w]
-            self.known[w] = (1, b"%d" % i, self.v.bytes[i])
-        new = [w for w in new if w not in self.v.special]
-        table, decimal, known, at = self.v.bytes, self.v.decimal, self.known, 0
+    def learn(self, words: list[str]) -> None:
+        """Puts into ``known`` for each pretoken: number of ids, decimal ids joined by commas, bytes that the ids decode to."""
+        if self.held > REMEMBERED_BYTES:
+            self.known, self.held = {}, 0
+        known, table, decimal, at = self.known, self.v.bytes, self.v.decimal, 0
+        new = []
+        for w in words:
+            if w not in known:
+                i = self.v.special.get(w)
+                if i is None:
+                    new.append(w)
+                else:
+                    known[w] = (1, decimal[i], table[i])
         flat, ends = merge(self.v, [w.encode("utf-8", "surrogatepass") for w in new])
         for w, end in zip(new, ends, strict=True):
             ids = flat[at:end]
             at = end
-            known[w] = (len(ids), b",".join([decimal[i] for i in ids]), b"".join([table[i] for i in ids]))
-        return [known[w] for w in words]
+            known[w] = one = (len(ids), b",".join([decimal[i] for i in ids]), b"".join([table[i] for i in ids]))
+            self.held += 300 + 2 * len(w) + len(one[1]) + len(one[2])  # three objects, a tuple and a place in the table
 
     def numbered(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Distinct pretokens, the number of each pretoken of the texts, and where each text's start."""
@@ -236,47 +258,65 @@ class Coder:
                 h.append((sums[end] - sums[start]) * inv[start] + (end - start).astype(np.uint64))
             _, first, number = np.unique(h[0], return_index=True, return_inverse=True)
             if (h[1] == h[1][first][number]).all():  # two hashes agree on which pretokens are equal
-                return [whole[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)], number, np.searchsorted(start, np.append(begin, len(code)))
+                return [whole[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)], number.astype(np.int32), np.searchsorted(start, np.append(begin, len(code)))
         split = [self.pretokens(t) for t in texts]
         words = list(dict.fromkeys(w for x in split for w in x))
         place = {w: i for i, w in enumerate(words)}
-        return words, np.array([place[w] for x in split for w in x], np.int64), np.cumsum([0, *map(len, split)])
+        return words, np.array([place[w] for x in split for w in x], np.int32), np.cumsum([0, *map(len, split)])
 
     def encode(self, texts: list[str]):
         """For each text: number of ids, the ids as decimal text, the decoded text."""
-        pieces = [self.numbered(texts[a:b]) for a, b in runs_of(texts, AT_ONCE)]
+        pieces = [self.numbered(texts[a:b]) for a, b in runs_of([len(t) for t in texts], SPLIT)]
         self.learn(list(dict.fromkeys(w for words, _, _ in pieces for w in words)))
         for words, number, first in pieces:
-            n, ids, decoded = (_objects(x) for x in zip(*self.learn(words), strict=True)) if words else (np.zeros(0, object),) * 3
-            n = n.astype(np.int64)
+            found = [self.known[w] for w in words]
+            n = np.array([f[0] for f in found], np.int64)
+            ids, decoded = _objects([f[1] for f in found]), _objects([f[2] for f in found])
             for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
                 part = number[a:b]
                 yield int(n[part].sum()), b",".join(ids[part].tolist()), b"".join(decoded[part].tolist()).decode("utf-8", "replace")
 
-
-def runs_of(texts: list[str], most: int):
-    """Ranges of texts of at most so many characters together (one text at least)."""
-    at = 0
-    while at < len(texts):
-        stop, size = at, 0
-        while stop < len(texts) and (size == 0 or size + len(texts[stop]) <= most):
-            size += len(texts[stop]) + 1
-            stop += 1
+    def long(self, text: str):
+        """As encode, for one text of any length: a piece at a time."""
+        n, ids, decoded = 0, [], []
+        for piece in self.cut(text):
+            for count, joined, plain in self.encode([piece]):
+                n += count
+                ids += [joined] if joined else []
+                decoded.append(plain)
+        return n, b",".join(ids), "".join(decoded)
+
+    def cut(self, text: str) -> list[str]:
+        """Pieces of about ``AT_ONCE`` characters, cut before white space that follows something else."""
+        out, at = [], 0
+        while self.may_cut and len(text) - at > AT_ONCE:
+            end = _EDGE.search(text, at + AT_ONCE - 1)
+            if end is None:
+                break
+            out.append(text[at : end.start() + 1])
+            at = end.start() + 1
+        return [*out, text[at:]]
+
+
+_EDGE = re.compile(r"\S(?=[ \n])")
+
+
+def runs_of(sizes, most: int):
+    """Ranges of rows whose sizes add up to about ``most`` (one row at least)."""
+    ends, at = np.cumsum(sizes, dtype=np.int64), 0
+    while at < len(ends):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
         yield at, stop
         at = stop
 
 
-def gathered(batches, most: int = TOGETHER):
-    """Arrow batches put together until their texts have so many characters."""
-    held, size = [], 0
+def coded(coder: Coder, batches):
+    """(rows of a batch, their results) for runs of rows of about ``AT_ONCE`` bytes."""
     for batch in batches:
-        held.append(batch)
-        size += batch.column("text").nbytes
-        if size >= most:
-            yield pa.Table.from_batches(held).combine_chunks()
-            held, size = [], 0
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
+        for lo, hi in runs_of(np.diff(buffers(batch.column("text"))[1]), AT_ONCE):
+            part = batch.slice(lo, hi - lo)
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            yield part, [coder.long(texts[0])] if len(texts) == 1 else coder.encode(texts)
 
 
 def _objects(x) -> np.ndarray:
@@ -287,27 +327,19 @@ def _objects(x) -> np.ndarray:
 
 def _encode(shared, rest: list[str]):
     def run(batches):
-        gc.disable()  # millions of small objects without cycles
-        coder = Coder(Vocabulary(shared.value))
-        for batch in gathered(batches):
-            done = list(coder.encode([t or "" for t in batch.column("text").to_pylist()]))
-            columns = [batch.column(c).combine_chunks() for c in rest]
-            yield pa.record_batch([*columns, pa.array([d[0] for d in done], pa.int64()), pa.array([d[1].decode() for d in done], pa.string()), pa.array([d[2] for d in done], pa.string())], [*rest, "n_tokens", "ids", "decoded"])
+        for part, found in coded(Coder(Vocabulary(shared.value)), batches):
+            n, ids, decoded = zip(*found, strict=True)
+            own = [pa.array(n, pa.int64()), pa.array([x.decode() for x in ids], pa.string()), pa.array(decoded, pa.string())]
+            yield pa.record_batch([*(part.column(c) for c in rest), *own], [*rest, "n_tokens", "ids", "decoded"])
 
     return run
 
 
 def _digests(shared):
     def run(batches):
-        gc.disable()  # millions of small objects without cycles
-        coder = Coder(Vocabulary(shared.value))
-        for batch in gathered(batches):
-            n, ids, decoded = [], [], []
-            for count, joined, text in coder.encode([t or "" for t in batch.column("text").to_pylist()]):
-                n.append(count)
-                ids.append(hashlib.sha256(joined).hexdigest())
-                decoded.append(hashlib.sha256(text.encode()).hexdigest())
-            yield pa.record_batch([batch.column("doc_id").combine_chunks(), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for part, found in coded(Coder(Vocabulary(shared.value)), batches):
+            n, ids, decoded = zip(*((n, hashlib.sha256(joined).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) for n, joined, text in found), strict=True)
+            yield pa.record_batch([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 

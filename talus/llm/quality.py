@@ -33,7 +33,7 @@ def _features(rest: list[str]):
     def run(batches):
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
-            for lo, hi in slices(offsets, 2 << 20):
+            for lo, hi in slices(offsets, 1 << 18):
                 x = text_features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(NAMES)).cast(pa.list_(pa.float64()))
                 yield pa.record_batch([*(batch.column(c).slice(lo, hi - lo) for c in rest), flat], [*rest, "x"])
@@ -150,7 +150,7 @@ def _filter(net: Network | None, least: float):
     def run(batches):
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
-            for lo, hi in slices(offsets, 2 << 20):
+            for lo, hi in slices(offsets, 1 << 18):
                 x = text_features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 s = net.score(x) if net is not None else np.ones(len(x))
                 yield batch.slice(lo, hi - lo).filter(pa.array(s >= least))

@@ -158,7 +158,7 @@ def _score(model: Model | None):
     def run(batches):
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
-            for lo, hi in slices(offsets, 2 << 20):
+            for lo, hi in slices(offsets, 1 << 18):
                 s = model.score(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) if model is not None else np.zeros(hi - lo)
                 yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo), pa.array(s)], ["doc_id", "score"])
 
