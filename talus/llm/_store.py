@@ -1,42 +1,21 @@
-"""Tables in the shared folder: how a plan is cut so that a lost executor costs no more than a re-read."""
+"""What the text operators keep to when they hand texts to Python."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from talus.session import Workspace, shared_dir
 
-#: Rows of an Arrow batch that goes to Python: with texts of a few kilobytes this is a few megabytes.
-BATCH_ROWS = 512
+__all__ = ["Workspace", "shared_dir", "small_batches"]
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only where none is set (tests on one machine)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="talus-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path
+#: Rows and bytes of an Arrow batch that goes to Python, whichever is reached first.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small, whatever the texts' length."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
-class Workspace:
-    """Written intermediate tables of one operator run; ``drop`` frees those that nothing reads again."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def put(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.parquet(f"{self.path}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
-
-    def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    """Keeps Arrow batches of whole texts small, by rows and by bytes. These are settings of the session, which keep smaller values of its
+    own; results don't depend on them."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}").rstrip("b")
+        if now.lstrip("-").isdigit() and not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))

@@ -30,6 +30,9 @@ LOWER[65:91] += 32
 #: Space and the controls 9 to 13 end a word.
 BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
+#: First bytes of three-byte characters from U+3000 to U+9FFF: kana and CJK ideographs.
+_CJK = np.zeros(256, bool)
+_CJK[0xE3:0xEA] = True
 #: Every ASCII byte that is no letter or digit ends a word.
 PUNCT = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 
@@ -60,8 +63,8 @@ def buffers(column) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of a batch of texts: hash, text number, byte positions. ``first[i]:first[i+1]`` are those of text i."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, end: np.ndarray = BLANK):
-        """end: which bytes end a word. Works in pieces of a quarter of a megabyte or one longer word, cut between words."""
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, end: np.ndarray = BLANK, cjk: bool = False):
+        """end: which bytes end a word; cjk: each CJK character is a word. Works in pieces of a quarter of a megabyte or one longer word, cut between words."""
         h, starts, ends = [], [], []
         at, n = 0, len(data)
         cut = offsets[:-1]
@@ -82,6 +85,10 @@ class Words:
             left[0], left[1:] = True, blank[:-1]
             inside = cut[np.searchsorted(cut, at) : np.searchsorted(cut, stop)] - at
             left[inside] = True
+            if cjk:
+                alone = np.flatnonzero(_CJK[b])
+                left[alone] = True
+                left[alone[alone + 3 < len(b)] + 3] = True
             right = np.empty(len(b), bool)
             right[-1], right[:-1] = True, left[1:] | blank[1:]
             s, e = np.flatnonzero(~blank & left), np.flatnonzero(~blank & right) + 1
