@@ -1,10 +1,9 @@
 """Line dedup by a deletion-neighbourhood join.
 
 Two lines are near-equal if at most one word was inserted, deleted or replaced, by words of the lower-cased line; lines of fewer
-than ``fuzzy_words`` words must be equal, and lines of fewer than ``least_words`` words always stay. ``WHOLE``, which the query and the
-pipeline use, leaves no line out: every line with a word goes if it is a copy, and from two words on if it is one edit away (any two
-lines of one word are one replacement apart, so those must be equal). A line goes if any earlier line (smaller doc_id, then smaller line number) of the whole input is near-equal to it; what
-stays is joined again in its order.
+than ``fuzzy_words`` words must be equal (any two lines of one word are one replacement apart, so 2 is the least that means anything), and
+lines of fewer than ``least_words`` words always stay. By default no line with a word is left out. A line goes if any earlier line
+(smaller doc_id, then smaller line number) of the whole input is near-equal to it; what stays is joined again in its order.
 
 1. Equal lines are grouped (minima are combined before the shuffle): all but the earliest go.
 2. Of the different lines, those that share the first or the last ``L`` words with another (one edit leaves one of both whole; L
@@ -14,9 +13,12 @@ stays is joined again in its order.
    equals it. The join is to the earliest of each key, so a group of n lines makes n pairs.
 4. The edit distance of each pair is verified on the words.
 
-Cases: null and empty texts have no lines and come back as they are; blank lines stay; repeated rows of one doc_id count as one
-document and each loses the same lines; rows with a null doc_id neither lose lines nor count as earlier ones. Other columns are kept.
-A text that loses all its lines becomes empty.
+Nothing is broadcast: line numbers meet their texts by a shuffle on doc_id, twice.
+
+Cases: null and empty texts have no lines and come back as they are; blank lines stay; texts and lines of any length are compared whole;
+rows of one doc_id count as one document, and each loses the lines of the numbers found (repeated rows so stay alike); rows with a null
+doc_id neither lose lines nor count as earlier ones; an empty table gives an empty one. Other columns are kept; a column n_removed
+is replaced by the result. A text that loses all its lines becomes empty.
 """
 
 from __future__ import annotations
@@ -27,18 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talus.llm._store import Workspace, small_batches
-from talus.llm._text import Words, buffers, mix, slices
+from talus.llm._text import Words, buffers, mix, powers, slices
 
-#: Packed line numbers of at most so many bytes are broadcast; more are joined by a shuffle.
-BROADCAST_BYTES = 24 << 20
+#: Names of columns that stand beside those of the input for a while.
+_ID, _LIST = "_talus_id", "_talus_lines"
 #: Every line that has a word takes part, and an edit counts in every line that keeps a word.
 WHOLE = {"least_words": 1, "fuzzy_words": 2}
-_M = np.array([pow(0xA24BAED4963EE407, i + 1, 1 << 64) for i in range(4096)], np.uint64)
-
-
-def _power(i: np.ndarray) -> np.ndarray:
-    """A multiplier for each place in a line."""
-    return np.where(i < 4096, _M[np.minimum(i, 4095)], mix(i.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)) | np.uint64(1))
 
 
 def levels_of(sizes: np.ndarray, fuzzy_words: int) -> list[int]:
@@ -48,23 +44,32 @@ def levels_of(sizes: np.ndarray, fuzzy_words: int) -> list[int]:
     return [half for half in (1 << i for i in range(40)) if fuzzy_words < 4 * half and 2 * half <= most]
 
 
-def line_hashes(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each of the non-empty lines that ``words`` holds one after another."""
-    starts = np.cumsum(sizes) - sizes
-    place = np.arange(len(words)) - np.repeat(starts, sizes)
-    n = sizes.astype(np.uint64)
-    return tuple(mix(np.add.reduceat(x * _power(place), starts) + n) if len(sizes) else n for x in (words, mix(words ^ np.uint64(0x5851F42D4C957F2D))))
+class Ranges:
+    """Hashes of ranges of a sequence of words, by sums of the words times powers of a base: equal ranges have equal hashes wherever they
+    stand."""
+
+    def __init__(self, words: np.ndarray):
+        self.pow, self.inv = powers(len(words) + 2)
+        self.sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * self.pow[: len(words)], dtype=np.uint64)]) for x in (words, mix(words ^ np.uint64(0x5851F42D4C957F2D)))]
+
+    def of(self, a: np.ndarray, b: np.ndarray, which: int = 0) -> np.ndarray:
+        """Of the words a to b, less its last touch (``mix``)."""
+        return (self.sums[which][b] - self.sums[which][a]) * self.inv[a]
 
+    def lines(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of each range."""
+        return tuple(mix(self.of(a, b, i) + (b - a).astype(np.uint64)) for i in (0, 1))
 
-def variant_hashes(words: np.ndarray) -> np.ndarray:
-    """The first of line_hashes of the words without the i-th, for every i."""
-    n = len(words)
-    at = np.arange(n)
-    here, shifted = words * _power(at), np.zeros(n, np.uint64)
-    shifted[1:] = words[1:] * _power(at)[:-1]
-    before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(here)[:-1].astype(np.uint64)])
-    after = shifted.sum(dtype=np.uint64) - np.cumsum(shifted).astype(np.uint64)
-    return mix(before + after + np.uint64(n - 1))
+    def variants(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each range its first hash, then those of it without its i-th word for every i; and where each range's end."""
+        n = b - a
+        ends = np.cumsum(n + 1)
+        row = np.repeat(np.arange(len(n)), n + 1)
+        i = np.arange(len(row)) - (ends - n - 1)[row] - 1  # -1: the whole
+        lo, hi, at = a[row], b[row], np.maximum(a[row] + i, a[row])
+        key = self.of(lo, at) + (self.sums[0][hi] - self.sums[0][at + 1]) * self.inv[lo + 1] + (n[row] - 1).astype(np.uint64)
+        whole = self.of(lo, hi) + n[row].astype(np.uint64)
+        return mix(np.where(i < 0, whole, key)), ends
 
 
 def split_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,7 +94,7 @@ def _numbered(text: np.ndarray) -> np.ndarray:
 def _each(batch, column="text"):
     """Slices of a batch: range of rows, their words, and per line: text, number in the text, range of words."""
     data, offsets = buffers(batch.column(column))
-    for lo, hi in slices(offsets):
+    for lo, hi in slices(offsets, 1 << 19):
         part, off = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         text, start, end = split_lines(part, off)
         w = Words(part, off)
@@ -101,21 +106,16 @@ def _lines(least_words: int, fuzzy_words: int):
         for batch in batches:
             for lo, hi, w, text, number, a, b in _each(batch):
                 ids = batch.column("doc_id").slice(lo, hi - lo).to_numpy(zero_copy_only=False)
-                some = np.flatnonzero(b > a)
-                h1, h2 = line_hashes(w.hash, (b - a)[some])
-                keep = (b - a)[some] >= least_words
-                some, h1, h2 = some[keep], h1[keep], h2[keep]
-                a, n = a[some], (b - a)[some]
+                some = np.flatnonzero(b - a >= max(1, least_words))
+                a, n, ranges = a[some], (b - a)[some], Ranges(w.hash)
+                h1, h2 = ranges.lines(a, a + n)
                 line, key = [], []
                 for half in levels_of(n, fuzzy_words):
                     at = np.flatnonzero((n >= max(2 * half, fuzzy_words)) & (n <= 4 * half))
                     for side, first in enumerate((a[at], a[at] + n[at] - half)):
-                        sums = np.zeros(len(at), np.uint64)
-                        for i in range(half):
-                            sums += w.hash[first + i] * _power(np.array([i]))[0]
                         line.append(at)
-                        key.append(mix(sums + np.uint64(2 * half + side)))
-                line, key = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (line, key))
+                        key.append(mix(ranges.of(first, first + half) + np.uint64(2 * half + side)))
+                line, key = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((line, np.int64), (key, np.uint64)))
                 order = np.argsort(line, kind="stable")
                 ends = pa.ListArray.from_arrays(pa.array(np.searchsorted(line[order], np.arange(len(some) + 1)), pa.int32()), pa.array(key[order].view(np.int64), pa.int64()))
                 yield pa.record_batch([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids[text[some]], pa.int64()), pa.array(number[some], pa.int32()), ends], ["h1", "h2", "doc_id", "line", "ends"])
@@ -124,22 +124,28 @@ def _lines(least_words: int, fuzzy_words: int):
 
 
 def _variants(batches):
-    """For the lines that ``lines`` names: keys with the place of the missing word (-1: none), and the words themselves."""
+    """For the lines that ``_LIST`` names: keys with the place of the missing word (first the whole line), and the words themselves."""
     for batch in batches:
         for lo, hi, w, text, number, a, b in _each(batch):
-            ids = batch.column("doc_id").slice(lo, hi - lo).to_pylist()
-            wanted = batch.column("lines").slice(lo, hi - lo).to_pylist()
-            first = np.searchsorted(text, np.arange(hi - lo))
-            rows = {k: [] for k in ("doc_id", "line", "keys", "words")}
-            for k, numbers in enumerate(wanted):
-                for number in sorted(set(numbers)):
-                    i = first[k] + number
-                    words = w.hash[a[i] : b[i]]
-                    rows["doc_id"].append(ids[k])
-                    rows["line"].append(number)
-                    rows["keys"].append(np.concatenate([line_hashes(words, np.array([len(words)]))[0], variant_hashes(words)]).view(np.int64))
-                    rows["words"].append(words.astype(np.uint32).tobytes())
-            yield pa.record_batch([pa.array(rows["doc_id"], pa.int64()), pa.array(rows["line"], pa.int32()), pa.array(rows["keys"], pa.list_(pa.int64())), pa.array(rows["words"], pa.binary())], ["doc_id", "line", "keys", "words"])
+            ids = batch.column(_ID).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
+            wanted = batch.column(_LIST).slice(lo, hi - lo)
+            row = np.repeat(np.arange(hi - lo), np.diff(wanted.offsets.to_numpy()))
+            pair = np.unique(np.stack([row, wanted.flatten().to_numpy()], axis=1), axis=0) if len(row) else np.zeros((0, 2), np.int64)
+            first = np.searchsorted(text, np.arange(hi - lo + 1))
+            row, at = pair[:, 0], first[pair[:, 0]] + pair[:, 1]
+            there = at < first[row + 1]
+            row, at, line = row[there], at[there], pair[there, 1]
+            keys, ends = Ranges(w.hash).variants(a[at], b[at])
+            n = b[at] - a[at]
+            place = np.repeat(a[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            words = pa.py_buffer(w.hash[place].astype(np.uint32).tobytes())
+            own = [
+                pa.array(ids[row], pa.int64()),
+                pa.array(line, pa.int32()),
+                pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(keys.view(np.int64))),
+                pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.concatenate([[0], 4 * np.cumsum(n)]).astype(np.int32).tobytes()), words]),
+            ]
+            yield pa.record_batch(own, ["doc_id", "line", "keys", "words"])
 
 
 def within_one(a: np.ndarray, b: np.ndarray) -> bool:
@@ -164,31 +170,33 @@ def _verify(batches):
 
 def _without(batches):
     for batch in batches:
-        texts = [t if not gone else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone) for t, gone in ((t, set(g or ())) for t, g in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True))]
+        texts = [t if not gone or t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone) for t, gone in ((t, set(g or ())) for t, g in zip(batch.column("text").to_pylist(), batch.column(_LIST).to_pylist(), strict=True))]
         at = batch.schema.get_field_index("text")
         yield batch.set_column(at, "text", pa.array(texts, batch.schema.field(at).type))
 
 
-def _with_lines(docs: DataFrame, lines: DataFrame, name: str, how: str) -> DataFrame:
-    """docs with the array of line numbers of each doc_id; broadcast under a measured size, else joined by a shuffle."""
-    lists = lines.groupBy("doc_id").agg(F.collect_list("line").alias(name))
-    size = lines.agg(F.count("*"), F.count_distinct("doc_id")).first()
-    return docs.join(F.broadcast(lists) if 8 * size[0] + 64 * size[1] <= BROADCAST_BYTES else lists, "doc_id", how)
+def _with_lines(docs: DataFrame, lines: DataFrame, how: str) -> DataFrame:
+    """docs with the array of line numbers of each doc_id."""
+    lists = lines.groupBy(F.col("doc_id").alias(_ID)).agg(F.collect_list("line").alias(_LIST))
+    return docs.withColumn(_ID, F.col("doc_id").cast("long")).join(lists, _ID, how)
 
 
-def removed_lines(docs: DataFrame, least_words: int = 3, fuzzy_words: int = 8) -> tuple[Workspace, DataFrame]:
+def removed_lines(docs: DataFrame, least_words: int = 1, fuzzy_words: int = 2) -> DataFrame:
     """(doc_id, line) of every line that has an earlier near-equal line."""
     small_batches(docs.sparkSession)
     ws = Workspace(docs.sparkSession, "lines")
     texts = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    lines = ws.put("all", texts.mapInArrow(_lines(least_words, fuzzy_words), "h1 long, h2 long, doc_id long, line int, ends array<long>"))
-    first = ws.put("first", lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("n")))
-    copies = lines.join(first.where("n > 1"), ["h1", "h2"]).where("struct(doc_id, line) > at").select("doc_id", "line")
-    ends = first.select("at").join(lines.where("size(ends) > 0").selectExpr("struct(doc_id, line) AS at", "ends"), "at").selectExpr("at", "explode(ends) AS key")
-    shared = ends.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    some = ws.put("some", ends.join(shared, "key").select("at.doc_id", "at.line").distinct())
-    v = ws.put("variants", _with_lines(texts, some, "lines", "inner").mapInArrow(_variants, "doc_id long, line int, keys array<long>, words binary").dropDuplicates(["doc_id", "line"]))
-    keys = v.selectExpr("doc_id", "line", "posexplode(keys) AS (place, key)").withColumn("at", F.struct("doc_id", "line"))
+    lines = ws.put("all", texts.mapInArrow(_lines(least_words, max(2, fuzzy_words)), "h1 long, h2 long, doc_id long, line int, ends array<long>"))
+    first = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("at"))
+    dealt = ws.put("dealt", lines.join(first, ["h1", "h2"]).selectExpr("doc_id", "line", "struct(doc_id, line) > at AS copy", "ends").where("copy OR size(ends) > 0"))
+    ws.drop("all")
+    copies = dealt.where("copy").select("doc_id", "line")
+    ends = dealt.where("NOT copy").selectExpr("doc_id", "line", "explode(ends) AS key")
+    # a line given twice, by repeated rows, is no other line
+    shared = ends.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("x"), F.max(F.struct("doc_id", "line")).alias("y")).where("x < y").select("key")
+    some = ws.put("some", ends.join(shared, "key").select("doc_id", "line").distinct())
+    v = ws.put("variants", _with_lines(texts, some, "inner").mapInArrow(_variants, "doc_id long, line int, keys array<long>, words binary").dropDuplicates(["doc_id", "line"]))
+    keys = v.selectExpr("posexplode(keys) AS (place, key)", "struct(doc_id, line) AS at")
     least = keys.groupBy("key", "place").agg(F.min("at").alias("least"), F.count("*").alias("n"))
     # a key counts if it has two places or two lines at one place; each line meets the earliest at its place, and whole lines the earliest variant
     tops = least.groupBy("key").agg(F.sum("n").alias("n"), F.min(F.when(F.col("place") == 0, F.col("least"))).alias("whole"), F.min(F.when(F.col("place") > 0, F.col("least"))).alias("part")).where("n > 1")
@@ -197,22 +205,21 @@ def removed_lines(docs: DataFrame, least_words: int = 3, fuzzy_words: int = 8) -
     words = lambda c, o: v.selectExpr(f"struct(doc_id, line) AS {c}", f"words AS {o}")
     near = pairs.join(words("at", "wa"), "at").join(words("other", "wb"), "other").select("at.doc_id", "at.line", "wa", "wb").mapInArrow(_verify, "doc_id long, line int")
     gone = ws.put("gone", copies.unionByName(near).distinct())
-    ws.drop("all", "first", "some", "variants")
-    return ws, gone
+    ws.drop("dealt", "some", "variants")
+    return gone
 
 
-def dedup_lines(docs: DataFrame, least_words: int = 3, fuzzy_words: int = 8) -> DataFrame:
+def dedup_lines(docs: DataFrame, least_words: int = 1, fuzzy_words: int = 2) -> DataFrame:
     """``docs`` with its texts less the lines that repeat an earlier one, and n_removed."""
-    _, gone = removed_lines(docs, least_words, fuzzy_words)
-    both = _with_lines(docs, gone, "gone", "left").select(*docs.columns, "gone")
-    names = [f"`{c}`" for c in docs.columns]
-    out = both.mapInArrow(_without, both.schema)
-    return out.selectExpr(*names, "coalesce(size(gone), 0) AS n_removed")
+    docs = docs.drop("n_removed")
+    both = _with_lines(docs, removed_lines(docs, least_words, fuzzy_words), "left")
+    out = both.select(*[F.col(f"`{c}`") for c in docs.columns], _LIST)
+    return out.mapInArrow(_without, out.schema).selectExpr(*[f"`{c}`" for c in docs.columns], f"coalesce(size({_LIST}), 0) AS n_removed")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup_lines(docs, **WHOLE).selectExpr("doc_id", "CAST(n_removed AS BIGINT) AS n_removed", "CAST(length(text) AS BIGINT) AS n_chars", "sha2(text, 256) AS text_sha256")
+    return dedup_lines(docs).selectExpr("doc_id", "CAST(n_removed AS BIGINT) AS n_removed", "CAST(length(text) AS BIGINT) AS n_chars", "sha2(text, 256) AS text_sha256")
 
 
 QUERIES = {"op5_line_dedup": op5_line_dedup}
