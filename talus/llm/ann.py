@@ -8,8 +8,12 @@ The rows are scanned once, in Arrow batches, against each block of at most ``QUE
 k-th best lower bound so far decides which vectors' upper bounds make them worth reranking by their exact cosine in double precision; a task emits
 its k best, and the k best of all tasks are ranked by a window over those few rows. All rows are coded; nothing is fitted on a sample.
 
+The work is queries times rows; the estimate costs a table look-up for eight dimensions of a pair.
+
 Cases: vectors that are null, empty, zero or hold null or non-finite components take no part, as query or row; so do vectors of another length than
-the query's (they are compared within their own length); a null id takes no part; ties go to the smaller id; rows repeated with one id count once each.
+the query's (they are compared within their own length); a null id takes no part; ties go to the smaller id. Repeated rows: an id is in a
+query's result once, with its best score; of different vectors under one id each counts as a row, and the least of them (component by
+component) is the query. Empty tables give an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,6 +41,7 @@ class Codes:
     """Unit vectors as packed signs with the correction scalar and the error bound of each."""
 
     def __init__(self, unit: np.ndarray, turn: np.ndarray):
+        """unit: rows of length 1; turn: a rotation."""
         d = unit.shape[1]
         turned = unit @ turn
         signs = turned >= 0
@@ -87,6 +92,16 @@ def vectors(ids: pa.Array, column: pa.Array) -> dict[int, tuple[np.ndarray, np.n
     return {d: (np.array(a, np.int64), np.stack(b)) for d, (a, b) in out.items()}
 
 
+def _once(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows without those that have both id and vector of another: the k best are to be k ids."""
+    order = np.argsort(ids, kind="stable")
+    if not len(ids) or (np.diff(ids[order]) > 0).all():
+        return ids, x
+    whole = np.column_stack([ids.view(np.float64), x])
+    _, first = np.unique(np.ascontiguousarray(whole).view(f"V{8 * whole.shape[1]}").ravel(), return_index=True)
+    return ids[np.sort(first)], x[np.sort(first)]
+
+
 def _gathered(batches):
     """Arrow batches put together to tables of some thousand rows."""
     held, n = [], 0
@@ -103,37 +118,51 @@ def _gathered(batches):
 def _search(shared, k: int):
     def run(batches):
         queries = shared.value
-        best: dict[int, list[tuple[float, int]]] = {}
-        turned = {d: (x / np.sqrt((x * x).sum(axis=1))[:, None]) @ rotation(d) for d, (_, x) in queries.items()}
+        best: dict[tuple[int, int], list[tuple[float, int]]] = {}
+        turns = {d: rotation(d) for d in queries}
+        turned = {d: (x / np.sqrt((x * x).sum(axis=1))[:, None]) @ turns[d] for d, (_, x) in queries.items()}
         for table in _gathered(batches):
             for d, (ids, x) in vectors(table.column("id").combine_chunks(), table.column("v").combine_chunks()).items():
                 if d not in queries:
                     continue
-                codes = Codes(x / np.sqrt((x * x).sum(axis=1))[:, None], rotation(d))
+                ids, x = _once(ids, x)
+                _, number = np.unique(ids, return_inverse=True)
+                alike = len(number) and number.max() + 1 < len(ids)  # different vectors under one id
+                codes = Codes(x / np.sqrt((x * x).sum(axis=1))[:, None], turns[d])
                 for n, q in enumerate(queries[d][0].tolist()):
                     near = estimates(turned[d][n], codes)
                     own = ids != q
                     held = best.get((d, n), [])
                     low = np.where(own, near - codes.bound, -np.inf)
+                    if alike:
+                        each, low = low, np.full(number.max() + 1, -np.inf)
+                        np.maximum.at(low, number, each)
                     least = np.partition(low, len(low) - k)[len(low) - k] if len(low) >= k else -np.inf
                     if len(held) == k:
                         least = max(least, -held[-1][0])
                     some = np.flatnonzero(own & (near + codes.bound >= least - 1e-6))
                     if len(some):
                         exact = cosine(queries[d][1][n], x[some])
-                        merged = sorted([*held, *zip((-exact).tolist(), ids[some].tolist(), strict=True)])
-                        best[d, n] = merged[:k]
+                        merged: dict[int, float] = {}
+                        for score, i in sorted([*held, *zip((-exact).tolist(), ids[some].tolist(), strict=True)]):
+                            merged.setdefault(i, score)
+                            if len(merged) == k:
+                                break
+                        best[d, n] = [(score, i) for i, score in merged.items()]
         rows = [(int(queries[d][0][n]), i, -s) for (d, n), held in best.items() for s, i in held]
         yield pa.record_batch([pa.array([r[c] for r in rows], t) for c, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.float64()))], ["query_id", "id", "score"])
 
     return run
 
 
+_USABLE = "id IS NOT NULL AND size(v) > 0 AND forall(v, c -> c IS NOT NULL AND NOT isnan(c) AND abs(c) < double('inf')) AND exists(v, c -> c <> 0)"
+
+
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """rows, queries (id, v: array of numbers): query_id, rank, id, score of each query's k nearest rows by cosine, its own id left out."""
     spark = rows.sparkSession
-    cast = lambda t: t.selectExpr("CAST(id AS BIGINT) AS id", "CAST(v AS ARRAY<DOUBLE>) AS v").where("id IS NOT NULL AND size(v) > 0")
-    rows, queries = cast(rows), cast(queries)
+    cast = lambda t: t.selectExpr("CAST(id AS BIGINT) AS id", "CAST(v AS ARRAY<DOUBLE>) AS v").where(_USABLE)
+    rows, queries = cast(rows), cast(queries).groupBy("id").agg(F.min("v").alias("v"))
     blocks = -(-queries.count() // QUERY_BLOCK) or 1
     found = None
     for b in range(blocks):
@@ -142,6 +171,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         some = rows.mapInArrow(_search(shared, k), "query_id long, id long, score double")
         found = some if found is None else found.unionByName(some)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    found = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
