@@ -5,12 +5,13 @@ network over text statistics (``_features``) minimises the non-negative unbiased
 falls under zero its gradient is turned round. The class prior pi is estimated first: a scorer of P against U is fitted on one half, and on the
 other half pi is the least ratio of the shares of U and P above a score, over scores that a tenth of P reaches, with a bound for chance.
 
-The model is fitted on at most ``POSITIVES`` and ``UNLABELLED`` documents (bounds of the sample; texts are whole), on the driver, from features the executors compute;
+The model is fitted on at most ``positives`` and ``unlabelled`` documents (bounds of the sample in rows; texts are whole), on the driver, from features the executors compute;
 scoring is one pass over all documents without a shuffle.
 
 Cases: a null text counts as empty; an empty text has the features zero and gets their score; without ``LEAST`` positives there is no model and every score is 1
 (nothing is known against any text); repeated rows give repeated results; null ids are scored; labels of unknown ids are ignored; other columns are kept by ``keep_good`` and
-not read by ``score``.
+not read by ``score``. Texts of any length are scored whole; an empty table gives an empty result; of different texts under one sampled doc_id
+one is learnt from (the least row of features).
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from talus.llm._labels import HELD_OUT, first_ids
 from talus.llm._store import small_batches
 from talus.llm._text import buffers, slices
 
+#: Bounds of the sample in rows, and the fewest of either kind that a model is fitted on.
 POSITIVES, UNLABELLED, LEAST = 3000, 6000, 20
 HIDDEN, STEPS, RATE = 24, 300, 0.02
 
@@ -115,14 +117,15 @@ def fit_arrays(pos: np.ndarray, unl: np.ndarray, seed: int = 0) -> Network:
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Network | None:
+def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Network | None:
     """docs (doc_id, text), labels (doc_id, quality); only labels that are not held out are read."""
     small_batches(docs.sparkSession)
-    pos = first_ids(labels.where("quality = 1"), POSITIVES).withColumn("positive", F.lit(1))
-    unl = first_ids(docs.select("doc_id"), UNLABELLED).withColumn("positive", F.lit(0))
-    ids = F.broadcast(pos.unionByName(unl))  # POSITIVES + UNLABELLED rows at most
-    some = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").join(ids, "doc_id").dropDuplicates(["doc_id", "positive"])
-    rows = some.mapInArrow(_features(["doc_id", "positive"]), "doc_id long, positive int, x array<double>").orderBy("positive", "doc_id").toArrow()
+    pos = first_ids(labels.where("quality = 1"), positives).withColumn("positive", F.lit(1))
+    unl = first_ids(docs.select("doc_id"), unlabelled).withColumn("positive", F.lit(0))
+    ids = F.broadcast(pos.unionByName(unl))  # positives + unlabelled rows at most
+    some = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").join(ids, "doc_id")
+    rows = some.mapInArrow(_features(["doc_id", "positive"]), "doc_id long, positive int, x array<double>")
+    rows = rows.groupBy("doc_id", "positive").agg(F.min("x").alias("x")).orderBy("positive", "doc_id").toArrow()
     x = np.array(rows.column("x").to_pylist(), np.float64).reshape(-1, len(NAMES))
     own = rows.column("positive").to_numpy() == 1
     return fit_arrays(x[own], x[~own]) if own.sum() >= LEAST and (~own).sum() >= LEAST else None

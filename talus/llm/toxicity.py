@@ -3,14 +3,15 @@
 A word (letters, digits and non-ASCII characters, lower-cased) is the mean of the vectors of its character n-grams (``GRAMS`` bytes, with its ends marked) and of the whole
 word; a bag is the mean of its words, and two softmax weights give its classes. Vectors and weights are trained together by Adam with the exact gradient. A misspelt
 word shares most of its n-grams with the word, and so most of its vector. A document is a row of bags of ``BAG`` words; its odds are the
-mean of its bags' odds, in training as in scoring, so a few words in a long text aren't averaged away.
+mean of its bags' odds, in training as in scoring, so a few words in a long text aren't averaged away (README has the figures with one bag a text).
 
-Only n-grams that a hundredth of the sampled documents (4 at least) share have a vector. The sample is bounded: at most ``POSITIVES`` toxic and ``NEGATIVES`` other labelled documents of at
-most ``LONGEST`` characters (only the sample leaves out longer ones; every whole text is scored); the logits are then moved by the
-difference between the sample's and the labels' rate of toxic rows. Scoring is one pass without a shuffle: vectors and weights fold into one number for each n-gram.
+Only n-grams that ``LEAST_TEXTS`` of the sampled documents share have a vector. The sample is bounded in rows (``positives`` toxic and ``negatives`` other labelled documents) and
+in words: of a text of more than ``BAGS`` bags so many go in, spread evenly over the whole of it. The logits are then moved by the
+difference between the sample's and the labels' rate of toxic rows. Scoring takes every whole text, in one pass without a shuffle: vectors and weights fold into one number for each n-gram.
 
 Cases: a null text counts as empty; a text without words scores the rate of toxic labels; without labels of both classes every score is 0; repeated rows give
-repeated results; null ids are scored; other columns are not read.
+repeated results; of different texts under one labelled doc_id the least is learnt from; null ids are scored, never learnt from; texts of any
+length are scored whole; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from talus.llm._labels import HELD_OUT, first_ids
 from talus.llm._store import small_batches
 from talus.llm._text import LOWER, PUNCT, Words, buffers, mix, slices
 
-POSITIVES, NEGATIVES, LONGEST = 800, 1600, 6000
+#: Bounds of the sample: rows by label, and bags of a text. Texts that must share an n-gram.
+POSITIVES, NEGATIVES, BAGS, LEAST_TEXTS = 800, 1600, 500, 4
 GRAMS, BUCKETS, BAG = (3, 4, 5), 1 << 18, 8
 DIM, STEPS, RATE, SCALE, DECAY = 4, 40, 0.05, 8.0, 3e-4
 _PLACE = np.array([pow(0xC2B2AE3D27D4EB4F, i + 1, 1 << 64) for i in range(8)], np.uint64)
@@ -51,7 +53,7 @@ def subwords(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
         ok = at[: len(h)] + n <= last[word[: len(h)]]
         buckets.append((mix(h[ok] + np.uint64(n)) % np.uint64(BUCKETS)).astype(np.int64))
         words.append(word[: len(h)][ok])
-    whole = np.add.reduceat(mix(flat + at.astype(np.uint64) - first[word].astype(np.uint64) << np.uint64(8)), first) if len(size) else np.zeros(0, np.uint64)
+    whole = np.add.reduceat(mix(flat + ((at - first[word]).astype(np.uint64) << np.uint64(9))), first) if len(size) else np.zeros(0, np.uint64)
     buckets.append((mix(whole) % np.uint64(BUCKETS)).astype(np.int64))
     words.append(np.arange(len(size)))
     return np.concatenate(buckets), np.concatenate(words)
@@ -94,7 +96,7 @@ class Model:
         return np.where(empty, 1 / (1 + np.exp(-self.rate_logit)), 1 / (1 + np.exp(-np.clip(logit, -40, 40))))
 
 
-def train(data: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, rate: float, seed: int = 3) -> Model:
+def train(data: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, rate: float, least_texts: int = LEAST_TEXTS, seed: int = 3) -> Model:
     r = np.random.default_rng(seed)
     bags = Bags(data, offsets)
     text = np.searchsorted(bags.first_bag, np.arange(len(bags.size)), "right") - 1
@@ -102,7 +104,7 @@ def train(data: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, rate: float,
     pairs = np.unique(text[bags.bag].astype(np.int64) * len(bags.parts) + bags.word)
     spread = np.bincount(pairs % len(bags.parts), minlength=len(bags.parts))
     texts = np.bincount(bags.bucket, spread[bags.of], BUCKETS)
-    known = np.flatnonzero(texts >= max(4, len(toxic) // 100))
+    known = np.flatnonzero(texts >= least_texts)
     place = np.full(BUCKETS, -1)
     place[known] = np.arange(len(known))
     some = place[bags.bucket] >= 0
@@ -138,20 +140,41 @@ def train(data: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, rate: float,
     return Model(value, float(b[1] - b[0]), logit(rate) - logit(share), logit(rate))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
+def excerpt(text: str, bags: int) -> str:
+    """The whole text if it has so many bags or fewer, else so many, spread evenly over it."""
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    w = Words(data, np.array([0, len(data)]), PUNCT)
+    n = len(w.start) // BAG
+    if n <= bags:
+        return text
+    at = np.arange(bags) * n // bags * BAG
+    return "\n".join(data[i:j].tobytes().decode("utf-8", "replace") for i, j in zip(w.start[at].tolist(), w.end[at + BAG - 1].tolist(), strict=True))
+
+
+def _excerpts(bags: int):
+    def run(batches):
+        for batch in batches:
+            texts = [excerpt(t or "", bags) for t in batch.column("text").to_pylist()]
+            yield pa.record_batch([batch.column("doc_id"), batch.column("toxic"), pa.array(texts, pa.string())], ["doc_id", "toxic", "text"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES, bags: int = BAGS, least_texts: int = LEAST_TEXTS) -> Model | None:
     """docs (doc_id, text), labels (doc_id, toxic); only labels that are not held out are read."""
     small_batches(docs.sparkSession)
     own = labels.where(f"NOT ({HELD_OUT})")
     n, toxic = own.agg(F.count("toxic"), F.sum("toxic")).first()
     if not n or not toxic or toxic == n:
         return None
-    ids = first_ids(own.where("toxic = 1"), POSITIVES).withColumn("toxic", F.lit(1)).unionByName(first_ids(own.where("toxic = 0"), NEGATIVES).withColumn("toxic", F.lit(0)))
-    some = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").where(f"length(text) <= {LONGEST}").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id", "toxic"])
+    ids = first_ids(own.where("toxic = 1"), positives).withColumn("toxic", F.lit(1)).unionByName(first_ids(own.where("toxic = 0"), negatives).withColumn("toxic", F.lit(0)))
+    some = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").join(F.broadcast(ids), "doc_id")  # positives + negatives rows at most
+    some = some.mapInArrow(_excerpts(bags), "doc_id long, toxic int, text string").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     rows = some.orderBy("doc_id", "toxic").toArrow()
     y = rows.column("toxic").to_numpy()
     if not len(y) or y.min() == y.max():
         return None
-    return train(*buffers(rows.column("text")), y, min(max(toxic / n, 1e-3), 1 - 1e-3))
+    return train(*buffers(rows.column("text")), y, min(max(toxic / n, 1e-3), 1 - 1e-3), least_texts)
 
 
 def _score(model: Model | None):
