@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from talus.llm import ann, bpe, chat, decontaminate, licenses, linededup, minhash, quality, secrets, toxicity
 from talus.llm._text import PUNCT, Words, buffers, mix
@@ -104,7 +105,18 @@ def test_empty_tables(spark):
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
-def removed(rows, least=3, fuzzy=8):
+def one_edit(a, b):
+    """At most one word inserted, deleted or replaced: by the whole table of edit distances."""
+    cost = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(cost[j - 1] + (x != y), cost[j] + 1, row[-1] + 1))
+        cost = row
+    return cost[-1] <= 1
+
+
+def removed(rows, least=1, fuzzy=2):
     seen, out = [], {}
     for i, t in sorted(rows):
         out[i] = set()
@@ -112,7 +124,7 @@ def removed(rows, least=3, fuzzy=8):
             w = line.lower().split()
             if len(w) < least:
                 continue
-            if any(w == o or len(w) >= fuzzy and len(o) >= fuzzy and linededup.within_one(np.array(w), np.array(o)) for o in seen):
+            if any(w == o or len(w) >= fuzzy and len(o) >= fuzzy and abs(len(w) - len(o)) <= 1 and one_edit(w, o) for o in seen):
                 out[i].add(n)
             seen.append(w)
     return out
@@ -135,15 +147,14 @@ def test_line_dedup_equals_brute_force(spark):
 
     rows = [(i, "\n".join(line() for _ in range(r.randrange(1, 6)))) for i in range(60)]
     want = removed(rows)
-    got = {g["doc_id"]: g for g in linededup.dedup_lines(docs(spark, rows).drop("n_removed")).collect()}
+    got = {g["doc_id"]: g for g in linededup.dedup_lines(docs(spark, rows)).collect()}
     for i, t in rows:
         assert got[i]["text"] == "\n".join(x for n, x in enumerate(t.split("\n")) if n not in want[i]) and got[i]["n_removed"] == len(want[i])
 
 
-def test_line_dedup_odd_rows(spark, monkeypatch):
-    monkeypatch.setattr(linededup, "BROADCAST_BYTES", -1)
+def test_line_dedup_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "a b c d"), (3, "a b c d"), (4, "A  b c D\nz"), (None, "a b c d"), (5, "\n\n")]
-    got = sorted(((g["doc_id"], g["text"]) for g in linededup.dedup_lines(docs(spark, rows).drop("n_removed")).collect()), key=str)
+    got = sorted(((g["doc_id"], g["text"]) for g in linededup.dedup_lines(docs(spark, rows).withColumn("gone", F.lit(1)).withColumn("lines", F.lit("x"))).collect()), key=str)
     assert got == sorted([(1, None), (2, ""), (3, "a b c d"), (3, "a b c d"), (4, "z"), (None, "a b c d"), (5, "\n\n")], key=str)
 
 
@@ -169,32 +180,79 @@ def test_line_dedup_of_short_lines(spark, tmp_path):
 def test_line_dedup_after_a_leading_newline(spark):
     """A newline that starts a text is a line end of its own beside the end of the text before it."""
     rows = [(1, "\na b c d\nonly here once"), (2, "x y z w"), (3, "\nA b c d\nanother line here"), (4, "\nunique words stay here\nx y z w"), (5, ""), (6, "\n\na b c d")]
-    got = {g["doc_id"]: (g["text"], g["n_removed"]) for g in linededup.dedup_lines(docs(spark, rows).drop("n_removed").coalesce(1)).collect()}
+    got = {g["doc_id"]: (g["text"], g["n_removed"]) for g in linededup.dedup_lines(docs(spark, rows).coalesce(1)).collect()}
     assert got == {1: (rows[0][1], 0), 2: ("x y z w", 0), 3: ("\nanother line here", 1), 4: ("\nunique words stay here", 1), 5: ("", 0), 6: ("\n", 1)}
 
 
-def test_decontamination_recall_and_silence(spark):
+def distance_table(item, text, k):
+    """Least edits between the item and any passage of the text, by the plain table."""
+    cost = [0] * (len(text) + 1)
+    for i, x in enumerate(item, 1):
+        row = [i]
+        for j, y in enumerate(text, 1):
+            row.append(min(cost[j - 1] + (x != y), cost[j] + 1, row[-1] + 1))
+        cost = row
+    return min(cost)
+
+
+def with_edits(r, w, n):
+    w = list(w)
+    for _ in range(n):
+        p, kind = r.randrange(len(w)), r.random()
+        if kind < 0.34:
+            w[p] = f"q{r.randrange(9)}"
+        elif kind < 0.67:
+            w.insert(p, f"q{r.randrange(9)}")
+        else:
+            del w[p]
+    return w
+
+
+@pytest.mark.parametrize(("ratio", "least"), [(0.15, 0.99), (0.3, 0.93)])
+def test_decontamination_recall_and_silence(ratio, least):
     r = random.Random(4)
-    items = [(i, words(r, 14 + i % 40, 3000)) for i in range(60)]
-    index = decontaminate.Items([i for i, _ in items], [t for _, t in items], 0.15, 6)
-    texts = []
-    for n in range(400):
-        w = items[n % 60][1].split()
-        for _ in range(decontaminate.allowance(len(w), 0.15)):
-            p, kind = r.randrange(len(w)), r.random()
-            if kind < 0.34:
-                w[p] = "q"
-            elif kind < 0.67:
-                w.insert(p, "q")
-            else:
-                del w[p]
-        texts.append(words(r, r.randrange(20), 3000) + " " + ", ".join(w).upper() + " " + words(r, 5, 3000))
-    w = Words(*buffers(pa.array(texts)), PUNCT)
-    found = {(t, index.ids[i]) for t, i, *_ in decontaminate.matches(index, w.hash, w.text, w.first)}
-    assert sum((n, n % 60) in found for n in range(400)) >= 0.99 * 400 and len(found) == sum((n, n % 60) in found for n in range(400))
-    rows = [(1, items[3][1]), (2, " ".join(items[3][1].split()[:8])), (3, None), (4, ""), (None, items[5][1]), (5, "ab " * 5000)]
-    out = decontaminate.contaminated(docs(spark, rows), spark.createDataFrame([*items, (99, None), (98, "too short")], "item_id long, text string"))
-    assert sorted(((g["doc_id"], g["item_id"]) for g in out.collect()), key=str) == [(1, 3), (None, 5)]
+    items = [words(r, 8 + i % 45, 3000).split() for i in range(60)]
+    index = decontaminate.Items(list(range(60)), [" ".join(w) for w in items], ratio, 6)
+    texts = [words(r, r.randrange(1, 20), 3000).split() + with_edits(r, items[n % 60], decontaminate.allowance(len(items[n % 60]), ratio)) + words(r, 5, 3000).split() for n in range(600)]
+    w = Words(*buffers(pa.array([", ".join(t).upper() for t in texts])), PUNCT, cjk=True)
+    rows = decontaminate.matches(index, index.filters(), w.hash, w.text, w.first)
+    found = {(t, index.ids[i]): d for t, i, d, *_ in rows}
+    assert sum((n, n % 60) in found for n in range(600)) >= least * 600 and len(found) == sum((n, n % 60) in found for n in range(600))
+    assert all(distance_table(items[i], texts[t], 0) == d <= decontaminate.allowance(len(items[i]), ratio) for (t, i), d in found.items())
+
+
+def test_decontamination_equals_brute_force(spark):
+    """On dense data, where hardly anything is unlike: every pair of the plain table is found, and no other."""
+    r = random.Random(44)
+    items = [words(r, r.choice([1, 2, 3, 5, 7, 8, 10, 20]), 12).split() for _ in range(40)]
+    texts = [words(r, r.randrange(0, 60), 12).split() for _ in range(60)]
+    texts += [with_edits(r, items[n % 40] * 2, r.randrange(0, 4)) for n in range(60)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    out = decontaminate.contaminated(docs(spark, [(i, " ".join(t)) for i, t in enumerate(texts)]), bench, 0.2, 1).collect()
+    got = {(g["doc_id"], g["item_id"]): (g["edits"], g["first_word"], g["n_words"]) for g in out}
+    want = {(t, i): d for t, w in enumerate(texts) for i, x in enumerate(items) if w and (d := distance_table(x, w, 0)) <= int(0.2 * len(x) + 1e-9)}
+    assert {k: v[0] for k, v in got.items()}.keys() <= want.keys() and len(got) >= 0.98 * len(want)
+    for (t, i), (d, at, n) in got.items():
+        assert d == want[t, i] == distance_table(items[i], texts[t][at : at + n], 0)
+    assert all((t, i) in got for t, i in want if len(items[i]) < 8)
+
+
+def test_decontamination_odd_rows(spark, tmp_path):
+    r = random.Random(45)
+    items = [(i, words(r, 14 + i, 3000)) for i in range(12)] + [(20, "機械学習の評価用の文章です"), (21, "just four words here")]
+    passage = "前置き" + items[12][1] + "。終わり"
+    rows = [(1, items[3][1]), (1, items[3][1]), (2, " ".join(items[3][1].split()[:8])), (3, None), (4, ""), (None, items[5][1]), (None, "clean text"), (5, "ab " * 5000), (6, ("x " * 40 + items[0][1] + " ") * 300), (7, passage), (8, "just four words here")]
+    bench = spark.createDataFrame([*items, (99, None), (98, "too short"), (3, items[3][1])], "item_id long, text string")
+    t = docs(spark, rows).withColumn("item_id", F.lit("clash"))
+    out = sorted(((g["doc_id"], g["item_id"], g["edits"]) for g in decontaminate.contaminated(t, bench).collect()), key=str)
+    assert out == sorted([(1, 3, 0)] * 4 + [(None, 5, 0), (6, 0, 0), (7, 20, 0)], key=str)
+    left = decontaminate.clean(t, bench)
+    assert sorted(map(str, left.collect())) == sorted(map(str, t.where("doc_id IN (2, 3, 4, 5, 8) OR doc_id IS NULL AND text LIKE 'clean%'").collect()))
+    assert {(g["doc_id"], g["item_id"]) for g in decontaminate.contaminated(t, bench, least_words=4).collect()} >= {(8, 21)}
+    t.write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    query = decontaminate.op10_benchmark_decontamination(spark, str(tmp_path))
+    assert query.columns == ["doc_id", "item_id", "edits", "first_word", "n_words"] and query.count() == len(out)
 
 
 def test_bpe_equals_the_library(spark):
@@ -234,22 +292,48 @@ def test_licenses_with_runs_put_in_or_left_out(spark):
     assert rows[1][1].encode()[slice(*got[2, "MIT"][0][1:])].decode() == " ".join(put).rstrip(".")
 
 
-def test_neighbours_equal_brute_force(spark):
+def nearest_plainly(rows, queries, k=5):
+    """rows, queries: (id, vector): per query id its k best (rank, id, score), an id once."""
+    out = {}
+    for q in sorted({i for i, _ in queries}):
+        v = min(x for i, x in queries if i == q)
+        best = {}
+        for i, x in rows:
+            if i != q and len(x) == len(v):
+                s = sum(a * b for a, b in zip(x, v)) / (sum(a * a for a in x) ** 0.5 * sum(b * b for b in v) ** 0.5)
+                best[i] = max(best.get(i, -9), s)
+        out[q] = sorted(((-round(s, 12), i) for i, s in best.items()))[:k]
+    return out
+
+
+def test_neighbours_equal_brute_force(spark, tmp_path):
     r = np.random.default_rng(6)
-    x = r.normal(size=(900, 64)).astype(np.float32) + (np.arange(900) % 7)[:, None] * 0.1
+    x = (r.normal(size=(900, 64)) + (np.arange(900) % 7)[:, None] * 0.1).astype(np.float32)
     x[1:200:3] = x[0]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000, None), (2050, [0.0] * 64), (2100, [float("nan")] * 64), (2150, []), (None, [1.0] * 64), (2200, [1.0, 2.0])]
-    t = spark.createDataFrame(rows, "id long, v array<float>")
+    good = [(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(2200, [1.0, 2.0]), (50, [float(c) for c in x[50]]), (7, [float(c) for c in x[8]]), (7, [float(c) for c in x[7]]), (100, [float(c) for c in x[100] * 2])]
+    bad = [(2000, None), (2050, [0.0] * 64), (2100, [float("nan")] * 64), (2150, []), (None, [1.0] * 64), (100, [None] * 64), (2250, [float("inf")] + [0.0] * 63)]
+    t = spark.createDataFrame([(i, v, "clash") for i, v in good + bad], "vec_id long, embedding array<float>, score string")
+    t.write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {}
-    for g in ann.nearest(t, t.where("id % 50 = 0")).orderBy("query_id", "rank").collect():
-        got.setdefault(g["query_id"], []).append(g["id"])
-    d, hit = x.astype(float), 0
-    u = d / np.sqrt((d * d).sum(axis=1))[:, None]
-    for q in range(0, 900, 50):
-        c = np.round(u @ u[q], 12)
-        c[q] = -9
-        hit += len(set(np.lexsort((np.arange(900), -c))[:5].tolist()) & set(got[q]))
-    assert hit >= 0.95 * 5 * 18 and set(got) == set(range(0, 900, 50))
+    for g in ann.op3_nearest_neighbours(spark, str(tmp_path)).orderBy("query_id", "rank").collect():
+        got.setdefault(g["query_id"], []).append((g["rank"], g["vec_id"], g["score"]))
+    want = nearest_plainly(good, [(i, v) for i, v in good if i % 50 == 0])
+    assert set(got) == {q for q, found in want.items() if found} and set(got) == set(range(0, 900, 50))
+    assert all([n for n, *_ in rows] == list(range(1, 6)) and len({i for _, i, _ in rows}) == 5 for rows in got.values())
+    hit = sum(len({i for _, i, _ in got[q]} & {i for _, i in want[q]}) for q in got)
+    assert hit >= 0.98 * 5 * len(got)
+    for q, rows in got.items():
+        scores = {i: -s for s, i in want[q]}
+        assert [(i, s, scores[i]) for _, i, s in rows if i in scores and abs(s - scores[i]) > 1e-9] == []
+        assert [(-s, i) for _, i, s in rows] == sorted((-s, i) for _, i, s in rows)
+
+
+def test_neighbours_of_few_rows(spark):
+    v = lambda *rows: spark.createDataFrame(list(rows), "id long, v array<double>")
+    both = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 1.0])]
+    got = [(g["query_id"], g["rank"], g["id"]) for g in ann.nearest(v(*both), v(*both[:2])).orderBy("rank").collect()]
+    assert got == [(1, 1, 2), (1, 2, 3)]
+    assert ann.nearest(v((1, [1.0])), v((1, [1.0]))).count() == ann.nearest(v((1, [1.0])), v((2, [1.0, 1.0]))).count() == 0
 
 
 def test_chat_is_reversible(spark):
