@@ -16,4 +16,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {name: sql for m in MODULES for name, sql in getattr(import_module(f"talus.llm.{m}"), "ORACLES", {}).items()}
+    """A module gives its SQL as text or as a function that makes it."""
+    found = {name: sql for m in MODULES for name, sql in getattr(import_module(f"talus.llm.{m}"), "ORACLES", {}).items()}
+    return {name: sql if isinstance(sql, str) else sql() for name, sql in found.items()}
