@@ -1,14 +1,16 @@
 """Chat formatting: a finite-state machine over roles, a declarative template, and loss masks by segment.
 
 The rows of a conversation are put in the order of their turns (ties by role, then text). The machine reads the roles one by one; a role for
-which the state has no arrow makes the conversation invalid, which is reported (valid, error_turn) while every turn is still formatted, so
-that nothing is lost. The template turns each turn into segments of text with a loss flag: control strings and role without loss, the text
+which the state has no arrow makes the conversation invalid, as does an end in a state that isn't accepted (error_turn is then the number of
+turns). That is reported (valid, error_turn) while every turn is still formatted, so that nothing is lost. The template turns each turn into segments of text with a loss flag: control strings and role without loss, the text
 with the flag of its role.
 
-Control strings inside texts are escaped reversibly: one backslash is put into every ``<`` + backslashes + ``|``, so no ``<|`` is left in a text, and taking one out
-again gives the text back. In roles, backslash and line break are escaped too.
+The template's marks are escaped reversibly inside texts: a backslash is put in after the first character of every mark, and of every one
+that has backslashes there already, so no mark is left in a text, and taking one out again gives the text back. ``marks`` are by default the
+strings that begin and end a turn; every mark must be of two characters at least, without a backslash, and not begin as it ends, and one of them must
+begin each control string. In roles, backslash and what follows a role are escaped too.
 
-Cases: a null text or role counts as empty; rows of a null conv_id form one conversation of their own; repeated rows are repeated turns; an empty
+Cases: a null text or role counts as empty; texts of any length are kept whole; rows of a null conv_id form one conversation of their own; repeated rows are repeated turns; an empty
 table gives no conversation; other columns are not read. A conversation is one value by its nature (digests and masks are of the whole), so its
 rows meet in one task; conversations are spread over all tasks, and what meets is no more than the texts of one conversation.
 """
@@ -26,14 +28,17 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Template:
-    """Declarative template: what stands around a turn, which roles' texts are trained on, and the machine's arrows."""
+    """Declarative template: what stands around a turn, which strings no text may hold unescaped, which roles' texts are trained on, and the
+    machine's arrows with the states that a conversation may end in."""
 
     begin: str = "<|im_start|>"
     after_role: str = "\n"
     end: str = "<|im_end|>"
     between: str = "\n"
+    marks: tuple[str, ...] = ("<|",)
     loss_roles: frozenset[str] = frozenset({"assistant"})
     start: str = "start"
+    accepted: frozenset[str] = frozenset({"answered"})
     arrows: dict[str, dict[str, str]] = field(
         default_factory=lambda: {
             "start": {"system": "told", "user": "asked"},
@@ -43,41 +48,52 @@ class Template:
         }
     )
 
+    def __post_init__(self):
+        for m in self.marks:
+            if len(m) < 2 or "\\" in m or any(m[:i] == m[-i:] for i in range(1, len(m))):
+                raise ValueError(f"not a mark that can be escaped: {m!r}")
+        for c in (self.begin, self.end):
+            if not any(c.startswith(m) for m in self.marks):
+                raise ValueError(f"no mark begins the control string {c!r}")
+        if not self.after_role or set(self.after_role) & set("\\n" + "".join(self.marks)):
+            raise ValueError(f"what follows a role must differ from marks, n and backslash: {self.after_role!r}")
 
-_OPEN, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 
+def escape(text: str, t: Template) -> str:
+    for m in t.marks:
+        text = re.sub(re.escape(m[0]) + r"(\\*)" + re.escape(m[1:]), lambda f, m=m: f"{m[0]}\\{f[1]}{m[1:]}", text)
+    return text
 
-def escape(text: str) -> str:
-    return _OPEN.sub(r"<\\\1|", text)
 
+def unescape(text: str, t: Template) -> str:
+    for m in t.marks[::-1]:
+        text = re.sub(re.escape(m[0]) + r"\\(\\*)" + re.escape(m[1:]), lambda f, m=m: f"{m[0]}{f[1]}{m[1:]}", text)
+    return text
 
-def unescape(text: str) -> str:
-    return _ESCAPED.sub(r"<\1|", text)
 
+def escape_role(role: str, t: Template) -> str:
+    return escape(role.replace("\\", "\\\\").replace(t.after_role, "\\n"), t)
 
-def escape_role(role: str) -> str:
-    return escape(role.replace("\\", "\\\\").replace("\n", "\\n"))
 
-
-def unescape_role(role: str) -> str:
-    return re.sub(r"\\(\\|n)", lambda m: "\n" if m[1] == "n" else "\\", unescape(role))
+def unescape_role(role: str, t: Template) -> str:
+    return re.sub(r"\\(\\|n)", lambda m: t.after_role if m[1] == "n" else "\\", unescape(role, t))
 
 
 def first_error(roles: list[str], t: Template) -> int:
-    """The first turn that the machine has no arrow for; -1: none."""
+    """The first turn that the machine has no arrow for, or the number of turns if it doesn't end in an accepted state; -1: neither."""
     state = t.start
     for i, role in enumerate(roles):
         state = t.arrows.get(state, {}).get(role)
         if state is None:
             return i
-    return -1
+    return -1 if state in t.accepted else len(roles)
 
 
 def segments(turns: list[tuple[str, str]], t: Template) -> list[tuple[str, bool]]:
     """Text segments with loss flags; joined they are the formatted conversation."""
     out: list[tuple[str, bool]] = []
     for i, (role, text) in enumerate(turns):
-        out += [((t.between if i else "") + t.begin + escape_role(role) + t.after_role, False), (escape(text), role in t.loss_roles), (t.end, False)]
+        out += [((t.between if i else "") + t.begin + escape_role(role, t) + t.after_role, False), (escape(text, t), role in t.loss_roles), (t.end, False)]
     return out
 
 
@@ -88,7 +104,7 @@ def read_back(formatted: str, t: Template) -> list[tuple[str, str]]:
         at = formatted.index(t.begin, at) + len(t.begin)
         cut = formatted.index(t.after_role, at)
         end = formatted.index(t.end, cut)
-        turns.append((unescape_role(formatted[at:cut]), unescape(formatted[cut + len(t.after_role) : end])))
+        turns.append((unescape_role(formatted[at:cut], t), unescape(formatted[cut + len(t.after_role) : end], t)))
         at = end + len(t.end)
     return turns
 
@@ -129,7 +145,7 @@ def _digests(t: Template):
             out = {k: [] for k in ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")}
             for text, spans in zip(batch.column("formatted").to_pylist(), batch.column("segments").to_pylist(), strict=True):
                 turns = read_back(text, t)
-                loss = "".join(unescape(text[s["start"] : s["end"]]) for s in spans if s["loss"])
+                loss = "".join(unescape(text[s["start"] : s["end"]], t) for s in spans if s["loss"])
                 out["n_turns"].append(len(turns))
                 out["turns_sha256"].append(hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in turns).encode()).hexdigest())
                 out["loss_chars"].append(len(loss))
@@ -160,7 +176,7 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY n)) AS loss_sha256,
   CAST(sum(12 + length(role) + 1 + length({_TEXT}) + 10 + 1) - 1 AS BIGINT) AS formatted_chars,
   bool_and(CASE WHEN n = 1 THEN role IN ('system', 'user') WHEN before IN ('system', 'assistant') THEN role = 'user' OR (before = 'assistant' AND role = 'tool')
-    ELSE role IN ('assistant', 'tool') END) AS valid
+    ELSE role IN ('assistant', 'tool') END) AND arg_max(role, n) = 'assistant' AS valid
 FROM o GROUP BY conv_id"""
 }
 QUERIES = {"op9_chat_format": op9_chat_format}
