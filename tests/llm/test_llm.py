@@ -343,10 +343,26 @@ def test_chat_is_reversible(spark):
     t = chat.Template()
     for c in (1, 2, 3, 4, None):
         assert chat.read_back(out[c]["formatted"], t) == [(r or "", x or "") for i, _, r, x in rows if i == c]
-    assert [chat.unescape(out[1]["formatted"][s["start"] : s["end"]]) for s in out[1]["segments"] if s["loss"]] == [rows[1][3]]
+    assert [chat.unescape(out[1]["formatted"][s["start"] : s["end"]], t) for s in out[1]["segments"] if s["loss"]] == [rows[1][3]]
     assert out[1]["valid"] and not out[2]["valid"] and out[4]["error_turn"] == 2 and out[2]["error_turn"] == 0
 
 
+def test_chats_that_end_with_the_user(spark):
+    rows = [(1, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (3, 0, "system", "a")]
+    out = {g["conv_id"]: (g["valid"], g["error_turn"]) for g in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert out == {1: (False, 1), 2: (True, None), 3: (False, 1)}
+
+
+def test_other_templates_escape_their_own_marks():
+    t = chat.Template(begin="[INST]", end="[/INST]", between=" ", after_role=": ", marks=("[INST]", "[/INST]"))
+    r = random.Random(15)
+    turns = [("".join(r.choice(["[INST]", "[/INST]", "[", "\\", ": ", "n", "INST]"]) for _ in range(r.randrange(8))), "".join(r.choice(["[INST]", "[\\INST]", "[/INST]", "[", "/INST]", "\\", " ", ": "]) for _ in range(r.randrange(9)))) for _ in range(300)]
+    assert chat.read_back("".join(x for x, _ in chat.segments(turns, t)), t) == turns
+    for bad in ({"marks": ("<\\|",)}, {"marks": ("<|<",)}, {"begin": "[INST]"}, {"after_role": ""}):
+        with pytest.raises(ValueError):
+            chat.Template(**bad)
+
+
 def test_secrets(spark):
     key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
     rows = [(1, f'x\ntoken = "{key}" y'), (2, "sha256 " + key), (3, None), (4, ""), (5, "anordinarylongwordofletters1 here"), (6, f'é token = "{key}"'), (None, f'api_key="{key}"')]
@@ -379,6 +395,32 @@ def test_secrets_without_a_digit(spark):
     assert all(sum(a <= i < a + 40 for i in found) >= 36 for a in (0, 100, 200)) and not any(i >= 300 for i in found)
 
 
+def test_secret_spans(spark):
+    """A finding is the value alone, whatever names it; padding belongs to it; contexts reach over the candidate before."""
+    held = [
+        ("API_KEY=", "ghp_aB3dE5fG7hJ9kL1mN3pQ5rS7tU9vW1xY3zA5", " x"),
+        ("aws_secret_access_key=", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzzzzzzzKEYx1", ""),
+        ("é password: '", "hunter2!xy", "'"),
+        ("pwd=", "Tr0ub4dor&3", ";"),
+        ("api_key = ", "QUJDREVGR0hJSktMTU5PUFFSU1RVVg==", " end"),
+    ]
+    none = ["token = get_token_from_session(user)", "secret: nevermind about it", "token=${TOKEN_VALUE}", "the password: required field", "1234567890123456 card", "sha256 " + "ab12" * 16]
+    rows = [(i, a + b + c) for i, (a, b, c) in enumerate(held)] * 2 + [(100 + i, x) for i, x in enumerate(none)] + [(200, " ".join(none) + "\n" + "".join(held[0]))]
+    t = docs(spark, rows).selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS path", "'clash' AS c", "'clash' AS score")
+    out = sorted((g["doc_id"], g["first_char"], g["n_chars"], g["secret_sha256"]) for g in secrets.find_secrets(t).collect())
+    found = lambda i, at, x: (i, at + 1, len(x), hashlib.sha256(x.encode()).hexdigest())
+    assert out == sorted([found(i, len(a), b) for i, (a, b, _) in enumerate(held)] * 2 + [found(200, len(" ".join(none)) + 1 + len(held[0][0]), held[0][1])])
+
+
+def test_secrets_planted_in_documents(spark):
+    """Precision and recall on the tokens that the table holds."""
+    d = "/root/testdata/sf0.01"
+    t = spark.read.parquet(f"{d}/documents.parquet").where("text IS NOT NULL").select("doc_id", "text").collect()
+    want = {(g["doc_id"], m.start(1) + 1) for g in t for m in re.finditer('(?i)token = "([0-9a-f]{40})"', g["text"])}
+    got = {(g["doc_id"], g["first_char"]) for g in secrets.op8_secret_scan(spark, d).collect()}
+    assert want and len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.95 * len(got)
+
+
 def test_quality_from_positives_and_unlabelled():
     from talus.llm._features import text_features
 
