@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from talus.functions import geometry as G
-from talus.session import cut
+from talus.session import cut, drop
 
-#: Expected points of a tile, and rows of a distance matrix at a time.
-TILE, ROWS = 1500, 256
+#: Expected points of a tile; points of a tile above which it is cut in eight; points that one task compares with at a time.
+TILE, MOST, PART = 1500, 6000, 24_000
+#: How often a tile may be cut; rows still open that are few enough to be compared with everything; distances held at a time.
+LEVELS, SCAN, HELD = 24, 2000, 1 << 21
 
 
 def extent(cloud: DataFrame) -> dict:
@@ -22,78 +27,173 @@ def extent(cloud: DataFrame) -> dict:
 def k_nearest(q: np.ndarray, ids: np.ndarray, pts: np.ndarray, all_ids: np.ndarray, k: int, skip_self: bool):
     """ids and distances of the k nearest by (distance, id), for each row of q; -1 and inf where there are fewer."""
     out_i, out_d = np.full((len(q), k), -1, np.int64), np.full((len(q), k), np.inf)
-    for at in range(0, len(q), ROWS):
-        part = q[at : at + ROWS]
+    order = np.argsort(all_ids, kind="stable")
+    pts, all_ids = pts[order], all_ids[order]
+    m, step = min(k, len(pts)), max(1, HELD // max(1, len(pts)))
+    for at in range(0, len(q) if m else 0, step):
+        part = q[at : at + step]
         d = np.sqrt((part[:, None, 0] - pts[None, :, 0]) ** 2 + (part[:, None, 1] - pts[None, :, 1]) ** 2 + (part[:, None, 2] - pts[None, :, 2]) ** 2)
         if skip_self:
-            d[ids[at : at + ROWS, None] == all_ids[None, :]] = np.inf
-        m = min(k, d.shape[1])
-        limit = np.partition(d, m - 1, axis=1)[:, m - 1]
-        for i in range(len(part)):
-            near = np.flatnonzero((d[i] <= limit[i]) & np.isfinite(d[i]))
-            near = near[np.lexsort((all_ids[near], d[i][near]))][:k]
-            out_i[at + i, : len(near)], out_d[at + i, : len(near)] = all_ids[near], d[i][near]
+            d[ids[at : at + step, None] == all_ids[None, :]] = np.inf
+        near = np.sort(np.argpartition(d, m - 1, axis=1)[:, :m], axis=1)  # in the order of ids
+        far = np.take_along_axis(d, near, axis=1)
+        limit = far.max(axis=1)
+        for i in np.flatnonzero((d <= limit[:, None]).sum(axis=1) > m):  # ties at the last place
+            tied = np.flatnonzero(d[i] <= limit[i])
+            near[i] = np.sort(tied[np.argsort(d[i][tied], kind="stable")][:m])
+            far[i] = d[i][near[i]]
+        rank = np.argsort(far, axis=1, kind="stable")
+        near, far = np.take_along_axis(near, rank, axis=1), np.take_along_axis(far, rank, axis=1)
+        out_d[at : at + step, :m] = far
+        out_i[at : at + step, :m] = np.where(np.isfinite(far), all_ids[near], -1)
     return out_i, out_d
 
 
+_ROWS = "pid long, rank int, nid long, dist double"
+
+
+def _long(ids, i, d, keep) -> pa.Table:
+    """(pid, rank, nid, dist) of the places that ``keep`` marks in matrices of ids and distances."""
+    row, place = np.nonzero(keep)
+    return pa.table({"pid": ids[row], "rank": (place + 1).astype(np.int32), "nid": i[row, place], "dist": d[row, place]})
+
+
 def _tile(k: int, halo: float, last: bool, skip_self: bool):
+    """Final rows of a tile; a row that isn't final has rank 0. Of a tile in parts: what each part finds, with -1 - part as rank of what it
+    didn't find."""
+
     def run(t: pa.Table) -> pa.Table:
         get = lambda c: t.column(c).to_numpy()
-        pts = np.stack([get("x"), get("y"), get("z")], axis=1)
-        ask, have, ids = get("ask"), get("have"), get("pid")
-        q, qi = pts[ask], ids[ask]
-        i, d = k_nearest(q, qi, pts[have], ids[have], k, skip_self) if have.any() else (np.full((len(q), k), -1), np.full((len(q), k), np.inf))
-        done = np.full(len(q), last) | (d[:, -1] <= halo)
-        flat = np.arange(len(q)).repeat(k)
-        rank = np.tile(np.arange(1, k + 1), len(q))
-        keep = (i.ravel() >= 0) & done[flat] | (rank == 1) & ~done[flat]
-        open_ = ~done[flat][keep]
-        return pa.table({"pid": qi[flat][keep], "rank": np.where(open_, 0, rank[keep]).astype(np.int32), "nid": i.ravel()[keep], "dist": d.ravel()[keep]})
+        pts, ask, have, ids = np.stack([get("x"), get("y"), get("z")], axis=1), get("ask"), get("have"), get("pid")
+        own = ids[ask]
+        i, d = k_nearest(pts[ask], own, pts[have], ids[have], k, skip_self)
+        there = i >= 0
+        if t.column("parts")[0].as_py() > 1:
+            there[:, 0] = True
+            out = _long(own, i, d, there)
+            return out.append_column("final", pa.array(np.zeros(len(out), bool)))
+        done = np.full(len(own), last) | (d[:, -1] <= halo)
+        keep = there & done[:, None]
+        keep[~done, 0] = True
+        out = _long(own, i, d, keep)
+        final = np.isin(out.column("pid").to_numpy(), own[done])
+        return out.set_column(1, "rank", pa.array(np.where(final, out.column("rank").to_numpy(), 0).astype(np.int32))).append_column("final", pa.array(np.ones(len(out), bool)))
 
     return run
 
 
+def _merged(rows: DataFrame, k: int, halo: float, last: bool) -> DataFrame:
+    """The k best of what the parts found; rank 0 for a row that isn't final."""
+    order = Window.partitionBy("pid").orderBy("dist", "nid")
+    best = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    done = f"{str(last).lower()} OR max(CASE WHEN rank = {k} THEN dist END) OVER (PARTITION BY pid) <= {halo!r}D"
+    best = best.selectExpr("pid", "rank", "nid", "dist", f"coalesce({done}, false) AS done").where("done AND nid >= 0 OR NOT done AND rank = 1")
+    return best.selectExpr("pid", "CAST(CASE WHEN done THEN rank ELSE 0 END AS INT) AS rank", "nid", "dist")
+
+
+def _in_tiles(points: DataFrame, edge: float, reach: float = 0.0) -> DataFrame:
+    """points with the tiles (tx, ty, tz) that they are in, or within reach of."""
+    cell = lambda c, d="": f"CAST(floor(({c}{d}) / {edge!r}D) AS BIGINT)"
+    for c in "xyz":
+        points = points.selectExpr("*", f"explode(sequence({cell(c, f' - {reach!r}D')}, {cell(c, f' + {reach!r}D')})) AS t{c}" if reach else f"{cell(c)} AS t{c}")
+    return points
+
+
+_T = ["tx", "ty", "tz"]
+
+
+def _round(ask: DataFrame, have: DataFrame, k: int, edge: float, halo: float, last: bool, skip_self: bool) -> DataFrame:
+    """(pid, rank, nid, dist) of the rows that are final by what lies within the halo of their tile; rank 0 for the others.
+
+    Only tiles that ask get points; one with too many is dealt out in parts, whose results are merged."""
+    ask = _in_tiles(ask.select("pid", "x", "y", "z"), edge)
+    near = _in_tiles(have.select("pid", "x", "y", "z"), edge, halo).join(ask.select(*_T).distinct(), _T, "left_semi")
+    large = cut(near.groupBy(*_T).agg(F.count("*").alias("n")).where(F.col("n") > PART).selectExpr(*_T, f"CAST(ceil(n / {PART}) AS INT) AS parts"))
+    split = not large.isEmpty()
+    if split:
+        near = near.join(large, _T, "left").selectExpr("*", "CAST(pmod(xxhash64(pid), coalesce(parts, 1)) AS INT) AS part")
+        ask = ask.join(large, _T, "left").selectExpr("*", "explode(sequence(0, coalesce(parts, 1) - 1)) AS part")
+    sided = lambda t, a, h: t.selectExpr("pid", "x", "y", "z", *_T, *(["coalesce(parts, 1) AS parts", "part"] if split else ["1 AS parts", "0 AS part"]), f"{a} AS ask", f"{h} AS have")
+    both = sided(near, "false", "true").unionByName(sided(ask, "true", "false"))
+    rows = both.groupBy(*_T, "part").applyInArrow(_tile(k, halo, last, skip_self), f"{_ROWS}, final boolean")
+    if not split:
+        drop(large)
+        return rows.drop("final")
+    rows = cut(rows)
+    return rows.where("final").drop("final").unionByName(_merged(rows.where("NOT final"), k, halo, last))
+
+
+def _compare(shared, k: int, skip_self: bool):
+    def run(batches):
+        ids, q = shared.value
+        best_i, best_d = np.full((len(q), k), -1, np.int64), np.full((len(q), k), np.inf)
+        for batch in batches:
+            get = lambda c: batch.column(c).to_numpy(zero_copy_only=False)  # noqa: E731, B023
+            i, d = k_nearest(q, ids, np.stack([get("x"), get("y"), get("z")], axis=1), get("pid"), k, skip_self)
+            i, d = np.concatenate([best_i, i], axis=1), np.concatenate([best_d, d], axis=1)
+            rank = np.lexsort((i, d), axis=1)[:, :k]
+            best_i, best_d = np.take_along_axis(i, rank, axis=1), np.take_along_axis(d, rank, axis=1)
+        for b in _long(ids, best_i, best_d, best_i >= 0).to_batches():
+            yield b
+
+    return run
+
+
+def _scan(ask: DataFrame, have: DataFrame, k: int, skip_self: bool) -> DataFrame:
+    """Rows that stand alone, SCAN at most: compared with everything in one pass, each task's k best merged."""
+    rows = ask.select("pid", "x", "y", "z").toArrow()
+    get = lambda c: rows.column(c).to_numpy()
+    shared = ask.sparkSession.sparkContext.broadcast((get("pid"), np.stack([get("x"), get("y"), get("z")], axis=1)))
+    found = have.select("pid", "x", "y", "z").mapInArrow(_compare(shared, k, skip_self), _ROWS)
+    return _merged(found, k, 0.0, True)
+
+
 def nearest(ask: DataFrame, have: DataFrame, k: int, skip_self: bool) -> DataFrame:
     """Exact k nearest rows of ``have`` for each of ``ask``: (pid, rank, nid, dist), ordered by (dist, nid).
 
-    Space is cut into tiles; each holds its own points and those within a halo. A row is final once its k-th distance is inside the halo; the others
-    go to a round with a wider halo, the last of which covers everything."""
+    Space is cut into tiles, dense ones into eight over and over until a tile holds no more than MOST points (counts are one aggregate a
+    level). A tile compares its own points with those within a halo. A row is final once its k-th distance is inside the halo; the others go to a
+    round with a wider halo until they are few, and those are compared with everything in one pass. A task never holds more than PART points
+    to compare with. Points of one place can't be told apart by tiles: their pairs are all compared, in parts."""
     box = extent(have)
     n = box["n"]
     if not n:
         return ask.selectExpr("pid", "1 AS rank", "pid AS nid", "0e0 AS dist").limit(0)
     asked = extent(ask)
-    span = np.array([max(box[f"hi{c}"], asked[f"hi{c}"] or box[f"hi{c}"]) - min(box[f"lo{c}"], asked[f"lo{c}"] if asked[f"lo{c}"] is not None else box[f"lo{c}"]) for c in "xyz"])
+    some = lambda a, b: b if a is None else a
+    span = np.array([max(box[f"hi{c}"], some(asked[f"hi{c}"], box[f"hi{c}"])) - min(box[f"lo{c}"], some(asked[f"lo{c}"], box[f"lo{c}"])) for c in "xyz"])
     real = span > 1e-12
-    volume = float(np.prod(span[real])) if real.any() else 1.0
-    dims = max(1, int(real.sum()))
-    edge = (volume * TILE / n) ** (1 / dims)
-    halo = (volume * 3 * (k + 1) / n) ** (1 / dims) / 2
     diagonal = float(np.sqrt((span**2).sum())) + 1e-9
-    done, todo = None, ask.select("pid", "x", "y", "z")
+    dims = max(1, int(real.sum()))
+    edge = (float(np.prod(span[real])) * TILE / n) ** (1 / dims) if real.any() else 1.0
+    if n <= TILE:
+        return _round(ask, have, k, 4 * diagonal + 1, 2 * diagonal, True, skip_self)
+    reach = (3 * (k + 1) / TILE) ** (1 / dims) / 2
+    parts, todo, dense, own = [], ask.select("pid", "x", "y", "z"), have.select("pid", "x", "y", "z"), edge
+    for _ in range(LEVELS):
+        full = cut(_in_tiles(dense, own).groupBy(*_T).agg(F.count("*").alias("n")).where(F.col("n") > MOST).select(*_T))
+        if full.isEmpty():
+            break
+        of = lambda t, how: _in_tiles(t, own).join(full, _T, how).drop(*_T)  # noqa: B023, E731
+        parts.append((of(todo, "left_anti"), own))
+        todo, dense, own = cut(of(todo, "left_semi")), cut(of(dense, "left_semi")), own / 2
+    parts.append((todo, own))
+    done, left = [], []
+    for rows, e in parts:
+        found = cut(_round(rows, have, k, e, reach * e, False, skip_self))
+        done.append(found.where("rank > 0"))
+        left.append(found.where("rank = 0").select("pid"))
+    left, halo = reduce(DataFrame.unionByName, left), reach * edge
     while True:
-        last = halo >= diagonal or n <= TILE
-        if last:
-            edge = max(edge, 2 * diagonal)
-        both = have.selectExpr("pid", "x", "y", "z", "true AS have", "false AS ask").unionByName(todo.selectExpr("pid", "x", "y", "z", "false AS have", "true AS ask"))
-        reach = f"IF(ask, 0e0, {halo!r}D)"
-        cell = lambda c: f"explode(sequence(CAST(floor(({c} - {reach}) / {edge!r}) AS BIGINT), CAST(floor(({c} + {reach}) / {edge!r}) AS BIGINT))) AS t{c}"  # noqa: E731, B023
-        tiles = both
-        for c in "xyz":
-            tiles = tiles.selectExpr("*", cell(c))
-        if last:
-            tiles = both.selectExpr("*", "0L AS tx", "0L AS ty", "0L AS tz") if n <= TILE else tiles
-        rows = tiles.groupBy("tx", "ty", "tz").applyInArrow(_tile(k, halo, last, skip_self), "pid long, rank int, nid long, dist double")
-        if last:
-            return rows if done is None else done.unionByName(rows)
-        rows = cut(rows)
-        good = rows.where("rank > 0")
-        done = good if done is None else done.unionByName(good)
-        left = rows.where("rank = 0").select("pid")
-        if left.isEmpty():
-            return done
-        todo = cut(todo.join(left, "pid", "left_semi"))
-        halo *= 2.5
+        todo = cut(ask.select("pid", "x", "y", "z").join(left, "pid", "left_semi"))
+        rest = todo.count()
+        if rest <= SCAN:
+            done += [_scan(todo, have, k, skip_self)] if rest else []
+            return reduce(DataFrame.unionByName, done)
+        last = halo >= diagonal
+        found = cut(_round(todo, have, k, max(edge, 2 * halo), halo, last, skip_self))
+        done.append(found.where("rank > 0"))
+        left, halo = found.where("rank = 0").select("pid"), halo * 2.5
 
 
 def knn(cloud: DataFrame, k: int = 20) -> DataFrame:

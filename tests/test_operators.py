@@ -1,4 +1,5 @@
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -23,9 +24,10 @@ def brute(p, k):
     return [sorted((d[i, j], j) for j in range(len(p)) if j != i)[:k] for i in range(len(p))]
 
 
-@pytest.mark.parametrize("kind", ["uniform", "clusters", "duplicates", "flat"])
+@pytest.mark.parametrize("kind", ["uniform", "clusters", "duplicates", "flat", "outlier"])
 def test_knn_equals_brute_force(spark, kind, monkeypatch):
-    monkeypatch.setattr(spatial, "TILE", 60)
+    for name, value in (("TILE", 60), ("MOST", 120), ("PART", 90), ("SCAN", 8)):
+        monkeypatch.setattr(spatial, name, value)
     r = np.random.default_rng(1)
     p = r.random((400, 3))
     if kind == "clusters":
@@ -34,6 +36,9 @@ def test_knn_equals_brute_force(spark, kind, monkeypatch):
         p = np.repeat(p[:80], 4, axis=0)
     if kind == "flat":
         p[:, 2] = 0
+    if kind == "outlier":
+        p[:380] = p[:380] * 1e-3
+        p[0] = 50
     got = {}
     for row in spatial.knn(frame(spark, p), 5).collect():
         got.setdefault(row["pid"], []).append((row["dist"], row["nid"]))
@@ -41,6 +46,28 @@ def test_knn_equals_brute_force(spark, kind, monkeypatch):
     assert all([j for _, j in sorted(got[i])] == [j for _, j in want[i]] for i in range(len(p)))
 
 
+def test_no_task_gets_a_dense_ball(spark, monkeypatch, tmp_path):
+    """One far outlier and one dense ball: what a task compares with stays bounded, and so does the number of distances."""
+    for name, value in (("TILE", 100), ("MOST", 300), ("PART", 800), ("SCAN", 50)):
+        monkeypatch.setattr(spatial, name, value)
+    plain = spatial.k_nearest
+
+    def counted(q, ids, pts, all_ids, k, skip_self):
+        with open(f"{tmp_path}/{uuid.uuid4().hex}", "w") as f:
+            f.write(f"{len(q)} {len(pts)}")
+        return plain(q, ids, pts, all_ids, k, skip_self)
+
+    monkeypatch.setattr(spatial, "k_nearest", counted)
+    r = np.random.default_rng(5)
+    p = np.concatenate([r.normal(0, 1e-3, (4000, 3)), r.random((100, 3)), [[900.0, 900, 900]]])
+    out = spatial.knn(frame(spark, p).repartition(8), 5).toPandas()
+    sizes = [tuple(map(int, f.read_text().split())) for f in tmp_path.iterdir()]
+    assert len(out) == 5 * len(p) and sizes and max(n for _, n in sizes) <= 1.3 * 800 and sum(a * b for a, b in sizes) <= len(p) ** 2 / 2
+    want = brute(p, 5)
+    got = out.sort_values(["pid", "rank"]).groupby("pid")["nid"].apply(list)
+    assert all(got[i] == [j for _, j in want[i]] for i in range(len(p)))
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 6])
 def test_few_points(spark, n):
     p = np.random.default_rng(n).random((n, 3))
