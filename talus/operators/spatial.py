@@ -201,15 +201,17 @@ def knn(cloud: DataFrame, k: int = 20) -> DataFrame:
     return nearest(cloud, cloud, k, True)
 
 
-def radius_join(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
-    """(pid, nid, dist) with dist <= radius: b is copied to the cells around its own, so the join is on equal cells."""
+def radius_join(a: DataFrame, b: DataFrame, radius: float, coordinates: bool = False) -> DataFrame:
+    """(pid, nid, dist) with dist <= radius: b is copied to the cells around its own, so the join is on equal cells. With coordinates also
+    those of both (x, y, z; bx, by, bz), for sums that need no other join."""
     cell = lambda c, d="": f"CAST(floor({c} / {radius!r}) AS BIGINT) {d} AS g{c}"
     left = a.selectExpr("pid", "x", "y", "z", *[cell(c) for c in "xyz"])
     right = b.selectExpr("pid AS nid", "x AS bx", "y AS by", "z AS bz")
     for c in "xyz":
         right = right.selectExpr("*", f"explode(transform(array(-1L, 0L, 1L), d -> d + CAST(floor(b{c} / {radius!r}) AS BIGINT))) AS g{c}")
     d = "sqrt((x - bx) * (x - bx) + (y - by) * (y - by) + (z - bz) * (z - bz))"
-    return left.join(right, ["gx", "gy", "gz"]).selectExpr("pid", "nid", f"{d} AS dist").where(F.col("dist") <= radius)
+    more = ["x", "y", "z", "bx", "by", "bz"] if coordinates else []
+    return left.join(right, ["gx", "gy", "gz"]).selectExpr("pid", "nid", f"{d} AS dist", *more).where(F.col("dist") <= radius)
 
 
 def radius_pairs(cloud: DataFrame, radius: float) -> DataFrame:

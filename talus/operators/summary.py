@@ -79,18 +79,23 @@ def display_sample(rows: DataFrame, most: int, seed: int = 0) -> DataFrame:
     return rows.orderBy(F.col("label") == 0, F.xxhash64("pid", F.lit(seed))).limit(most)
 
 
-def bootstrap_sample(rows: DataFrame, most: int, seed: int = 0) -> DataFrame:
-    """min(``most``, rows) draws with replacement; ids need not be dense. A draw is a place in the order of a seeded hash.
+def placed(rows: DataFrame, seed: int = 0) -> tuple[DataFrame, int]:
+    """rows with place, 0 to their number less one, in the order of a seeded hash of their ids (which need not be dense); and their number.
 
     Places are dealt by range over buckets of the hash: bucket sizes come first, so no window runs over the whole table."""
-    spark, n = rows.sparkSession, 1 << 12
+    n = 1 << 12
     keyed = rows.withColumn("h_", F.xxhash64("pid", F.lit(seed))).withColumn("b_", F.pmod("h_", F.lit(n)).cast("int"))
-    sizes = keyed.groupBy("b_").agg(F.count("*").alias("m")).orderBy("b_")
+    sizes = keyed.groupBy("b_").agg(F.count("*").alias("m"))
     before = sizes.selectExpr("b_", "sum(m) OVER (ORDER BY b_) - m AS before")  # one row a bucket: 4,096 at most
-    placed = keyed.join(F.broadcast(before), "b_").withColumn("place", F.expr("before + row_number() OVER (PARTITION BY b_ ORDER BY h_, pid) - 1"))
-    total = sizes.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
-    draws = spark.range(min(most, total)).selectExpr(f"pmod(xxhash64(id, {seed}), {max(total, 1)}L) AS place")
-    return placed.join(draws, "place").select(rows.columns)
+    out = keyed.join(F.broadcast(before), "b_").withColumn("place", F.expr("before + row_number() OVER (PARTITION BY b_ ORDER BY h_, pid) - 1"))
+    return out.select(*rows.columns, "place"), sizes.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+
+
+def bootstrap_sample(rows: DataFrame, most: int, seed: int = 0) -> DataFrame:
+    """min(``most``, rows) draws with replacement. A draw is a place in the order of a seeded hash."""
+    own, total = placed(rows, seed)
+    draws = rows.sparkSession.range(min(most, total)).selectExpr(f"pmod(xxhash64(id, {seed}), {max(total, 1)}L) AS place")
+    return own.join(draws, "place").select(rows.columns)
 
 
 def elongation(models: DataFrame) -> DataFrame:

@@ -53,9 +53,8 @@ def minima(cloud: DataFrame, rough: DataFrame) -> DataFrame:
 
 def plane(cloud: DataFrame) -> DataFrame:
     """One row: centre, upward unit normal and eigenvalues of the least-squares plane."""
-    m = cloud.selectExpr(*[f"{c}" for c in "xyz"])
-    one = sql(f"SELECT {G.moments()} FROM {{m}}", m=m)
-    return sql(f"SELECT *, sx / n AS mx, sy / n AS my, sz / n AS mz FROM {G.nest(f'(SELECT *, {G.covariance(0)} FROM {{one}})', [*G.eigen_steps(), *G.normal_steps()])} AS t", one=one)
+    m = cloud.agg(*[F.expr(e.format(x="x", y="y", z="z")).alias(k) for k, e in G.MOMENTS.items()])
+    return stepwise(m, [G.covariance(0), *G.eigen_steps(), *G.normal_steps(), "sx / n AS mx, sy / n AS my, sz / n AS mz"])
 
 
 def rotation_between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -119,11 +118,18 @@ def scales(k: int) -> list[int]:
     return sorted({6, max(6, k // 2), k}) if k > 6 else [k]
 
 
-def eigen_table(rows: DataFrame, ddof: int = 1, normals: bool = False) -> DataFrame:
-    """rows (pid, x, y, z), many for each pid: moments, eigenvalues l0 <= l1 <= l2 and, if asked, the upward normal."""
-    m = sql(f"SELECT pid, {G.moments()} FROM {{rows}} GROUP BY pid", rows=rows)
-    steps = [*G.eigen_steps(), *(G.normal_steps() if normals else [])]
-    return sql(f"SELECT * FROM {G.nest(f'(SELECT *, {G.covariance(ddof)} FROM {{m}})', steps)} AS t", m=m)
+def stepwise(rows: DataFrame, steps: list[str]) -> DataFrame:
+    """rows with the columns of each SELECT list, one over the other. Each is a row of its own kind (inline), so that Spark doesn't put the steps
+    into one another: a column that is used often would be computed as often, and the code would outgrow a method."""
+    for s in steps:
+        rows = rows.selectExpr("*", f"inline(array(struct({s})))")
+    return rows
+
+
+def eigen_table(rows: DataFrame, ddof: int = 1, normals: bool = False, keys: tuple[str, ...] = ("pid",), xyz: tuple[str, str, str] = ("x", "y", "z")) -> DataFrame:
+    """rows (keys, x, y, z), many for each key: moments, eigenvalues l0 <= l1 <= l2 and, if asked, the upward normal."""
+    m = rows.groupBy(*keys).agg(*[F.expr(e.format(x=xyz[0], y=xyz[1], z=xyz[2])).alias(k) for k, e in G.MOMENTS.items()])
+    return stepwise(m, [G.covariance(ddof), *G.eigen_steps(), *(G.normal_steps() if normals else [])])
 
 
 def normals(nbr: DataFrame, cloud: DataFrame) -> DataFrame:

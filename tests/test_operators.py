@@ -149,35 +149,38 @@ def test_minima_filter_drops_equal_roughness(spark):
         roughness.roughness(f, M.Parameters(), "other")
 
 
-def test_matlab_roughness_counts_every_draw(spark):
-    means = [0.05, 1.0, 3.5, 12.0, 300.0, 2000.0]
-    u = "(id + 0.5e0) / 20000e0"
-    for mean, got in zip(means, spark.range(20000).selectExpr(*[f"{roughness.poisson(u, m)} AS w{i}" for i, m in enumerate(means)]).toPandas().to_numpy().T):
-        assert got.mean() == pytest.approx(mean, rel=2e-3) and got.var() == pytest.approx(mean, rel=1e-2)
+@pytest.mark.parametrize("mode", ["matlab", "fast"])
+def test_roughness_counts_every_draw(spark, mode):
+    """Against a plain version on the same draws: as many centres a scale as the rule says, each as often as it was drawn."""
+    from talus.operators import summary as U
 
     r, n = np.random.default_rng(3), 24
     p = np.repeat([[0, 0, 0], [2, 0, 0.1], [0, 2, 0.1], [2, 2, 0]], 6, axis=0) + r.random((n, 3)) * [0.07, 0.07, 0.03]
-    f, par = frame(spark, p), M.Parameters(minscale=0.1, maxscale=1.0)
+    f, par = frame(spark, p), M.Parameters(minscale=0.1, maxscale=1.0, nscale=3)
     area = float(np.prod(np.ptp(p[:, :2], axis=0)))
-    radii = np.geomspace(0.1, 1.0, round(area))[::-1]
-    assert round(round(area) / 0.1**2) / n > 3
-    hashes = f.orderBy("pid").selectExpr(*[f"(pmod(xxhash64(pid, 0, {i}), 1000000007) + 0.5e0) / 1000000007e0 AS u{i}" for i in range(len(radii))]).toPandas().to_numpy()
+    many = round(area) if mode == "matlab" else 3
+    radii = np.geomspace(0.1, 1.0, many)
+    draws = [max(1, round(many / x**2)) if mode == "matlab" else min(n, int(np.clip(area / x**2, 32, 512))) for x in radii]
+    assert draws[0] / n > 3 or mode == "fast"
+    points, total = U.placed(f, 0)
+    at = {g["place"]: g["pid"] for g in points.collect()}
+    assert total == n and sorted(at) == list(range(n))
+    drawn = roughness.scale_table(spark, radii.tolist(), draws).selectExpr("scale", f"pmod(xxhash64(i, scale, 0), {n}L) AS place").collect()
+    assert [sum(g["scale"] == i for g in drawn) for i in range(many)] == draws
     sums, weights = np.zeros(n), np.zeros(n)
     for i, radius in enumerate(radii.tolist()):
-        mean = round(round(area) / radius**2) / n
         for c in range(n):
-            w, part, total = 0, math.exp(-mean), math.exp(-mean)
-            while total <= hashes[c, i]:
-                w, part = w + 1, part * mean / (w + 1)
-                total += part
+            w = sum(g["scale"] == i and at[g["place"]] == c for g in drawn)
             near = np.flatnonzero(((p - p[c]) ** 2).sum(axis=1) <= radius**2)
-            if w and len(near) >= 3:
+            if w and len(near) >= (3 if mode == "matlab" else 6):
                 q = p[near] - p[near].mean(axis=0)
                 normal = np.linalg.svd(q)[2][2]
-                sums[near] += -(q @ (normal * np.sign(normal[2]))) * w / radius
+                off = -(q @ (normal if normal[2] > 0 else -normal))
+                sums[near] += w * (off if mode == "matlab" else np.abs(off)) / radius
                 weights[near] += w
-    out = roughness.roughness(f, par).orderBy("pid").toPandas()["rough"].to_numpy()
-    assert out == pytest.approx(sums / np.maximum(weights, 1), abs=1e-6) and abs(out).max() > 1e-3
+    want = np.divide(sums, weights, out=np.zeros(n), where=weights > 0)
+    got = roughness.roughness(f, par, mode).orderBy("pid").toPandas()["rough"]
+    assert np.allclose(got, want, atol=1e-9)
 
 
 def test_label_queries_join_whole_clouds(spark):
