@@ -5,7 +5,8 @@ than ``fuzzy_words`` words must be equal (any two lines of one word are one repl
 lines of fewer than ``least_words`` words always stay. By default no line with a word is left out. A line goes if any earlier line
 (smaller doc_id, then smaller line number) of the whole input is near-equal to it; what stays is joined again in its order.
 
-1. Equal lines are grouped (minima are combined before the shuffle): all but the earliest go.
+1. Equal lines are grouped (minima are combined before the shuffle): all but the earliest go. What is kept of a document are the numbers of
+   its lines that are the earliest of their kind, so lines are never joined with their groups.
 2. Of the different lines, those that share the first or the last ``L`` words with another (one edit leaves one of both whole; L
    grows with the line) can have a partner; the others are done.
 3. Each of those emits all variants with one word less as hashed keys, besides the whole line. Equal keys join: within one (key,
@@ -13,10 +14,12 @@ lines of fewer than ``least_words`` words always stay. By default no line with a
    equals it. The join is to the earliest of each key, so a group of n lines makes n pairs.
 4. The edit distance of each pair is verified on the words.
 
-Nothing is broadcast: line numbers meet their texts by a shuffle on doc_id, twice.
+Nothing is broadcast: line numbers meet their texts by a shuffle on doc_id, twice. What joins large tables of keys is written first, so that
+Spark can split the partitions of a frequent key.
 
 Cases: null and empty texts have no lines and come back as they are; blank lines stay; texts and lines of any length are compared whole;
-rows of one doc_id count as one document, and each loses the lines of the numbers found (repeated rows so stay alike); rows with a null
+rows of one doc_id count as one document: repeated rows lose the same lines, and of different texts under one doc_id each loses the lines whose
+numbers are found in any; rows with a null
 doc_id neither lose lines nor count as earlier ones; an empty table gives an empty one. Other columns are kept; a column n_removed
 is replaced by the result. A text that loses all its lines becomes empty.
 """
@@ -27,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talus.llm._store import Workspace, small_batches
 from talus.llm._text import Words, buffers, mix, powers, slices
@@ -123,14 +127,19 @@ def _lines(least_words: int, fuzzy_words: int):
     return run
 
 
+def _lists(column: pa.Array) -> np.ndarray:
+    """(row, number) of a column of lists of line numbers, each once, in order; null counts as empty."""
+    column = column.fill_null([]) if column.null_count else column
+    row = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+    return np.unique(np.stack([row, column.flatten().to_numpy().astype(np.int64)], axis=1), axis=0) if len(row) else np.zeros((0, 2), np.int64)
+
+
 def _variants(batches):
     """For the lines that ``_LIST`` names: keys with the place of the missing word (first the whole line), and the words themselves."""
     for batch in batches:
         for lo, hi, w, text, number, a, b in _each(batch):
             ids = batch.column(_ID).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
-            wanted = batch.column(_LIST).slice(lo, hi - lo)
-            row = np.repeat(np.arange(hi - lo), np.diff(wanted.offsets.to_numpy()))
-            pair = np.unique(np.stack([row, wanted.flatten().to_numpy()], axis=1), axis=0) if len(row) else np.zeros((0, 2), np.int64)
+            pair = _lists(batch.column(_LIST).slice(lo, hi - lo))
             first = np.searchsorted(text, np.arange(hi - lo + 1))
             row, at = pair[:, 0], first[pair[:, 0]] + pair[:, 1]
             there = at < first[row + 1]
@@ -168,53 +177,75 @@ def _verify(batches):
         yield batch.select(["doc_id", "line"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _without(batches):
-    for batch in batches:
-        texts = [t if not gone or t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone) for t, gone in ((t, set(g or ())) for t, g in zip(batch.column("text").to_pylist(), batch.column(_LIST).to_pylist(), strict=True))]
-        at = batch.schema.get_field_index("text")
-        yield batch.set_column(at, "text", pa.array(texts, batch.schema.field(at).type))
+def _without(least_words: int):
+    """Texts less their lines of ``least_words`` words that ``_LIST`` doesn't name; a row without a number (``_ID``) keeps all."""
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, _, text, number, a, b in _each(batch):
+                part = batch.slice(lo, hi - lo)
+                kept = _lists(part.column(_LIST))
+                counts = b - a >= max(1, least_words)
+                known = ~part.column(_ID).is_null().to_numpy(zero_copy_only=False)
+                key = lambda r, n: r.astype(np.int64) << 32 | n
+                gone = counts & known[text] & ~np.isin(key(text, number), key(kept[:, 0], kept[:, 1]))
+                removed = np.bincount(text[gone], minlength=hi - lo)
+                texts = part.column("text")
+                if removed.any():
+                    texts, lost = texts.to_pylist(), {}
+                    for i, n in zip(text[gone].tolist(), number[gone].tolist(), strict=True):
+                        lost.setdefault(i, set()).add(n)
+                    for i, numbers in lost.items():
+                        texts[i] = "\n".join(x for n, x in enumerate(texts[i].split("\n")) if n not in numbers)
+                at = part.schema.get_field_index("text")
+                part = part.set_column(at, "text", pa.array(texts, part.schema.field(at).type) if isinstance(texts, list) else texts)
+                names = [c for c in part.schema.names if c not in (_ID, _LIST)]
+                yield pa.record_batch([*(part.column(c) for c in names), pa.array(removed, pa.int32())], [*names, "n_removed"])
+
+    return run
 
 
 def _with_lines(docs: DataFrame, lines: DataFrame, how: str) -> DataFrame:
     """docs with the array of line numbers of each doc_id."""
     lists = lines.groupBy(F.col("doc_id").alias(_ID)).agg(F.collect_list("line").alias(_LIST))
-    return docs.withColumn(_ID, F.col("doc_id").cast("long")).join(lists, _ID, how)
+    return docs.withColumn(_ID, F.col("doc_id").cast("long")).join(lists.hint("merge"), _ID, how)
 
 
-def removed_lines(docs: DataFrame, least_words: int = 1, fuzzy_words: int = 2) -> DataFrame:
-    """(doc_id, line) of every line that has an earlier near-equal line."""
+def kept_lines(docs: DataFrame, least_words: int = 1, fuzzy_words: int = 2) -> DataFrame:
+    """(doc_id, line) of every line of ``least_words`` words that has no earlier near-equal line."""
     small_batches(docs.sparkSession)
     ws = Workspace(docs.sparkSession, "lines")
     texts = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    lines = ws.put("all", texts.mapInArrow(_lines(least_words, max(2, fuzzy_words)), "h1 long, h2 long, doc_id long, line int, ends array<long>"))
-    first = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("at"))
-    dealt = ws.put("dealt", lines.join(first, ["h1", "h2"]).selectExpr("doc_id", "line", "struct(doc_id, line) > at AS copy", "ends").where("copy OR size(ends) > 0"))
-    ws.drop("all")
-    copies = dealt.where("copy").select("doc_id", "line")
-    ends = dealt.where("NOT copy").selectExpr("doc_id", "line", "explode(ends) AS key")
-    # a line given twice, by repeated rows, is no other line
-    shared = ends.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("x"), F.max(F.struct("doc_id", "line")).alias("y")).where("x < y").select("key")
-    some = ws.put("some", ends.join(shared, "key").select("doc_id", "line").distinct())
-    v = ws.put("variants", _with_lines(texts, some, "inner").mapInArrow(_variants, "doc_id long, line int, keys array<long>, words binary").dropDuplicates(["doc_id", "line"]))
+    lines = texts.mapInArrow(_lines(least_words, max(2, fuzzy_words)), "h1 long, h2 long, doc_id long, line int, ends array<long>")
+    first = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line", "ends")).alias("at")).select("at.*")
+    first = ws.put("first", first)
+    ends = first.selectExpr("doc_id", "line", "explode(ends) AS key")
+    shared = ws.put("shared", ends.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    some = ws.put("some", ends.join(shared.hint("merge"), "key").select("doc_id", "line").distinct())
+    given = _with_lines(texts, some, "inner").groupBy(_ID).agg(F.min("text").alias("text"), F.first(_LIST).alias(_LIST))  # repeated rows once
+    v = ws.put("variants", given.mapInArrow(_variants, "doc_id long, line int, keys array<long>, words binary"))
     keys = v.selectExpr("posexplode(keys) AS (place, key)", "struct(doc_id, line) AS at")
-    least = keys.groupBy("key", "place").agg(F.min("at").alias("least"), F.count("*").alias("n"))
-    # a key counts if it has two places or two lines at one place; each line meets the earliest at its place, and whole lines the earliest variant
-    tops = least.groupBy("key").agg(F.sum("n").alias("n"), F.min(F.when(F.col("place") == 0, F.col("least"))).alias("whole"), F.min(F.when(F.col("place") > 0, F.col("least"))).alias("part")).where("n > 1")
-    met = least.select("key", "place", "least").join(tops, "key")
-    pairs = keys.join(met, ["key", "place"]).selectExpr("at", "explode(array(least, CASE WHEN place = 0 THEN part ELSE whole END)) AS other").where("other < at").distinct()
+    met = ws.put("met", keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    keys = ws.put("keys", keys.join(met.hint("merge"), "key"))
+    # each line meets the earliest at its place, and whole lines the earliest variant
+    least = keys.groupBy("key", "place").agg(F.min("at").alias("least"))
+    tops = least.groupBy("key").agg(F.min(F.when(F.col("place") == 0, F.col("least"))).alias("whole"), F.min(F.when(F.col("place") > 0, F.col("least"))).alias("part"))
+    least = ws.put("least", least.join(tops, "key"))
+    pairs = keys.join(least.hint("merge"), ["key", "place"]).selectExpr("at", "explode(array(least, CASE WHEN place = 0 THEN part ELSE whole END)) AS other").where("other < at").distinct()
     words = lambda c, o: v.selectExpr(f"struct(doc_id, line) AS {c}", f"words AS {o}")
     near = pairs.join(words("at", "wa"), "at").join(words("other", "wb"), "other").select("at.doc_id", "at.line", "wa", "wb").mapInArrow(_verify, "doc_id long, line int")
-    gone = ws.put("gone", copies.unionByName(near).distinct())
-    ws.drop("dealt", "some", "variants")
-    return gone
+    near = ws.put("near", near.distinct())
+    kept = ws.put("kept", first.select("doc_id", "line").join(near.hint("merge"), ["doc_id", "line"], "left_anti"))
+    ws.drop("first", "shared", "some", "variants", "met", "keys", "least", "near")
+    return kept
 
 
 def dedup_lines(docs: DataFrame, least_words: int = 1, fuzzy_words: int = 2) -> DataFrame:
     """``docs`` with its texts less the lines that repeat an earlier one, and n_removed."""
     docs = docs.drop("n_removed")
-    both = _with_lines(docs, removed_lines(docs, least_words, fuzzy_words), "left")
-    out = both.select(*[F.col(f"`{c}`") for c in docs.columns], _LIST)
-    return out.mapInArrow(_without, out.schema).selectExpr(*[f"`{c}`" for c in docs.columns], f"coalesce(size({_LIST}), 0) AS n_removed")
+    both = _with_lines(docs, kept_lines(docs, least_words, fuzzy_words), "left").select(*[F.col(f"`{c}`") for c in docs.columns], _ID, _LIST)
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_removed", T.IntegerType())])
+    return both.mapInArrow(_without(least_words), schema)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
