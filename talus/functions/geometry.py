@@ -95,9 +95,11 @@ def barycentric() -> list[str]:
     return [f"(2 * {b} + {c}) / 2 AS tx", f"sqrt(3e0) / 2 * {c} AS ty"]
 
 
-def orientation(y: str, x: str) -> str:
-    """Angle of an axis from its two components, 0 to pi."""
-    turned = f"(atan2({y}, {x}) + pi() / 2)"
+def orientation(y: str, x: str, mode: str = "atan2") -> str:
+    """Angle of an axis from its two components, 0 to pi; mode matlab takes the arc tangent of their ratio (0 where x is nearly
+    0)."""
+    at = f"atan2({y}, {x})" if mode == "atan2" else f"CASE WHEN abs({x}) < {EPS} THEN 0e0 ELSE atan(({y}) / ({x})) END"
+    turned = f"({at} + pi() / 2)"
     return f"({turned} - pi() * floor({turned} / pi()))"
 
 

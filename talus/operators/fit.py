@@ -30,7 +30,12 @@ def principal_axes(p: np.ndarray) -> np.ndarray:
 
 
 def cuboid(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Centre, extents, axes by falling extent, and the eight corners of the box along the principal axes."""
+    """Centre, extents, axes by falling extent, and the eight corners of the box along the principal axes; two points span the box of their
+    coordinates, whose corners are four times the one and four times the other."""
+    if len(p) == 2:
+        ext = np.abs(p[1] - p[0])
+        order = np.argsort(-ext, kind="stable")
+        return p.mean(axis=0), ext[order], right_handed(np.eye(3)[:, order]), np.repeat(p, 4, axis=0)
     mean, q = p.mean(axis=0), principal_axes(p)
     local = (p - mean) @ q
     lo, hi = local.min(axis=0), local.max(axis=0)
@@ -45,7 +50,10 @@ def cuboid(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 
 
 def hull(p: np.ndarray) -> tuple[float, float] | None:
-    """Volume and area of the convex hull by adding the farthest outside point again and again; None if the points are flat."""
+    """Volume and area of the convex hull; None if the points are flat.
+
+    Quickhull: each facet keeps the points that lie over it; the farthest of one facet's points is added, and only the points of the facets
+    that it sees are dealt out again."""
     p = np.unique(p, axis=0)
     if len(p) < 4:
         return None
@@ -58,29 +66,37 @@ def hull(p: np.ndarray) -> tuple[float, float] | None:
     scale = float(np.ptp(p, axis=0).max())
     if np.linalg.norm(n) <= 1e-12 * scale**2 or abs(height[d]) <= 1e-10 * scale * np.linalg.norm(n):
         return None
-    inside = p[[a, b, c, d]].mean(axis=0)
-
-    def facet(i, j, k):
-        n = np.cross(p[j] - p[i], p[k] - p[i])
-        if n @ (p[i] - inside) < 0:
-            j, k, n = k, j, -n
-        return (i, j, k), n / max(np.linalg.norm(n), 1e-300)
-
-    faces = [facet(*f) for f in ((a, b, c), (a, b, d), (a, c, d), (b, c, d))]
-    tol = 1e-10 * scale
+    inside, tol = p[[a, b, c, d]].mean(axis=0), 1e-10 * scale
+    corners, normals, over = np.zeros((0, 3), np.int64), np.zeros((0, 3)), []
+
+    def add(facets: list[tuple[int, int, int]], points: np.ndarray) -> None:
+        nonlocal corners, normals
+        tri = np.array(facets)
+        n = np.cross(p[tri[:, 1]] - p[tri[:, 0]], p[tri[:, 2]] - p[tri[:, 0]])
+        inward = (n * (p[tri[:, 0]] - inside)).sum(axis=1) < 0
+        tri[inward] = tri[inward][:, [0, 2, 1]]
+        n[inward] *= -1
+        n /= np.maximum(np.linalg.norm(n, axis=1, keepdims=True), 1e-300)
+        far = p[points] @ n.T - (n * p[tri[:, 0]]).sum(axis=1)
+        best = far.argmax(axis=1) if len(points) else np.zeros(0, np.int64)
+        out = far[np.arange(len(points)), best] > tol
+        over.extend(points[out & (best == i)] for i in range(len(tri)))
+        corners, normals = np.concatenate([corners, tri]), np.concatenate([normals, n])
+
+    add([(a, b, c), (a, b, d), (a, c, d), (b, c, d)], np.arange(len(p)))
     for _ in range(4 * len(p)):
-        normal = np.stack([f[1] for f in faces])
-        base = (normal * p[[f[0][0] for f in faces]]).sum(axis=1)
-        over = (p @ normal.T - base).max(axis=1)
-        far = int(over.argmax())
-        if over[far] <= tol:
+        full = next((i for i, x in enumerate(over) if len(x)), None)
+        if full is None:
             break
-        seen = (normal @ p[far] - base) > tol / 10
-        edges = {e for f, s in zip(faces, seen, strict=True) if s for e in zip(f[0], (*f[0][1:], f[0][0]), strict=True)}
-        rim = [(i, j) for i, j in edges if (j, i) not in edges]
-        faces = [f for f, s in zip(faces, seen, strict=True) if not s] + [facet(i, j, far) for i, j in rim]
-    tri = np.array([f[0] for f in faces])
-    x, y, z = p[tri[:, 0]] - inside, p[tri[:, 1]] - inside, p[tri[:, 2]] - inside
+        far = int(over[full][((p[over[full]] - p[corners[full, 0]]) @ normals[full]).argmax()])
+        seen = (normals * (p[far] - p[corners[:, 0]])).sum(axis=1) > tol / 10
+        seen[full] = True
+        edges = {(int(f[i]), int(f[(i + 1) % 3])) for f in corners[seen] for i in range(3)}
+        points = np.concatenate([x for x, s in zip(over, seen, strict=True) if s])
+        over = [x for x, s in zip(over, seen, strict=True) if not s]
+        corners, normals = corners[~seen], normals[~seen]
+        add([(i, j, far) for i, j in edges if (j, i) not in edges], points[points != far])
+    x, y, z = p[corners[:, 0]] - inside, p[corners[:, 1]] - inside, p[corners[:, 2]] - inside
     return float(np.abs((np.cross(x, y) * z).sum(axis=1)).sum() / 6), float(np.linalg.norm(np.cross(y - x, z - x), axis=1).sum() / 2)
 
 
@@ -212,7 +228,7 @@ def block(p: np.ndarray, surface: float, cap: float | None) -> dict:
     v, a = found or (box, float(8 * (r[0] * r[1] + r[0] * r[2] + r[1] * r[2])))
     return {
         "fitok": True, "aqualityok": True, "sizecapok": bool(cap is None or ext[0] <= cap + 1e-9), "c": c, "r": r, "rot": q.ravel(), "axis_map": q[:, 0], "axis_x": q[:, 0], "d_mean": 0.0, "r2": 1.0, "v": v, "a": a,
-        "major_diameter": float(2 * r[0]), "aratio": surface / max(a, EPS), "acover": 100 * min(1.0, v / max(box, EPS)),
+        "major_diameter": float(ext[0]), "aratio": v / max(box, EPS), "acover": 100 * min(1.0, v / max(box, EPS)),
     }
 
 

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talus.operators import spatial
+from talus.operators.summary import display_sample, instance_colours
 from talus.operators.surface import detrend, rotate_horizontal
-from talus.sources.files import ply_bytes
+from talus.sources.files import write_ply
 
 ZONES = {"block": 1, "non-block": -1}
 
@@ -83,30 +84,42 @@ def counts(labels: DataFrame) -> DataFrame:
 
 def session_paths(root: str, name: str, kind: str = "zones") -> dict[str, str]:
     d = os.path.join(root, "Label", name)
-    return {"dir": d, "labels": f"{d}/{kind}.parquet", "meta": f"{d}/{kind}.json", "polygons": f"{d}/{kind}_polygons.json", "preview": f"{d}/{kind}.ply"}
+    return {"dir": d, "labels": f"{d}/{kind}.parquet", "meta": f"{d}/{kind}.json", "polygons": f"{d}/{kind}_polygons.json", "preview": f"{d}/{kind}.ply", "sample": f"{d}/{kind}_sample.parquet"}
 
 
-def save_session(labels: DataFrame, state, paths: dict[str, str], preview: int = 10_000) -> dict:
-    """Labels as Parquet, counts and polygons as JSON, a sampled preview as PLY."""
+def cloud_extent(view: DataFrame) -> dict:
+    e = spatial.extent(view)
+    return {k: e[k] for k in ("n", "lox", "hix", "loy", "hiy", "loz", "hiz")}
+
+
+def preview_colours(labels: DataFrame, kind: str = "zones") -> DataFrame:
+    """red, green, blue by zone, or by instance."""
+    if kind == "instances":
+        return instance_colours(labels)
+    zone = lambda a, b, c: f"CAST(CASE WHEN code > 0 THEN {a} WHEN code < 0 THEN {b} ELSE {c} END AS SMALLINT)"
+    return labels.selectExpr("*", f"{zone(60, 200, 160)} AS red", f"{zone(160, 60, 160)} AS green", f"{zone(60, 60, 160)} AS blue")
+
+
+def save_session(labels: DataFrame, state, paths: dict[str, str], preview: int = 10_000, seed: int = 0, kind: str = "zones") -> dict:
+    """Labels as Parquet, counts, the cloud's extent and polygons as JSON, a sampled preview as PLY."""
     os.makedirs(paths["dir"], exist_ok=True)
     labels.select("pid", "code").write.mode("overwrite").parquet(paths["labels"])
-    meta = {str(r["code"]): r["n"] for r in counts(labels).collect()}
+    meta = {"counts": {str(r["code"]): r["n"] for r in counts(labels).collect()}, "cloud": cloud_extent(labels)}  # a row a code
     for k, v in (("meta", meta), ("polygons", state)):
         with open(paths[k], "w") as f:
             json.dump(v, f)
-    some = labels.orderBy(F.col("code") == 0, F.xxhash64("pid")).limit(preview).select("x", "y", "z", "code").toPandas()
-    rgb = some["code"].map(lambda c: (60, 160, 60) if c > 0 else (200, 60, 60) if c < 0 else (160, 160, 160)).tolist()
-    with open(paths["preview"], "wb") as f:
-        import numpy as np
-
-        f.write(ply_bytes(some[["x", "y", "z"]].to_numpy(), np.array(rgb).reshape(-1, 3)))
+    write_ply(preview_colours(display_sample(labels.withColumn("label", F.col("code")), preview, seed), kind), paths["preview"], text=True).collect()
     return meta
 
 
 def load_session(view: DataFrame, paths: dict[str, str]) -> DataFrame:
-    """view with its saved codes; another number of points raises."""
+    """view with its saved codes; labels of a cloud of another size or place raise."""
     saved = view.sparkSession.read.parquet(paths["labels"])
-    if saved.count() != view.count():
+    now = cloud_extent(view)
+    with open(paths["meta"]) as f:
+        then = json.load(f)["cloud"]
+    width = max([1e-9, *(now[f"hi{c}"] - now[f"lo{c}"] for c in "xyz")]) if now["n"] else 1.0
+    if now["n"] != then["n"] or saved.count() != now["n"] or any(abs(now[k] - then[k]) > 1e-6 * width for k in now if k != "n" and now["n"]):
         raise RuntimeError("saved labels belong to another cloud")
     return view.join(saved, "pid")
 
@@ -114,7 +127,7 @@ def load_session(view: DataFrame, paths: dict[str, str]) -> DataFrame:
 def clear_session(paths: dict[str, str]) -> None:
     import shutil
 
-    for k in ("labels", "meta", "polygons", "preview"):
+    for k in ("labels", "meta", "polygons", "preview", "sample"):
         shutil.rmtree(paths[k], ignore_errors=True) if os.path.isdir(paths[k]) else os.path.exists(paths[k]) and os.remove(paths[k])
     if os.path.isdir(paths["dir"]) and not os.listdir(paths["dir"]):
         os.rmdir(paths["dir"])

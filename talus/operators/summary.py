@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from talus.functions import geometry as G
+from talus.session import cut
 
 ACCEPTED = "fitok AND aqualityok AND coalesce(sizecapok, true)"
 
@@ -24,15 +25,15 @@ def edges(models: DataFrame) -> DataFrame:
     return b.selectExpr("what", "i", "lo + (hi - lo) * i / (nbin - 1) AS lin", "exp(ln(lo) + (ln(hi) - ln(lo)) * i / (nbin - 1)) AS log")
 
 
-def orientations(models: DataFrame) -> DataFrame:
+def orientations(models: DataFrame, mode: str = "atan2") -> DataFrame:
     """label with map-view and x-view angles (0 to pi): each axis turned toward the viewer first."""
     m = accepted(models).selectExpr("*", "CASE WHEN axis_map[1] < 0 THEN -1 ELSE 1 END AS sm", "CASE WHEN axis_x[2] < 0 THEN -1 ELSE 1 END AS sx")
-    return m.selectExpr("label", "c", "r", f"{G.orientation('sm * axis_map[1]', 'sm * axis_map[0]')} AS angle_map", f"{G.orientation('sx * axis_x[1]', 'sx * axis_x[2]')} AS angle_x")
+    return m.selectExpr("label", "c", "r", f"{G.orientation('sm * axis_map[1]', 'sm * axis_map[0]', mode)} AS angle_map", f"{G.orientation('sx * axis_x[1]', 'sx * axis_x[2]', mode)} AS angle_x")
 
 
-def granulo(models: DataFrame) -> DataFrame:
+def granulo(models: DataFrame, mode: str = "atan2") -> DataFrame:
     """Export table: one row a grain, numbered in the order of labels; angles in degrees."""
-    o = orientations(models)
+    o = orientations(models, mode)
     first = F.row_number().over(Window.orderBy("label")).cast("long")  # one row a grain: the final report
     return o.select(first.alias("Ngrain"), *[F.col("c")[i].alias(f"{a}c") for i, a in enumerate("XYZ")], *[(2 * F.col("r")[i]).alias(n) for i, n in enumerate(("Dmax", "Dmed", "Dmin"))], F.degrees("angle_map").alias("angle_Mview"), F.degrees("angle_x").alias("angle_Xview"))
 
@@ -53,25 +54,54 @@ def colour_binary(rows: DataFrame, flag: str, yes: tuple[int, int, int], no: tup
     return rows.selectExpr("*", *[f"CAST(CASE WHEN {flag} THEN {y} ELSE {n} END AS SMALLINT) AS {c}" for c, y, n in zip(("red", "green", "blue"), yes, no, strict=True)])
 
 
-def ramp() -> list[tuple[int, int, int]]:
-    """256 colours from dark blue over green to yellow, by a rule."""
-    mixed = lambda t, a, b, c: a + (b - a) * 2 * t if t < 0.5 else b + (c - b) * (2 * t - 1)
-    return [tuple(round(mixed(i / 255, *k)) for k in ((68, 33, 253), (1, 145, 231), (84, 140, 37))) for i in range(256)]
+#: Colours of the four public colour maps at equal steps; what lies between is mixed by a rule.
+RAMPS = {
+    "viridis": ["440154", "472d7b", "3b528b", "2c728e", "21918c", "28ae80", "5ec962", "addc30", "fde725"],
+    "plasma": ["0d0887", "4c02a1", "7e03a8", "aa2395", "cc4778", "e66c5c", "f89540", "fdc527", "f0f921"],
+    "inferno": ["000004", "210c4a", "57106e", "8a226a", "bc3754", "e45a31", "f98e09", "f9cb35", "fcffa4"],
+    "twilight": ["e2d9e2", "9ebbc9", "6785be", "5e43a5", "2f1436", "741e4f", "b25652", "cca389", "e2d9e2"],
+}
 
 
-def colour_ramp(rows: DataFrame, value: str) -> DataFrame:
-    """red, green, blue of a value between its least and largest; grey where it is null."""
-    b = F.broadcast(rows.agg(F.min(value).alias("lo_"), F.max(value).alias("hi_")))
-    lut = ramp()
+def ramp(name: str = "viridis") -> list[tuple[int, int, int]]:
+    """256 colours."""
+    stops = [[int(h[i : i + 2], 16) for i in (0, 2, 4)] for h in RAMPS[name]]
+    out = []
+    for i in range(256):
+        at, part = divmod(i / 255 * (len(stops) - 1), 1)
+        a, b = stops[int(at)], stops[min(int(at) + 1, len(stops) - 1)]
+        out.append(tuple(round(x + (y - x) * part) for x, y in zip(a, b, strict=True)))
+    return out
+
+
+def colour_ramp(rows: DataFrame, value: str, name: str = "viridis") -> DataFrame:
+    """red, green, blue of a value between its least and largest; grey where it is null or not finite."""
+    ok = f"{value} IS NOT NULL AND NOT isnan({value}) AND abs({value}) < double('inf')"
+    b = F.broadcast(rows.where(ok).agg(F.min(value).alias("lo_"), F.max(value).alias("hi_")))  # one row
+    lut = ramp(name)
     at = f"1 + CAST(rint(255 * greatest(0e0, least(1e0, ({value} - lo_) / CASE WHEN hi_ > lo_ THEN hi_ - lo_ ELSE 1e0 END))) AS INT)"
     arrays = [f"array({', '.join(str(c[i]) for c in lut)})" for i in range(3)]
-    return rows.join(b).selectExpr(*rows.columns, *[f"CAST(CASE WHEN {value} IS NULL THEN 96 ELSE element_at({a}, {at}) END AS SMALLINT) AS {c}" for a, c in zip(arrays, ("red", "green", "blue"), strict=True)])
+    return rows.join(b).selectExpr(*rows.columns, *[f"CAST(CASE WHEN {ok} THEN element_at({a}, {at}) ELSE 96 END AS SMALLINT) AS {c}" for a, c in zip(arrays, ("red", "green", "blue"), strict=True)])
+
+
+def instance_colours(rows: DataFrame, code: str = "code") -> DataFrame:
+    """red, green, blue of instance numbers: hues a golden angle apart, so that neighbours in number differ; grey for 0."""
+    hue = f"(({code} * 0.618033988749895e0) - floor({code} * 0.618033988749895e0))"
+    channel = lambda k: f"CAST(CASE WHEN {code} > 0 THEN rint(255 * (0.35e0 + 0.6e0 * greatest(0e0, least(1e0, abs(6 * ({hue} + {k}e0 / 3 - floor({hue} + {k}e0 / 3)) - 3) - 1)))) ELSE 150 END AS SMALLINT)"
+    return rows.selectExpr("*", *[f"{channel(k)} AS {c}" for k, c in enumerate(("red", "green", "blue"))])
 
 
 def stride_sample(rows: DataFrame, most: int = 25_000) -> DataFrame:
-    """Every n-th point by id, so that about ``most`` stay, for a figure."""
+    """Every n-th point in the order of ids, n so that about ``most`` stay, for a figure. Places are counted by range over parts of the
+    sorted table, so no window runs over the whole of it."""
     n = max(rows.count() // most, 1)
-    return rows if n == 1 else rows.where(F.pmod(F.xxhash64("pid"), F.lit(n)) == 0)
+    if n == 1:
+        return rows
+    dealt = cut(rows.repartitionByRange("pid").withColumn("part_", F.spark_partition_id()))
+    sizes = dealt.groupBy("part_").agg(F.count("*").alias("m"))
+    before = sizes.selectExpr("part_", "sum(m) OVER (ORDER BY part_) - m AS before_")  # one row a partition
+    place = F.expr("before_ + row_number() OVER (PARTITION BY part_ ORDER BY pid) - 1")
+    return dealt.join(F.broadcast(before), "part_").withColumn("place_", place).where(f"place_ % {n} = 0").select(rows.columns)
 
 
 def display_sample(rows: DataFrame, most: int, seed: int = 0) -> DataFrame:

@@ -15,6 +15,18 @@ from pyspark.sql import functions as F
 #: Fixed values of the formats.
 PLY_TYPES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8"}
 LAS_COLOUR = {2: 20, 3: 28, 5: 28, 7: 30, 8: 30, 10: 30}
+LAS_TIME = {1: 20, 3: 20, 4: 20, 5: 20, 6: 22, 7: 22, 8: 22, 9: 22, 10: 22}
+#: (name, byte, first bit, bits) of the packed fields and (name, byte, type) of the whole ones, for formats 0 to 5 and 6 to 10.
+LAS_BITS = (
+    [("return_number", 14, 0, 3), ("number_of_returns", 14, 3, 3), ("scan_direction_flag", 14, 6, 1), ("edge_of_flight_line", 14, 7, 1), ("classification", 15, 0, 5), ("synthetic", 15, 5, 1), ("key_point", 15, 6, 1), ("withheld", 15, 7, 1)],
+    [("return_number", 14, 0, 4), ("number_of_returns", 14, 4, 4), ("synthetic", 15, 0, 1), ("key_point", 15, 1, 1), ("withheld", 15, 2, 1), ("overlap", 15, 3, 1), ("scanner_channel", 15, 4, 2), ("scan_direction_flag", 15, 6, 1), ("edge_of_flight_line", 15, 7, 1)],
+)
+LAS_FIELDS = (
+    [("intensity", 12, "<u2"), ("scan_angle_rank", 16, "i1"), ("user_data", 17, "u1"), ("point_source_id", 18, "<u2")],
+    [("intensity", 12, "<u2"), ("classification", 16, "u1"), ("user_data", 17, "u1"), ("scan_angle", 18, "<i2"), ("point_source_id", 20, "<u2")],
+)
+#: A point's id is its place in its file, over the file's place among the sorted paths; rows that are given out together.
+FILE_BITS, ROWS_AT_ONCE = 40, 50_000
 SCHEMA = "path string, pid long, x double, y double, z double, red short, green short, blue short, extra map<string,double>"
 
 
@@ -56,15 +68,23 @@ def parse_las(data: bytes) -> pd.DataFrame:
     scale, offset = np.array(struct.unpack_from("<3d", data, 131)), np.array(struct.unpack_from("<3d", data, 155))
     raw = np.frombuffer(data, np.uint8, n * size, start).reshape(n, size)
     of = lambda at, t: raw[:, at : at + np.dtype(t).itemsize].copy().view(t).ravel()
-    out = {c: of(4 * i, "<i4") * scale[i] + offset[i] for i, c in enumerate("xyz")} | {"intensity": of(12, "<u2").astype(float), "classification": (of(15, "u1") & 31 if kind < 6 else of(16, "u1")).astype(float)}
+    new = int(kind >= 6)
+    out = {c: of(4 * i, "<i4") * scale[i] + offset[i] for i, c in enumerate("xyz")}
+    out |= {name: of(at, t).astype(float) for name, at, t in LAS_FIELDS[new]}
+    out |= {name: (of(at, "u1") >> first & (1 << bits) - 1).astype(float) for name, at, first, bits in LAS_BITS[new]}
+    if kind in LAS_TIME:
+        out["gps_time"] = of(LAS_TIME[kind], "<f8")
     if kind in LAS_COLOUR:
         rgb = [of(LAS_COLOUR[kind] + 2 * i, "<u2") for i in range(3)]
         wide = n and max(int(c.max()) for c in rgb) > 255
-        out |= {k: (c >> 8 if wide else c).astype(float) for k, c in zip(("red", "green", "blue"), rgb, strict=True)}
+        for k, c in zip(("red", "green", "blue"), rgb, strict=True):
+            out |= {k: (c >> 8 if wide else c).astype(float), f"{k}_16": c.astype(float)}
+    if kind in (8, 10):
+        out["nir"] = of(36, "<u2").astype(float)
     return pd.DataFrame(out)
 
 
-def _rows(parse):
+def _rows(parse, numbers: dict[str, int]):
     def run(batches):
         for pdf in batches:
             for path, data in zip(pdf["path"], pdf["content"], strict=True):
@@ -72,12 +92,15 @@ def _rows(parse):
                 lower = {c.lower(): c for c in t.columns}
                 if not {"x", "y", "z"} <= set(lower):
                     raise ValueError(f"{path}: x, y and z are needed")
-                out = pd.DataFrame({"path": path, "pid": np.arange(len(t)), **{c: t[lower[c]].astype(float) for c in "xyz"}})
-                for c in ("red", "green", "blue"):
-                    out[c] = t[lower[c]].astype("Int16") if c in lower else pd.array([None] * len(t), "Int16")
+                first = numbers[path] << FILE_BITS
                 rest = sorted(set(lower) - {"x", "y", "z", "red", "green", "blue"})
-                out["extra"] = [dict(zip(rest, map(float, v), strict=True)) for v in t[[lower[c] for c in rest]].to_numpy()] if rest else [{}] * len(t)
-                yield out
+                for at in range(0, len(t), ROWS_AT_ONCE):
+                    part = t.iloc[at : at + ROWS_AT_ONCE]
+                    out = pd.DataFrame({"path": path, "pid": first + at + np.arange(len(part)), **{c: part[lower[c]].to_numpy(float) for c in "xyz"}})
+                    for c in ("red", "green", "blue"):
+                        out[c] = part[lower[c]].astype("Int16").to_numpy() if c in lower else pd.array([None] * len(part), "Int16")
+                    out["extra"] = [dict(zip(rest, v, strict=True)) for v in part[[lower[c] for c in rest]].to_numpy(float).tolist()] if rest else [{}] * len(part)
+                    yield out
 
     return run
 
@@ -97,40 +120,75 @@ def read_cloud(spark: SparkSession, path: str) -> DataFrame:
         raise RuntimeError("LAZ: compressed points need a codec that isn't installed")
     if suffix not in (".ply", ".las"):
         raise ValueError(f"unknown point-cloud format: {suffix}")
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_rows(parse_ply if suffix == ".ply" else parse_las), SCHEMA)
+    found = spark.read.format("binaryFile").load(path)
+    numbers = {r["path"]: i for i, r in enumerate(found.select("path").orderBy("path").collect())}  # one name a file, which the planner has listed anyway
+    return found.select("path", "content").mapInPandas(_rows(parse_ply if suffix == ".ply" else parse_las, numbers), SCHEMA)
 
 
-def ply_bytes(points: np.ndarray, colours: np.ndarray | None = None, text: bool = True) -> bytes:
+_RGB = ("red", "green", "blue")
+
+
+def ply_header(n: int | str, colours: bool, text: bool) -> bytes:
+    names = "".join(f"property double {c}\n" for c in "xyz") + "".join(f"property uchar {c}\n" for c in _RGB if colours)
+    return f"ply\nformat {'ascii' if text else 'binary_little_endian'} 1.0\nelement vertex {n}\n{names}end_header\n".encode()
+
+
+def ply_body(points: np.ndarray, colours: np.ndarray | None = None, text: bool = True) -> bytes:
     """Doubles x, y, z and, if given, colours clipped to 0 to 255."""
-    head = f"ply\nformat {'ascii' if text else 'binary_little_endian'} 1.0\nelement vertex {len(points)}\n" + "".join(f"property double {c}\n" for c in "xyz")
-    if colours is not None:
-        head += "".join(f"property uchar {c}\n" for c in ("red", "green", "blue"))
-        colours = np.clip(colours, 0, 255).astype(np.uint8)
-    head += "end_header\n"
+    colours = np.clip(colours, 0, 255).astype(np.uint8) if colours is not None else None
     if text:
-        body = "".join(" ".join([*(repr(float(v)) for v in p), *(map(str, colours[i]) if colours is not None else ())]) + "\n" for i, p in enumerate(points)).encode()
-    else:
-        rows = np.zeros(len(points), [(c, "<f8") for c in "xyz"] + ([(c, "u1") for c in ("red", "green", "blue")] if colours is not None else []))
-        for i, c in enumerate("xyz"):
-            rows[c] = points[:, i]
-        for i, c in enumerate(("red", "green", "blue") if colours is not None else ()):
-            rows[c] = colours[:, i]
-        body = rows.tobytes()
-    return head.encode() + body
+        return "".join(" ".join([*(repr(float(v)) for v in p), *(map(str, colours[i]) if colours is not None else ())]) + "\n" for i, p in enumerate(points)).encode()
+    rows = np.zeros(len(points), [(c, "<f8") for c in "xyz"] + [(c, "u1") for c in _RGB if colours is not None])
+    for i, c in enumerate("xyz"):
+        rows[c] = points[:, i]
+    for i, c in enumerate(_RGB if colours is not None else ()):
+        rows[c] = colours[:, i]
+    return rows.tobytes()
+
+
+def ply_bytes(points: np.ndarray, colours: np.ndarray | None = None, text: bool = True) -> bytes:
+    return ply_header(len(points), colours is not None, text) + ply_body(points, colours, text)
+
+
+def write_ply(points: DataFrame, path: str, text: bool = False, parts: bool = False) -> DataFrame:
+    """points (x, y, z and, if there, red, green, blue) as PLY in a folder that the executors share; returns (path, n).
+
+    One task streams one file, a batch at a time; with ``parts`` each partition writes its own, named by its number (the tool of the next step
+    must then take a folder)."""
+    coloured = set(_RGB) <= set(points.columns)
+    columns = ["x", "y", "z", *(_RGB if coloured else ())]
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        own = f"{os.path.splitext(path)[0]}.{TaskContext.get().partitionId():05d}.ply" if parts else path
+        n = 0
+        with open(f"{own}.tmp", "wb") as f:
+            f.write(ply_header("0" * 20, coloured, text))  # the number is known at the end
+            for pdf in batches:
+                n += len(pdf)
+                f.write(ply_body(pdf[["x", "y", "z"]].to_numpy(float), pdf[list(_RGB)].fillna(0).to_numpy() if coloured else None, text))
+            f.seek(0)
+            f.write(ply_header(f"{n:020d}", coloured, text))
+        os.replace(f"{own}.tmp", own)  # a task that runs again replaces what it wrote
+        yield pd.DataFrame({"path": [own], "n": [n]})
+
+    rows = points.select(*columns)
+    return (rows if parts else rows.coalesce(1)).mapInPandas(run, "path string, n long")
 
 
 def write_ply_groups(points: DataFrame, folder: str, name: str, label: str = "label", text: bool = True) -> DataFrame:
-    """One file ``{name}_grain_{label}.ply`` for each positive label, by the executors, into a folder they share; returns (label, path, n)."""
+    """One file ``{name}_grain_{label}.ply`` for each label (null: no grain), by the executors, into a folder they share; returns (label, path, n)."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         path = os.path.join(folder, f"{name}_grain_{key[0]}.ply")
         os.makedirs(folder, exist_ok=True)
-        rgb = pdf[["red", "green", "blue"]].to_numpy() if {"red", "green", "blue"} <= set(pdf.columns) else None
+        rgb = pdf[list(_RGB)].to_numpy() if set(_RGB) <= set(pdf.columns) else None
         with open(path, "wb") as f:
             f.write(ply_bytes(pdf[["x", "y", "z"]].to_numpy(), rgb, text))
         return pd.DataFrame([{"label": key[0], "path": path, "n": len(pdf)}])
 
-    return points.where(f"{label} > 0").groupBy(F.col(label).alias("label")).applyInPandas(run, "label long, path string, n long")
+    return points.where(f"{label} IS NOT NULL").groupBy(F.col(label).alias("label")).applyInPandas(run, "label long, path string, n long")
 
 
 def read_parameters(spark: SparkSession, csv: str, name: str) -> dict:

@@ -219,7 +219,7 @@ def test_run_finds_two_bumps(spark):
     g = out.granulo.toPandas().sort_values("Dmax", ascending=False).head(2)
     assert g["Dmax"].between(1.0, 4.0).all()
     shown = engine.coloured(frame(spark, bumps()), out)
-    assert set(shown) == {"volume", "elongation", "angle_map"} and shown["elongation"].count() == 2500
+    assert set(shown) == {"volume", "elongation", "azimuth"} and shown["elongation"].count() == 2500
     with pytest.raises(ValueError):
         engine.run(frame(spark, bumps()), par, mode="other") if par.denoise else engine.run(frame(spark, bumps()), M.Parameters(), mode="other")
 
