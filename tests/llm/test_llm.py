@@ -68,8 +68,10 @@ def test_near_duplicates_equal_brute_force(spark):
             assert (g["n_shingles"], g["component_id"], g["kept"]) == (len(sets[g["doc_id"]]), top(g["doc_id"]), top(g["doc_id"]) == g["doc_id"])
 
 
-def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("many", [16, 1])
+def test_large_groups_are_compared_in_blocks(spark, monkeypatch, many):
     monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "MANY", many)
     r = random.Random(2)
     a = words(r, 60, 5000)
     chain = [a]
@@ -81,6 +83,26 @@ def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
     assert {g["component_id"] for g in got} == {0}
 
 
+def test_signatures_of_long_unlike_texts_differ():
+    r = np.random.default_rng(16)
+    for n in (200, 20_000, 200_000):
+        a, b = (minhash.signature(mix(r.integers(0, 2**62, n).astype(np.uint64))) for _ in range(2))
+        assert (a == b).mean() < 0.03
+
+
+def test_near_duplicates_odd_rows(spark, tmp_path):
+    r = random.Random(17)
+    base, other = words(r, 60, 5000), words(r, 40, 5000)
+    rows = [(7, base), (7, other), (8, base), (9, other), (10, base + " tail"), (14, base + " end"), (11, "x" * 400_000), (12, "y " * 60_000), (13, "y " * 60_001)]
+    t = spark.createDataFrame([(i, x, "clash", 1) for i, x in rows], "doc_id long, text string, component_id string, n int")
+    got = sorted((g["doc_id"], g["n_shingles"], g["component_id"], g["kept"]) for g in minhash.near_duplicates(t, shingle=4).collect())
+    assert got == [(7, 37, 7, True), (7, 57, 7, True), (8, 57, 7, False), (9, 37, 7, False), (10, 58, 10, True), (11, 1, 11, True), (12, 1, 12, True), (13, 1, 12, False), (14, 58, 10, False)]
+    t.write.parquet(f"{tmp_path}/documents.parquet")
+    q = minhash.op1_minhash_near_dedup(spark, str(tmp_path))
+    assert q.columns == ["doc_id", "n_shingles", "component_id", "kept"] and q.count() == len(rows)
+    assert sorted(g["doc_id"] for g in minhash.keep_one(t).collect()) == [7, 10, 11, 12]
+
+
 def test_bayesian_bounds():
     plan = minhash.least_matches(0.8, 1e-5)
     assert [n for n, _ in plan][-1] == minhash.WIDTH and all(a[1] <= b[1] for a, b in zip(plan, plan[1:]))
