@@ -1,15 +1,25 @@
 """A training corpus out of ``documents``: bad text goes, then repeated lines, near-copies and benchmark passages; what stays is tokenised.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's docs.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's docs. ``run`` frees what
+a stage's operators wrote between their own steps, and the table before, as soon as its output is written, and logs how many rows stay.
+
+Cases: a document with a null or empty text passes every stage but the first, which judges it like any other text; a null doc_id takes no
+part in line dedup and near-dedup and is judged by its own row elsewhere; of repeated rows of one doc_id one stays after near-dedup; texts of any length
+are worked on whole; an empty table gives an empty one; without labels every document is kept by the first stage, without benchmark items by
+the fourth. Other columns are kept until the last stage.
 """
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talus.llm import bpe, decontaminate, linededup, minhash, quality
-from talus.llm._store import Workspace
+from talus.session import Workspace, scratch
+
+LOG = logging.getLogger(__name__)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +29,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that an earlier document or line has; documents that lose every line go, others keep their columns (n_chars follows the text)."""
-    kept = linededup.dedup_lines(docs, **linededup.WHOLE).where("n_removed = 0 OR length(text) > 0")
+    kept = linededup.dedup_lines(docs).where("n_removed = 0 OR length(text) > 0")
     return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(docs.columns)
 
 
@@ -44,7 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ws, docs = Workspace(spark, "corpus"), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    ws, docs, last = Workspace(spark, "corpus"), spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = ws.put(name, stage(spark, docs, sf_dir))
+        with scratch():
+            docs = ws.put(name, stage(spark, docs, sf_dir))
+        if last:
+            ws.drop(last)
+        last = name
+        LOG.info("%s: %d documents stay", name, docs.count())
     return STAGES[-1][1](spark, docs, sf_dir)

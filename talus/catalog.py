@@ -9,6 +9,7 @@ from talus import model as M
 from talus.functions import geometry as G
 from talus.operators import blocks, fit, labels, roughness, spatial, summary
 from talus.operators import surface as S
+from talus.sources import files
 from talus.sources import tables as T
 
 K, MERGE_ANGLE, CLEAN_ANGLE, FACTOR = 20, 60.0, 60.0, 2.5
@@ -44,9 +45,48 @@ NBR = f"{PTS}, nbr AS (SELECT * FROM (SELECT pid, nid, dist, CAST(row_number() O
 COORD = "co AS (SELECT n.pid, n.rank, p.x, p.y, p.z FROM nbr n JOIN pts p ON n.nid = p.pid)"
 
 
-def eig(rows: str, key: str, ddof: int = 1, normals: bool = False) -> str:
-    steps = [*G.eigen_steps(), *(G.normal_steps() if normals else [])]
-    return G.nest(f"(SELECT *, {G.covariance(ddof)} FROM (SELECT {key}, {G.moments()} FROM {rows} GROUP BY {key}) AS m)", steps)
+# The checks' geometry is written apart from the engine's: roots of the characteristic polynomial by Newton's steps from outside, vectors from
+# the adjugate matrix, angles by the arc cosine, polygons by winding numbers.
+
+
+def _vector(name: str, root: str) -> str:
+    """Columns {name}x, {name}y, {name}z: the unit eigenvector of a root, from the column of adj(C - root I) with the largest diagonal."""
+    a, b, c = (f"(c{d} - {root})" for d in ("xx", "yy", "zz"))
+    adj = [[f"({b} * {c} - cyz * cyz)", f"(cxz * cyz - cxy * {c})", f"(cxy * cyz - cxz * {b})"], [f"(cxz * cyz - cxy * {c})", f"({a} * {c} - cxz * cxz)", f"(cxy * cxz - {a} * cyz)"], [f"(cxy * cyz - cxz * {b})", f"(cxy * cxz - {a} * cyz)", f"({a} * {b} - cxy * cxy)"]]
+    d = [f"abs({adj[i][i]})" for i in range(3)]
+    pick = lambda i: f"CASE WHEN {d[0]} >= {d[1]} AND {d[0]} >= {d[2]} THEN {adj[0][i]} WHEN {d[1]} >= {d[2]} THEN {adj[1][i]} ELSE {adj[2][i]} END"
+    return ", ".join(f"{pick(i)} AS {name}{x}_" for i, x in enumerate("xyz"))
+
+
+def eig(rows: str, key: str, ddof: int = 1, normals: bool = False, major: bool = False) -> str:
+    """DuckDB subquery: moments, covariance, l0 <= l1 <= l2 and, if asked, the upward normal (nx, ny, nz) and the major axis (mx, my, mz)."""
+    cov = ", ".join(f"(s{p} - s{p[0]} * s{p[1]} / n) / nullif(n - {ddof}, 0) AS c{p}" for p in ("xx", "xy", "xz", "yy", "yz", "zz"))
+    sums = ", ".join(["count(*) AS n", *(f"sum({c}) AS s{c}" for c in "xyz"), *(f"sum({p[0]} * {p[1]}) AS s{p}" for p in ("xx", "xy", "xz", "yy", "yz", "zz"))])
+    t = f"(SELECT *, {cov} FROM (SELECT {key + ', ' if key else ''}{sums} FROM {rows}{' GROUP BY ' + key if key else ''}))"
+    t = f"(SELECT *, cxx + cyy + czz AS tr, cxx * cyy - cxy * cxy + cxx * czz - cxz * cxz + cyy * czz - cyz * cyz AS mi, cxx * (cyy * czz - cyz * cyz) - cxy * (cxy * czz - cyz * cxz) + cxz * (cxy * cyz - cyy * cxz) AS de FROM {t})"
+    step = "CASE WHEN abs(3 * x * x - 2 * tr * x + mi) > 1e-300 THEN x - (((x - tr) * x + mi) * x - de) / (3 * x * x - 2 * tr * x + mi) ELSE x END"
+    newton = lambda start: f"list_reduce(range(1, 91)::DOUBLE[], lambda x, i: {step}, CAST({start} AS DOUBLE))"
+    t = f"(SELECT *, {newton('tr')} AS l2, {newton('0')} AS l0 FROM {t})"
+    t = f"(SELECT *, tr - l0 - l2 AS l1 FROM {t})"
+    for name, root, on in (("n", "l0", normals), ("m", "l2", major)):
+        if on:
+            size = f"greatest(sqrt({name}x_ * {name}x_ + {name}y_ * {name}y_ + {name}z_ * {name}z_), 1e-300)"
+            t = f"(SELECT *, {', '.join(f'CASE WHEN {name}z_ < 0 THEN -1 ELSE 1 END * {name}{x}_ / {size} AS {name}{x}' for x in 'xyz')} FROM (SELECT *, {_vector(name, root)} FROM {t}))"
+    return t
+
+
+def arc(a: str, b: str) -> str:
+    """Degrees between the unit normals of two rows."""
+    return f"degrees(acos(greatest(-1, least(1, {a}.nx * {b}.nx + {a}.ny * {b}.ny + {a}.nz * {b}.nz))))"
+
+
+def wound(corners) -> str:
+    """Whether x, y is inside: the polygon winds round it."""
+    turns = []
+    for (x1, y1), (x2, y2) in zip(corners, [*corners[1:], corners[0]], strict=True):
+        left = f"(({x2 - x1}) * (y - ({y1})) - (x - ({x1})) * ({y2 - y1}))"
+        turns.append(f"CASE WHEN {y1} <= y AND {y2} > y AND {left} > 0 THEN 1 WHEN {y1} > y AND {y2} <= y AND {left} < 0 THEN -1 ELSE 0 END")
+    return f"({' + '.join(turns)}) <> 0"
 
 
 RECV = f"""{NBR}, sl AS (SELECT n.pid, n.nid, n.rank, (a.z - b.z) / greatest({G.distance()}, 1e-12) AS slope FROM nbr n JOIN pts a ON a.pid = n.pid JOIN pts b ON b.pid = n.nid),
@@ -58,7 +98,7 @@ LABELS = f"""{RECV}, walk AS (SELECT pid, parent, 0 AS depth FROM recv UNION ALL
 BORDER = f"""{LABELS}, {COORD}, nor AS (SELECT pid, nx, ny, nz FROM {eig('co', 'pid', normals=True)} AS e),
   nl AS (SELECT n.pid, n.nid, a.label AS li, b.label AS lj, a.donors FROM nbr n JOIN seg a ON a.pid = n.pid JOIN seg b ON b.pid = n.nid),
   bor AS (SELECT pid FROM nl WHERE li IS NOT NULL AND donors = 0 GROUP BY pid HAVING {K} - sum(CASE WHEN li = lj THEN 1 ELSE 0 END) >= {K / 4}),
-  ang AS (SELECT li, lj, avg({G.angle(('a.nx', 'a.ny', 'a.nz'), ('b.nx', 'b.ny', 'b.nz'))}) AS mean_angle FROM nl JOIN bor ON bor.pid = nl.pid JOIN nor a ON a.pid = nl.pid JOIN nor b ON b.pid = nl.nid WHERE lj IS NOT NULL GROUP BY li, lj)"""
+  ang AS (SELECT li, lj, avg({arc('a', 'b')}) AS mean_angle FROM nl JOIN bor ON bor.pid = nl.pid JOIN nor a ON a.pid = nl.pid JOIN nor b ON b.pid = nl.nid WHERE lj IS NOT NULL GROUP BY li, lj)"""
 EDGES = f"""{BORDER}, rad AS (SELECT s.label, sqrt(sum(pi() * n.dist * n.dist) / pi()) AS radius FROM nbr n JOIN seg s ON s.pid = n.pid WHERE n.rank = 1 AND s.label IS NOT NULL GROUP BY s.label),
   me AS (SELECT DISTINCT l.li, l.lj FROM nl l JOIN rad a ON a.label = l.li JOIN rad b ON b.label = l.lj JOIN pts p ON p.pid = l.li JOIN pts q ON q.pid = l.lj LEFT JOIN ang g ON g.li = l.li AND g.lj = l.lj
     WHERE l.li <> l.lj AND {FACTOR * M.RADIUS_CORRECTION!r} * (a.radius + b.radius) > {G.distance('p', 'q')} AND coalesce(g.mean_angle, 0) <= {MERGE_ANGLE})"""
@@ -110,7 +150,7 @@ def _(spark, d):
 
 @query("nearest_surface", f"WITH {NBR} SELECT pid, {r('pi() * dist * dist', 6)} AS surface FROM nbr WHERE rank = 1")
 def _(spark, d):
-    return rounded(Cloud(spark, d).nbr.where("rank = 1").selectExpr("pid", "pi() * dist * dist AS surface"), "surface", digits=6)
+    return rounded(S.nearest_area(Cloud(spark, d).nbr), "surface", digits=6)
 
 
 @query("statistical_denoise", f"WITH {NBR}, m AS (SELECT pid, avg(dist) AS md FROM nbr WHERE rank <= 4 GROUP BY pid), t AS (SELECT avg(md) + stddev_pop(md) AS top FROM m) SELECT m.pid, {r('m.md', 6)} AS mean_dist FROM m, t WHERE m.md <= t.top")
@@ -119,7 +159,7 @@ def _(spark, d):
     return rounded(S.denoise(c.pts, c.nbr, 4, 1.0).select("pid", "mean_dist"), "mean_dist", digits=6)
 
 
-@query("event_denoise")
+@query("event_denoise", f"WITH {EVT}, m AS (SELECT a.pid, list_avg(min({G.distance()}, 4)) AS md FROM evt a JOIN evt b ON a.pid <> b.pid GROUP BY a.pid), t AS (SELECT avg(md) + stddev_pop(md) AS top FROM m) SELECT m.pid, {r('m.md', 6)} AS mean_dist FROM m, t WHERE m.md <= t.top")
 def _(spark, d):
     c = T.events(spark, d)
     return rounded(S.denoise(c, spatial.knn(c, 4), 4, 1.0).select("pid", "mean_dist"), "mean_dist", digits=6)
@@ -130,12 +170,25 @@ def _(spark, d):
     return rounded(S.detrend(T.events(spark, d))[0], "x", "z")
 
 
-@query("rotate_horizontal")
+_UNIT = {"one": "1e0", "u": "u", "v": "v", "uu": "u * u", "uv": "u * v", "vv": "v * v"}
+
+
+@query("detrend_normal_equations", " UNION ALL ".join(f"SELECT '{k}' AS term, CAST(0 AS DOUBLE) AS moment" for k in _UNIT))
+def _(spark, d):
+    """What is left of z is at right angles to every term of the surface."""
+    t = S.detrend(unit_events(spark, d).selectExpr("pid", "x", "y", "z"))[0].selectExpr("x AS u", "y AS v", "z")
+    sums = t.agg(F.count("*").alias("n"), *[F.sum(F.expr(f"z * {e}")).alias(k) for k, e in _UNIT.items()])
+    return rounded(sums.selectExpr(f"inline(array({', '.join(f"struct('{k}' AS term, {k} / n AS moment)" for k in _UNIT)}))"), "moment", digits=9)
+
+
+@query("rotate_horizontal", f"""WITH {PTS}, n AS (SELECT nx, ny, nz, sx / n AS cx, sy / n AS cy, sz / n AS cz FROM {eig('pts', '', 0, normals=True)} AS e),
+  q AS (SELECT pid, x - cx AS x, y - cy AS y, z - cz AS z, nx, ny, nz, cx, cy, cz FROM pts, n), w AS (SELECT *, -nx * z AS ax, -ny * z AS ay, nx * x + ny * y AS az FROM q)
+  SELECT pid, {r('cx + x + ax - nx * az / (1 + nz)')} AS x, {r('cy + y + ay - ny * az / (1 + nz)')} AS y, {r('cz + z + az + (nx * ax + ny * ay) / (1 + nz)')} AS z FROM w""")
 def _(spark, d):
     return rounded(S.rotate_horizontal(T.vectors(spark, d).select("pid", "x", "y", "z")), "x", "y", "z")
 
 
-@query("plane_fit_coeffs", f"WITH {LI} SELECT n, {r('-nx / nz')} AS a, {r('-ny / nz')} AS b, {r('(sz + nx / nz * sx + ny / nz * sy) / n')} AS c FROM {G.nest(f'(SELECT *, {G.covariance(0)} FROM (SELECT {G.moments()} FROM li) AS m)', [*G.eigen_steps(), *G.normal_steps()])} AS t")
+@query("plane_fit_coeffs", f"WITH {LI} SELECT n, {r('-nx / nz')} AS a, {r('-ny / nz')} AS b, {r('(sz + nx / nz * sx + ny / nz * sy) / n')} AS c FROM {eig('li', '', 0, normals=True)} AS t")
 def _(spark, d):
     p = S.plane(T.lines(spark, d)).selectExpr("n", "-nx / nz AS a", "-ny / nz AS b", "(sz + nx / nz * sx + ny / nz * sy) / n AS c")
     return rounded(p, "a", "b", "c")
@@ -246,7 +299,13 @@ def _(spark, d):
     return rounded(S.flat_labels(c.pts.drop("label"), S.relabel(seg, c.edges(seg)), 5, 0.1).where("n >= 5").select("label", "n", "r2", "r3"), "r2", "r3")
 
 
-@query("clean_labels")
+_CLEAN = f"""{BORDER}, be AS (SELECT li, lj FROM ang WHERE mean_angle > 0 AND mean_angle <= {CLEAN_ANGLE}), both_ AS (SELECT li AS a, lj AS b FROM be UNION SELECT lj, li FROM be),
+  reach AS (SELECT DISTINCT label AS a, label AS b FROM seg WHERE label IS NOT NULL UNION SELECT reach.a, both_.b FROM reach JOIN both_ ON both_.a = reach.b), comp AS (SELECT a AS label, min(b) AS root FROM reach GROUP BY a),
+  fin AS (SELECT c.root AS label, p.x, p.y, p.z FROM seg s JOIN comp c ON c.label = s.label JOIN pts p ON p.pid = s.pid),
+  sh AS (SELECT label, n, sqrt(greatest(l1, 0)) / nullif(sqrt(greatest(l2, 0)), 0) AS r2, sqrt(greatest(l0, 0)) / nullif(sqrt(greatest(l2, 0)), 0) AS r3 FROM {eig('fin', 'label', 0)} AS e)"""
+
+
+@query("clean_labels", f"WITH RECURSIVE {_CLEAN} SELECT s.pid, sh.label, s.donors FROM seg s LEFT JOIN comp c ON c.label = s.label LEFT JOIN sh ON sh.label = c.root AND sh.n >= 5 AND (sh.r3 > 0.1 OR sh.r2 > 0.2)")
 def _(spark, d):
     c = Cloud(spark, d)
     return S.clean(c.pts.drop("label"), c.nbr, c.labels(), c.normals(), K, CLEAN_ANGLE, 5, 0.1)
@@ -284,16 +343,17 @@ def _(spark, d):
     return rounded(spatial.bilinear(grid, at, 1.0, 11, 21), "value", digits=9)
 
 
-@query("nearest_label_transfer", f"WITH {PTS}, c AS (SELECT a.pid, b.pid AS nid, b.grp, {G.distance()} AS dist, row_number() OVER (PARTITION BY a.pid ORDER BY {G.distance()}, b.pid) AS rn FROM pts a JOIN pts b ON b.pid % 3 = 0) SELECT pid, nid, {r('dist', 6)} AS dist, grp AS label FROM c WHERE rn = 1")
+@query("nearest_label_transfer", f"WITH {PTS}, c AS (SELECT a.pid, b.pid AS nid, b.grp, {G.distance()} AS dist, row_number() OVER (PARTITION BY a.pid ORDER BY {G.distance()}, b.pid) AS rn FROM pts a JOIN pts b ON b.grp < 5) SELECT pid, nid, {r('dist', 6)} AS dist, grp AS label FROM c WHERE rn = 1")
 def _(spark, d):
-    c = T.vectors(spark, d)
-    return rounded(spatial.nearest_label(c, c.where("pid % 3 = 0")), "dist", digits=6)
+    c = T.vectors(spark, d)  # of the ten classes five have a label to give
+    return rounded(spatial.nearest_label(c, c.where("label < 5")), "dist", digits=6)
 
 
-@query("grow_labels", f"WITH {PTS}, c AS (SELECT a.pid, b.pid AS nid, {G.distance()} AS dist FROM pts a JOIN pts b ON b.pid % 5 = 0 AND a.pid % 5 <> 0), k AS (SELECT pid, arg_min(nid, (dist, nid)) AS nid FROM c WHERE dist <= 0.2 GROUP BY pid) SELECT pid, CAST(pid // 5 AS BIGINT) AS label FROM pts WHERE pid % 5 = 0 UNION ALL SELECT pid, CAST(nid // 5 AS BIGINT) FROM k")
+@query("grow_labels", f"WITH {PTS}, c AS (SELECT a.pid, b.pid AS nid, {G.distance()} AS dist FROM pts a JOIN pts b ON b.grp < 5 AND a.grp >= 5), k AS (SELECT pid, arg_min(nid, (dist, nid)) AS nid FROM c WHERE dist <= 0.2 GROUP BY pid) SELECT pid, CAST(grp AS BIGINT) AS label FROM pts WHERE grp < 5 UNION ALL SELECT k.pid, CAST(p.grp AS BIGINT) FROM k JOIN pts p ON p.pid = k.nid")
 def _(spark, d):
-    c = T.vectors(spark, d).select("pid", "x", "y", "z")
-    own = c.where("pid % 5 = 0").selectExpr("pid", "pid DIV 5 AS label")
+    c = T.vectors(spark, d)
+    own = c.where("label < 5").selectExpr("pid", "CAST(label AS BIGINT) AS label")
+    c = c.select("pid", "x", "y", "z")
     return blocks.grow(c, own, c.selectExpr("pid", "1e0 AS score"), 0.2)
 
 
@@ -313,7 +373,11 @@ def _(spark, d):
     return blocks.grow(c, own, c.selectExpr("pid", "1e0 AS score"), 0.2)
 
 
-@query("group_obb_extent")
+_AXES = "(SELECT *, ny * mz - nz * my AS bx, nz * mx - nx * mz AS by_, nx * my - ny * mx AS bz FROM " + eig("pts", "grp", normals=True, major=True) + ")"
+
+
+@query("group_obb_extent", f"""WITH {PTS}, ax AS (SELECT * FROM {_AXES} AS t), pr AS (SELECT p.grp, p.x * mx + p.y * my + p.z * mz AS a, p.x * bx + p.y * by_ + p.z * bz AS b, p.x * nx + p.y * ny + p.z * nz AS c FROM pts p JOIN ax ON ax.grp = p.grp),
+  e AS (SELECT grp, count(*) AS n, list_reverse_sort([max(a) - min(a), max(b) - min(b), max(c) - min(c)]) AS e FROM pr GROUP BY grp) SELECT CAST(grp AS BIGINT) AS label, n, {r('e[1]')} AS e0, {r('e[2]')} AS e1, {r('e[3]')} AS e2 FROM e""")
 def _(spark, d):
     rows = T.vectors(spark, d).selectExpr("CAST(label AS BIGINT) AS label", "x", "y", "z", "0e0 AS surface")
     return rounded(fit.fit(rows, sizing="block").selectExpr("label", "n", *[f"extents[{i}] AS e{i}" for i in range(3)]), "e0", "e1", "e2")
@@ -322,7 +386,7 @@ def _(spark, d):
 _BOX = f"{LI}, s AS (SELECT grp, count(*) AS n, max(x) - min(x) AS a, max(y) - min(y) AS b, max(z) - min(z) AS c FROM li GROUP BY grp)"
 
 
-@query("ellipsoid_area_volume", f"WITH {_BOX} SELECT grp, {r(G.ellipsoid_area('a', 'b', 'c'), 2)} AS area, {r(G.ellipsoid_volume('a', 'b', 'c'), 2)} AS volume FROM s")
+@query("ellipsoid_area_volume", f"WITH {_BOX} SELECT grp, {r('exp(ln((exp(1.6075 * ln(a * b)) + exp(1.6075 * ln(b * c)) + exp(1.6075 * ln(c * a))) / 3) / 1.6075) * 12.566370614359172', 2)} AS area, {r('a * b * c * 4.1887902047863905', 2)} AS volume FROM s")
 def _(spark, d):
     s = T.lines(spark, d).groupBy("grp").agg(*[(F.max(c) - F.min(c)).alias(o) for c, o in zip("xyz", "abc", strict=True)])
     return rounded(s.selectExpr("grp", f"{G.ellipsoid_area('a', 'b', 'c')} AS area", f"{G.ellipsoid_volume('a', 'b', 'c')} AS volume"), "area", "volume", digits=2)
@@ -368,12 +432,12 @@ def _(spark, d):
 
 @query("top_k_volume", f"WITH {MOD} SELECT label, {r('v')} AS v FROM mod ORDER BY mod.v DESC, label LIMIT 30")
 def _(spark, d):
-    return rounded(summary.accepted(toy_models(spark, d)).orderBy(F.desc("v"), "label").limit(30).select("label", "v"), "v")
+    return rounded(summary.largest(summary.accepted(toy_models(spark, d)), "v", 30).select("label", "v"), "v")
 
 
 @query("quantiles", f"WITH {LI} SELECT grp, {r('quantile_cont(y, 0.1)')} AS q10, {r('quantile_cont(y, 0.5)')} AS q50, {r('quantile_cont(y, 0.92)')} AS q92, {r('quantile_cont(y, 0.9997)')} AS q9997 FROM li GROUP BY grp")
 def _(spark, d):
-    q = T.lines(spark, d).groupBy("grp").agg(F.expr("percentile(y, array(0.1, 0.5, 0.92, 0.9997))").alias("q"))
+    q = summary.quantiles(T.lines(spark, d), "y", [0.1, 0.5, 0.92, 0.9997], "grp")
     return rounded(q.selectExpr("grp", "q[0] AS q10", "q[1] AS q50", "q[2] AS q92", "q[3] AS q9997"), "q10", "q50", "q92", "q9997")
 
 
@@ -401,15 +465,13 @@ def _(spark, d):
 
 @query("robust_unit_interval", f"WITH {LI}, b AS (SELECT quantile_cont(y, 0.1) AS lo, quantile_cont(y, 0.9) AS hi FROM li) SELECT grp, {r('avg(greatest(0e0, least(1e0, (y - lo) / (hi - lo))))')} AS u FROM li, b GROUP BY grp")
 def _(spark, d):
-    rows = T.lines(spark, d)
-    b = F.broadcast(rows.agg(F.expr("percentile(y, 0.1)").alias("lo"), F.expr("percentile(y, 0.9)").alias("hi")))  # one row
-    return rounded(rows.join(b).groupBy("grp").agg(F.expr("avg(greatest(0e0, least(1e0, (y - lo) / (hi - lo))))").alias("u")), "u")
+    return rounded(blocks.robust_unit(T.lines(spark, d), "y").groupBy("grp").agg(F.avg("unit").alias("u")), "u")
 
 
 def _zone_sql(zones) -> str:
     code = "0"
     for value, corners in zones:
-        code = f"CASE WHEN {G.in_polygon('x', 'y', corners)} THEN {value} ELSE {code} END"
+        code = f"CASE WHEN {wound(corners)} THEN {value} ELSE {code} END"
     return f"CAST({code} AS INTEGER)"
 
 
@@ -418,7 +480,7 @@ _Z = [(labels.ZONES[m], _ZN["zones"][m]) for m in _ZN["mode_order"]]
 _I = [(p["id"], p["vertices_xy"]) for p in labels.normalise_instances(INSTANCES)]
 
 
-@query("points_in_polygon", f"WITH {LI} SELECT grp, count(*) AS n FROM li WHERE {G.in_polygon('x', 'y', _Z[0][1])} GROUP BY grp")
+@query("points_in_polygon", f"WITH {LI} SELECT grp, count(*) AS n FROM li WHERE {wound(_Z[0][1])} GROUP BY grp")
 def _(spark, d):
     return T.lines(spark, d).where(G.in_polygon("x", "y", _Z[0][1])).groupBy("grp").agg(F.count("*").alias("n"))
 
@@ -433,15 +495,15 @@ def _(spark, d):
     return labels.counts(labels.instance_labels(T.lines(spark, d), INSTANCES))
 
 
-@query("ternary_coordinates", f"WITH {PTS}, co AS (SELECT a.pid, b.x, b.y, b.z FROM pts a JOIN pts b ON {G.distance()} <= 0.2), e AS (SELECT pid, n, {', '.join(G.normalised())} FROM {eig('co', 'pid')} AS m WHERE n >= 10) SELECT pid, CAST(0.4 AS DOUBLE) AS diameter, {', '.join(f'{r(c)} AS {c}' for c in ('e0', 'e1', 'e2', 'tx', 'ty'))} FROM (SELECT *, {', '.join(G.barycentric())} FROM e)")
+@query("ternary_coordinates", f"WITH {PTS}, co AS (SELECT a.pid, b.x, b.y, b.z FROM pts a JOIN pts b ON {G.distance()} <= 0.2), g AS (SELECT pid, greatest(l0, 1e-12) AS a, greatest(l1, 1e-12) AS b, greatest(l2, 1e-12) AS c FROM {eig('co', 'pid')} AS m WHERE n >= 10), e AS (SELECT pid, a / (a + b + c) AS e0, b / (a + b + c) AS e1, c / (a + b + c) AS e2 FROM g), w AS (SELECT *, 3 * e0 AS ball, (1 - 3 * e0) * (e2 - e1) AS line FROM e) SELECT pid, CAST(0.4 AS DOUBLE) AS diameter, {', '.join(f'{r(c)} AS {c}' for c in ('e0', 'e1', 'e2'))}, {r('0 * line + 1 * (1 - line - ball) + 0.5 * ball')} AS tx, {r('0.8660254037844386 * ball')} AS ty FROM w")
 def _(spark, d):
     return rounded(roughness.ternary(T.vectors(spark, d), 0.4).where("e0 IS NOT NULL"), "e0", "e1", "e2", "tx", "ty")
 
 
 @query("param_row_lookup", "SELECT p_name AS name, coalesce(CASE WHEN p_size > 25 THEN p_size END, 20) AS nnptcloud, lower(trim(p_brand)) IN ('brand#11', 'brand#12') AS denoise FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS rn FROM part) WHERE rn = 1")
 def _(spark, d):
-    first = T.table(spark, d, "part").groupBy("p_name").agg(F.min_by(F.struct("p_size", "p_brand"), "p_partkey").alias("p"))
-    return first.selectExpr("p_name AS name", "coalesce(CASE WHEN p.p_size > 25 THEN p.p_size END, 20) AS nnptcloud", "lower(trim(p.p_brand)) IN ('brand#11', 'brand#12') AS denoise")
+    rows = T.table(spark, d, "part").selectExpr("p_name AS Name", "p_partkey AS place", "CASE WHEN p_size > 25 THEN concat(p_size, '.0') ELSE ' ' END AS nnptcloud", "CASE WHEN p_brand IN ('Brand#11', 'Brand#12') THEN ' Yes' ELSE 'no' END AS denoise")
+    return files.parameter_rows(rows, "place").select("name", "nnptcloud", "denoise")
 
 
 @query("colour_binary", f"WITH {EVT} SELECT pid, CAST(CASE WHEN z > 50 THEN 220 ELSE 90 END AS SMALLINT) AS red, CAST(CASE WHEN z > 50 THEN 80 ELSE 90 END AS SMALLINT) AS green, CAST(CASE WHEN z > 50 THEN 40 ELSE 90 END AS SMALLINT) AS blue FROM evt")
@@ -449,7 +511,13 @@ def _(spark, d):
     return summary.colour_binary(T.events(spark, d), "z > 50", (220, 80, 40), (90, 90, 90)).select("pid", "red", "green", "blue")
 
 
-@query("colour_ramp")
+def _mixed(channel: int) -> str:
+    stops = [int(h[2 * channel : 2 * channel + 2], 16) for h in summary.RAMPS["viridis"]]
+    at = "CAST(floor(k * 8 / 255) AS INTEGER)"
+    return f"CAST(round({stops}[{at} + 1] + ({stops}[least({at} + 2, 9)] - {stops}[{at} + 1]) * (k * 8 / 255 - floor(k * 8 / 255))) AS SMALLINT)"
+
+
+@query("colour_ramp", f"WITH {EVT}, b AS (SELECT min(z) AS lo, max(z) AS hi FROM evt), k AS (SELECT pid, round_even(255 * (z - lo) / (hi - lo), 0) AS k FROM evt, b) SELECT pid, {', '.join(f'{_mixed(i)} AS {c}' for i, c in enumerate(('red', 'green', 'blue')))} FROM k")
 def _(spark, d):
     return summary.colour_ramp(T.events(spark, d), "z").select("pid", "red", "green", "blue")
 
@@ -485,8 +553,27 @@ def _(spark, d):
 
 @query("block_split")
 def _(spark, d):
-    c = T.events(spark, d).selectExpr("pid", "0L AS root", "x / 24 AS x", "y AS y", "CAST(pid % 2 AS DOUBLE) AS score", "z AS local_relief", "z AS top_hat")
-    return blocks.split(c, 1.0, 2.0, 5, 100).groupBy("root", "part").agg(F.count("*").alias("n"))
+    c = T.events(spark, d)
+    top = F.broadcast(c.agg(F.max("z").alias("top")))  # one row
+    c = c.join(top).selectExpr("pid", "CAST(y AS BIGINT) DIV 10 AS root", "x / 24 AS x", "y AS y", "z / top AS score", "z AS local_relief", "z AS top_hat")
+    return blocks.split(c, 1.0, 2.0, 5, 30).groupBy("root", "part").agg(F.count("*").alias("n"))
+
+
+@query("block_segments")
+def _(spark, d):
+    c = Cloud(spark, d)
+    pts = c.pts.drop("label")
+    return blocks.segment(pts, pts, c.nbr, S.cut(S.block_score(S.surface_features(c.nbr, pts, K))), K, 5, True).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("roughness_matlab")
+def _(spark, d):
+    return rounded(roughness.roughness(T.vectors(spark, d), M.Parameters(minscale=0.1, maxscale=0.5), "matlab"), "rough", digits=6)
+
+
+@query("instance_colours")
+def _(spark, d):
+    return summary.instance_colours(T.vectors(spark, d).selectExpr("pid", "label AS code"))
 
 
 @query("granulo_export")

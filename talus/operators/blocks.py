@@ -31,6 +31,14 @@ def unit_interval(v: np.ndarray, lo: float = 0.1, hi: float = 0.9) -> np.ndarray
     return np.where(ok, out, 0.0)
 
 
+def robust_unit(rows: DataFrame, value: str, lo: float = 0.1, hi: float = 0.9) -> DataFrame:
+    """rows with unit: as unit_interval, over a whole table."""
+    ok = f"{value} IS NOT NULL AND NOT isnan({value}) AND abs({value}) < double('inf')"
+    b = F.broadcast(rows.where(ok).agg(F.expr(f"percentile({value}, array({lo!r}, {hi!r}))").alias("q_")))  # one row
+    unit = f"CASE WHEN NOT ({ok}) THEN 0e0 WHEN q_[1] - q_[0] < {M.EPS!r}D THEN 1e0 ELSE greatest(0e0, least(1e0, ({value} - q_[0]) / (q_[1] - q_[0]))) END"
+    return rows.join(b).selectExpr(*rows.columns, f"{unit} AS unit")
+
+
 def _smooth(g: np.ndarray, sigma: float) -> np.ndarray:
     n = int(4 * sigma + 0.5)
     w = np.exp(-0.5 * (np.arange(-n, n + 1) / sigma) ** 2)

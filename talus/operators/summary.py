@@ -133,10 +133,20 @@ def elongation(models: DataFrame) -> DataFrame:
     return models.selectExpr("label", "1 - r[2] / greatest(r[0], 1e-12) AS elongation", "log10(greatest(v, 1e-12)) AS log_volume")
 
 
+def largest(models: DataFrame, value: str, most: int = 30) -> DataFrame:
+    """The models of the largest values, ties to the smaller label."""
+    return models.orderBy(F.expr(value).desc(), "label").limit(most)
+
+
+def quantiles(rows: DataFrame, value: str, shares: list[float], *by: str) -> DataFrame:
+    """(by, q): exact quantiles, between two values by their distance."""
+    return rows.groupBy(*by).agg(F.expr(f"percentile({value}, array({', '.join(map(repr, shares))}))").alias("q"))
+
+
 def box_edges(models: DataFrame, most: int = 30) -> DataFrame:
     """(label, edge, from corner, to corner) of the largest boxes: the table a figure draws."""
     pairs = [(a, b) for a in range(8) for b in range(a + 1, 8) if (a ^ b) in (1, 2, 4)]
-    top = models.orderBy(F.expr("extents[0] * extents[1] * extents[2]").desc(), "label").limit(most)
+    top = largest(models, "extents[0] * extents[1] * extents[2]", most)
     each = ", ".join(f"struct({i} AS edge, slice(corners, {3 * a + 1}, 3) AS p, slice(corners, {3 * b + 1}, 3) AS q)" for i, (a, b) in enumerate(pairs))
     return top.selectExpr("label", f"inline(array({each}))")
 

@@ -110,6 +110,11 @@ def spacing(nbr: DataFrame) -> DataFrame:
     return nbr.where("rank = 1").agg(F.expr("percentile(dist, 0.5)").alias("spacing"))
 
 
+def nearest_area(nbr: DataFrame) -> DataFrame:
+    """(pid, surface): the disc that reaches to the nearest neighbour."""
+    return nbr.where("rank = 1").selectExpr("pid", "pi() * dist * dist AS surface")
+
+
 def neighbour_coordinates(nbr: DataFrame, cloud: DataFrame) -> DataFrame:
     return nbr.join(cloud.selectExpr("pid AS nid", "x", "y", "z"), "nid")
 

@@ -9,7 +9,7 @@ import argparse
 import json
 import os
 
-from talus.model import from_row
+from talus.model import Parameters
 from talus.operators import labels as L
 from talus.operators.summary import display_sample
 from talus.plans import engine
@@ -59,7 +59,7 @@ def build_parser() -> argparse.ArgumentParser:
 
 def run(spark, a: argparse.Namespace, name: str) -> dict:
     csv = a.param_csv or os.path.join(os.path.dirname(a.cloud) or ".", "param.csv")
-    par = from_row(files.read_parameters(spark, csv, os.path.basename(a.cloud)) if os.path.exists(csv) else {})
+    par = files.read_parameters(spark, csv, os.path.basename(a.cloud)) if os.path.exists(csv) else Parameters()
     paths = files.run_folders(a.output, name)
     smrf = {"cell": a.smrf_cell_size, "window": a.smrf_max_window, "height": a.smrf_height_threshold, "slope": a.smrf_slope_threshold}
     cloud = files.read_cloud(spark, a.cloud).select("pid", "x", "y", "z")

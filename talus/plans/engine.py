@@ -50,7 +50,7 @@ def run(cloud: DataFrame, par: M.Parameters | None = None, mode: str = "matlab",
     cap = S.span_cap(pts, cap_fraction).first()[0]
     turned = cut(S.detrend(S.rotate_horizontal(pts))[0]) if par.rotdetrend else pts
     nbr = cut(spatial.knn(pts, k))
-    surface = nbr.where("rank = 1").selectExpr("pid", "pi() * dist * dist AS surface")
+    surface = S.nearest_area(nbr)
     if sizing == "block":
         only = None
         if ground == "smrf":

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,10 +29,28 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_SCRATCH: list[list[Workspace]] = []
+
+
+@contextmanager
+def scratch():
+    """Frees at its end every workspace that was opened inside: for steps whose result has been written by then."""
+    own: list[Workspace] = []
+    _SCRATCH.append(own)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(own)
+        for ws in own:
+            ws.drop()
+
+
 class Workspace:
     """Tables of one run in the shared folder; ``drop`` frees those that nothing reads again."""
 
     def __init__(self, spark: SparkSession, name: str):
+        for own in _SCRATCH:
+            own.append(self)
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def put(self, name: str, df: DataFrame) -> DataFrame:

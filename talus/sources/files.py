@@ -6,12 +6,15 @@ import io
 import os
 import re
 import struct
+from dataclasses import fields
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talus.model import COLUMNS, Parameters
+
 #: Fixed values of the formats.
 PLY_TYPES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8"}
 LAS_COLOUR = {2: 20, 3: 28, 5: 28, 7: 30, 8: 30, 10: 30}
@@ -191,12 +194,29 @@ def write_ply_groups(points: DataFrame, folder: str, name: str, label: str = "la
     return points.where(f"{label} IS NOT NULL").groupBy(F.col(label).alias("label")).applyInPandas(run, "label long, path string, n long")
 
 
-def read_parameters(spark: SparkSession, csv: str, name: str) -> dict:
-    """The first row of a parameter CSV whose Name is the file's; {} if there is none."""
+def parameter_rows(table: DataFrame, order: str) -> DataFrame:
+    """Typed parameters of each Name, of its first row by ``order``: blank or missing values take the default, a bad number raises."""
+    have = {c.lower(): c for c in table.columns}
+    first = table.groupBy(F.trim("Name").alias("name_")).agg(F.min_by(F.struct("*"), order).alias("p"))
+    out = ["name_ AS name"]
+    for f in fields(Parameters):
+        if f.name == "name":
+            continue
+        column = have.get(COLUMNS.get(f.name, f.name).lower())
+        text = f"nullif(trim(CAST(p.`{column}` AS STRING)), '')" if column else "CAST(NULL AS STRING)"
+        kind = type(f.default)
+        typed = f"lower({text}) IN ('1', 'true', 'yes', 'y')" if kind is bool else f"CAST(CAST({text} AS DOUBLE) AS INT)" if kind is int else f"CAST({text} AS DOUBLE)" if kind is float else text
+        default = f"'{f.default}'" if kind is str else f"{f.default!r}D" if kind is float else str(f.default).lower()
+        out.append(f"coalesce({typed}, {default}) AS {f.name}")
+    return first.selectExpr(*out)
+
+
+def read_parameters(spark: SparkSession, csv: str, name: str) -> Parameters:
+    """The parameters of the first row of a parameter CSV whose Name is the file's; the defaults if there is none."""
     t = spark.read.option("header", True).option("encoding", "UTF-8").csv(csv)
-    t = t.toDF(*[c.lstrip("﻿").strip() for c in t.columns])
-    rows = t.where(F.col("Name") == name).limit(1).collect()
-    return {k: v for k, v in rows[0].asDict().items() if v is not None} if rows else {}
+    t = t.toDF(*[c.lstrip("\ufeff").strip() for c in t.columns]).where(F.trim("Name") == name).withColumn("order_", F.monotonically_increasing_id())
+    rows = parameter_rows(t, "order_").collect()  # one
+    return Parameters(**rows[0].asDict()) if rows else Parameters()
 
 
 def run_folders(root: str, name: str) -> dict[str, str]:

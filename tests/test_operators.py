@@ -285,11 +285,11 @@ def test_xyz_and_parameters(spark, tmp_path):
     (tmp_path / "a.xyz").write_text("# note\n1 2 3 9\n 4  5 nan\n7 8 9\n")
     assert files.read_xyz(spark, str(tmp_path / "a.xyz")).count() == 2
     (tmp_path / "param.csv").write_text("﻿Name,denoise,nnptcloud,cf,nmin,res\na.ply,TRUE,20.0,0.8,,0.5\na.ply,0,9,,,\nb.ply,no,x,,,\n")
-    p = M.from_row(files.read_parameters(spark, str(tmp_path / "param.csv"), "a.ply"))
+    p = files.read_parameters(spark, str(tmp_path / "param.csv"), "a.ply")
     assert p.denoise and p.nnptcloud == 20 and p.radfactor == 0.8 and p.nmin == 50 and p.minnpoint == 50 and p.res == 0.5
-    with pytest.raises(ValueError):
-        M.from_row(files.read_parameters(spark, str(tmp_path / "param.csv"), "b.ply"))
-    assert files.read_parameters(spark, str(tmp_path / "param.csv"), "c.ply") == {}
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        files.read_parameters(spark, str(tmp_path / "param.csv"), "b.ply")
+    assert files.read_parameters(spark, str(tmp_path / "param.csv"), "c.ply") == M.Parameters()
     assert files.run_folders(str(tmp_path), "a")["index"] == "1" and files.run_folders(str(tmp_path), "a")["index"] == "2"
 
 
