@@ -37,8 +37,6 @@ from talus.llm._text import Words, buffers, mix, powers, slices
 
 #: Names of columns that stand beside those of the input for a while.
 _ID, _LIST = "_talus_id", "_talus_lines"
-#: Every line that has a word takes part, and an edit counts in every line that keeps a word.
-WHOLE = {"least_words": 1, "fuzzy_words": 2}
 
 
 def levels_of(sizes: np.ndarray, fuzzy_words: int) -> list[int]:

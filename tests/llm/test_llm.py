@@ -472,3 +472,102 @@ def test_toxicity_with_unseen_misspellings():
     assert (s([text(True) for _ in range(100)]) >= 0.3).mean() > 0.95 and (s([text(False) for _ in range(100)]) < 0.3).mean() > 0.95
     assert (s([text(True, lambda w: w[:3] + w[3] + w[3:]) for _ in range(100)]) >= 0.3).mean() > 0.7
     assert s(["", None])[0] == pytest.approx(1 / 3, abs=0.01)
+
+
+def test_pipeline_equals_plain_version(spark, tmp_path):
+    """Every stage over small tables: lines, near-copies, benchmark and tokens by plain code; without labels the first stage keeps all."""
+    tokenizers = pytest.importorskip("tokenizers")
+    import corpus_pipeline
+
+    r = random.Random(21)
+    items = [(i, words(r, 20, 3000)) for i in range(4)]
+    base = [words(r, 60, 3000) for _ in range(4)]
+    line = words(r, 9, 3000)
+    rows = [(i, words(r, 30, 3000) + "\n" + words(r, 12, 3000)) for i in range(12)]
+    rows += [(20 + i, base[i % 4] + "\n" + words(r, 3, 3000)) for i in range(8)] + [(40, base[0].upper()), (41, edited(r, base[1], 2))]
+    rows += [(50 + i, words(r, 20, 3000) + " " + " ".join(with_edits(r, items[i][1].split(), i % 3)) + " " + words(r, 10, 3000)) for i in range(4)]
+    rows += [(60 + i, f"{words(r, 15, 3000)}\n{edited(r, line, i % 2)}\n{words(r, 15, 3000)}") for i in range(4)]
+    rows += [(70, None), (71, ""), (72, "x"), (None, base[2]), (73, "y " * 3000 + words(r, 50, 3000)), (5, rows[5][1])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, gone string"
+    spark.createDataFrame([(i, t, "en", "s", len(t or ""), "clash") for i, t in rows], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    known = {i: t for i, t in rows if i is not None}
+    gone = removed([(i, t) for i, t in known.items() if t is not None])
+    docs_ = [(i, t if i is None or not t or not gone[i] else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i])) for i, t in [*known.items(), (None, base[2])]]
+    docs_ = [(i, t) for i, t in docs_ if i is None or not gone.get(i) or t]
+    sets, root = {i: shingles(t, 5) for i, t in docs_ if i is not None}, {}
+    for i in sorted(sets):
+        near = [j for j in root if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+        root[i] = min([root[j] for j in near], default=i)
+    docs_ = [(i, t) for i, t in docs_ if i is None or root[i] == i]
+    plain = lambda t: re.findall("[a-z0-9]+", (t or "").lower())
+    docs_ = [(i, t) for i, t in docs_ if not any(distance_table(x.split(), plain(t), 0) <= int(0.15 * len(x.split()) + 1e-9) for _, x in items if len(plain(t)) > 16)]
+    code = tokenizers.Tokenizer.from_file(bpe.default_vocabulary())
+    want = sorted(((i, ",".join(map(str, code.encode(t or "", add_special_tokens=False).ids)), t or "") for i, t in docs_), key=str)
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert {"doc_id", "ids", "decoded", "n_tokens"} <= set(out.columns)
+    assert sorted(((g["doc_id"], g["ids"], g["decoded"]) for g in out.collect()), key=str) == want
+    assert 10 < len(want) <= len(rows) - 6
+    docs0 = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs0.limit(0), str(tmp_path)).columns == docs0.columns and stage(spark, docs0.limit(0), str(tmp_path)).count() == 0
+
+
+def test_queries_keep_their_contracts(spark):
+    """Through the registered queries: columns, held-out rows, thresholds, the added conversation, exact digests."""
+    tokenizers = pytest.importorskip("tokenizers")
+    import zlib
+
+    d = "/root/testdata/sf0.001"
+    texts = [(g["doc_id"], g["text"]) for g in spark.read.parquet(f"{d}/documents.parquet").collect()]
+    for q, cut in ((toxicity.op4_toxicity, 0.3), (quality.op6_quality_classifier, 0.7)):
+        out = q(spark, d).collect()
+        assert sorted(g["doc_id"] for g in out) == sorted(i for i, _ in texts)
+        assert all(g["held_out"] == (zlib.crc32(str(g["doc_id"]).encode()) % 4 == 2) and g["predicted"] == int(g["score"] >= cut) and 0 <= g["score"] <= 1 for g in out)
+    code = tokenizers.Tokenizer.from_file(bpe.default_vocabulary())
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = {}
+    for i, t in texts:
+        ids = code.encode(t or "", add_special_tokens=False).ids
+        want[i] = (len(ids), sha(",".join(map(str, ids))), sha(code.decode(ids, skip_special_tokens=False)))
+    assert {g["doc_id"]: (g["n_tokens"], g["ids_sha256"], g["decoded_sha256"]) for g in bpe.op7_bpe_encode_decode(spark, d).collect()} == want
+    talk = {g["conv_id"]: g for g in chat.op9_chat_format(spark, d).collect()}
+    said = "<|im_end|><|im_start|>assistant ok"
+    assert (talk[-1]["n_turns"], talk[-1]["loss_chars"], talk[-1]["loss_sha256"]) == (2, len(said), sha(said)) and talk[-1]["turns_sha256"] == sha(f"user\n{said}\nassistant\n{said}\n")
+
+
+def test_licenses_equal_plain_alignment(spark):
+    """Coverage against the longest common subsequence of template and text, on texts that hold one edited template or none."""
+    r = random.Random(22)
+    names = [n for n in licenses.TEMPLATES if "notice" not in n]
+    plain = lambda t: re.findall("[a-z0-9]+", t.lower())
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    rows, want = [], {}
+    for i in range(40):
+        name = names[i % len(names)]
+        w = plain(licenses.TEMPLATES[name])
+        for _ in range(r.randrange(0, len(w) // 6)):
+            w[r.randrange(len(w))] = f"z{r.randrange(99)}"
+        rows.append((i, words(r, r.randrange(30)) + " " + " ".join(w) + " " + words(r, r.randrange(30))))
+        share = common(plain(licenses.TEMPLATES[name]), w) / len(plain(licenses.TEMPLATES[name]))
+        if share >= 0.8:
+            want[i] = (name, share)
+    rows += [(100 + i, words(r, 200)) for i in range(10)]
+    out = {}
+    for g in licenses.find_licenses(docs(spark, [*rows, rows[0]]).withColumn("license", F.lit("clash"))).collect():
+        if "notice" not in g["license"]:
+            out.setdefault(g["doc_id"], []).append((g["license"], g["coverage"]))
+    assert len(out.pop(0)) == 2 and all(len(v) == 1 for v in out.values())
+    got = {i: v[0] for i, v in out.items()}
+    assert set(got) <= set(want) and len(got) >= 0.9 * (len(want) - 1)
+    assert all(got[i][0] == want[i][0] and got[i][1] <= want[i][1] + 1e-9 and got[i][1] >= want[i][1] - 0.03 for i in got)
