@@ -327,9 +327,30 @@ def _(spark, d):
     return rounded(S.opened(S.min_raster(T.events(spark, d), CELL), 1), "value")
 
 
-@query("smrf_nonground")
+_SQUARE = lambda s, o, r, f: f"{o} AS (SELECT a.gx, a.gy, {f}(b.value) AS value FROM {s} a JOIN {s} b ON abs(a.gx - b.gx) <= {r} AND abs(a.gy - b.gy) <= {r} GROUP BY a.gx, a.gy)"
+_STEP = lambda a, b: f"coalesce((coalesce(p.value, t.value) - coalesce(m.value, t.value)) / nullif((CASE WHEN p.value IS NULL THEN 0 ELSE 1 END + CASE WHEN m.value IS NULL THEN 0 ELSE 1 END) * {CELL}, 0), 0) AS d{a} FROM top t LEFT JOIN top p ON p.g{a} = t.g{a} + 1 AND p.g{b} = t.g{b} LEFT JOIN top m ON m.g{a} = t.g{a} - 1 AND m.g{b} = t.g{b}"
+_AT = lambda t, o: f"{o} AS (SELECT q.pid, sum(t.value * (CASE WHEN k.i = 0 THEN 1 - (q.fx - q.a) ELSE q.fx - q.a END) * (CASE WHEN k.j = 0 THEN 1 - (q.fy - q.b) ELSE q.fy - q.b END)) AS v FROM q CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) k(i, j) CROSS JOIN n JOIN {t} t ON t.gx = least(q.a + k.i, nx - 1) AND t.gy = least(q.b + k.j, ny - 1) GROUP BY q.pid)"
+_GROUND = f"""{_GRID}, n AS (SELECT CAST(floor((max(x) - min(x)) / {CELL}) AS BIGINT) + 1 AS nx, CAST(floor((max(y) - min(y)) / {CELL}) AS BIGINT) + 1 AS ny FROM evt),
+  full_ AS (SELECT i AS gx, j AS gy FROM n, unnest(range(nx)) a(i), unnest(range(ny)) b(j)),
+  fil AS (SELECT f.gx, f.gy, arg_min(r.value, ((f.gx - r.gx) * (f.gx - r.gx) + (f.gy - r.gy) * (f.gy - r.gy), r.gx * ny + r.gy)) AS value FROM full_ f, ras r, n GROUP BY f.gx, f.gy),
+  {_SQUARE('fil', 'e1', 1, 'min')}, {_SQUARE('e1', 'd1', 1, 'max')}, {_SQUARE('d1', 'e2', 2, 'min')}, {_SQUARE('e2', 'top', 2, 'max')},
+  sx AS (SELECT t.gx, t.gy, {_STEP('x', 'y')}), sy AS (SELECT t.gx, t.gy, {_STEP('y', 'x')}), steep AS (SELECT sx.gx, sx.gy, sqrt(dx * dx + dy * dy) AS value FROM sx JOIN sy ON sy.gx = sx.gx AND sy.gy = sx.gy),
+  q AS (SELECT pid, z, fx, fy, CAST(floor(fx) AS BIGINT) AS a, CAST(floor(fy) AS BIGINT) AS b FROM (SELECT pid, z, greatest(0, least(nx - 1, (x - lx) / {CELL})) AS fx, greatest(0, least(ny - 1, (y - ly) / {CELL})) AS fy FROM evt, b, n)),
+  {_AT('top', 'gh')}, {_AT('steep', 'st')}"""
+
+
+@query("smrf_filled_slopes", f"WITH {_GROUND} SELECT t.gx, t.gy, {r('t.value')} AS value, {r('s.value')} AS slope FROM top t JOIN steep s ON s.gx = t.gx AND s.gy = t.gy")
+def _(spark, d):
+    c = T.events(spark, d)
+    b = c.agg(*[f(x).alias(k + x) for x in "xy" for f, k in ((F.min, "l"), (F.max, "h"))]).first()
+    nx, ny = (int((b["h" + x] - b["l" + x]) // CELL) + 1 for x in "xy")
+    top = S.ground_surface(S.fill_raster(S.cut(S.min_raster(c, CELL)), nx, ny), 2)
+    return rounded(top.join(S.slopes(top, CELL).withColumnRenamed("value", "slope"), ["gx", "gy"]), "value", "slope")
+
+
+@query("smrf_nonground", f"WITH {_GROUND} SELECT q.pid, {r('gh.v', 9)} AS ground_height, {r('q.z - gh.v', 9)} AS height_above_ground, {r(f'0.35 + 0.75 * st.v * {CELL}', 9)} AS threshold, q.z - gh.v > 0.35 + 0.75 * st.v * {CELL} AS nonground FROM q JOIN gh ON gh.pid = q.pid JOIN st ON st.pid = q.pid")
 def _(spark, d):
-    return rounded(S.nonground(T.events(spark, d), CELL, window=40.0), "ground_height", "height_above_ground", "threshold")
+    return rounded(S.nonground(T.events(spark, d), CELL, window=40.0), "ground_height", "height_above_ground", "threshold", digits=9)
 
 
 @query("bilinear_lookup", f"""WITH {LI}, g AS (SELECT i AS gx, j AS gy, CAST(i * i + 3 * j AS DOUBLE) AS value FROM range(0, 11) a(i), range(0, 21) b(j)),

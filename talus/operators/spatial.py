@@ -224,12 +224,15 @@ def nearest_label(raw: DataFrame, labelled: DataFrame) -> DataFrame:
     return near.join(labelled.selectExpr("pid AS nid", "label"), "nid").select("pid", "nid", "dist", "label")
 
 
-def bilinear(grid: DataFrame, points: DataFrame, cell: float, nx: int, ny: int) -> DataFrame:
-    """grid (gx, gy, value) with every cell, points (pid, x, y): (pid, value) between the four cells around, clamped at the edge."""
+def bilinear(grid: DataFrame, points: DataFrame, cell: float, nx: int, ny: int, *values: str) -> DataFrame:
+    """grid (gx, gy, values) with every cell, points (pid, x, y): (pid, values) between the four cells around, clamped at the edge. ``values`` are
+    the columns that one join looks up (by default: value)."""
+    values = values or ("value",)
     fx, fy = f"greatest(0e0, least({nx - 1}e0, x / {cell!r}))", f"greatest(0e0, least({ny - 1}e0, y / {cell!r}))"
-    p = points.selectExpr("pid", f"{fx} AS fx", f"{fy} AS fy").selectExpr("*", "CAST(floor(fx) AS BIGINT) AS x0", "CAST(floor(fy) AS BIGINT) AS y0")
-    p = p.selectExpr("pid", "fx - x0 AS wx", "fy - y0 AS wy", f"explode(array(struct(x0 AS gx, y0 AS gy, (1 - (fx - x0)) * (1 - (fy - y0)) AS w), struct(least(x0 + 1, {nx - 1}) AS gx, y0 AS gy, (fx - x0) * (1 - (fy - y0)) AS w), struct(x0 AS gx, least(y0 + 1, {ny - 1}) AS gy, (1 - (fx - x0)) * (fy - y0) AS w), struct(least(x0 + 1, {nx - 1}) AS gx, least(y0 + 1, {ny - 1}) AS gy, (fx - x0) * (fy - y0) AS w))) AS c")
-    return p.selectExpr("pid", "c.gx AS gx", "c.gy AS gy", "c.w AS w").join(grid, ["gx", "gy"]).groupBy("pid").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+    p = points.selectExpr("pid", f"{fx} AS fx", f"{fy} AS fy").selectExpr("pid", "CAST(floor(fx) AS BIGINT) AS x0", "CAST(floor(fy) AS BIGINT) AS y0", "fx - floor(fx) AS wx", "fy - floor(fy) AS wy")
+    at = lambda i, j: f"struct(least(x0 + {i}, {nx - 1}) AS gx, least(y0 + {j}, {ny - 1}) AS gy, {'wx' if i else '(1 - wx)'} * {'wy' if j else '(1 - wy)'} AS w)"
+    p = p.selectExpr("pid", f"inline(array({at(0, 0)}, {at(1, 0)}, {at(0, 1)}, {at(1, 1)}))")
+    return p.join(grid.select("gx", "gy", *values), ["gx", "gy"]).groupBy("pid").agg(*[F.sum(F.col("w") * F.col(v)).alias(v) for v in values])
 
 
 def polygon_codes(points: DataFrame, zones: list[tuple[int, list[tuple[float, float]]]], x: str = "x", y: str = "y") -> DataFrame:

@@ -280,6 +280,6 @@ def nonground(cloud: DataFrame, cell: float, window: float = M.SMRF["window"], h
     nx, ny = int((b["hx"] - b["lx"]) // cell) + 1, int((b["hy"] - b["ly"]) // cell) + 1
     top = ground_surface(fill_raster(cut(min_raster(cloud, cell)), nx, ny), max(1, round(window / max(cell, M.EPS))))
     at = cloud.selectExpr("pid", f"x - ({b['lx']!r}D) AS x", f"y - ({b['ly']!r}D) AS y")
-    g, s = bilinear(top, at, cell, nx, ny).withColumnRenamed("value", "ground_height"), bilinear(slopes(top, cell), at, cell, nx, ny).withColumnRenamed("value", "steep")
-    out = cloud.select("pid", "z").join(g, "pid").join(s, "pid").selectExpr("pid", "ground_height", "z - ground_height AS height_above_ground", f"{height!r}D + {slope!r}D * steep * {cell!r}D AS threshold")
+    both = top.withColumnRenamed("value", "ground_height").join(slopes(top, cell).withColumnRenamed("value", "steep"), ["gx", "gy"])
+    out = cloud.select("pid", "z").join(bilinear(both, at, cell, nx, ny, "ground_height", "steep"), "pid").selectExpr("pid", "ground_height", "z - ground_height AS height_above_ground", f"{height!r}D + {slope!r}D * steep * {cell!r}D AS threshold")
     return out.selectExpr("*", "height_above_ground > threshold AS nonground")
