@@ -145,7 +145,8 @@ def _(spark, d):
 
 @query("spacing_median", f"WITH {NBR} SELECT {r('quantile_cont(dist, 0.5)', 6)} AS spacing FROM nbr WHERE rank = 1")
 def _(spark, d):
-    return rounded(S.spacing(Cloud(spark, d).nbr), "spacing", digits=6)
+    found = spark.createDataFrame([(S.spacing(Cloud(spark, d).nbr),)], "spacing double")
+    return rounded(found, "spacing", digits=6)
 
 
 @query("nearest_surface", f"WITH {NBR} SELECT pid, {r('pi() * dist * dist', 6)} AS surface FROM nbr WHERE rank = 1")

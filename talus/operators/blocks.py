@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from talus import model as M
 from talus.operators import spatial
 from talus.operators.graph import components
+from talus.operators.summary import exact_quantile
 from talus.operators.surface import flat_labels, spacing
 from talus.session import cut
 
@@ -34,9 +35,11 @@ def unit_interval(v: np.ndarray, lo: float = 0.1, hi: float = 0.9) -> np.ndarray
 def robust_unit(rows: DataFrame, value: str, lo: float = 0.1, hi: float = 0.9) -> DataFrame:
     """rows with unit: as unit_interval, over a whole table."""
     ok = f"{value} IS NOT NULL AND NOT isnan({value}) AND abs({value}) < double('inf')"
-    b = F.broadcast(rows.where(ok).agg(F.expr(f"percentile({value}, array({lo!r}, {hi!r}))").alias("q_")))  # one row
-    unit = f"CASE WHEN NOT ({ok}) THEN 0e0 WHEN q_[1] - q_[0] < {M.EPS!r}D THEN 1e0 ELSE greatest(0e0, least(1e0, ({value} - q_[0]) / (q_[1] - q_[0]))) END"
-    return rows.join(b).selectExpr(*rows.columns, f"{unit} AS unit")
+    a, b = (exact_quantile(rows.where(ok), value, share) for share in (lo, hi))
+    if a is None:
+        return rows.selectExpr("*", "0e0 AS unit")
+    inner = "1e0" if b - a < M.EPS else f"greatest(0e0, least(1e0, ({value} - ({a!r}D)) / {b - a!r}D))"
+    return rows.selectExpr("*", f"CASE WHEN {ok} THEN {inner} ELSE 0e0 END AS unit")
 
 
 def _smooth(g: np.ndarray, sigma: float) -> np.ndarray:
@@ -143,7 +146,7 @@ def grow(cloud: DataFrame, labelled: DataFrame, score: DataFrame, radius: float)
 
 def segment(cloud: DataFrame, turned: DataFrame, nbr: DataFrame, scored: DataFrame, k: int, least_points: int, parts: bool = False, only: DataFrame | None = None) -> DataFrame:
     """(pid, label) of blocks. ``scored``: features with score; ``only`` (pid): points that may support a block."""
-    gap = spacing(nbr).first()[0] or 0.0
+    gap = spacing(nbr) or 0.0
     radius, seeds = max(M.CONNECT_FACTOR * gap, M.EPS), max(3, k // 4)
     support = scored.where(f"score >= {M.SUPPORT}")
     support = support.join(only, "pid", "left_semi") if only is not None else support
@@ -152,7 +155,7 @@ def segment(cloud: DataFrame, turned: DataFrame, nbr: DataFrame, scored: DataFra
     size = comp.groupBy("root").agg(F.count("*").alias("n"), F.count_if(F.col("score") >= M.SEED_SCORE).alias("seeds")).where(f"n >= {least_points} AND seeds >= {seeds}")
     kept = comp.join(size, "root").select("pid", "root", "x", "y", "score", "local_relief", "top_hat", "n")
     if parts:
-        least = max(M.SPLIT["min_factor"] * least_points, size.agg(F.expr(f"percentile(n, {M.SPLIT['size_quantile']})")).first()[0] or 0)
+        least = max(M.SPLIT["min_factor"] * least_points, exact_quantile(size, "n", M.SPLIT["size_quantile"]) or 0)
         big = split(kept.where(f"n >= {least}").drop("n"), gap, radius, seeds, int(least)).where("part >= 0")
         named = big.groupBy("root", "part").agg(F.min("pid").alias("label"))
         labelled = kept.where(f"n < {least}").selectExpr("pid", "root AS label").unionByName(big.join(named, ["root", "part"]).select("pid", "label"))

@@ -38,15 +38,20 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def forest_roots(parents: DataFrame) -> DataFrame:
-    """parents (pid, parent): (pid, root) by pointer jumping; root is null where the chain ends in a cycle of two or more."""
-    now, rounds = cut(parents.selectExpr("pid", "parent AS root")), 0
+    """parents (pid, parent): (pid, root) by pointer jumping; root is null where the chain ends in a cycle of two or more.
+
+    A row that has come to its root (a row that is its own parent) asks no more, so the rows of a large tree meet at its root once."""
+    todo, done, rounds = cut(parents.selectExpr("pid", "parent AS root", "pid = parent AS sink")), None, 0
     limit = max(1, parents.count()).bit_length() + 1
     while rounds < limit:
-        far = now.selectExpr("pid AS root", "root AS far")
-        new = cut(now.join(far, "root").selectExpr("pid", "root AS old", "far AS root"))
+        known = todo if done is None else todo.unionByName(done)
+        far = known.selectExpr("pid AS root", "root AS far", "sink AS ends")
+        new = cut(todo.join(far, "root").select("pid", "root", "far", "sink", "ends"))
         rounds += 1
-        if new.where("old <> root").isEmpty():
+        ended = new.where("ends").select("pid", "root", "sink")
+        done = ended if done is None else done.unionByName(ended)
+        todo = new.where("NOT ends").selectExpr("pid", "far AS root", "sink")
+        if todo.isEmpty():
             break
-        now = new.select("pid", "root")
-    own = parents.where("pid = parent").selectExpr("pid AS root", "true AS is_root")
-    return new.select("pid", "root").join(own, "root", "left").selectExpr("pid", "CASE WHEN is_root THEN root END AS root")
+    # what still asks after so many rounds goes round in a circle
+    return done.select("pid", "root").unionByName(todo.selectExpr("pid", "CAST(NULL AS BIGINT) AS root"))

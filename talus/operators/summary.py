@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -143,6 +144,40 @@ def quantiles(rows: DataFrame, value: str, shares: list[float], *by: str) -> Dat
     return rows.groupBy(*by).agg(F.expr(f"percentile({value}, array({', '.join(map(repr, shares))}))").alias("q"))
 
 
+def exact_quantile(rows: DataFrame, value: str, share: float, keep: int = 200_000) -> float | None:
+    """The quantile of a whole table, between two values by their distance (null and NaN are left out); None if there is no value.
+
+    Bounds that an approximate quantile suggests are narrowed until no more than ``keep`` values lie between them, with counts at every step,
+    so the result is exact and no task gets all values."""
+    t = rows.selectExpr(f"CAST({value} AS DOUBLE) AS v").where("v IS NOT NULL AND NOT isnan(v)")
+    n = t.count()
+    if not n:
+        return None
+    at = share * (n - 1)
+    k, below, inside, m, width = int(at), 0, t, n, 0.02
+    first = last = None
+    while m > keep and first is None:
+        s = (k - below) / max(1, m - 1)
+        lo, hi = inside.agg(F.expr(f"approx_percentile(v, array({max(0.0, s - width)!r}, {min(1.0, s + width)!r}), 10000)")).first()[0]
+        v = F.col("v")
+        counts = inside.agg(F.count_if(v < lo), F.count_if(v == lo), F.count_if((v > lo) & (v < hi)), F.count_if((v == hi) & (v > lo))).first()
+        c = np.cumsum([below, *counts]).tolist()
+        if k < c[1] or k >= c[4]:
+            width *= 2
+        elif c[2] <= k < c[3]:
+            inside, below, m = inside.where((v > lo) & (v < hi)), c[2], counts[2]
+        else:  # a value that is there often
+            first, end = (lo, c[2]) if k < c[2] else (hi, c[4])
+            last = first if k + 1 < end else None
+    if first is None:
+        values = np.sort(inside.toArrow().column("v").to_numpy())  # keep values at most
+        first = float(values[k - below])
+        last = float(values[k + 1 - below]) if k + 1 - below < m else None
+    if last is None:
+        last = t.where(F.col("v") > first).agg(F.min("v")).first()[0]
+    return first if last is None else first + (last - first) * (at - k)
+
+
 def box_edges(models: DataFrame, most: int = 30) -> DataFrame:
     """(label, edge, from corner, to corner) of the largest boxes: the table a figure draws."""
     pairs = [(a, b) for a in range(8) for b in range(a + 1, 8) if (a ^ b) in (1, 2, 4)]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from talus import model as M
 from talus.functions import geometry as G
 from talus.operators.graph import components, forest_roots
+from talus.operators.summary import exact_quantile
 from talus.session import cut
 
 
@@ -47,8 +48,8 @@ def denoise(cloud: DataFrame, nbr: DataFrame, k: int, sigmas: float) -> DataFram
 
 def minima(cloud: DataFrame, rough: DataFrame) -> DataFrame:
     """Points rougher than all but a twentieth go, and those as rough as that bound."""
-    bound = F.broadcast(rough.agg(F.expr("percentile(rough, 0.95)").alias("bound")))
-    return cloud.join(rough, "pid").join(bound).where("rough < bound").drop("rough", "bound")
+    bound = exact_quantile(rough, "rough", 0.95)
+    return cloud.join(rough, "pid").where(f"rough < {bound!r}D" if bound is not None else "false").drop("rough")
 
 
 def plane(cloud: DataFrame) -> DataFrame:
@@ -106,8 +107,9 @@ def detrend(cloud: DataFrame) -> tuple[DataFrame, np.ndarray]:
 # local surface
 
 
-def spacing(nbr: DataFrame) -> DataFrame:
-    return nbr.where("rank = 1").agg(F.expr("percentile(dist, 0.5)").alias("spacing"))
+def spacing(nbr: DataFrame) -> float | None:
+    """Median distance to the nearest neighbour."""
+    return exact_quantile(nbr.where("rank = 1"), "dist", 0.5)
 
 
 def nearest_area(nbr: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ def run(cloud: DataFrame, par: M.Parameters | None = None, mode: str = "matlab",
     if sizing == "block":
         only = None
         if ground == "smrf":
-            gap, how = S.spacing(nbr).first()[0] or M.EPS, {x: v for x, v in (smrf or {}).items() if v}
+            gap, how = S.spacing(nbr) or M.EPS, {x: v for x, v in (smrf or {}).items() if v}
             cell = how.pop("cell", None) or max(M.SMRF["cell_factor"] * gap, M.SMRF["min_cell"])
             height = cut(S.nonground(turned, cell, **how))
             only = height.where("nonground").select("pid")

@@ -179,3 +179,13 @@ def test_matlab_orientation(spark):
     a = summary.orientations(m, "matlab").first()
     assert a["angle_map"] == pytest.approx(np.pi / 2) and a["angle_x"] == pytest.approx(np.pi / 4 + np.pi / 2)
     assert summary.orientations(m).first()["angle_map"] == pytest.approx(0, abs=1e-12)
+
+
+def test_exact_quantiles_of_many_values(spark):
+    r = np.random.default_rng(8)
+    v = np.concatenate([r.normal(size=3000), np.full(1500, 0.25), [np.nan]])
+    t = spark.createDataFrame(pd.DataFrame({"v": v}))
+    for share in (0.0, 0.05, 0.5, 0.55, 0.6, 0.61, 0.8, 0.999, 1.0):
+        for keep in (50, 2000, 10_000):
+            assert summary.exact_quantile(t, "v", share, keep) == pytest.approx(np.quantile(v[:-1], share), abs=1e-12)
+    assert summary.exact_quantile(t.limit(0), "v", 0.5) is None
