@@ -14,7 +14,10 @@ from talus.sources import tables as T
 
 K, MERGE_ANGLE, CLEAN_ANGLE, FACTOR = 20, 60.0, 60.0, 2.5
 RADIUS, CELL = 0.035, 20.0
-ZONES = {"zones": {"block": [[2.0, 1.0], [30.0, 5.0], [40.0, 60.0], [10.0, 80.0]], "non-block": [[20.0, 40.0], [49.0, 40.0], [49.0, 90.0], [35.0, 55.0], [20.0, 90.0]]}, "mode_order": ["block", "non-block"]}
+ZONES = {
+    "zones": {"block": [[2.0, 1.0], [30.0, 5.0], [40.0, 60.0], [10.0, 80.0]], "non-block": [[20.0, 40.0], [49.0, 40.0], [49.0, 90.0], [35.0, 55.0], [20.0, 90.0]]},
+    "mode_order": ["block", "non-block"],
+}
 INSTANCES = {"instances": [{"id": 1, "vertices_xy": [[1, 1], [20, 1], [20, 50]]}, {"id": 2, "vertices_xy": [[10, 10], [30, 10], [30, 70], [10, 70]]}, {"vertices_xy": [[25, 5], [45, 95], [48, 5]]}]}
 
 Q: dict = {}
@@ -52,7 +55,11 @@ COORD = "co AS (SELECT n.pid, n.rank, p.x, p.y, p.z FROM nbr n JOIN pts p ON n.n
 def _vector(name: str, root: str) -> str:
     """Columns {name}x, {name}y, {name}z: the unit eigenvector of a root, from the column of adj(C - root I) with the largest diagonal."""
     a, b, c = (f"(c{d} - {root})" for d in ("xx", "yy", "zz"))
-    adj = [[f"({b} * {c} - cyz * cyz)", f"(cxz * cyz - cxy * {c})", f"(cxy * cyz - cxz * {b})"], [f"(cxz * cyz - cxy * {c})", f"({a} * {c} - cxz * cxz)", f"(cxy * cxz - {a} * cyz)"], [f"(cxy * cyz - cxz * {b})", f"(cxy * cxz - {a} * cyz)", f"({a} * {b} - cxy * cxy)"]]
+    adj = [
+        [f"({b} * {c} - cyz * cyz)", f"(cxz * cyz - cxy * {c})", f"(cxy * cyz - cxz * {b})"],
+        [f"(cxz * cyz - cxy * {c})", f"({a} * {c} - cxz * cxz)", f"(cxy * cxz - {a} * cyz)"],
+        [f"(cxy * cyz - cxz * {b})", f"(cxy * cxz - {a} * cyz)", f"({a} * {b} - cxy * cxy)"],
+    ]
     d = [f"abs({adj[i][i]})" for i in range(3)]
     pick = lambda i: f"CASE WHEN {d[0]} >= {d[1]} AND {d[0]} >= {d[2]} THEN {adj[0][i]} WHEN {d[1]} >= {d[2]} THEN {adj[1][i]} ELSE {adj[2][i]} END"
     return ", ".join(f"{pick(i)} AS {name}{x}_" for i, x in enumerate("xyz"))
@@ -128,7 +135,10 @@ def _(spark, d):
     return rounded(S.normalise(T.vectors(spark, d).select("pid", "x", "y", "z")), "x", "y", "z")
 
 
-@query("voxel_downsample", f"WITH {LI} SELECT CAST(floor(x / 5.0) AS BIGINT) AS cx, CAST(floor(y / 5.0) AS BIGINT) AS cy, CAST(floor(z / 5.0) AS BIGINT) AS cz, count(*) AS n, {r('avg(x)')} AS x, {r('avg(y)')} AS y, {r('avg(z)')} AS z FROM li GROUP BY 1, 2, 3")
+@query(
+    "voxel_downsample",
+    f"WITH {LI} SELECT CAST(floor(x / 5.0) AS BIGINT) AS cx, CAST(floor(y / 5.0) AS BIGINT) AS cy, CAST(floor(z / 5.0) AS BIGINT) AS cz, count(*) AS n, {r('avg(x)')} AS x, {r('avg(y)')} AS y, {r('avg(z)')} AS z FROM li GROUP BY 1, 2, 3",
+)
 def _(spark, d):
     return rounded(S.voxels(T.lines(spark, d), 5.0, None), "x", "y", "z")
 
@@ -154,13 +164,19 @@ def _(spark, d):
     return rounded(S.nearest_area(Cloud(spark, d).nbr), "surface", digits=6)
 
 
-@query("statistical_denoise", f"WITH {NBR}, m AS (SELECT pid, avg(dist) AS md FROM nbr WHERE rank <= 4 GROUP BY pid), t AS (SELECT avg(md) + stddev_pop(md) AS top FROM m) SELECT m.pid, {r('m.md', 6)} AS mean_dist FROM m, t WHERE m.md <= t.top")
+@query(
+    "statistical_denoise",
+    f"WITH {NBR}, m AS (SELECT pid, avg(dist) AS md FROM nbr WHERE rank <= 4 GROUP BY pid), t AS (SELECT avg(md) + stddev_pop(md) AS top FROM m) SELECT m.pid, {r('m.md', 6)} AS mean_dist FROM m, t WHERE m.md <= t.top",
+)
 def _(spark, d):
     c = Cloud(spark, d)
     return rounded(S.denoise(c.pts, c.nbr, 4, 1.0).select("pid", "mean_dist"), "mean_dist", digits=6)
 
 
-@query("event_denoise", f"WITH {EVT}, m AS (SELECT a.pid, list_avg(min({G.distance()}, 4)) AS md FROM evt a JOIN evt b ON a.pid <> b.pid GROUP BY a.pid), t AS (SELECT avg(md) + stddev_pop(md) AS top FROM m) SELECT m.pid, {r('m.md', 6)} AS mean_dist FROM m, t WHERE m.md <= t.top")
+@query(
+    "event_denoise",
+    f"WITH {EVT}, m AS (SELECT a.pid, list_avg(min({G.distance()}, 4)) AS md FROM evt a JOIN evt b ON a.pid <> b.pid GROUP BY a.pid), t AS (SELECT avg(md) + stddev_pop(md) AS top FROM m) SELECT m.pid, {r('m.md', 6)} AS mean_dist FROM m, t WHERE m.md <= t.top",
+)
 def _(spark, d):
     c = T.events(spark, d)
     return rounded(S.denoise(c, spatial.knn(c, 4), 4, 1.0).select("pid", "mean_dist"), "mean_dist", digits=6)
@@ -189,7 +205,10 @@ def _(spark, d):
     return rounded(S.rotate_horizontal(T.vectors(spark, d).select("pid", "x", "y", "z")), "x", "y", "z")
 
 
-@query("plane_fit_coeffs", f"WITH {LI} SELECT n, {r('-nx / nz')} AS a, {r('-ny / nz')} AS b, {r('(sz + nx / nz * sx + ny / nz * sy) / n')} AS c FROM {eig('li', '', 0, normals=True)} AS t")
+@query(
+    "plane_fit_coeffs",
+    f"WITH {LI} SELECT n, {r('-nx / nz')} AS a, {r('-ny / nz')} AS b, {r('(sz + nx / nz * sx + ny / nz * sy) / n')} AS c FROM {eig('li', '', 0, normals=True)} AS t",
+)
 def _(spark, d):
     p = S.plane(T.lines(spark, d)).selectExpr("n", "-nx / nz AS a", "-ny / nz AS b", "(sz + nx / nz * sx + ny / nz * sy) / n AS c")
     return rounded(p, "a", "b", "c")
@@ -219,7 +238,10 @@ def _(spark, d):
     return rounded(S.surface_features(c.nbr, c.pts, K), *M.BLOCK_FEATURES)
 
 
-@query("blockiness_score", f"WITH {FEATS} SELECT pid, {r('1 / (1 + exp(-greatest(-50, least(50, t))))')} AS score FROM (SELECT pid, {_STD} + ({M.BLOCK_BIAS!r}) AS t FROM ft)")
+@query(
+    "blockiness_score",
+    f"WITH {FEATS} SELECT pid, {r('1 / (1 + exp(-greatest(-50, least(50, t))))')} AS score FROM (SELECT pid, {_STD} + ({M.BLOCK_BIAS!r}) AS t FROM ft)",
+)
 def _(spark, d):
     c = Cloud(spark, d)
     return rounded(S.block_score(S.surface_features(c.nbr, c.pts, K)).select("pid", "score"), "score")
@@ -234,7 +256,10 @@ def unit_events(spark, d):
     return e.join(top).selectExpr("pid", "x / 720 AS x", "y / my AS y", "z / mz AS z")
 
 
-@query("radius_pairs", f"WITH {_EVT3} SELECT a.pid, b.pid AS nid, {r(G.distance(), 6)} AS dist FROM ev a JOIN ev b ON a.pid < b.pid AND abs(a.x - b.x) <= {RADIUS} AND abs(a.y - b.y) <= {RADIUS} WHERE {G.distance()} <= {RADIUS}")
+@query(
+    "radius_pairs",
+    f"WITH {_EVT3} SELECT a.pid, b.pid AS nid, {r(G.distance(), 6)} AS dist FROM ev a JOIN ev b ON a.pid < b.pid AND abs(a.x - b.x) <= {RADIUS} AND abs(a.y - b.y) <= {RADIUS} WHERE {G.distance()} <= {RADIUS}",
+)
 def _(spark, d):
     return rounded(spatial.radius_pairs(unit_events(spark, d), RADIUS), "dist", digits=6)
 
@@ -258,14 +283,25 @@ def _(spark, d):
     return Cloud(spark, d).labels()
 
 
-@query("watershed_sizes", f"WITH RECURSIVE {LABELS} SELECT s.label, count(*) AS n, {r('min(p.z)')} AS zmin, {r('max(p.z)')} AS zmax, {r('avg(p.x)')} AS xmean FROM seg s JOIN pts p ON p.pid = s.pid WHERE s.label IS NOT NULL GROUP BY s.label")
+@query(
+    "watershed_sizes",
+    f"WITH RECURSIVE {LABELS} SELECT s.label, count(*) AS n, {r('min(p.z)')} AS zmin, {r('max(p.z)')} AS zmax, {r('avg(p.x)')} AS xmean FROM seg s JOIN pts p ON p.pid = s.pid WHERE s.label IS NOT NULL GROUP BY s.label",
+)
 def _(spark, d):
     c = Cloud(spark, d)
     rows = c.pts.drop("label").join(c.labels().where("label IS NOT NULL"), "pid")
-    return rounded(rows.groupBy("label").agg(F.count("*").alias("n"), F.min("z").alias("zmin"), F.max("z").alias("zmax"), F.avg("x").alias("xmean")), "zmin", "zmax", "xmean")
+    return rounded(
+        rows.groupBy("label").agg(F.count("*").alias("n"), F.min("z").alias("zmin"), F.max("z").alias("zmax"), F.avg("x").alias("xmean")),
+        "zmin",
+        "zmax",
+        "xmean",
+    )
 
 
-@query("label_neighbour_graph", f"WITH RECURSIVE {LABELS} SELECT DISTINCT a.label AS li, b.label AS lj FROM nbr n JOIN seg a ON a.pid = n.pid JOIN seg b ON b.pid = n.nid WHERE a.label IS NOT NULL AND b.label IS NOT NULL")
+@query(
+    "label_neighbour_graph",
+    f"WITH RECURSIVE {LABELS} SELECT DISTINCT a.label AS li, b.label AS lj FROM nbr n JOIN seg a ON a.pid = n.pid JOIN seg b ON b.pid = n.nid WHERE a.label IS NOT NULL AND b.label IS NOT NULL",
+)
 def _(spark, d):
     c = Cloud(spark, d)
     return S.label_neighbours(c.nbr, c.labels())
@@ -293,7 +329,10 @@ def _(spark, d):
 _FLAT = f"SELECT label, n, {r('sqrt(greatest(l1, 0e0)) / nullif(sqrt(greatest(l2, 0e0)), 0e0)')} AS r2, {r('sqrt(greatest(l0, 0e0)) / nullif(sqrt(greatest(l2, 0e0)), 0e0)')} AS r3"
 
 
-@query("flatness_filter", f"WITH RECURSIVE {MERGED}, fin AS (SELECT c.root AS label, p.x, p.y, p.z FROM seg s JOIN comp c ON c.label = s.label JOIN pts p ON p.pid = s.pid) {_FLAT} FROM {eig('fin', 'label', 0)} AS e WHERE n >= 5")
+@query(
+    "flatness_filter",
+    f"WITH RECURSIVE {MERGED}, fin AS (SELECT c.root AS label, p.x, p.y, p.z FROM seg s JOIN comp c ON c.label = s.label JOIN pts p ON p.pid = s.pid) {_FLAT} FROM {eig('fin', 'label', 0)} AS e WHERE n >= 5",
+)
 def _(spark, d):
     c = Cloud(spark, d)
     seg = c.labels()
@@ -306,7 +345,10 @@ _CLEAN = f"""{BORDER}, be AS (SELECT li, lj FROM ang WHERE mean_angle > 0 AND me
   sh AS (SELECT label, n, sqrt(greatest(l1, 0)) / nullif(sqrt(greatest(l2, 0)), 0) AS r2, sqrt(greatest(l0, 0)) / nullif(sqrt(greatest(l2, 0)), 0) AS r3 FROM {eig('fin', 'label', 0)} AS e)"""
 
 
-@query("clean_labels", f"WITH RECURSIVE {_CLEAN} SELECT s.pid, sh.label, s.donors FROM seg s LEFT JOIN comp c ON c.label = s.label LEFT JOIN sh ON sh.label = c.root AND sh.n >= 5 AND (sh.r3 > 0.1 OR sh.r2 > 0.2)")
+@query(
+    "clean_labels",
+    f"WITH RECURSIVE {_CLEAN} SELECT s.pid, sh.label, s.donors FROM seg s LEFT JOIN comp c ON c.label = s.label LEFT JOIN sh ON sh.label = c.root AND sh.n >= 5 AND (sh.r3 > 0.1 OR sh.r2 > 0.2)",
+)
 def _(spark, d):
     c = Cloud(spark, d)
     return S.clean(c.pts.drop("label"), c.nbr, c.labels(), c.normals(), K, CLEAN_ANGLE, 5, 0.1)
@@ -349,7 +391,10 @@ def _(spark, d):
     return rounded(top.join(S.slopes(top, CELL).withColumnRenamed("value", "slope"), ["gx", "gy"]), "value", "slope")
 
 
-@query("smrf_nonground", f"WITH {_GROUND} SELECT q.pid, {r('gh.v', 9)} AS ground_height, {r('q.z - gh.v', 9)} AS height_above_ground, {r(f'0.35 + 0.75 * st.v * {CELL}', 9)} AS threshold, q.z - gh.v > 0.35 + 0.75 * st.v * {CELL} AS nonground FROM q JOIN gh ON gh.pid = q.pid JOIN st ON st.pid = q.pid")
+@query(
+    "smrf_nonground",
+    f"WITH {_GROUND} SELECT q.pid, {r('gh.v', 9)} AS ground_height, {r('q.z - gh.v', 9)} AS height_above_ground, {r(f'0.35 + 0.75 * st.v * {CELL}', 9)} AS threshold, q.z - gh.v > 0.35 + 0.75 * st.v * {CELL} AS nonground FROM q JOIN gh ON gh.pid = q.pid JOIN st ON st.pid = q.pid",
+)
 def _(spark, d):
     return rounded(S.nonground(T.events(spark, d), CELL, window=40.0), "ground_height", "height_above_ground", "threshold", digits=9)
 
@@ -365,13 +410,19 @@ def _(spark, d):
     return rounded(spatial.bilinear(grid, at, 1.0, 11, 21), "value", digits=9)
 
 
-@query("nearest_label_transfer", f"WITH {PTS}, c AS (SELECT a.pid, b.pid AS nid, b.grp, {G.distance()} AS dist, row_number() OVER (PARTITION BY a.pid ORDER BY {G.distance()}, b.pid) AS rn FROM pts a JOIN pts b ON b.grp < 5) SELECT pid, nid, {r('dist', 6)} AS dist, grp AS label FROM c WHERE rn = 1")
+@query(
+    "nearest_label_transfer",
+    f"WITH {PTS}, c AS (SELECT a.pid, b.pid AS nid, b.grp, {G.distance()} AS dist, row_number() OVER (PARTITION BY a.pid ORDER BY {G.distance()}, b.pid) AS rn FROM pts a JOIN pts b ON b.grp < 5) SELECT pid, nid, {r('dist', 6)} AS dist, grp AS label FROM c WHERE rn = 1",
+)
 def _(spark, d):
     c = T.vectors(spark, d)  # of the ten classes five have a label to give
     return rounded(spatial.nearest_label(c, c.where("label < 5")), "dist", digits=6)
 
 
-@query("grow_labels", f"WITH {PTS}, c AS (SELECT a.pid, b.pid AS nid, {G.distance()} AS dist FROM pts a JOIN pts b ON b.grp < 5 AND a.grp >= 5), k AS (SELECT pid, arg_min(nid, (dist, nid)) AS nid FROM c WHERE dist <= 0.2 GROUP BY pid) SELECT pid, CAST(grp AS BIGINT) AS label FROM pts WHERE grp < 5 UNION ALL SELECT k.pid, CAST(p.grp AS BIGINT) FROM k JOIN pts p ON p.pid = k.nid")
+@query(
+    "grow_labels",
+    f"WITH {PTS}, c AS (SELECT a.pid, b.pid AS nid, {G.distance()} AS dist FROM pts a JOIN pts b ON b.grp < 5 AND a.grp >= 5), k AS (SELECT pid, arg_min(nid, (dist, nid)) AS nid FROM c WHERE dist <= 0.2 GROUP BY pid) SELECT pid, CAST(grp AS BIGINT) AS label FROM pts WHERE grp < 5 UNION ALL SELECT k.pid, CAST(p.grp AS BIGINT) FROM k JOIN pts p ON p.pid = k.nid",
+)
 def _(spark, d):
     c = T.vectors(spark, d)
     own = c.where("label < 5").selectExpr("pid", "CAST(label AS BIGINT) AS label")
@@ -382,13 +433,19 @@ def _(spark, d):
 _CELL = ", ".join(f"floor({c} / 0.1)" for c in "xyz")
 
 
-@query("processed_label_transfer", f"WITH {PTS}, v AS (SELECT min(pid) AS pid, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM pts GROUP BY {_CELL}), c AS (SELECT a.pid, b.pid AS nid, {G.distance()} AS dist, row_number() OVER (PARTITION BY a.pid ORDER BY {G.distance()}, b.pid) AS rn FROM pts a CROSS JOIN v b) SELECT c.pid, nid, {r('dist', 6)} AS dist, p.grp AS label FROM c JOIN pts p ON p.pid = nid WHERE rn = 1")
+@query(
+    "processed_label_transfer",
+    f"WITH {PTS}, v AS (SELECT min(pid) AS pid, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM pts GROUP BY {_CELL}), c AS (SELECT a.pid, b.pid AS nid, {G.distance()} AS dist, row_number() OVER (PARTITION BY a.pid ORDER BY {G.distance()}, b.pid) AS rn FROM pts a CROSS JOIN v b) SELECT c.pid, nid, {r('dist', 6)} AS dist, p.grp AS label FROM c JOIN pts p ON p.pid = nid WHERE rn = 1",
+)
 def _(spark, d):
     c = T.vectors(spark, d)
     return rounded(spatial.nearest_label(c, S.voxels(c, 0.1).select("pid", "x", "y", "z").join(c.select("pid", "label"), "pid")), "dist", digits=6)
 
 
-@query("grow_cell_labels", f"WITH {PTS}, w AS (SELECT *, count(*) OVER (PARTITION BY {_CELL}) AS n, min(pid) OVER (PARTITION BY {_CELL}) AS label FROM pts), c AS (SELECT a.pid, b.pid AS nid, b.label, {G.distance()} AS dist FROM w a JOIN w b ON a.n < 3 AND b.n >= 3), k AS (SELECT pid, arg_min(label, (dist, nid)) AS label FROM c WHERE dist <= 0.2 GROUP BY pid) SELECT pid, label FROM w WHERE n >= 3 UNION ALL SELECT pid, label FROM k")
+@query(
+    "grow_cell_labels",
+    f"WITH {PTS}, w AS (SELECT *, count(*) OVER (PARTITION BY {_CELL}) AS n, min(pid) OVER (PARTITION BY {_CELL}) AS label FROM pts), c AS (SELECT a.pid, b.pid AS nid, b.label, {G.distance()} AS dist FROM w a JOIN w b ON a.n < 3 AND b.n >= 3), k AS (SELECT pid, arg_min(label, (dist, nid)) AS label FROM c WHERE dist <= 0.2 GROUP BY pid) SELECT pid, label FROM w WHERE n >= 3 UNION ALL SELECT pid, label FROM k",
+)
 def _(spark, d):
     c = T.vectors(spark, d).select("pid", "x", "y", "z")
     own = c.selectExpr("pid", f"count(*) OVER (PARTITION BY {_CELL}) AS n", f"min(pid) OVER (PARTITION BY {_CELL}) AS label").where("n >= 3").select("pid", "label")
@@ -408,7 +465,10 @@ def _(spark, d):
 _BOX = f"{LI}, s AS (SELECT grp, count(*) AS n, max(x) - min(x) AS a, max(y) - min(y) AS b, max(z) - min(z) AS c FROM li GROUP BY grp)"
 
 
-@query("ellipsoid_area_volume", f"WITH {_BOX} SELECT grp, {r('exp(ln((exp(1.6075 * ln(a * b)) + exp(1.6075 * ln(b * c)) + exp(1.6075 * ln(c * a))) / 3) / 1.6075) * 12.566370614359172', 2)} AS area, {r('a * b * c * 4.1887902047863905', 2)} AS volume FROM s")
+@query(
+    "ellipsoid_area_volume",
+    f"WITH {_BOX} SELECT grp, {r('exp(ln((exp(1.6075 * ln(a * b)) + exp(1.6075 * ln(b * c)) + exp(1.6075 * ln(c * a))) / 3) / 1.6075) * 12.566370614359172', 2)} AS area, {r('a * b * c * 4.1887902047863905', 2)} AS volume FROM s",
+)
 def _(spark, d):
     s = T.lines(spark, d).groupBy("grp").agg(*[(F.max(c) - F.min(c)).alias(o) for c, o in zip("xyz", "abc", strict=True)])
     return rounded(s.selectExpr("grp", f"{G.ellipsoid_area('a', 'b', 'c')} AS area", f"{G.ellipsoid_volume('a', 'b', 'c')} AS volume"), "area", "volume", digits=2)
@@ -416,7 +476,18 @@ def _(spark, d):
 
 def toy_models(spark, d):
     """A model table with known columns out of the events, for the summary operators."""
-    return T.events(spark, d).selectExpr("pid AS label", "pid % 7 <> 0 AS fitok", "pid % 11 <> 0 AS aqualityok", "CAST(NULL AS BOOLEAN) AS sizecapok", "array(x, y, z) AS c", "array(1 + z / 10, 1 + z / 20, 1 + z / 40) AS r", "array(x - 360, y - 40, z) AS axis_map", "array(z, x - 300, y - 50) AS axis_x", "1 + z AS v", "2 + z AS a")
+    return T.events(spark, d).selectExpr(
+        "pid AS label",
+        "pid % 7 <> 0 AS fitok",
+        "pid % 11 <> 0 AS aqualityok",
+        "CAST(NULL AS BOOLEAN) AS sizecapok",
+        "array(x, y, z) AS c",
+        "array(1 + z / 10, 1 + z / 20, 1 + z / 40) AS r",
+        "array(x - 360, y - 40, z) AS axis_map",
+        "array(z, x - 300, y - 50) AS axis_x",
+        "1 + z AS v",
+        "2 + z AS a",
+    )
 
 
 MOD = f"{EVT}, mod AS (SELECT pid AS label, x, y, z, 1 + z / 10 AS r0, 1 + z / 20 AS r1, 1 + z / 40 AS r2, 1 + z AS v, 2 + z AS a FROM evt WHERE pid % 7 <> 0 AND pid % 11 <> 0)"
@@ -429,7 +500,10 @@ def _(spark, d):
     return summary.accepted(toy_models(spark, d)).agg(F.count("*").alias("n"))
 
 
-@query("orientation_angles", f"WITH {MOD} SELECT label, {r(f'{_AM} - pi() * floor({_AM} / pi())')} AS angle_map, {r(f'{_AX} - pi() * floor({_AX} / pi())')} AS angle_x FROM mod")
+@query(
+    "orientation_angles",
+    f"WITH {MOD} SELECT label, {r(f'{_AM} - pi() * floor({_AM} / pi())')} AS angle_map, {r(f'{_AX} - pi() * floor({_AX} / pi())')} AS angle_x FROM mod",
+)
 def _(spark, d):
     return rounded(summary.orientations(toy_models(spark, d)).select("label", "angle_map", "angle_x"), "angle_map", "angle_x")
 
@@ -437,17 +511,26 @@ def _(spark, d):
 _EDGE = lambda w, lo, hi: f"SELECT '{w}' AS what, greatest(2, CAST(ceil(sqrt(count(*))) AS INTEGER)) AS nbin, {lo} AS lo, greatest({hi}, {lo} * 1.01) AS hi FROM mod"
 
 
-@query("size_distribution_edges", f"WITH {MOD}, e AS ({_EDGE('diameter', 'greatest(min(2 * r2), 1e-6)', 'max(2 * r0)')} UNION ALL {_EDGE('volume', 'greatest(min(v), 1e-9)', 'max(v)')} UNION ALL {_EDGE('area', 'greatest(min(a), 1e-9)', 'max(a)')}), k AS (SELECT *, CAST(unnest(range(nbin)) AS INTEGER) AS i FROM e) SELECT what, i, {r('lo + (hi - lo) * i / (nbin - 1)', 7)} AS lin, {r('exp(ln(lo) + (ln(hi) - ln(lo)) * i / (nbin - 1))', 7)} AS log FROM k")
+@query(
+    "size_distribution_edges",
+    f"WITH {MOD}, e AS ({_EDGE('diameter', 'greatest(min(2 * r2), 1e-6)', 'max(2 * r0)')} UNION ALL {_EDGE('volume', 'greatest(min(v), 1e-9)', 'max(v)')} UNION ALL {_EDGE('area', 'greatest(min(a), 1e-9)', 'max(a)')}), k AS (SELECT *, CAST(unnest(range(nbin)) AS INTEGER) AS i FROM e) SELECT what, i, {r('lo + (hi - lo) * i / (nbin - 1)', 7)} AS lin, {r('exp(ln(lo) + (ln(hi) - ln(lo)) * i / (nbin - 1))', 7)} AS log FROM k",
+)
 def _(spark, d):
     return rounded(summary.edges(toy_models(spark, d)), "lin", "log", digits=7)
 
 
-@query("histogram_log_bins", f"WITH {LI} SELECT least(24, 1 + CAST(floor((ln(y) - ln(0.5)) / (ln(120.0) - ln(0.5)) * 24) AS INTEGER)) AS bin, count(*) AS n FROM li WHERE y BETWEEN 0.5 AND 120.0 GROUP BY 1")
+@query(
+    "histogram_log_bins",
+    f"WITH {LI} SELECT least(24, 1 + CAST(floor((ln(y) - ln(0.5)) / (ln(120.0) - ln(0.5)) * 24) AS INTEGER)) AS bin, count(*) AS n FROM li WHERE y BETWEEN 0.5 AND 120.0 GROUP BY 1",
+)
 def _(spark, d):
     return summary.histogram(T.lines(spark, d), "y", 0.5, 120.0, 24, log=True)
 
 
-@query("angle_rose", f"WITH {MOD}, t AS (SELECT {_AM} - pi() * floor({_AM} / pi()) AS g FROM mod), u AS (SELECT (pi() - g) - pi() * floor((pi() - g) / pi()) AS angle FROM t) SELECT least(20, 1 + CAST(floor(angle / 3.141592653589793 * 20) AS INTEGER)) AS bin, count(*) AS n FROM u WHERE angle BETWEEN 0 AND 3.141592653589793 GROUP BY 1")
+@query(
+    "angle_rose",
+    f"WITH {MOD}, t AS (SELECT {_AM} - pi() * floor({_AM} / pi()) AS g FROM mod), u AS (SELECT (pi() - g) - pi() * floor((pi() - g) / pi()) AS angle FROM t) SELECT least(20, 1 + CAST(floor(angle / 3.141592653589793 * 20) AS INTEGER)) AS bin, count(*) AS n FROM u WHERE angle BETWEEN 0 AND 3.141592653589793 GROUP BY 1",
+)
 def _(spark, d):
     return summary.rose(summary.orientations(toy_models(spark, d)), "angle_map", 20, mirrored=True)
 
@@ -457,13 +540,19 @@ def _(spark, d):
     return rounded(summary.largest(summary.accepted(toy_models(spark, d)), "v", 30).select("label", "v"), "v")
 
 
-@query("quantiles", f"WITH {LI} SELECT grp, {r('quantile_cont(y, 0.1)')} AS q10, {r('quantile_cont(y, 0.5)')} AS q50, {r('quantile_cont(y, 0.92)')} AS q92, {r('quantile_cont(y, 0.9997)')} AS q9997 FROM li GROUP BY grp")
+@query(
+    "quantiles",
+    f"WITH {LI} SELECT grp, {r('quantile_cont(y, 0.1)')} AS q10, {r('quantile_cont(y, 0.5)')} AS q50, {r('quantile_cont(y, 0.92)')} AS q92, {r('quantile_cont(y, 0.9997)')} AS q9997 FROM li GROUP BY grp",
+)
 def _(spark, d):
     q = summary.quantiles(T.lines(spark, d), "y", [0.1, 0.5, 0.92, 0.9997], "grp")
     return rounded(q.selectExpr("grp", "q[0] AS q10", "q[1] AS q50", "q[2] AS q92", "q[3] AS q9997"), "q10", "q50", "q92", "q9997")
 
 
-@query("minima_filter", f"WITH {EVT}, b AS (SELECT quantile_cont(z, 0.95) AS bound FROM evt) SELECT pid, {r('x')} AS x, {r('y')} AS y, {r('z')} AS z FROM evt, b WHERE z < bound")
+@query(
+    "minima_filter",
+    f"WITH {EVT}, b AS (SELECT quantile_cont(z, 0.95) AS bound FROM evt) SELECT pid, {r('x')} AS x, {r('y')} AS y, {r('z')} AS z FROM evt, b WHERE z < bound",
+)
 def _(spark, d):
     cloud = T.events(spark, d)
     return rounded(S.minima(cloud, cloud.selectExpr("pid", "z AS rough")), "x", "y", "z")
@@ -475,7 +564,10 @@ def _(spark, d):
     return rounded(summary.elongation(m.selectExpr("label", "array(r0, r0, r2) AS r", "v")), "elongation", "log_volume")
 
 
-@query("stride_sample")
+@query(
+    "stride_sample",
+    f"WITH {EVT}, n AS (SELECT greatest(count(*) // 1000, 1) AS n FROM evt), o AS (SELECT pid, row_number() OVER (ORDER BY pid) - 1 AS place FROM evt) SELECT pid FROM o, n WHERE place % n = 0",
+)
 def _(spark, d):
     return summary.stride_sample(T.events(spark, d), 1000).select("pid")
 
@@ -485,7 +577,10 @@ def _(spark, d):
     return summary.bootstrap_sample(T.events(spark, d), 1000).groupBy("pid").agg(F.count("*").alias("draws"))
 
 
-@query("robust_unit_interval", f"WITH {LI}, b AS (SELECT quantile_cont(y, 0.1) AS lo, quantile_cont(y, 0.9) AS hi FROM li) SELECT grp, {r('avg(greatest(0e0, least(1e0, (y - lo) / (hi - lo))))')} AS u FROM li, b GROUP BY grp")
+@query(
+    "robust_unit_interval",
+    f"WITH {LI}, b AS (SELECT quantile_cont(y, 0.1) AS lo, quantile_cont(y, 0.9) AS hi FROM li) SELECT grp, {r('avg(greatest(0e0, least(1e0, (y - lo) / (hi - lo))))')} AS u FROM li, b GROUP BY grp",
+)
 def _(spark, d):
     return rounded(blocks.robust_unit(T.lines(spark, d), "y").groupBy("grp").agg(F.avg("unit").alias("u")), "u")
 
@@ -517,18 +612,32 @@ def _(spark, d):
     return labels.counts(labels.instance_labels(T.lines(spark, d), INSTANCES))
 
 
-@query("ternary_coordinates", f"WITH {PTS}, co AS (SELECT a.pid, b.x, b.y, b.z FROM pts a JOIN pts b ON {G.distance()} <= 0.2), g AS (SELECT pid, greatest(l0, 1e-12) AS a, greatest(l1, 1e-12) AS b, greatest(l2, 1e-12) AS c FROM {eig('co', 'pid')} AS m WHERE n >= 10), e AS (SELECT pid, a / (a + b + c) AS e0, b / (a + b + c) AS e1, c / (a + b + c) AS e2 FROM g), w AS (SELECT *, 3 * e0 AS ball, (1 - 3 * e0) * (e2 - e1) AS line FROM e) SELECT pid, CAST(0.4 AS DOUBLE) AS diameter, {', '.join(f'{r(c)} AS {c}' for c in ('e0', 'e1', 'e2'))}, {r('0 * line + 1 * (1 - line - ball) + 0.5 * ball')} AS tx, {r('0.8660254037844386 * ball')} AS ty FROM w")
+@query(
+    "ternary_coordinates",
+    f"WITH {PTS}, co AS (SELECT a.pid, b.x, b.y, b.z FROM pts a JOIN pts b ON {G.distance()} <= 0.2), g AS (SELECT pid, greatest(l0, 1e-12) AS a, greatest(l1, 1e-12) AS b, greatest(l2, 1e-12) AS c FROM {eig('co', 'pid')} AS m WHERE n >= 10), e AS (SELECT pid, a / (a + b + c) AS e0, b / (a + b + c) AS e1, c / (a + b + c) AS e2 FROM g), w AS (SELECT *, 3 * e0 AS ball, (1 - 3 * e0) * (e2 - e1) AS line FROM e) SELECT pid, CAST(0.4 AS DOUBLE) AS diameter, {', '.join(f'{r(c)} AS {c}' for c in ('e0', 'e1', 'e2'))}, {r('0 * line + 1 * (1 - line - ball) + 0.5 * ball')} AS tx, {r('0.8660254037844386 * ball')} AS ty FROM w",
+)
 def _(spark, d):
     return rounded(roughness.ternary(T.vectors(spark, d), 0.4).where("e0 IS NOT NULL"), "e0", "e1", "e2", "tx", "ty")
 
 
-@query("param_row_lookup", "SELECT p_name AS name, coalesce(CASE WHEN p_size > 25 THEN p_size END, 20) AS nnptcloud, lower(trim(p_brand)) IN ('brand#11', 'brand#12') AS denoise FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS rn FROM part) WHERE rn = 1")
+@query(
+    "param_row_lookup",
+    "SELECT p_name AS name, coalesce(CASE WHEN p_size > 25 THEN p_size END, 20) AS nnptcloud, lower(trim(p_brand)) IN ('brand#11', 'brand#12') AS denoise FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS rn FROM part) WHERE rn = 1",
+)
 def _(spark, d):
-    rows = T.table(spark, d, "part").selectExpr("p_name AS Name", "p_partkey AS place", "CASE WHEN p_size > 25 THEN concat(p_size, '.0') ELSE ' ' END AS nnptcloud", "CASE WHEN p_brand IN ('Brand#11', 'Brand#12') THEN ' Yes' ELSE 'no' END AS denoise")
+    rows = T.table(spark, d, "part").selectExpr(
+        "p_name AS Name",
+        "p_partkey AS place",
+        "CASE WHEN p_size > 25 THEN concat(p_size, '.0') ELSE ' ' END AS nnptcloud",
+        "CASE WHEN p_brand IN ('Brand#11', 'Brand#12') THEN ' Yes' ELSE 'no' END AS denoise",
+    )
     return files.parameter_rows(rows, "place").select("name", "nnptcloud", "denoise")
 
 
-@query("colour_binary", f"WITH {EVT} SELECT pid, CAST(CASE WHEN z > 50 THEN 220 ELSE 90 END AS SMALLINT) AS red, CAST(CASE WHEN z > 50 THEN 80 ELSE 90 END AS SMALLINT) AS green, CAST(CASE WHEN z > 50 THEN 40 ELSE 90 END AS SMALLINT) AS blue FROM evt")
+@query(
+    "colour_binary",
+    f"WITH {EVT} SELECT pid, CAST(CASE WHEN z > 50 THEN 220 ELSE 90 END AS SMALLINT) AS red, CAST(CASE WHEN z > 50 THEN 80 ELSE 90 END AS SMALLINT) AS green, CAST(CASE WHEN z > 50 THEN 40 ELSE 90 END AS SMALLINT) AS blue FROM evt",
+)
 def _(spark, d):
     return summary.colour_binary(T.events(spark, d), "z > 50", (220, 80, 40), (90, 90, 90)).select("pid", "red", "green", "blue")
 
@@ -539,12 +648,18 @@ def _mixed(channel: int) -> str:
     return f"CAST(round({stops}[{at} + 1] + ({stops}[least({at} + 2, 9)] - {stops}[{at} + 1]) * (k * 8 / 255 - floor(k * 8 / 255))) AS SMALLINT)"
 
 
-@query("colour_ramp", f"WITH {EVT}, b AS (SELECT min(z) AS lo, max(z) AS hi FROM evt), k AS (SELECT pid, round_even(255 * (z - lo) / (hi - lo), 0) AS k FROM evt, b) SELECT pid, {', '.join(f'{_mixed(i)} AS {c}' for i, c in enumerate(('red', 'green', 'blue')))} FROM k")
+@query(
+    "colour_ramp",
+    f"WITH {EVT}, b AS (SELECT min(z) AS lo, max(z) AS hi FROM evt), k AS (SELECT pid, round_even(255 * (z - lo) / (hi - lo), 0) AS k FROM evt, b) SELECT pid, {', '.join(f'{_mixed(i)} AS {c}' for i, c in enumerate(('red', 'green', 'blue')))} FROM k",
+)
 def _(spark, d):
     return summary.colour_ramp(T.events(spark, d), "z").select("pid", "red", "green", "blue")
 
 
-@query("fibonacci_sphere", f"SELECT i AS id, {r('cos(pi() * (1 + sqrt(5e0)) * i) * sin(acos(1 - 2 * (i + 0.5e0) / 500))')} AS x, {r('sin(pi() * (1 + sqrt(5e0)) * i) * sin(acos(1 - 2 * (i + 0.5e0) / 500))')} AS y, {r('1 - 2 * (i + 0.5e0) / 500')} AS z FROM range(500) t(i)")
+@query(
+    "fibonacci_sphere",
+    f"SELECT i AS id, {r('cos(pi() * (1 + sqrt(5e0)) * i) * sin(acos(1 - 2 * (i + 0.5e0) / 500))')} AS x, {r('sin(pi() * (1 + sqrt(5e0)) * i) * sin(acos(1 - 2 * (i + 0.5e0) / 500))')} AS y, {r('1 - 2 * (i + 0.5e0) / 500')} AS z FROM range(500) t(i)",
+)
 def _(spark, d):
     return rounded(summary.sphere_points(spark, 500), "x", "y", "z")
 

@@ -13,7 +13,17 @@ BLOCK_BIAS = -0.09309884486786109
 SUPPORT, SEED_SCORE, GROW_SCORE = 0.48, 0.56, 0.45
 CONNECT_FACTOR, GROW_FACTOR = 2.5, 1.25
 SMRF = {"cell_factor": 3.0, "min_cell": 0.5, "max_cells": 6_000_000, "window": 12.0, "height": 0.35, "slope": 0.75}
-SPLIT = {"size_quantile": 0.9997, "min_factor": 20, "marker_quantile": 0.92, "grid_factor": 1.0, "sigma": 1.25, "peak_fraction": 0.9, "min_points": 12, "min_markers": 2, "max_markers": 48}
+SPLIT = {
+    "size_quantile": 0.9997,
+    "min_factor": 20,
+    "marker_quantile": 0.92,
+    "grid_factor": 1.0,
+    "sigma": 1.25,
+    "peak_fraction": 0.9,
+    "min_points": 12,
+    "min_markers": 2,
+    "max_markers": 48,
+}
 
 
 @dataclass(frozen=True)

@@ -130,7 +130,17 @@ def split(rows: DataFrame, gap: float, radius: float, min_seeds: int, least: int
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pid")
-        part = split_parts(pdf[["x", "y"]].to_numpy(), pdf["score"].to_numpy(), pdf["local_relief"].to_numpy(), pdf["top_hat"].to_numpy(), pdf["score"].to_numpy() >= M.SEED_SCORE, gap, radius, min_seeds, least)
+        part = split_parts(
+            pdf[["x", "y"]].to_numpy(),
+            pdf["score"].to_numpy(),
+            pdf["local_relief"].to_numpy(),
+            pdf["top_hat"].to_numpy(),
+            pdf["score"].to_numpy() >= M.SEED_SCORE,
+            gap,
+            radius,
+            min_seeds,
+            least,
+        )
         return pd.DataFrame({"pid": pdf["pid"], "root": key[0], "part": part})
 
     return rows.groupBy("root").applyInPandas(run, "pid long, root long, part long")
@@ -144,7 +154,16 @@ def grow(cloud: DataFrame, labelled: DataFrame, score: DataFrame, radius: float)
     return own.unionByName(near.join(own.withColumnRenamed("pid", "nid"), "nid").select("pid", "label"))
 
 
-def segment(cloud: DataFrame, turned: DataFrame, nbr: DataFrame, scored: DataFrame, k: int, least_points: int, parts: bool = False, only: DataFrame | None = None) -> DataFrame:
+def segment(
+    cloud: DataFrame,
+    turned: DataFrame,
+    nbr: DataFrame,
+    scored: DataFrame,
+    k: int,
+    least_points: int,
+    parts: bool = False,
+    only: DataFrame | None = None,
+) -> DataFrame:
     """(pid, label) of blocks. ``scored``: features with score; ``only`` (pid): points that may support a block."""
     gap = spacing(nbr) or 0.0
     radius, seeds = max(M.CONNECT_FACTOR * gap, M.EPS), max(3, k // 4)

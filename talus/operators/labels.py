@@ -84,7 +84,14 @@ def counts(labels: DataFrame) -> DataFrame:
 
 def session_paths(root: str, name: str, kind: str = "zones") -> dict[str, str]:
     d = os.path.join(root, "Label", name)
-    return {"dir": d, "labels": f"{d}/{kind}.parquet", "meta": f"{d}/{kind}.json", "polygons": f"{d}/{kind}_polygons.json", "preview": f"{d}/{kind}.ply", "sample": f"{d}/{kind}_sample.parquet"}
+    return {
+        "dir": d,
+        "labels": f"{d}/{kind}.parquet",
+        "meta": f"{d}/{kind}.json",
+        "polygons": f"{d}/{kind}_polygons.json",
+        "preview": f"{d}/{kind}.ply",
+        "sample": f"{d}/{kind}_sample.parquet",
+    }
 
 
 def cloud_extent(view: DataFrame) -> dict:

@@ -77,7 +77,11 @@ def _tile(k: int, halo: float, last: bool, skip_self: bool):
         keep[~done, 0] = True
         out = _long(own, i, d, keep)
         final = np.isin(out.column("pid").to_numpy(), own[done])
-        return out.set_column(1, "rank", pa.array(np.where(final, out.column("rank").to_numpy(), 0).astype(np.int32))).append_column("final", pa.array(np.ones(len(out), bool)))
+        return out.set_column(
+            1,
+            "rank",
+            pa.array(np.where(final, out.column("rank").to_numpy(), 0).astype(np.int32)),
+        ).append_column("final", pa.array(np.ones(len(out), bool)))
 
     return run
 
@@ -229,7 +233,13 @@ def bilinear(grid: DataFrame, points: DataFrame, cell: float, nx: int, ny: int,
     the columns that one join looks up (by default: value)."""
     values = values or ("value",)
     fx, fy = f"greatest(0e0, least({nx - 1}e0, x / {cell!r}))", f"greatest(0e0, least({ny - 1}e0, y / {cell!r}))"
-    p = points.selectExpr("pid", f"{fx} AS fx", f"{fy} AS fy").selectExpr("pid", "CAST(floor(fx) AS BIGINT) AS x0", "CAST(floor(fy) AS BIGINT) AS y0", "fx - floor(fx) AS wx", "fy - floor(fy) AS wy")
+    p = points.selectExpr("pid", f"{fx} AS fx", f"{fy} AS fy").selectExpr(
+        "pid",
+        "CAST(floor(fx) AS BIGINT) AS x0",
+        "CAST(floor(fy) AS BIGINT) AS y0",
+        "fx - floor(fx) AS wx",
+        "fy - floor(fy) AS wy",
+    )
     at = lambda i, j: f"struct(least(x0 + {i}, {nx - 1}) AS gx, least(y0 + {j}, {ny - 1}) AS gy, {'wx' if i else '(1 - wx)'} * {'wy' if j else '(1 - wy)'} AS w)"
     p = p.selectExpr("pid", f"inline(array({at(0, 0)}, {at(1, 0)}, {at(0, 1)}, {at(1, 1)}))")
     return p.join(grid.select("gx", "gy", *values), ["gx", "gy"]).groupBy("pid").agg(*[F.sum(F.col("w") * F.col(v)).alias(v) for v in values])

@@ -20,8 +20,19 @@ def accepted(models: DataFrame) -> DataFrame:
 def edges(models: DataFrame) -> DataFrame:
     """(what, i, lin, log): bin edges for diameter, volume and area; ceil(sqrt(m)) edges, two at least."""
     a = accepted(models)
-    b = a.agg(F.count("*").alias("m"), F.min(F.expr("2 * r[2]")).alias("dlo"), F.max(F.expr("2 * r[0]")).alias("dhi"), F.min("v").alias("vlo"), F.max("v").alias("vhi"), F.min("a").alias("alo"), F.max("a").alias("ahi")).where("m > 0")
-    b = b.selectExpr("greatest(2, CAST(ceil(sqrt(m)) AS INT)) AS nbin", "inline(array(struct('diameter' AS what, greatest(dlo, 1e-6) AS lo, dhi AS hi), struct('volume' AS what, greatest(vlo, 1e-9) AS lo, vhi AS hi), struct('area' AS what, greatest(alo, 1e-9) AS lo, ahi AS hi)))")
+    b = a.agg(
+        F.count("*").alias("m"),
+        F.min(F.expr("2 * r[2]")).alias("dlo"),
+        F.max(F.expr("2 * r[0]")).alias("dhi"),
+        F.min("v").alias("vlo"),
+        F.max("v").alias("vhi"),
+        F.min("a").alias("alo"),
+        F.max("a").alias("ahi"),
+    ).where("m > 0")
+    b = b.selectExpr(
+        "greatest(2, CAST(ceil(sqrt(m)) AS INT)) AS nbin",
+        "inline(array(struct('diameter' AS what, greatest(dlo, 1e-6) AS lo, dhi AS hi), struct('volume' AS what, greatest(vlo, 1e-9) AS lo, vhi AS hi), struct('area' AS what, greatest(alo, 1e-9) AS lo, ahi AS hi)))",
+    )
     b = b.selectExpr("what", "nbin", "lo", "greatest(hi, lo * 1.01e0) AS hi").selectExpr("*", "explode(sequence(0, nbin - 1)) AS i")
     return b.selectExpr("what", "i", "lo + (hi - lo) * i / (nbin - 1) AS lin", "exp(ln(lo) + (ln(hi) - ln(lo)) * i / (nbin - 1)) AS log")
 
@@ -29,14 +40,26 @@ def edges(models: DataFrame) -> DataFrame:
 def orientations(models: DataFrame, mode: str = "atan2") -> DataFrame:
     """label with map-view and x-view angles (0 to pi): each axis turned toward the viewer first."""
     m = accepted(models).selectExpr("*", "CASE WHEN axis_map[1] < 0 THEN -1 ELSE 1 END AS sm", "CASE WHEN axis_x[2] < 0 THEN -1 ELSE 1 END AS sx")
-    return m.selectExpr("label", "c", "r", f"{G.orientation('sm * axis_map[1]', 'sm * axis_map[0]', mode)} AS angle_map", f"{G.orientation('sx * axis_x[1]', 'sx * axis_x[2]', mode)} AS angle_x")
+    return m.selectExpr(
+        "label",
+        "c",
+        "r",
+        f"{G.orientation('sm * axis_map[1]', 'sm * axis_map[0]', mode)} AS angle_map",
+        f"{G.orientation('sx * axis_x[1]', 'sx * axis_x[2]', mode)} AS angle_x",
+    )
 
 
 def granulo(models: DataFrame, mode: str = "atan2") -> DataFrame:
     """Export table: one row a grain, numbered in the order of labels; angles in degrees."""
     o = orientations(models, mode)
     first = F.row_number().over(Window.orderBy("label")).cast("long")  # one row a grain: the final report
-    return o.select(first.alias("Ngrain"), *[F.col("c")[i].alias(f"{a}c") for i, a in enumerate("XYZ")], *[(2 * F.col("r")[i]).alias(n) for i, n in enumerate(("Dmax", "Dmed", "Dmin"))], F.degrees("angle_map").alias("angle_Mview"), F.degrees("angle_x").alias("angle_Xview"))
+    return o.select(
+        first.alias("Ngrain"),
+        *[F.col("c")[i].alias(f"{a}c") for i, a in enumerate("XYZ")],
+        *[(2 * F.col("r")[i]).alias(n) for i, n in enumerate(("Dmax", "Dmed", "Dmin"))],
+        F.degrees("angle_map").alias("angle_Mview"),
+        F.degrees("angle_x").alias("angle_Xview"),
+    )
 
 
 def histogram(rows: DataFrame, value: str, lo: float, hi: float, n: int, log: bool = False) -> DataFrame:
@@ -82,7 +105,10 @@ def colour_ramp(rows: DataFrame, value: str, name: str = "viridis") -> DataFrame
     lut = ramp(name)
     at = f"1 + CAST(rint(255 * greatest(0e0, least(1e0, ({value} - lo_) / CASE WHEN hi_ > lo_ THEN hi_ - lo_ ELSE 1e0 END))) AS INT)"
     arrays = [f"array({', '.join(str(c[i]) for c in lut)})" for i in range(3)]
-    return rows.join(b).selectExpr(*rows.columns, *[f"CAST(CASE WHEN {ok} THEN element_at({a}, {at}) ELSE 96 END AS SMALLINT) AS {c}" for a, c in zip(arrays, ("red", "green", "blue"), strict=True)])
+    return rows.join(b).selectExpr(
+        *rows.columns,
+        *[f"CAST(CASE WHEN {ok} THEN element_at({a}, {at}) ELSE 96 END AS SMALLINT) AS {c}" for a, c in zip(arrays, ("red", "green", "blue"), strict=True)],
+    )
 
 
 def instance_colours(rows: DataFrame, code: str = "code") -> DataFrame:
@@ -189,10 +215,19 @@ def box_edges(models: DataFrame, most: int = 30) -> DataFrame:
 def ellipsoid_mesh(models: DataFrame, around: int = 24, down: int = 12) -> DataFrame:
     """(label, i, j, x, y, z): mesh corners of accepted ellipsoids, largest first in a figure."""
     m = accepted(models).selectExpr("label", "c", "r", "rot", f"explode(sequence(0, {around - 1})) AS i").selectExpr("*", f"explode(sequence(0, {down - 1})) AS j")
-    m = m.selectExpr("*", f"2 * pi() * i / {around - 1} AS u", f"pi() * j / {down - 1} AS t").selectExpr("*", "r[0] * cos(u) * sin(t) AS a", "r[1] * sin(u) * sin(t) AS b", "r[2] * cos(t) AS d")
+    m = m.selectExpr("*", f"2 * pi() * i / {around - 1} AS u", f"pi() * j / {down - 1} AS t").selectExpr(
+        "*",
+        "r[0] * cos(u) * sin(t) AS a",
+        "r[1] * sin(u) * sin(t) AS b",
+        "r[2] * cos(t) AS d",
+    )
     return m.selectExpr("label", "i", "j", *[f"c[{k}] + rot[{3 * k}] * a + rot[{3 * k + 1}] * b + rot[{3 * k + 2}] * d AS {n}" for k, n in enumerate("xyz")])
 
 
 def sphere_points(spark, n: int) -> DataFrame:
     """n points spread over the unit sphere by the golden angle."""
-    return spark.range(n).selectExpr("id", f"acos(1 - 2 * (id + 0.5e0) / {n}) AS t", "pi() * (1 + sqrt(5e0)) * id AS u").selectExpr("id", "cos(u) * sin(t) AS x", "sin(u) * sin(t) AS y", "cos(t) AS z")
+    return spark.range(n).selectExpr(
+        "id",
+        f"acos(1 - 2 * (id + 0.5e0) / {n}) AS t",
+        "pi() * (1 + sqrt(5e0)) * id AS u",
+    ).selectExpr("id", "cos(u) * sin(t) AS x", "sin(u) * sin(t) AS y", "cos(t) AS z")

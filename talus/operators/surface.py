@@ -93,7 +93,10 @@ def detrend(cloud: DataFrame) -> tuple[DataFrame, np.ndarray]:
     m, d = [s["mx"], s["my"]], [s["dx"] or 1.0, s["dy"] or 1.0]
     u, v = f"((x - ({m[0]!r}D)) / {d[0]!r}D)", f"((y - ({m[1]!r}D)) / {d[1]!r}D)"
     terms = ["1e0", u, v, f"{u} * {u}", f"{u} * {v}", f"{v} * {v}"]
-    sums = cloud.selectExpr(*[f"{t} AS b{i}" for i, t in enumerate(terms)], "z").agg(*[F.sum(F.col(f"b{i}") * F.col(f"b{j}")).alias(f"s{i}{j}") for i in range(6) for j in range(i, 6)], *[F.sum(F.col(f"b{i}") * F.col("z")).alias(f"t{i}") for i in range(6)]).first()
+    sums = cloud.selectExpr(*[f"{t} AS b{i}" for i, t in enumerate(terms)], "z").agg(
+        *[F.sum(F.col(f"b{i}") * F.col(f"b{j}")).alias(f"s{i}{j}") for i in range(6) for j in range(i, 6)],
+        *[F.sum(F.col(f"b{i}") * F.col("z")).alias(f"t{i}") for i in range(6)],
+    ).first()
     a = np.array([[sums[f"s{min(i, j)}{max(i, j)}"] for j in range(6)] for i in range(6)])
     coef = np.linalg.lstsq(a, np.array([sums[f"t{i}"] for i in range(6)]), rcond=None)[0]
     fitted = " + ".join(f"({float(c)!r}D) * {t}" for c, t in zip(coef, terms, strict=True))
@@ -153,7 +156,12 @@ def surface_features(nbr: DataFrame, cloud: DataFrame, k: int = 20) -> DataFrame
         e = eigen_table(rows.where(F.col("rank") <= s)).selectExpr("pid", *[f"greatest(l{i}, {G.EPS}) AS l{i}" for i in range(3)])
         e = e.selectExpr("pid", f"{s} AS s", "l0 / l2 AS scatter", "l0 / (l0 + l1 + l2) AS curve", "(l1 - l0) / l2 AS planar")
         shapes = e if shapes is None else shapes.unionByName(e)
-    shapes = shapes.groupBy("pid").agg(F.max(F.when(F.col("s") == k, F.col("scatter"))).alias("scattering"), F.avg("curve").alias("curvature_mean"), F.max("curve").alias("curvature_max"), F.avg("planar").alias("planarity_mean"))
+    shapes = shapes.groupBy("pid").agg(
+        F.max(F.when(F.col("s") == k, F.col("scatter"))).alias("scattering"),
+        F.avg("curve").alias("curvature_mean"),
+        F.max("curve").alias("curvature_max"),
+        F.avg("planar").alias("planarity_mean"),
+    )
     return own.join(shapes, "pid").select("pid", *M.BLOCK_FEATURES)
 
 
@@ -171,7 +179,10 @@ def receivers(nbr: DataFrame, cloud: DataFrame) -> DataFrame:
     """(pid, parent): the neighbour of the steepest way up; a point above all its neighbours is its own parent."""
     slope = nbr.join(cloud.selectExpr("pid", "x AS ax", "y AS ay", "z AS az"), "pid").join(cloud.selectExpr("pid AS nid", "x", "y", "z"), "nid")
     slope = slope.selectExpr("pid", "nid", "rank", "(az - z) / greatest(sqrt((ax - x) * (ax - x) + (ay - y) * (ay - y) + (az - z) * (az - z)), 1e-12) AS slope")
-    return slope.groupBy("pid").agg(F.min_by("nid", F.struct("slope", "rank")).alias("near"), F.min("slope").alias("least")).selectExpr("pid", "CASE WHEN least > 0 THEN pid ELSE near END AS parent")
+    return slope.groupBy("pid").agg(
+        F.min_by("nid", F.struct("slope", "rank")).alias("near"),
+        F.min("slope").alias("least"),
+    ).selectExpr("pid", "CASE WHEN least > 0 THEN pid ELSE near END AS parent")
 
 
 def watershed(parents: DataFrame) -> DataFrame:
@@ -184,9 +195,16 @@ def border_angles(nbr: DataFrame, labels: DataFrame, normal: DataFrame, k: int)
     """(li, lj, mean_angle) from border points: a quarter of the neighbours have another label and nothing drains to the point."""
     at = labels.select("pid", "label", "donors")
     rows = nbr.join(at, "pid").join(at.selectExpr("pid AS nid", "label AS lj"), "nid")
-    border = rows.groupBy("pid").agg(F.sum(F.when(F.col("label").eqNullSafe(F.col("lj")), 1).otherwise(0)).alias("same"), F.max("donors").alias("d"), F.max("label").alias("li")).where(f"{k} - same >= {k / 4!r} AND d = 0 AND li IS NOT NULL").select("pid", "li")
+    border = rows.groupBy("pid").agg(
+        F.sum(F.when(F.col("label").eqNullSafe(F.col("lj")), 1).otherwise(0)).alias("same"),
+        F.max("donors").alias("d"),
+        F.max("label").alias("li"),
+    ).where(f"{k} - same >= {k / 4!r} AND d = 0 AND li IS NOT NULL").select("pid", "li")
     n = normal.select("pid", "nx", "ny", "nz")
-    pairs = rows.where("lj IS NOT NULL").select("pid", "nid", "lj").join(border, "pid").join(n.selectExpr("pid", "nx AS ax", "ny AS ay", "nz AS az"), "pid").join(n.selectExpr("pid AS nid", "nx AS bx", "ny AS by", "nz AS bz"), "nid")
+    pairs = rows.where("lj IS NOT NULL").select("pid", "nid", "lj").join(border, "pid").join(n.selectExpr("pid", "nx AS ax", "ny AS ay", "nz AS az"), "pid").join(
+        n.selectExpr("pid AS nid", "nx AS bx", "ny AS by", "nz AS bz"),
+        "nid",
+    )
     return pairs.selectExpr("li", "lj", f"{G.angle(('ax', 'ay', 'az'), ('bx', 'by', 'bz'))} AS a").groupBy("li", "lj").agg(F.avg("a").alias("mean_angle"))
 
 
@@ -200,7 +218,10 @@ def merge_edges(cloud: DataFrame, nbr: DataFrame, labels: DataFrame, normal: Dat
     area = nbr.where("rank = 1").join(labels.where("label IS NOT NULL"), "pid").groupBy("label").agg(F.sum(F.expr("pi() * dist * dist")).alias("area"))
     sinks = area.join(cloud.selectExpr("pid AS label", "x", "y", "z"), "label").selectExpr("label", "sqrt(area / pi()) AS radius", "x", "y", "z")
     angles = border_angles(nbr, labels, normal, k)
-    e = label_neighbours(nbr, labels).where("li <> lj").join(sinks.selectExpr("label AS li", "radius AS ra", "x AS ax", "y AS ay", "z AS az"), "li").join(sinks.selectExpr("label AS lj", "radius AS rb", "x AS bx", "y AS by", "z AS bz"), "lj").join(angles, ["li", "lj"], "left")
+    e = label_neighbours(nbr, labels).where("li <> lj").join(
+        sinks.selectExpr("label AS li", "radius AS ra", "x AS ax", "y AS ay", "z AS az"),
+        "li",
+    ).join(sinks.selectExpr("label AS lj", "radius AS rb", "x AS bx", "y AS by", "z AS bz"), "lj").join(angles, ["li", "lj"], "left")
     near = f"{radfactor * M.RADIUS_CORRECTION!r}D * (ra + rb) > sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by) + (az - bz) * (az - bz))"
     return e.where(f"{near} AND coalesce(mean_angle, 0e0) <= {max_angle!r}").select("li", "lj")
 
@@ -215,7 +236,10 @@ def flat_labels(cloud: DataFrame, labels: DataFrame, least_points: int, least_fl
     """Labels with shape: n, ratios of singular values and whether they stay."""
     rows = cloud.join(labels.where("label IS NOT NULL").select("pid", "label"), "pid").selectExpr("label AS pid", "x", "y", "z")
     e = eigen_table(rows, ddof=0).selectExpr("pid AS label", "n", "sqrt(greatest(l0, 0e0)) AS s3", "sqrt(greatest(l1, 0e0)) AS s2", "sqrt(greatest(l2, 0e0)) AS s1")
-    return e.selectExpr("label", "n", "s2 / nullif(s1, 0e0) AS r2", "s3 / nullif(s1, 0e0) AS r3").selectExpr("*", f"coalesce(n >= {least_points} AND (r3 > {least_flatness!r} OR r2 > {2 * least_flatness!r}), false) AS stays")
+    return e.selectExpr("label", "n", "s2 / nullif(s1, 0e0) AS r2", "s3 / nullif(s1, 0e0) AS r3").selectExpr(
+        "*",
+        f"coalesce(n >= {least_points} AND (r3 > {least_flatness!r} OR r2 > {2 * least_flatness!r}), false) AS stays",
+    )
 
 
 def clean(cloud: DataFrame, nbr: DataFrame, labels: DataFrame, normal: DataFrame, k: int, max_angle: float, least_points: int, least_flatness: float) -> DataFrame:
@@ -231,7 +255,11 @@ def clean(cloud: DataFrame, nbr: DataFrame, labels: DataFrame, normal: DataFrame
 def min_raster(cloud: DataFrame, cell: float) -> DataFrame:
     """Least height of each occupied cell, from the least x and y."""
     low = F.broadcast(cloud.agg(F.min("x").alias("lx"), F.min("y").alias("ly")))
-    return cloud.join(low).selectExpr(f"CAST(floor((x - lx) / {cell!r}) AS BIGINT) AS gx", f"CAST(floor((y - ly) / {cell!r}) AS BIGINT) AS gy", "z").groupBy("gx", "gy").agg(F.min("z").alias("value"))
+    return cloud.join(low).selectExpr(
+        f"CAST(floor((x - lx) / {cell!r}) AS BIGINT) AS gx",
+        f"CAST(floor((y - ly) / {cell!r}) AS BIGINT) AS gy",
+        "z",
+    ).groupBy("gx", "gy").agg(F.min("z").alias("value"))
 
 
 def fill_raster(raster: DataFrame, nx: int, ny: int) -> DataFrame:
@@ -242,7 +270,12 @@ def fill_raster(raster: DataFrame, nx: int, ny: int) -> DataFrame:
     full = spark.range(nx * ny).selectExpr(f"id % {nx} AS gx", f"id DIV {nx} AS gy")
     key = f"gx * {ny} + gy"
     holes = full.join(raster, ["gx", "gy"], "left_anti")
-    near = nearest(holes.selectExpr(f"{key} AS pid", "gx * 1e0 AS x", "gy * 1e0 AS y", "0e0 AS z"), cut(raster.selectExpr(f"{key} AS pid", "gx * 1e0 AS x", "gy * 1e0 AS y", "0e0 AS z")), 1, False)
+    near = nearest(
+        holes.selectExpr(f"{key} AS pid", "gx * 1e0 AS x", "gy * 1e0 AS y", "0e0 AS z"),
+        cut(raster.selectExpr(f"{key} AS pid", "gx * 1e0 AS x", "gy * 1e0 AS y", "0e0 AS z")),
+        1,
+        False,
+    )
     filled = near.join(raster.selectExpr(f"{key} AS nid", "value"), "nid").selectExpr(f"pid DIV {ny} AS gx", f"pid % {ny} AS gy", "value")
     return cut(raster.select("gx", "gy", "value").unionByName(filled))
 
@@ -251,7 +284,11 @@ def opened(raster: DataFrame, radius: int) -> DataFrame:
     """Grey opening by a square: sliding minima along rows and columns, then maxima; windows end at the grid's edge."""
     w = f"RANGE BETWEEN {radius} PRECEDING AND {radius} FOLLOWING"
     for f in ("min", "max"):
-        raster = raster.selectExpr("gx", "gy", f"{f}(value) OVER (PARTITION BY gy ORDER BY gx {w}) AS value").selectExpr("gx", "gy", f"{f}(value) OVER (PARTITION BY gx ORDER BY gy {w}) AS value")
+        raster = raster.selectExpr(
+            "gx",
+            "gy",
+            f"{f}(value) OVER (PARTITION BY gy ORDER BY gx {w}) AS value",
+        ).selectExpr("gx", "gy", f"{f}(value) OVER (PARTITION BY gx ORDER BY gy {w}) AS value")
     return raster
 
 
@@ -266,7 +303,10 @@ def ground_surface(raster: DataFrame, window_cells: int) -> DataFrame:
 def slopes(raster: DataFrame, cell: float) -> DataFrame:
     """Length of the gradient: central differences, one-sided at the edge."""
     side = lambda a, b: f"(coalesce(lead(value) OVER w{a}, value) - coalesce(lag(value) OVER w{a}, value)) / nullif((CASE WHEN lead(value) OVER w{a} IS NULL THEN 0 ELSE 1 END + CASE WHEN lag(value) OVER w{a} IS NULL THEN 0 ELSE 1 END) * {cell!r}, 0e0)"
-    return sql(f"SELECT gx, gy, sqrt(pow(coalesce({side('x', 'y')}, 0e0), 2) + pow(coalesce({side('y', 'x')}, 0e0), 2)) AS value FROM {{raster}} WINDOW wx AS (PARTITION BY gy ORDER BY gx), wy AS (PARTITION BY gx ORDER BY gy)", raster=raster)
+    return sql(
+        f"SELECT gx, gy, sqrt(pow(coalesce({side('x', 'y')}, 0e0), 2) + pow(coalesce({side('y', 'x')}, 0e0), 2)) AS value FROM {{raster}} WINDOW wx AS (PARTITION BY gy ORDER BY gx), wy AS (PARTITION BY gx ORDER BY gy)",
+        raster=raster,
+    )
 
 
 def nonground(cloud: DataFrame, cell: float, window: float = M.SMRF["window"], height: float = M.SMRF["height"], slope: float = M.SMRF["slope"]) -> DataFrame:
@@ -283,5 +323,10 @@ def nonground(cloud: DataFrame, cell: float, window: float = M.SMRF["window"], h
     top = ground_surface(fill_raster(cut(min_raster(cloud, cell)), nx, ny), max(1, round(window / max(cell, M.EPS))))
     at = cloud.selectExpr("pid", f"x - ({b['lx']!r}D) AS x", f"y - ({b['ly']!r}D) AS y")
     both = top.withColumnRenamed("value", "ground_height").join(slopes(top, cell).withColumnRenamed("value", "steep"), ["gx", "gy"])
-    out = cloud.select("pid", "z").join(bilinear(both, at, cell, nx, ny, "ground_height", "steep"), "pid").selectExpr("pid", "ground_height", "z - ground_height AS height_above_ground", f"{height!r}D + {slope!r}D * steep * {cell!r}D AS threshold")
+    out = cloud.select("pid", "z").join(bilinear(both, at, cell, nx, ny, "ground_height", "steep"), "pid").selectExpr(
+        "pid",
+        "ground_height",
+        "z - ground_height AS height_above_ground",
+        f"{height!r}D + {slope!r}D * steep * {cell!r}D AS threshold",
+    )
     return out.selectExpr("*", "height_above_ground > threshold AS nonground")

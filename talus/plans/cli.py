@@ -63,7 +63,19 @@ def run(spark, a: argparse.Namespace, name: str) -> dict:
     paths = files.run_folders(a.output, name)
     smrf = {"cell": a.smrf_cell_size, "window": a.smrf_max_window, "height": a.smrf_height_threshold, "slope": a.smrf_slope_threshold}
     cloud = files.read_cloud(spark, a.cloud).select("pid", "x", "y", "z")
-    out = engine.run(cloud, par, a.preprocess_mode, a.sizing_mode, a.fit_strategy, a.max_ellipsoid_cloud_fraction, a.ground_mode, a.block_split, a.seed, a.orientation_mode, smrf)
+    out = engine.run(
+        cloud,
+        par,
+        a.preprocess_mode,
+        a.sizing_mode,
+        a.fit_strategy,
+        a.max_ellipsoid_cloud_fraction,
+        a.ground_mode,
+        a.block_split,
+        a.seed,
+        a.orientation_mode,
+        smrf,
+    )
     written: dict = {"csv": None, "clouds": {}, "figures": []}
     if par.savegranulo:
         written["csv"] = os.path.join(paths["Excel"], f"{name}_granulo.csv")

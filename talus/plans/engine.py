@@ -27,7 +27,19 @@ class Result:
     ground: DataFrame | None = None
 
 
-def run(cloud: DataFrame, par: M.Parameters | None = None, mode: str = "matlab", sizing: str = "ellipsoid", strategy: str = "bounded_pca", cap_fraction: float = 0.0, ground: str = "none", parts: bool = False, seed: int = 0, orientation: str = "atan2", smrf: dict | None = None) -> Result:
+def run(
+    cloud: DataFrame,
+    par: M.Parameters | None = None,
+    mode: str = "matlab",
+    sizing: str = "ellipsoid",
+    strategy: str = "bounded_pca",
+    cap_fraction: float = 0.0,
+    ground: str = "none",
+    parts: bool = False,
+    seed: int = 0,
+    orientation: str = "atan2",
+    smrf: dict | None = None,
+) -> Result:
     """cloud (pid, x, y, z). mode: matlab or fast preparation; sizing: ellipsoid or block; ground: none or smrf (block sizing), with smrf's cell,
     window, height and slope; orientation: atan2 or matlab."""
     par = par or M.Parameters()

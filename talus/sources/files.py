@@ -16,13 +16,49 @@ from pyspark.sql import functions as F
 from talus.model import COLUMNS, Parameters
 
 #: Fixed values of the formats.
-PLY_TYPES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8"}
+PLY_TYPES = {
+    "char": "i1",
+    "int8": "i1",
+    "uchar": "u1",
+    "uint8": "u1",
+    "short": "i2",
+    "int16": "i2",
+    "ushort": "u2",
+    "uint16": "u2",
+    "int": "i4",
+    "int32": "i4",
+    "uint": "u4",
+    "uint32": "u4",
+    "float": "f4",
+    "float32": "f4",
+    "double": "f8",
+    "float64": "f8",
+}
 LAS_COLOUR = {2: 20, 3: 28, 5: 28, 7: 30, 8: 30, 10: 30}
 LAS_TIME = {1: 20, 3: 20, 4: 20, 5: 20, 6: 22, 7: 22, 8: 22, 9: 22, 10: 22}
 #: (name, byte, first bit, bits) of the packed fields and (name, byte, type) of the whole ones, for formats 0 to 5 and 6 to 10.
 LAS_BITS = (
-    [("return_number", 14, 0, 3), ("number_of_returns", 14, 3, 3), ("scan_direction_flag", 14, 6, 1), ("edge_of_flight_line", 14, 7, 1), ("classification", 15, 0, 5), ("synthetic", 15, 5, 1), ("key_point", 15, 6, 1), ("withheld", 15, 7, 1)],
-    [("return_number", 14, 0, 4), ("number_of_returns", 14, 4, 4), ("synthetic", 15, 0, 1), ("key_point", 15, 1, 1), ("withheld", 15, 2, 1), ("overlap", 15, 3, 1), ("scanner_channel", 15, 4, 2), ("scan_direction_flag", 15, 6, 1), ("edge_of_flight_line", 15, 7, 1)],
+    [
+        ("return_number", 14, 0, 3),
+        ("number_of_returns", 14, 3, 3),
+        ("scan_direction_flag", 14, 6, 1),
+        ("edge_of_flight_line", 14, 7, 1),
+        ("classification", 15, 0, 5),
+        ("synthetic", 15, 5, 1),
+        ("key_point", 15, 6, 1),
+        ("withheld", 15, 7, 1),
+    ],
+    [
+        ("return_number", 14, 0, 4),
+        ("number_of_returns", 14, 4, 4),
+        ("synthetic", 15, 0, 1),
+        ("key_point", 15, 1, 1),
+        ("withheld", 15, 2, 1),
+        ("overlap", 15, 3, 1),
+        ("scanner_channel", 15, 4, 2),
+        ("scan_direction_flag", 15, 6, 1),
+        ("edge_of_flight_line", 15, 7, 1),
+    ],
 )
 LAS_FIELDS = (
     [("intensity", 12, "<u2"), ("scan_angle_rank", 16, "i1"), ("user_data", 17, "u1"), ("point_source_id", 18, "<u2")],
@@ -110,7 +146,10 @@ def _rows(parse, numbers: dict[str, int]):
 
 def read_xyz(spark: SparkSession, path: str) -> DataFrame:
     """First three columns of white-space separated text; comments and rows with NaN are left out."""
-    t = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("v"), F.monotonically_increasing_id().alias("pid")).where("size(v) >= 3 AND NOT startswith(v[0], '#')")
+    t = spark.read.text(path).select(
+        F.split(F.trim("value"), r"\s+").alias("v"),
+        F.monotonically_increasing_id().alias("pid"),
+    ).where("size(v) >= 3 AND NOT startswith(v[0], '#')")
     return t.selectExpr("pid", *[f"CAST(v[{i}] AS DOUBLE) AS {c}" for i, c in enumerate("xyz")]).where(" AND ".join(f"NOT isnan({c})" for c in "xyz"))
 
 

@@ -16,7 +16,12 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hour of the month, user and value of each event."""
-    return table(spark, sf_dir, "events").selectExpr("event_id AS pid", "(unix_micros(CAST(ts AS TIMESTAMP)) / 3.6e9) % 720 AS x", "CAST(user_id AS DOUBLE) AS y", "value AS z")
+    return table(spark, sf_dir, "events").selectExpr(
+        "event_id AS pid",
+        "(unix_micros(CAST(ts AS TIMESTAMP)) / 3.6e9) % 720 AS x",
+        "CAST(user_id AS DOUBLE) AS y",
+        "value AS z",
+    )
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
