@@ -339,7 +339,10 @@ def _digests(shared):
     def run(batches):
         for part, found in coded(Coder(Vocabulary(shared.value)), batches):
             n, ids, decoded = zip(*((n, hashlib.sha256(joined).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) for n, joined, text in found), strict=True)
-            yield pa.record_batch([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.record_batch(
+                [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
 
     return run
 

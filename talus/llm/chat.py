@@ -128,7 +128,16 @@ def _format(t: Template):
                 formatted.append("".join(p for p, _ in parts))
                 spans.append(own)
                 errors.append(first_error([r for r, _ in pairs], t))
-            yield pa.record_batch([batch.column("conv_id"), pa.array(formatted, pa.string()), pa.array(spans, kind), pa.array([e < 0 for e in errors], pa.bool_()), pa.array([e if e >= 0 else None for e in errors], pa.int32())], ["conv_id", "formatted", "segments", "valid", "error_turn"])
+            yield pa.record_batch(
+                [
+                    batch.column("conv_id"),
+                    pa.array(formatted, pa.string()),
+                    pa.array(spans, kind),
+                    pa.array([e < 0 for e in errors], pa.bool_()),
+                    pa.array([e if e >= 0 else None for e in errors], pa.int32()),
+                ],
+                ["conv_id", "formatted", "segments", "valid", "error_turn"],
+            )
 
     return run
 
@@ -151,7 +160,10 @@ def _digests(t: Template):
                 out["loss_chars"].append(len(loss))
                 out["loss_sha256"].append(hashlib.sha256(loss.encode()).hexdigest())
                 out["formatted_chars"].append(len(text))
-            yield pa.record_batch([batch.column("conv_id"), *(pa.array(v, pa.string() if "sha" in k else pa.int64()) for k, v in out.items()), batch.column("valid")], ["conv_id", *out, "valid"])
+            yield pa.record_batch(
+                [batch.column("conv_id"), *(pa.array(v, pa.string() if "sha" in k else pa.int64()) for k, v in out.items()), batch.column("valid")],
+                ["conv_id", *out, "valid"],
+            )
 
     return run
 
@@ -160,7 +172,10 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").selectExpr("CAST(conv_id AS BIGINT) AS conv_id", "CAST(turn AS BIGINT) AS turn", "role", "text")
     own = spark.range(2).selectExpr("CAST(-1 AS BIGINT) AS conv_id", "id AS turn", "CASE WHEN id = 0 THEN 'user' ELSE 'assistant' END AS role", f"'{said}' AS text")
-    return format_chats(rows.unionByName(own)).mapInArrow(_digests(Template()), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
+    return format_chats(rows.unionByName(own)).mapInArrow(
+        _digests(Template()),
+        "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean",
+    )
 
 
 _TEXT = r"regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\\\1|', 'g')"

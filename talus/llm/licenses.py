@@ -223,7 +223,10 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
     """One row for each match: doc_id, license, matched_words, coverage, first_byte, end_byte (of the UTF-8 text)."""
     small_batches(docs.sparkSession)
     texts = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text").where("text IS NOT NULL")
-    return texts.mapInArrow(_scan(Index(templates or TEMPLATES), least_coverage), "doc_id long, license string, matched_words long, coverage double, first_byte long, end_byte long")
+    return texts.mapInArrow(
+        _scan(Index(templates or TEMPLATES), least_coverage),
+        "doc_id long, license string, matched_words long, coverage double, first_byte long, end_byte long",
+    )
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

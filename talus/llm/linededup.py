@@ -119,8 +119,14 @@ def _lines(least_words: int, fuzzy_words: int):
                         key.append(mix(ranges.of(first, first + half) + np.uint64(2 * half + side)))
                 line, key = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((line, np.int64), (key, np.uint64)))
                 order = np.argsort(line, kind="stable")
-                ends = pa.ListArray.from_arrays(pa.array(np.searchsorted(line[order], np.arange(len(some) + 1)), pa.int32()), pa.array(key[order].view(np.int64), pa.int64()))
-                yield pa.record_batch([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids[text[some]], pa.int64()), pa.array(number[some], pa.int32()), ends], ["h1", "h2", "doc_id", "line", "ends"])
+                ends = pa.ListArray.from_arrays(
+                    pa.array(np.searchsorted(line[order], np.arange(len(some) + 1)), pa.int32()),
+                    pa.array(key[order].view(np.int64), pa.int64()),
+                )
+                yield pa.record_batch(
+                    [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids[text[some]], pa.int64()), pa.array(number[some], pa.int32()), ends],
+                    ["h1", "h2", "doc_id", "line", "ends"],
+                )
 
     return run
 
@@ -229,7 +235,10 @@ def kept_lines(docs: DataFrame, least_words: int = 1, fuzzy_words: int = 2) -> D
     least = keys.groupBy("key", "place").agg(F.min("at").alias("least"))
     tops = least.groupBy("key").agg(F.min(F.when(F.col("place") == 0, F.col("least"))).alias("whole"), F.min(F.when(F.col("place") > 0, F.col("least"))).alias("part"))
     least = ws.put("least", least.join(tops, "key"))
-    pairs = keys.join(least.hint("merge"), ["key", "place"]).selectExpr("at", "explode(array(least, CASE WHEN place = 0 THEN part ELSE whole END)) AS other").where("other < at").distinct()
+    pairs = keys.join(least.hint("merge"), ["key", "place"]).selectExpr(
+        "at",
+        "explode(array(least, CASE WHEN place = 0 THEN part ELSE whole END)) AS other",
+    ).where("other < at").distinct()
     words = lambda c, o: v.selectExpr(f"struct(doc_id, line) AS {c}", f"words AS {o}")
     near = pairs.join(words("at", "wa"), "at").join(words("other", "wb"), "other").select("at.doc_id", "at.line", "wa", "wb").mapInArrow(_verify, "doc_id long, line int")
     near = ws.put("near", near.distinct())

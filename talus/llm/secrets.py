@@ -38,7 +38,23 @@ PIECES = (
 KEY_WORDS = "token|secret|passw|pwd|api[_-]?key|access[_-]?key|private|credential|bearer|auth"
 DOUBT_WORDS = "sha1|sha256|md5|commit|digest|checksum|hash|uuid|guid|example|sample|dummy|placeholder|integrity|revision|order|invoice|isbn|phone|card"
 PREFIXES = "AKIA|ASIA|AIza|ghp_|gho_|glpat-|xox[bap]-|sk-|sk_live|eyJ"
-NAMES = ("size", "digits", "capitals", "vowels", "signs", "different", "changes", "dictionary", "hexadecimal", "prefix", "key_word", "doubt_word", "assigned", "quoted", "test_path")
+NAMES = (
+    "size",
+    "digits",
+    "capitals",
+    "vowels",
+    "signs",
+    "different",
+    "changes",
+    "dictionary",
+    "hexadecimal",
+    "prefix",
+    "key_word",
+    "doubt_word",
+    "assigned",
+    "quoted",
+    "test_path",
+)
 TREES, DEPTH, LEAF = 25, 5, 1000
 
 
@@ -127,12 +143,33 @@ def findings(n: int = 1600, seed: int = 11) -> list[tuple[str, str, str, str, in
         out.append((r.choice([str, str.capitalize, str.upper])(long), prose(3) + r.choice([" ", ". ", "\n", "! "]), r.choice([" ", ". ", ", "]) + prose(2), r.choice(paths), 0))
     short, signs = ["password", "passwd", "pwd", "secret", "token", "api_key"], "!@#%^&*+~?-_."
     for _ in range(n // 4):  # passwords and short keys
-        made = [of(base, r.randint(8, 15)), of(base + signs, r.randint(8, 20)), word().capitalize() + of("0123456789", r.randint(2, 4)) + of(signs, r.randint(1, 2)) + of(base, 3)]
+        made = [
+            of(base, r.randint(8, 15)),
+            of(base + signs, r.randint(8, 20)),
+            word().capitalize() + of("0123456789", r.randint(2, 4)) + of(signs, r.randint(1, 2)) + of(base, 3),
+        ]
         quote = r.choice(['"', "'", "", "`"])
         out.append((r.choice(made).ljust(8, "7"), prose(2) + " " + r.choice(short) + r.choice([" = ", "=", ": "]) + quote, quote + " " + prose(2), r.choice(paths), 1))
     for _ in range(n // 4):  # what else a name for a key is assigned: words, references, calls, place-holders
         w, v = word(), word()
-        made = [w + v, w, v.capitalize() + w, "${" + w.upper() + "}", "<" + w + "-" + v + ">", "os.environ[" + w.upper(), "process.env." + w.upper(), f"{w}({v}", f"{w}.{v}", "{{" + w, w + "_" + v, f"self.{w}_{v}", "x" * 8, "*" * 8, "....", "changeme"]
+        made = [
+            w + v,
+            w,
+            v.capitalize() + w,
+            "${" + w.upper() + "}",
+            "<" + w + "-" + v + ">",
+            "os.environ[" + w.upper(),
+            "process.env." + w.upper(),
+            f"{w}({v}",
+            f"{w}.{v}",
+            "{{" + w,
+            w + "_" + v,
+            f"self.{w}_{v}",
+            "x" * 8,
+            "*" * 8,
+            "....",
+            "changeme",
+        ]
         quote = r.choice(['"', "'", "", "", ""])
         out.append((r.choice(made).ljust(8, "e"), prose(2) + " " + r.choice(short) + r.choice([" = ", "=", ": "]) + quote, r.choice([quote, "("]) + " " + prose(2), r.choice(paths), 0))
     for _ in range(n // 12):  # names of functions and members after a key word
@@ -189,12 +226,51 @@ def find_secrets(docs: DataFrame, forest: tuple | list | None = None, least_scor
     q = lambda x: quoted(x, "spark")
     p = q(CANDIDATE)
     rows = docs.where(f"regexp(text, {p})").selectExpr("doc_id", "coalesce(path, '') AS p", f"regexp_extract_all(text, {p}, 0) AS found", f"split(text, {p}, -1) AS rest")
-    rows = rows.selectExpr("doc_id", "p", "found", "transform(rest, t -> struct(length(t) AS n, right(t, 40) AS b, left(t, 8) AS a)) AS rest").withColumn("row", F.monotonically_increasing_id())
-    each = rows.selectExpr("doc_id", "row", "p", "size(found) AS many", "posexplode(zip_with(zip_with(found, concat(array(''), found), (c, z) -> struct(c, z)), zip_with(slice(rest, 1, size(found)), slice(rest, 2, size(found)), (x, y) -> struct(x AS before, y AS after)), (c, z) -> struct(c.c AS found, c.z AS last, z.before AS before, z.after AS after))) AS (n, x)")
-    each = each.where("x.found IS NOT NULL").selectExpr("doc_id", "row", "p", "n", "many", "x.found AS raw", "x.last AS last", "x.before AS before", "x.after AS after", f"regexp_extract(x.found, {q('^' + NAMED)}, 0) AS head")
-    each = each.selectExpr("*", f"CASE WHEN head = '' THEN raw ELSE regexp_replace(substring(raw, length(head) + 1), {q(CLOSING)}, '') END AS v", "regexp_extract(after.a, '^={1,2}', 0) AS pad")
-    each = each.selectExpr("*", "CASE WHEN head = '' AND pad <> '' AND (length(v) + length(pad)) % 4 = 0 AND NOT (after.n = length(pad) AND n + 1 < many) THEN concat(v, pad) ELSE v END AS c")
-    each = each.selectExpr("doc_id", "row", "p", "n", "before.n + length(raw) AS size", "length(raw) - length(head) AS back", "c", "right(concat(last, before.b, head), 40) AS b", f"left(concat(CASE WHEN length(c) <= length(raw) - length(head) THEN substring(raw, length(head) + length(c) + 1) ELSE '' END, after.a), 8) AS a")
+    rows = rows.selectExpr(
+        "doc_id",
+        "p",
+        "found",
+        "transform(rest, t -> struct(length(t) AS n, right(t, 40) AS b, left(t, 8) AS a)) AS rest",
+    ).withColumn("row", F.monotonically_increasing_id())
+    each = rows.selectExpr(
+        "doc_id",
+        "row",
+        "p",
+        "size(found) AS many",
+        "posexplode(zip_with(zip_with(found, concat(array(''), found), (c, z) -> struct(c, z)), zip_with(slice(rest, 1, size(found)), slice(rest, 2, size(found)), (x, y) -> struct(x AS before, y AS after)), (c, z) -> struct(c.c AS found, c.z AS last, z.before AS before, z.after AS after))) AS (n, x)",
+    )
+    each = each.where("x.found IS NOT NULL").selectExpr(
+        "doc_id",
+        "row",
+        "p",
+        "n",
+        "many",
+        "x.found AS raw",
+        "x.last AS last",
+        "x.before AS before",
+        "x.after AS after",
+        f"regexp_extract(x.found, {q('^' + NAMED)}, 0) AS head",
+    )
+    each = each.selectExpr(
+        "*",
+        f"CASE WHEN head = '' THEN raw ELSE regexp_replace(substring(raw, length(head) + 1), {q(CLOSING)}, '') END AS v",
+        "regexp_extract(after.a, '^={1,2}', 0) AS pad",
+    )
+    each = each.selectExpr(
+        "*",
+        "CASE WHEN head = '' AND pad <> '' AND (length(v) + length(pad)) % 4 = 0 AND NOT (after.n = length(pad) AND n + 1 < many) THEN concat(v, pad) ELSE v END AS c",
+    )
+    each = each.selectExpr(
+        "doc_id",
+        "row",
+        "p",
+        "n",
+        "before.n + length(raw) AS size",
+        "length(raw) - length(head) AS back",
+        "c",
+        "right(concat(last, before.b, head), 40) AS b",
+        f"left(concat(CASE WHEN length(c) <= length(raw) - length(head) THEN substring(raw, length(head) + length(c) + 1) ELSE '' END, after.a), 8) AS a",
+    )
     each = each.selectExpr("doc_id", "row", "p", "n", "size", "back", "inline(array(struct(c, b, a)))")  # what features ask for many times is made once
     named = ", ".join(f"'{n}', {e}" for e, n in zip(feature_sql("spark"), NAMES, strict=True))
     each = each.selectExpr("doc_id", "row", "n", "size", "back", f"CASE WHEN length(c) >= {LEAST} THEN named_struct('c', c, {named}) END AS f")
@@ -202,7 +278,13 @@ def find_secrets(docs: DataFrame, forest: tuple | list | None = None, least_scor
     each = each.withColumn("end", F.sum("size").over(order)).where("f IS NOT NULL").select("doc_id", "end", "back", "f.*")
     trees = forest or default_forest()
     total = f"aggregate(array({', '.join(map(tree_sql, trees))}), 0, (sum, x) -> sum + x)"  # so many branches are no part of one generated method
-    scored = each.selectExpr("doc_id", "end - back + 1 AS first_char", "CAST(length(c) AS BIGINT) AS n_chars", "sha2(c, 256) AS secret_sha256", f"CAST({total} AS DOUBLE) / {len(trees) * LEAF}D AS score")
+    scored = each.selectExpr(
+        "doc_id",
+        "end - back + 1 AS first_char",
+        "CAST(length(c) AS BIGINT) AS n_chars",
+        "sha2(c, 256) AS secret_sha256",
+        f"CAST({total} AS DOUBLE) / {len(trees) * LEAF}D AS score",
+    )
     return scored.where(F.col("score") >= least_score)
 
 
