@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 
 def cell_sums(points: DataFrame, size: float) -> DataFrame:
-    return points.selectExpr(*[f"CAST(floor({c} / {size!r}) AS BIGINT) AS c{c}" for c in "xyz"], "x", "y", "z").groupBy("cx", "cy", "cz").agg(F.count("*").alias("n"), *[F.sum(c).alias(f"s{c}") for c in "xyz"], F.min("z").alias("low"))
+    return points.selectExpr(*[f"CAST(floor({c} / {size!r}) AS BIGINT) AS c{c}" for c in "xyz"], "x", "y", "z").groupBy("cx", "cy", "cz").agg(
+        F.count("*").alias("n"),
+        *[F.sum(c).alias(f"s{c}") for c in "xyz"],
+        F.min("z").alias("low"),
+    )
 
 
 def stream_voxels(points: DataFrame, size: float, folder: str, checkpoint: str):
