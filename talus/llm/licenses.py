@@ -8,7 +8,8 @@ over whatever is put in or left out, as long as what matches on either side is w
 shared run of GRAM + WINDOW - 1 words of a template is found.
 
 Cases: null and empty texts report nothing; a text that holds several copies of a template reports each; a template inside a longer one (of equal span) is
-left out unless it covers more; repeated rows give repeated results; null ids are carried; other columns are not read.
+left out unless it covers more; repeated rows give repeated results; null ids are carried; texts of any length are scanned whole; templates
+of fewer than GRAM words are looked up by all of their words; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -88,10 +89,13 @@ class Index:
         data, offsets = buffers(pa.array(list(templates.values()), pa.string()))
         w = Words(data, offsets, PUNCT)
         self.words = [w.hash[w.first[i] : w.first[i + 1]] for i in range(len(self.names))]
-        found = [(h, i, p) for i, x in enumerate(self.words) for g in [grams(x, min(GRAM, max(1, len(x))))] for p in winnow(g, WINDOW).tolist() for h in [g[p]]]
-        found.sort()
-        self.hash = np.array([f[0] for f in found], np.uint64)
-        self.template, self.place = (np.array([f[k] for f in found], np.int64) for k in (1, 2))
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        for i, x in enumerate(self.words):
+            k = min(GRAM, len(x))
+            g = grams(x, k) if k else x
+            found.setdefault(k, []).extend((int(g[p]), i, p) for p in winnow(g, WINDOW).tolist())
+        #: By the length of the run: hashes in order, and their templates.
+        self.tables = {k: (np.array([f[0] for f in rows], np.uint64), np.array([f[1] for f in rows], np.int64)) for k, rows in ((k, sorted(v)) for k, v in found.items() if k and v)}
 
 
 def align(template: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -169,15 +173,14 @@ def copies(template: np.ndarray, text: np.ndarray, votes: np.ndarray, least: flo
 
 def scan(index: Index, words: np.ndarray, text: np.ndarray, first: np.ndarray, least: float) -> list[tuple[int, int, int, int, int]]:
     """(text, template, matched words, first word, end) of every match with coverage of ``least`` or more."""
-    if len(words) < GRAM or not len(index.hash):
-        return []
-    g = grams(words, GRAM)
-    lo, hi = np.searchsorted(index.hash, g, "left"), np.searchsorted(index.hash, g, "right")
-    at = np.flatnonzero((hi > lo) & (text[: len(g)] == text[GRAM - 1 :]))
     votes: dict[tuple[int, int], list[int]] = {}
-    for p in at.tolist():
-        for name in set(index.template[lo[p] : hi[p]].tolist()):
-            votes.setdefault((int(text[p]), name), []).append(p)
+    for k, (hashes, template) in index.tables.items():
+        g = grams(words, k)
+        lo, hi = np.searchsorted(hashes, g, "left"), np.searchsorted(hashes, g, "right")
+        at = np.flatnonzero((hi > lo) & (text[: len(g)] == text[k - 1 :]))
+        for p in at.tolist():
+            for name in set(template[lo[p] : hi[p]].tolist()):
+                votes.setdefault((int(text[p]), name), []).append(p)
     found = []
     for (doc, name), places in votes.items():
         a, b = int(first[doc]), int(first[doc + 1])
