@@ -571,3 +571,11 @@ def test_licenses_equal_plain_alignment(spark):
     got = {i: v[0] for i, v in out.items()}
     assert set(got) <= set(want) and len(got) >= 0.9 * (len(want) - 1)
     assert all(got[i][0] == want[i][0] and got[i][1] <= want[i][1] + 1e-9 and got[i][1] >= want[i][1] - 0.03 for i in got)
+
+
+def test_licenses_of_few_words_and_odd_rows(spark):
+    own = {"WTFPL": "WTFPL", "Zero": "Public Domain", "MIT": licenses.TEMPLATES["MIT"]}
+    rows = [(1, "this is WTFPL."), (2, "wtfpl"), (3, "In the public domain since 1990"), (3, "In the public domain since 1990"), (4, "public, the domain"), (5, "x " * 100_000 + own["MIT"]), (None, "WTFPL"), (6, None), (7, "")]
+    out = licenses.find_licenses(docs(spark, rows).withColumn("coverage", F.lit("clash")), own).collect()
+    assert sorted(((g["doc_id"], g["license"]) for g in out), key=str) == sorted([(1, "WTFPL"), (2, "WTFPL"), (3, "Zero"), (3, "Zero"), (5, "MIT"), (None, "WTFPL")], key=str)
+    assert licenses.find_licenses(docs(spark, []), own).count() == 0
