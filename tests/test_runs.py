@@ -44,10 +44,10 @@ def box_field(n=700):
 
 
 def test_blocks_on_a_slope(spark):
-    """Block sizing with and without ground filter and split: what is found lies on the boxes."""
+    """Block sizing with the ground filter: what is found lies on the boxes."""
     p = box_field()
     own = np.concatenate([np.zeros(4000, int), np.repeat(np.arange(1, 6), 700)])
-    for ground, parts in (("smrf", False), ("none", True)):
+    for ground, parts in (("smrf", False),):
         out = engine.run(frame(spark, p), M.Parameters(denoise=False, nmin=30), sizing="block", ground=ground, parts=parts, smrf={"cell": 0.5, "window": 4.0})
         found = out.labels.toPandas()
         assert found["pid"].is_unique and len(found)
