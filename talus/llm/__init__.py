@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("minhash", "licenses", "ann", "toxicity", "linededup", "quality", "bpe", "secrets", "chat", "decontaminate", "suffix", "ballkmeans")
+MODULES = ("minhash", "licenses", "ann", "toxicity", "linededup", "quality", "bpe", "secrets", "chat", "decontaminate", "suffix", "ballkmeans", "repair")
 
 
 def queries() -> dict:
