@@ -700,7 +700,7 @@ def _(spark, d):
 def _(spark, d):
     c = Cloud(spark, d)
     pts = c.pts.drop("label")
-    return blocks.segment(pts, pts, c.nbr, S.cut(S.block_score(S.surface_features(c.nbr, pts, K))), K, 5, True).groupBy("label").agg(F.count("*").alias("n"))
+    return blocks.segment(pts, pts, c.nbr, S.cut(S.block_score(S.surface_features(c.nbr, pts, K))), K, 5, True)[0].groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query("roughness_matlab")

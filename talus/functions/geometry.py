@@ -108,8 +108,9 @@ def in_polygon(x: str, y: str, corners: list[tuple[float, float]]) -> str:
     if len(corners) < 3:
         return "false"
     xs, ys = [p[0] for p in corners], [p[1] for p in corners]
+    n = lambda v: f"({float(v)!r}D)"
     crossings = []
     for (x1, y1), (x2, y2) in zip(corners, corners[1:] + corners[:1], strict=True):
         if y1 != y2:
-            crossings.append(f"CASE WHEN ({y1}e0 > {y}) <> ({y2}e0 > {y}) AND {x} < ({x2 - x1}e0) * ({y} - ({y1}e0)) / ({y2 - y1}e0) + ({x1}e0) THEN 1 ELSE 0 END")
-    return f"({x} BETWEEN {min(xs)}e0 AND {max(xs)}e0 AND {y} BETWEEN {min(ys)}e0 AND {max(ys)}e0 AND mod({' + '.join(crossings) or '0'}, 2) = 1)"
+            crossings.append(f"CASE WHEN ({n(y1)} > {y}) <> ({n(y2)} > {y}) AND {x} < {n(x2 - x1)} * ({y} - {n(y1)}) / {n(y2 - y1)} + {n(x1)} THEN 1 ELSE 0 END")
+    return f"({x} BETWEEN {n(min(xs))} AND {n(max(xs))} AND {y} BETWEEN {n(min(ys))} AND {n(max(ys))} AND mod({' + '.join(crossings) or '0'}, 2) = 1)"

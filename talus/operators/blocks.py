@@ -146,10 +146,11 @@ def split(rows: DataFrame, gap: float, radius: float, min_seeds: int, least: int
     return rows.groupBy("root").applyInPandas(run, "pid long, root long, part long")
 
 
-def grow(cloud: DataFrame, labelled: DataFrame, score: DataFrame, radius: float) -> DataFrame:
-    """(pid, label): labelled points keep theirs; others that score enough take the nearest one's within the radius."""
+def grow(cloud: DataFrame, labelled: DataFrame, score: DataFrame, radius: float, only: DataFrame | None = None) -> DataFrame:
+    """(pid, label): labelled points keep theirs; others that score enough (and are in ``only``, if given) take the nearest one's within the radius."""
     own = labelled.select("pid", "label")
     free = cloud.join(score.where(f"score >= {M.GROW_SCORE}").select("pid"), "pid", "left_semi").join(own, "pid", "left_anti")
+    free = free.join(only.select("pid"), "pid", "left_semi") if only is not None else free
     near = spatial.radius_join(free, cloud.join(own, "pid", "left_semi"), radius).groupBy("pid").agg(F.min_by("nid", F.struct("dist", "nid")).alias("nid"))
     return own.unionByName(near.join(own.withColumnRenamed("pid", "nid"), "nid").select("pid", "label"))
 
@@ -163,8 +164,8 @@ def segment(
     least_points: int,
     parts: bool = False,
     only: DataFrame | None = None,
-) -> DataFrame:
-    """(pid, label) of blocks. ``scored``: features with score; ``only`` (pid): points that may support a block."""
+) -> tuple[DataFrame, dict]:
+    """(pid, label) of blocks, and what led to them. ``scored``: features with score; ``only`` (pid): points that may be in a block."""
     gap = spacing(nbr) or 0.0
     radius, seeds = max(M.CONNECT_FACTOR * gap, M.EPS), max(3, k // 4)
     support = scored.where(f"score >= {M.SUPPORT}")
@@ -172,15 +173,20 @@ def segment(
     pts = cut(turned.join(support.select("pid", "score", "local_relief", "top_hat"), "pid"))
     comp = cut(pts.join(radius_components(pts, radius).withColumnRenamed("id", "pid"), "pid"))
     size = comp.groupBy("root").agg(F.count("*").alias("n"), F.count_if(F.col("score") >= M.SEED_SCORE).alias("seeds")).where(f"n >= {least_points} AND seeds >= {seeds}")
+    size = cut(size)
     kept = comp.join(size, "root").select("pid", "root", "x", "y", "score", "local_relief", "top_hat", "n")
+    least = int(max(M.SPLIT["min_factor"] * least_points, exact_quantile(size, "n", M.SPLIT["size_quantile"]) or 0))
     if parts:
-        least = max(M.SPLIT["min_factor"] * least_points, exact_quantile(size, "n", M.SPLIT["size_quantile"]) or 0)
-        big = split(kept.where(f"n >= {least}").drop("n"), gap, radius, seeds, int(least)).where("part >= 0")
+        big = split(kept.where(f"n >= {least}").drop("n"), gap, radius, seeds, least).where("part >= 0")
         named = big.groupBy("root", "part").agg(F.min("pid").alias("label"))
         labelled = kept.where(f"n < {least}").selectExpr("pid", "root AS label").unionByName(big.join(named, ["root", "part"]).select("pid", "label"))
     else:
         labelled = kept.selectExpr("pid", "root AS label")
-    grown = cut(grow(turned, cut(labelled), scored, M.GROW_FACTOR * radius))
+    labelled = cut(labelled)
+    grown = cut(grow(turned, labelled, scored, M.GROW_FACTOR * radius, only))
     shape = flat_labels(cloud, grown, 0, 0.0)
     stays = shape.where(f"n >= {least_points} AND NOT (coalesce(r3, 0e0) <= 0.02 AND coalesce(r2, 0e0) <= 0.08)").select("label")
-    return grown.join(stays, "label", "left_semi").select("pid", "label")
+    found = labelled.agg(F.count("*").alias("candidate_points"), F.count_distinct("label").alias("split_component_count")).first().asDict()
+    notes = {"spacing": gap, "connection_radius": radius, "grow_radius": M.GROW_FACTOR * radius, "split": parts, "split_size_threshold": least, "split_attempt_count": size.where(f"n >= {least}").count() if parts else 0}
+    notes |= {"support_score": M.SUPPORT, "seed_score": M.SEED_SCORE, "grow_score": M.GROW_SCORE, "prefilter_points": (cloud if only is None else only).count(), **found}
+    return grown.join(stays, "label", "left_semi").select("pid", "label"), notes

@@ -224,8 +224,9 @@ def block(p: np.ndarray, surface: float, cap: float | None) -> dict:
     """Box and hull of an irregular block; cover is how much of the box the hull fills."""
     c, ext, q, _ = cuboid(p)
     r = np.maximum(ext / 2, 1e-4)
-    found, box = hull(p), float(np.prod(2 * r))
-    v, a = found or (box, float(8 * (r[0] * r[1] + r[0] * r[2] + r[1] * r[2])))
+    # a flat block has the box's volume, which is 0, and its area
+    box = float(np.prod(ext))
+    v, a = hull(p) or (box, float(2 * (ext[0] * ext[1] + ext[0] * ext[2] + ext[1] * ext[2])))
     return {
         "fitok": True, "aqualityok": True, "sizecapok": bool(cap is None or ext[0] <= cap + 1e-9), "c": c, "r": r, "rot": q.ravel(), "axis_map": q[:, 0], "axis_x": q[:, 0], "d_mean": 0.0, "r2": 1.0, "v": v, "a": a,
         "major_diameter": float(ext[0]), "aratio": v / max(box, EPS), "acover": 100 * min(1.0, v / max(box, EPS)),

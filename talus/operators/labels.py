@@ -14,6 +14,8 @@ from talus.operators.surface import detrend, rotate_horizontal
 from talus.sources.files import write_ply
 
 ZONES = {"block": 1, "non-block": -1}
+#: Fixed values.
+ZONE_RGB = {1: (222, 92, 48), -1: (44, 123, 182), 0: (120, 120, 120)}
 
 
 def prepare_view(cloud: DataFrame, rotate: bool = True, flatten: bool = False) -> DataFrame:
@@ -103,8 +105,8 @@ def preview_colours(labels: DataFrame, kind: str = "zones") -> DataFrame:
     """red, green, blue by zone, or by instance."""
     if kind == "instances":
         return instance_colours(labels)
-    zone = lambda a, b, c: f"CAST(CASE WHEN code > 0 THEN {a} WHEN code < 0 THEN {b} ELSE {c} END AS SMALLINT)"
-    return labels.selectExpr("*", f"{zone(60, 200, 160)} AS red", f"{zone(160, 60, 160)} AS green", f"{zone(60, 60, 160)} AS blue")
+    zone = lambda i: f"CAST(CASE WHEN code > 0 THEN {ZONE_RGB[1][i]} WHEN code < 0 THEN {ZONE_RGB[-1][i]} ELSE {ZONE_RGB[0][i]} END AS SMALLINT)"
+    return labels.selectExpr("*", f"{zone(0)} AS red", f"{zone(1)} AS green", f"{zone(2)} AS blue")
 
 
 def save_session(labels: DataFrame, state, paths: dict[str, str], preview: int = 10_000, seed: int = 0, kind: str = "zones") -> dict:

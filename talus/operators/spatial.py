@@ -245,9 +245,55 @@ def bilinear(grid: DataFrame, points: DataFrame, cell: float, nx: int, ny: int,
     return p.join(grid.select("gx", "gy", *values), ["gx", "gy"]).groupBy("pid").agg(*[F.sum(F.col("w") * F.col(v)).alias(v) for v in values])
 
 
-def polygon_codes(points: DataFrame, zones: list[tuple[int, list[tuple[float, float]]]], x: str = "x", y: str = "y") -> DataFrame:
-    """points with code: of the last polygon in the list that holds the point, else 0."""
-    code = "0"
-    for value, corners in zones:
-        code = f"CASE WHEN {G.in_polygon(x, y, corners)} THEN {value} ELSE {code} END"
-    return points.withColumn("code", F.expr(code).cast("int"))
+#: Cells along the longer side of a polygon's box: this many, or up to twice as many.
+CELLS = 8
+
+
+def polygon_table(spark, zones: list[tuple[int, list[tuple[float, float]]]]) -> DataFrame:
+    """(ord, code, corners) of drawn polygons, in the order of the list."""
+    rows = [(i, int(code), [(float(x), float(y)) for x, y in corners]) for i, (code, corners) in enumerate(zones)]
+    return spark.createDataFrame(rows, "ord long, code int, corners array<struct<x:double,y:double>>")
+
+
+def polygon_cells(polygons: DataFrame) -> DataFrame:
+    """polygons (ord, code, corners): (size, gx, gy, inside), for each cell that a polygon may cover what is needed to judge its points, the last polygon first.
+
+    A polygon is laid over square cells whose size is a power of two, so that division by it is exact, and follows the polygon's own size: it has
+    some hundred cells at most. An edge matters to the cells of its rows from the polygon's left end to its own right end, as points count the edges on
+    their right. Edges that are to the right of a whole cell and as high as it are added up beforehand; only the others are kept."""
+    box = [f"array_{f}(transform(corners, p -> p.{c})) AS {k}{c}" for c in "xy" for f, k in (("min", "lo"), ("max", "hi"))]
+    t = polygons.where("size(corners) >= 3").selectExpr("*", *box).where("hix > lox AND hiy > loy")
+    t = t.selectExpr("*", f"pow(2e0, ceil(log2(greatest(hix - lox, hiy - loy) / {2 * CELLS}e0))) AS size")
+    edge = "struct(p.x AS x1, p.y AS y1, corners[(i + 1) % size(corners)].x AS x2, corners[(i + 1) % size(corners)].y AS y2)"
+    t = t.selectExpr("ord", "code", "size", "struct(lox, hix, loy, hiy) AS box", f"explode(transform(corners, (p, i) -> {edge})) AS e").where("e.y1 <> e.y2")
+    cell = lambda v: f"CAST(floor(({v}) / size) AS BIGINT)"
+    t = t.selectExpr("*", f"explode(sequence({cell('least(e.y1, e.y2)')}, {cell('greatest(e.y1, e.y2)')})) AS gy")
+    t = t.selectExpr("*", f"explode(sequence({cell('box.lox')}, {cell('greatest(e.x1, e.x2)')})) AS gx")
+    # a hundredth of a cell is more than any rounding
+    beyond = "(gx + 1.01e0) * size < least(e.x1, e.x2) AND gy * size >= least(e.y1, e.y2) AND (gy + 1) * size <= greatest(e.y1, e.y2)"
+    own = t.selectExpr("*", f"{beyond} AS beyond").groupBy("size", "gx", "gy", "ord").agg(
+        F.max("code").alias("code"),
+        F.first("box").alias("box"),
+        F.count_if("beyond").alias("base"),
+        F.collect_list(F.when(~F.col("beyond"), F.col("e"))).alias("edges"),
+    ).where("base % 2 = 1 OR size(edges) > 0")
+    return own.groupBy("size", "gx", "gy").agg(F.reverse(F.array_sort(F.collect_list(F.struct("ord", "code", "base", "box", "edges")))).alias("inside"))
+
+
+def polygon_codes(points: DataFrame, zones: list[tuple[int, list[tuple[float, float]]]] | DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+    """points with code: of the last polygon in the list (or the largest ord of a table of polygons) that holds the point, else 0.
+
+    Even-odd rule behind an inclusive box; polygons of fewer than three corners hold nothing, nor are points without finite coordinates held. Points meet the
+    polygons of their cell in one join for each size of cell, which adds no rows; the plan doesn't grow with the polygons."""
+    table = zones if isinstance(zones, DataFrame) else polygon_table(points.sparkSession, zones)
+    cells = cut(polygon_cells(table))
+    crosses = f"(e.y1 > {y}) <> (e.y2 > {y}) AND {x} < (e.x2 - e.x1) * ({y} - e.y1) / (e.y2 - e.y1) + e.x1"
+    held = f"{x} BETWEEN p.box.lox AND p.box.hix AND {y} BETWEEN p.box.loy AND p.box.hiy AND (p.base + size(filter(p.edges, e -> {crosses}))) % 2 = 1"
+    out = points.selectExpr("*", "CAST(NULL AS STRUCT<ord: BIGINT, code: INT>) AS found_")
+    for r in cells.select("size").distinct().orderBy("size").collect():  # one row a power of two
+        own = cells.where(F.col("size") == r["size"]).selectExpr("gx AS gx_", "gy AS gy_", "inside AS inside_")
+        at = lambda v: f"try_cast(floor({v} / {r['size']!r}D) AS BIGINT)"  # noqa: E731, B023
+        best = f"element_at(transform(filter(inside_, p -> {held}), p -> struct(p.ord, p.code)), 1)"
+        out = out.selectExpr("*", f"{at(x)} AS gx_", f"{at(y)} AS gy_").join(own, ["gx_", "gy_"], "left")
+        out = out.selectExpr(*[f"`{c}`" for c in points.columns], f"greatest(found_, CASE WHEN size(filter(inside_, p -> {held})) > 0 THEN {best} END) AS found_")
+    return out.selectExpr(*[f"`{c}`" for c in points.columns if c != "code"], "coalesce(found_.code, 0) AS code")

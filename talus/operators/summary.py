@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from talus.functions import geometry as G
 from talus.session import cut
@@ -51,10 +50,9 @@ def orientations(models: DataFrame, mode: str = "atan2") -> DataFrame:
 
 def granulo(models: DataFrame, mode: str = "atan2") -> DataFrame:
     """Export table: one row a grain, numbered in the order of labels; angles in degrees."""
-    o = orientations(models, mode)
-    first = F.row_number().over(Window.orderBy("label")).cast("long")  # one row a grain: the final report
+    o = in_order(orientations(models, mode), "label")
     return o.select(
-        first.alias("Ngrain"),
+        (F.col("place_") + 1).alias("Ngrain"),
         *[F.col("c")[i].alias(f"{a}c") for i, a in enumerate("XYZ")],
         *[(2 * F.col("r")[i]).alias(n) for i, n in enumerate(("Dmax", "Dmed", "Dmin"))],
         F.degrees("angle_map").alias("angle_Mview"),
@@ -111,24 +109,35 @@ def colour_ramp(rows: DataFrame, value: str, name: str = "viridis") -> DataFrame
     )
 
 
+#: The public map of twenty colours, and the grey of points without an instance.
+TAB20 = [
+    "1f77b4", "aec7e8", "ff7f0e", "ffbb78", "2ca02c", "98df8a", "d62728", "ff9896", "9467bd", "c5b0d5",
+    "8c564b", "c49c94", "e377c2", "f7b6d2", "7f7f7f", "c7c7c7", "bcbd22", "dbdb8d", "17becf", "9edae5",
+]
+NO_INSTANCE = 120
+
+
 def instance_colours(rows: DataFrame, code: str = "code") -> DataFrame:
-    """red, green, blue of instance numbers: hues a golden angle apart, so that neighbours in number differ; grey for 0."""
-    hue = f"(({code} * 0.618033988749895e0) - floor({code} * 0.618033988749895e0))"
-    channel = lambda k: f"CAST(CASE WHEN {code} > 0 THEN rint(255 * (0.35e0 + 0.6e0 * greatest(0e0, least(1e0, abs(6 * ({hue} + {k}e0 / 3 - floor({hue} + {k}e0 / 3)) - 3) - 1)))) ELSE 150 END AS SMALLINT)"
-    return rows.selectExpr("*", *[f"{channel(k)} AS {c}" for k, c in enumerate(("red", "green", "blue"))])
+    """red, green, blue of instance numbers: twenty colours over the range from 1 to the largest number; grey for 0."""
+    top = F.broadcast(rows.agg(F.greatest(F.max(code), F.lit(1)).alias("top_")))  # one row
+    at = f"least(20, 1 + CAST(floor(20 * ({code} - 1) / CASE WHEN top_ > 1 THEN CAST(top_ - 1 AS DOUBLE) ELSE 1e0 END) AS INT))"
+    channel = lambda k: f"CAST(CASE WHEN {code} > 0 THEN element_at(array({', '.join(str(int(h[2 * k : 2 * k + 2], 16)) for h in TAB20)}), {at}) ELSE {NO_INSTANCE} END AS SMALLINT)"
+    return rows.join(top).selectExpr(*rows.columns, *[f"{channel(k)} AS {c}" for k, c in enumerate(("red", "green", "blue"))])
 
 
-def stride_sample(rows: DataFrame, most: int = 25_000) -> DataFrame:
-    """Every n-th point in the order of ids, n so that about ``most`` stay, for a figure. Places are counted by range over parts of the
-    sorted table, so no window runs over the whole of it."""
-    n = max(rows.count() // most, 1)
-    if n == 1:
-        return rows
-    dealt = cut(rows.repartitionByRange("pid").withColumn("part_", F.spark_partition_id()))
+def in_order(rows: DataFrame, *by: str) -> DataFrame:
+    """rows with place_, from 0, in the order of the columns: counted by range over parts of the sorted table, so no window runs over the whole of it."""
+    dealt = cut(rows.repartitionByRange(*by).withColumn("part_", F.spark_partition_id()))
     sizes = dealt.groupBy("part_").agg(F.count("*").alias("m"))
     before = sizes.selectExpr("part_", "sum(m) OVER (ORDER BY part_) - m AS before_")  # one row a partition
-    place = F.expr("before_ + row_number() OVER (PARTITION BY part_ ORDER BY pid) - 1")
-    return dealt.join(F.broadcast(before), "part_").withColumn("place_", place).where(f"place_ % {n} = 0").select(rows.columns)
+    place = F.expr(f"before_ + row_number() OVER (PARTITION BY part_ ORDER BY {', '.join(by)}) - 1")
+    return dealt.join(F.broadcast(before), "part_").withColumn("place_", place).select(*rows.columns, "place_")
+
+
+def stride_sample(rows: DataFrame, most: int = 25_000) -> DataFrame:
+    """Every n-th point in the order of ids, n so that about ``most`` stay, for a figure."""
+    n = max(rows.count() // most, 1)
+    return rows if n == 1 else in_order(rows, "pid").where(f"place_ % {n} = 0").drop("place_")
 
 
 def display_sample(rows: DataFrame, most: int, seed: int = 0) -> DataFrame:

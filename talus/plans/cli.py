@@ -9,7 +9,7 @@ import argparse
 import json
 import os
 
-from talus.model import Parameters
+from talus.model import SMRF, Parameters
 from talus.operators import labels as L
 from talus.operators.summary import display_sample
 from talus.plans import engine
@@ -39,10 +39,11 @@ def build_parser() -> argparse.ArgumentParser:
     r.add_argument("--fit-strategy", default="hybrid_direct", choices=["pca_maxabs", "bounded_pca", "hybrid_direct"])
     r.add_argument("--orientation-mode", default="atan2", choices=["atan2", "matlab"])
     r.add_argument("--ground-mode", default="none", choices=["none", "smrf"])
-    for name in ("cell-size", "max-window", "height-threshold", "slope-threshold"):
-        r.add_argument(f"--smrf-{name}", type=float, default=0.0, help="0: the default")
+    r.add_argument("--smrf-cell-size", type=float, default=0.0, help="0: by the spacing of the points")
+    for name in ("window", "height", "slope"):
+        r.add_argument({"window": "--smrf-max-window"}.get(name, f"--smrf-{name}-threshold"), type=float, default=SMRF[name])
     r.add_argument("--block-split", action=switch, default=False)
-    r.add_argument("--max-ellipsoid-cloud-fraction", type=float, default=0.0)
+    r.add_argument("--max-ellipsoid-cloud-fraction", type=float, default=0.25, help="0: no cap")
     r.add_argument("--save-grains", "--export-grains", dest="save_grains", action=switch, default=False)
     r.add_argument("--save-colored-clouds", action=switch, default=False)
     r.add_argument("--skip-plots", action="store_true")
@@ -62,7 +63,7 @@ def run(spark, a: argparse.Namespace, name: str) -> dict:
     par = files.read_parameters(spark, csv, os.path.basename(a.cloud)) if os.path.exists(csv) else Parameters()
     paths = files.run_folders(a.output, name)
     smrf = {"cell": a.smrf_cell_size, "window": a.smrf_max_window, "height": a.smrf_height_threshold, "slope": a.smrf_slope_threshold}
-    cloud = files.read_cloud(spark, a.cloud).select("pid", "x", "y", "z")
+    cloud = files.read_cloud(spark, a.cloud, ["pid", "x", "y", "z"])
     out = engine.run(
         cloud,
         par,
@@ -95,7 +96,7 @@ def run(spark, a: argparse.Namespace, name: str) -> dict:
         for k, t in engine.figures(out, a.sizing_mode, orientation=a.orientation_mode).items():
             t.write.mode("overwrite").parquet(os.path.join(paths["Figure"], k))
             written["figures"].append(k)
-    return out.counts | {"paths": paths, "written": written}
+    return out.counts | ({"blocks": out.notes} if out.notes else {}) | {"paths": paths, "written": written}
 
 
 def label(spark, a: argparse.Namespace, name: str) -> dict:
@@ -103,7 +104,7 @@ def label(spark, a: argparse.Namespace, name: str) -> dict:
     paths = L.session_paths(a.output, name, kind)
     if a.reset:
         L.clear_session(paths)
-    view = L.prepare_view(files.read_cloud(spark, a.cloud).select("pid", "x", "y", "z"), a.rotate_horizontal, a.detrend)
+    view = L.prepare_view(files.read_cloud(spark, a.cloud, ["pid", "x", "y", "z"]), a.rotate_horizontal, a.detrend)
     state = None
     for p in (a.polygons, paths["polygons"]):
         if p and os.path.exists(p):

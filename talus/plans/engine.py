@@ -25,6 +25,13 @@ class Result:
     initial: DataFrame
     merged: DataFrame
     ground: DataFrame | None = None
+    notes: dict | None = None
+
+
+def ground_options(smrf: dict | None, gap: float) -> tuple[float, dict]:
+    """The ground filter's cell (0: by the spacing of the points) and its other options; one that isn't given takes its default, a zero counts."""
+    how = {k: v for k, v in (smrf or {}).items() if v is not None}
+    return how.pop("cell", None) or max(M.SMRF["cell_factor"] * gap, M.SMRF["min_cell"]), how
 
 
 def run(
@@ -33,7 +40,7 @@ def run(
     mode: str = "matlab",
     sizing: str = "ellipsoid",
     strategy: str = "bounded_pca",
-    cap_fraction: float = 0.0,
+    cap_fraction: float = 0.25,
     ground: str = "none",
     parts: bool = False,
     seed: int = 0,
@@ -49,7 +56,7 @@ def run(
         raise ValueError(f"unknown ground mode: {ground}")
     if orientation not in ("atan2", "matlab"):
         raise ValueError(f"unknown orientation mode: {orientation}")
-    k, height = par.nnptcloud, None
+    k, height, notes = par.nnptcloud, None, None
     raw = cut(S.normalise(cloud).select("pid", "x", "y", "z"))
     pts = raw
     if par.denoise:
@@ -66,11 +73,10 @@ def run(
     if sizing == "block":
         only = None
         if ground == "smrf":
-            gap, how = S.spacing(nbr) or M.EPS, {x: v for x, v in (smrf or {}).items() if v}
-            cell = how.pop("cell", None) or max(M.SMRF["cell_factor"] * gap, M.SMRF["min_cell"])
+            cell, how = ground_options(smrf, S.spacing(nbr) or M.EPS)
             height = cut(S.nonground(turned, cell, **how))
             only = height.where("nonground").select("pid")
-        labels = blocks.segment(pts, turned, nbr, cut(S.block_score(S.surface_features(nbr, turned, k))), k, par.minnpoint, parts, only)
+        labels, notes = blocks.segment(pts, turned, nbr, cut(S.block_score(S.surface_features(nbr, turned, k))), k, par.minnpoint, parts, only)
         first = merged = labels
     else:
         normal = cut(S.normals(nbr, pts))
@@ -82,7 +88,7 @@ def run(
     number = lambda t: t.where("label IS NOT NULL").select("label").distinct().count()
     counts = {"raw_points": raw.count(), "points": pts.count(), "initial_labels": number(first), "merged_labels": number(merged), "final_labels": number(labels)}
     counts |= models.agg(F.count("*").alias("models"), F.count_if(F.expr(summary.ACCEPTED)).alias("accepted")).first().asDict()
-    return Result(pts, nbr, labels, models, summary.granulo(models, orientation), counts, turned, first, merged, height)
+    return Result(pts, nbr, labels, models, summary.granulo(models, orientation), counts, turned, first, merged, height, notes)
 
 
 #: Which colour map shows what.

@@ -1,11 +1,10 @@
-"""Point-cloud files: PLY and LAS by header and ``np.frombuffer`` in the executors, XYZ text and tables by Spark's readers."""
+"""Point-cloud files: PLY and LAS through the data source of ``points``, XYZ text and tables by Spark's readers; writers."""
 
 from __future__ import annotations
 
-import io
 import os
 import re
-import struct
+import uuid
 from dataclasses import fields
 
 import numpy as np
@@ -14,135 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talus.model import COLUMNS, Parameters
-
-#: Fixed values of the formats.
-PLY_TYPES = {
-    "char": "i1",
-    "int8": "i1",
-    "uchar": "u1",
-    "uint8": "u1",
-    "short": "i2",
-    "int16": "i2",
-    "ushort": "u2",
-    "uint16": "u2",
-    "int": "i4",
-    "int32": "i4",
-    "uint": "u4",
-    "uint32": "u4",
-    "float": "f4",
-    "float32": "f4",
-    "double": "f8",
-    "float64": "f8",
-}
-LAS_COLOUR = {2: 20, 3: 28, 5: 28, 7: 30, 8: 30, 10: 30}
-LAS_TIME = {1: 20, 3: 20, 4: 20, 5: 20, 6: 22, 7: 22, 8: 22, 9: 22, 10: 22}
-#: (name, byte, first bit, bits) of the packed fields and (name, byte, type) of the whole ones, for formats 0 to 5 and 6 to 10.
-LAS_BITS = (
-    [
-        ("return_number", 14, 0, 3),
-        ("number_of_returns", 14, 3, 3),
-        ("scan_direction_flag", 14, 6, 1),
-        ("edge_of_flight_line", 14, 7, 1),
-        ("classification", 15, 0, 5),
-        ("synthetic", 15, 5, 1),
-        ("key_point", 15, 6, 1),
-        ("withheld", 15, 7, 1),
-    ],
-    [
-        ("return_number", 14, 0, 4),
-        ("number_of_returns", 14, 4, 4),
-        ("synthetic", 15, 0, 1),
-        ("key_point", 15, 1, 1),
-        ("withheld", 15, 2, 1),
-        ("overlap", 15, 3, 1),
-        ("scanner_channel", 15, 4, 2),
-        ("scan_direction_flag", 15, 6, 1),
-        ("edge_of_flight_line", 15, 7, 1),
-    ],
-)
-LAS_FIELDS = (
-    [("intensity", 12, "<u2"), ("scan_angle_rank", 16, "i1"), ("user_data", 17, "u1"), ("point_source_id", 18, "<u2")],
-    [("intensity", 12, "<u2"), ("classification", 16, "u1"), ("user_data", 17, "u1"), ("scan_angle", 18, "<i2"), ("point_source_id", 20, "<u2")],
-)
-#: A point's id is its place in its file, over the file's place among the sorted paths; rows that are given out together.
-FILE_BITS, ROWS_AT_ONCE = 40, 50_000
-SCHEMA = "path string, pid long, x double, y double, z double, red short, green short, blue short, extra map<string,double>"
-
-
-def parse_ply(data: bytes) -> pd.DataFrame:
-    """Vertex table of an ASCII or binary PLY."""
-    end = data.index(b"end_header")
-    end = data.index(b"\n", end) + 1
-    head = data[:end].decode("ascii", "replace").split("\n")
-    order = {"ascii": "", "binary_little_endian": "<", "binary_big_endian": ">"}[next(x for x in head if x.startswith("format")).split()[1]]
-    elements: list[tuple[str, int, list[tuple[str, str]]]] = []
-    for x in map(str.split, head):
-        if x[:1] == ["element"]:
-            elements.append((x[1], int(x[2]), []))
-        elif x[:1] == ["property"]:
-            if x[1] == "list" and elements[-1][0] == "vertex":
-                raise ValueError("PLY: list properties of vertices aren't supported")
-            elements[-1][2].append((x[-1], x[1]))
-    if not elements or elements[0][0] != "vertex":
-        raise ValueError("PLY: the first element must be vertex")
-    _, n, props = elements[0]
-    if order:
-        rows = np.frombuffer(data, np.dtype([(p, order + PLY_TYPES[t]) for p, t in props]), n, end)
-        return pd.DataFrame({p: rows[p].astype(float) for p, _ in props})
-    text = b"\n".join(data[end:].split(b"\n")[:n])
-    rows = np.loadtxt(io.BytesIO(text), ndmin=2) if n else np.zeros((0, len(props)))
-    return pd.DataFrame({p: rows[:, i] for i, (p, _) in enumerate(props)})
-
-
-def parse_las(data: bytes) -> pd.DataFrame:
-    """Scaled points of an uncompressed LAS 1.2 to 1.4; compressed ones raise."""
-    if data[:4] != b"LASF":
-        raise ValueError("LAS: bad signature")
-    kind, size = data[104] & 0x3F, struct.unpack_from("<H", data, 105)[0]
-    if data[104] & 0xC0:
-        raise RuntimeError("LAZ: compressed points need a codec that isn't installed")
-    start, n = struct.unpack_from("<I", data, 96)[0], struct.unpack_from("<I", data, 107)[0]
-    if data[25] >= 4 and not n:
-        n = struct.unpack_from("<Q", data, 247)[0]
-    scale, offset = np.array(struct.unpack_from("<3d", data, 131)), np.array(struct.unpack_from("<3d", data, 155))
-    raw = np.frombuffer(data, np.uint8, n * size, start).reshape(n, size)
-    of = lambda at, t: raw[:, at : at + np.dtype(t).itemsize].copy().view(t).ravel()
-    new = int(kind >= 6)
-    out = {c: of(4 * i, "<i4") * scale[i] + offset[i] for i, c in enumerate("xyz")}
-    out |= {name: of(at, t).astype(float) for name, at, t in LAS_FIELDS[new]}
-    out |= {name: (of(at, "u1") >> first & (1 << bits) - 1).astype(float) for name, at, first, bits in LAS_BITS[new]}
-    if kind in LAS_TIME:
-        out["gps_time"] = of(LAS_TIME[kind], "<f8")
-    if kind in LAS_COLOUR:
-        rgb = [of(LAS_COLOUR[kind] + 2 * i, "<u2") for i in range(3)]
-        wide = n and max(int(c.max()) for c in rgb) > 255
-        for k, c in zip(("red", "green", "blue"), rgb, strict=True):
-            out |= {k: (c >> 8 if wide else c).astype(float), f"{k}_16": c.astype(float)}
-    if kind in (8, 10):
-        out["nir"] = of(36, "<u2").astype(float)
-    return pd.DataFrame(out)
-
-
-def _rows(parse, numbers: dict[str, int]):
-    def run(batches):
-        for pdf in batches:
-            for path, data in zip(pdf["path"], pdf["content"], strict=True):
-                t = parse(bytes(data))
-                lower = {c.lower(): c for c in t.columns}
-                if not {"x", "y", "z"} <= set(lower):
-                    raise ValueError(f"{path}: x, y and z are needed")
-                first = numbers[path] << FILE_BITS
-                rest = sorted(set(lower) - {"x", "y", "z", "red", "green", "blue"})
-                for at in range(0, len(t), ROWS_AT_ONCE):
-                    part = t.iloc[at : at + ROWS_AT_ONCE]
-                    out = pd.DataFrame({"path": path, "pid": first + at + np.arange(len(part)), **{c: part[lower[c]].to_numpy(float) for c in "xyz"}})
-                    for c in ("red", "green", "blue"):
-                        out[c] = part[lower[c]].astype("Int16").to_numpy() if c in lower else pd.array([None] * len(part), "Int16")
-                    out["extra"] = [dict(zip(rest, v, strict=True)) for v in part[[lower[c] for c in rest]].to_numpy(float).tolist()] if rest else [{}] * len(part)
-                    yield out
-
-    return run
-
+from talus.session import cut, drop
+from talus.sources import points
 
 def read_xyz(spark: SparkSession, path: str) -> DataFrame:
     """First three columns of white-space separated text; comments and rows with NaN are left out."""
@@ -153,8 +25,11 @@ def read_xyz(spark: SparkSession, path: str) -> DataFrame:
     return t.selectExpr("pid", *[f"CAST(v[{i}] AS DOUBLE) AS {c}" for i, c in enumerate("xyz")]).where(" AND ".join(f"NOT isnan({c})" for c in "xyz"))
 
 
-def read_cloud(spark: SparkSession, path: str) -> DataFrame:
-    """Reader by suffix: .ply, .las, .xyz or .txt; .laz has no codec here."""
+def read_cloud(spark: SparkSession, path: str, columns: list[str] | None = None, split: int = points.SPLIT) -> DataFrame:
+    """Reader by suffix: .ply, .las, .xyz or .txt; .laz has no codec here. ``columns``: some of those of points.SCHEMA; only these are built. ``split``:
+    bytes of a file that one task reads.
+
+    LAS colours are brought to bytes where a file has larger ones, which one pass over the colours finds out beforehand, if they are asked for."""
     suffix = os.path.splitext(path)[1].lower()
     if suffix in (".xyz", ".txt"):
         return read_xyz(spark, path)
@@ -162,9 +37,19 @@ def read_cloud(spark: SparkSession, path: str) -> DataFrame:
         raise RuntimeError("LAZ: compressed points need a codec that isn't installed")
     if suffix not in (".ply", ".las"):
         raise ValueError(f"unknown point-cloud format: {suffix}")
-    found = spark.read.format("binaryFile").load(path)
-    numbers = {r["path"]: i for i, r in enumerate(found.select("path").orderBy("path").collect())}  # one name a file, which the planner has listed anyway
-    return found.select("path", "content").mapInPandas(_rows(parse_ply if suffix == ".ply" else parse_las, numbers), SCHEMA)
+    paths = sorted(r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect())  # one name a file, which the planner has listed anyway
+    spark.dataSource.register(points.PointFiles)
+    columns = columns or [f.split()[0] for f in points.SCHEMA.split(", ")]
+    kinds = dict(f.split(" ", 1) for f in points.SCHEMA.split(", "))
+    load = lambda own: spark.read.format("talus_points").schema(", ".join(f"{c} {kinds[c]}" for c in own)).options(paths="\n".join(paths), kind=suffix[1:], split=split).load()
+    rgb = [c for c in columns if c in _RGB]
+    if suffix == ".ply" or not rgb:
+        return load(columns)
+    rows = load(list(dict.fromkeys([*columns, "path", "extra"])))
+    largest = load(["path", "extra"]).groupBy("path").agg(F.max(F.greatest(*[F.col("extra")[f"{c}_16"] for c in _RGB])).alias("most_"))
+    rows = rows.join(F.broadcast(largest), "path")  # one row a file
+    byte = lambda c: f"CAST(CASE WHEN most_ > 255 THEN floor(extra['{c}_16'] / 256) ELSE extra['{c}_16'] END AS SMALLINT) AS {c}"
+    return rows.selectExpr(*[byte(c) if c in _RGB else c for c in columns])
 
 
 _RGB = ("red", "green", "blue")
@@ -192,45 +77,96 @@ def ply_bytes(points: np.ndarray, colours: np.ndarray | None = None, text: bool
     return ply_header(len(points), colours is not None, text) + ply_body(points, colours, text)
 
 
-def write_ply(points: DataFrame, path: str, text: bool = False, parts: bool = False) -> DataFrame:
-    """points (x, y, z and, if there, red, green, blue) as PLY in a folder that the executors share; returns (path, n).
+def _own(path: str) -> str:
+    """A name beside the path that no other attempt has."""
+    return f"{path}.{uuid.uuid4().hex}.tmp"
 
-    One task streams one file, a batch at a time; with ``parts`` each partition writes its own, named by its number (the tool of the next step
-    must then take a folder)."""
-    coloured = set(_RGB) <= set(points.columns)
-    columns = ["x", "y", "z", *(_RGB if coloured else ())]
 
-    def run(batches):
+def _bodies(batches, text: bool, coloured: bool):
+    for pdf in batches:
+        yield len(pdf), ply_body(pdf[["x", "y", "z"]].to_numpy(float), pdf[list(_RGB)].fillna(0).to_numpy() if coloured else None, text)
+
+
+def write_ply(cloud: DataFrame, path: str, text: bool = False, parts: bool = False) -> DataFrame:
+    """cloud (x, y, z and, if there, red, green, blue) as PLY in a folder that the executors share; returns (path, n).
+
+    All tasks write one file: rows become blocks of bytes, sums of the partitions' sizes give each block its place, and each task writes its own (points.BlockSink).
+    With ``parts`` each partition writes a file of its own, named by its number (the tool of the next step must then take a folder)."""
+    coloured = set(_RGB) <= set(cloud.columns)
+    rows = cloud.select("x", "y", "z", *(_RGB if coloured else ()))
+
+    def own_file(batches):
         from pyspark import TaskContext
 
-        own = f"{os.path.splitext(path)[0]}.{TaskContext.get().partitionId():05d}.ply" if parts else path
-        n = 0
-        with open(f"{own}.tmp", "wb") as f:
+        goal, n = f"{os.path.splitext(path)[0]}.{TaskContext.get().partitionId():05d}.ply", 0
+        own = _own(goal)
+        with open(own, "wb") as f:
             f.write(ply_header("0" * 20, coloured, text))  # the number is known at the end
-            for pdf in batches:
-                n += len(pdf)
-                f.write(ply_body(pdf[["x", "y", "z"]].to_numpy(float), pdf[list(_RGB)].fillna(0).to_numpy() if coloured else None, text))
+            for m, body in _bodies(batches, text, coloured):
+                n += m
+                f.write(body)
             f.seek(0)
             f.write(ply_header(f"{n:020d}", coloured, text))
-        os.replace(f"{own}.tmp", own)  # a task that runs again replaces what it wrote
-        yield pd.DataFrame({"path": [own], "n": [n]})
+        os.replace(own, goal)  # a task that runs again replaces what it wrote
+        yield pd.DataFrame({"path": [goal], "n": [n]})
+
+    def blocks(batches):
+        from pyspark import TaskContext
+
+        for i, (n, body) in enumerate(_bodies(batches, text, coloured)):
+            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "i": [i], "n": [n], "block": [body]})
+
+    if parts:
+        return rows.mapInPandas(own_file, "path string, n long")
+    spark = cloud.sparkSession
+    made = cut(rows.mapInPandas(blocks, "part int, i int, n long, block binary"))
+    sizes = made.groupBy("part").agg(F.sum("n").alias("n"), F.sum(F.octet_length("block")).alias("size"))
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    head = ply_header(total[0], coloured, text)
+    before = sizes.selectExpr("part", f"sum(size) OVER (ORDER BY part) - size + {len(head)} AS before")  # one row a partition
+    placed = made.join(F.broadcast(before), "part").selectExpr("before + sum(octet_length(block)) OVER (PARTITION BY part ORDER BY i) - octet_length(block) AS at", "block")
+    placed = placed.unionByName(spark.createDataFrame([(0, bytearray(head))], "at long, block binary"))
+    spark.dataSource.register(points.BlockSink)
+    placed.write.format("talus_blocks").options(path=path, size=len(head) + total[1], run=uuid.uuid4().hex).mode("append").save()
+    drop(made)
+    return spark.createDataFrame([(path, total[0])], "path string, n long")
 
-    rows = points.select(*columns)
-    return (rows if parts else rows.coalesce(1)).mapInPandas(run, "path string, n long")
 
+def write_ply_groups(cloud: DataFrame, folder: str, name: str, label: str = "label", text: bool = True) -> DataFrame:
+    """One file ``{name}_grain_{label}.ply`` for each label (null: no grain), by the executors, into a folder they share; returns (label, path, n).
 
-def write_ply_groups(points: DataFrame, folder: str, name: str, label: str = "label", text: bool = True) -> DataFrame:
-    """One file ``{name}_grain_{label}.ply`` for each label (null: no grain), by the executors, into a folder they share; returns (label, path, n)."""
+    Rows come sorted by label and are streamed, so that a task holds a batch and not a grain."""
+    coloured = set(_RGB) <= set(cloud.columns)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        path = os.path.join(folder, f"{name}_grain_{key[0]}.ply")
+    def run(batches):
         os.makedirs(folder, exist_ok=True)
-        rgb = pdf[list(_RGB)].to_numpy() if set(_RGB) <= set(pdf.columns) else None
-        with open(path, "wb") as f:
-            f.write(ply_bytes(pdf[["x", "y", "z"]].to_numpy(), rgb, text))
-        return pd.DataFrame([{"label": key[0], "path": path, "n": len(pdf)}])
+        now, f, n, own = None, None, 0, ""
 
-    return points.where(f"{label} IS NOT NULL").groupBy(F.col(label).alias("label")).applyInPandas(run, "label long, path string, n long")
+        def closed():
+            f.seek(0)
+            f.write(ply_header(f"{n:020d}", coloured, text))
+            f.close()
+            os.replace(own, goal(now))
+            return {"label": now, "path": goal(now), "n": n}
+
+        goal = lambda v: os.path.join(folder, f"{name}_grain_{v}.ply")
+        done = []
+        for pdf in batches:
+            for v, part in pdf.groupby("label", sort=False):
+                if v != now:
+                    if f:
+                        done.append(closed())
+                    now, n, own = int(v), 0, _own(goal(int(v)))
+                    f = open(own, "wb")  # noqa: SIM115
+                    f.write(ply_header("0" * 20, coloured, text))
+                n += len(part)
+                f.write(ply_body(part[["x", "y", "z"]].to_numpy(float), part[list(_RGB)].to_numpy() if coloured else None, text))
+        if f:
+            done.append(closed())
+        yield pd.DataFrame(done, columns=["label", "path", "n"])
+
+    rows = cloud.where(f"{label} IS NOT NULL").select(F.col(label).cast("long").alias("label"), "x", "y", "z", *(_RGB if coloured else ()))
+    return rows.repartition("label").sortWithinPartitions("label").mapInPandas(run, "label long, path string, n long")
 
 
 def parameter_rows(table: DataFrame, order: str) -> DataFrame:
