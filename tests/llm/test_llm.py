@@ -68,7 +68,7 @@ def test_near_duplicates_equal_brute_force(spark):
             assert (g["n_shingles"], g["component_id"], g["kept"]) == (len(sets[g["doc_id"]]), top(g["doc_id"]), top(g["doc_id"]) == g["doc_id"])
 
 
-@pytest.mark.parametrize("many", [16, 1])
+@pytest.mark.parametrize("many", [16, 0])
 def test_large_groups_are_compared_in_blocks(spark, monkeypatch, many):
     monkeypatch.setattr(minhash, "BLOCK", 16)
     monkeypatch.setattr(minhash, "MANY", many)
@@ -83,6 +83,20 @@ def test_large_groups_are_compared_in_blocks(spark, monkeypatch, many):
     assert {g["component_id"] for g in got} == {0}
 
 
+def test_copies_of_a_large_group_grow_linearly(spark, tmp_path):
+    """100,000 members of one component and ten outsiders in one bucket: sets are copied once each, and the outsiders' once a block. Every pair with an outsider
+    meets once."""
+    n = 100_000
+    now = spark.range(n + 10).selectExpr("1L AS key", "CAST(3 AS BYTE) AS band", f"{n + 10}L AS size", f"{60 * (n + 10)}L AS shingles", "id", f"CASE WHEN id < {n} THEN 0L ELSE id END AS comp", "60L AS n")
+    reps = spark.createDataFrame([], "id long, n long, h1 long, sig binary")
+    rows = minhash.block_copies(minhash._block_rows(now, reps, minhash.Workspace(spark, "copies")))
+    assert rows.count() <= n + 10 + 10 * (n // minhash.BLOCK + 2)
+    few = spark.range(300).selectExpr("1L AS key", "CAST(3 AS BYTE) AS band", "300L AS size", f"{300 * 2**16}L AS shingles", "id", "CASE WHEN id < 200 THEN 0L ELSE id END AS comp", "65536L AS n")
+    t = minhash.block_copies(minhash._block_rows(few, reps, minhash.Workspace(spark, "copies")))
+    met = t.where("left").alias("a").join(t.where("NOT left").alias("b"), ["g", "bi", "bj"]).where("a.comp <> b.comp AND (NOT b.out OR b.id > a.id)").select("a.id", "b.id").collect()
+    assert len(met) == len(set(met)) == 100 * 200 + 100 * 99 // 2
+
+
 def test_signatures_of_long_unlike_texts_differ():
     r = np.random.default_rng(16)
     for n in (200, 20_000, 200_000):
