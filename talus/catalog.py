@@ -182,20 +182,37 @@ def _(spark, d):
     return rounded(S.denoise(c, spatial.knn(c, 4), 4, 1.0).select("pid", "mean_dist"), "mean_dist", digits=6)
 
 
-@query("quadratic_detrend")
-def _(spark, d):
-    return rounded(S.detrend(T.events(spark, d))[0], "x", "z")
+_TERMS = ["1e0", "u", "v", "u * u", "u * v", "v * v"]
+
 
+def solved(n: int, rows: str) -> str:
+    """DuckDB subquery: c0 ... of the symmetric system a{i}{j} (i <= j), b{i} in one row, by elimination."""
+    names = [f"m{i}{j}" for i in range(n) for j in range(n + 1)]
+    first = ", ".join(f"{f'a{min(i, j)}{max(i, j)}' if j < n else f'b{i}'} AS m{i}{j}" for i in range(n) for j in range(n + 1))
+    t = f"(SELECT {first} FROM {rows})"
+    for k in range(n):
+        step = ", ".join(f"{f'm{k}{j} / m{k}{k}' if i == k else f'm{i}{j} - m{i}{k} * m{k}{j} / m{k}{k}'} AS m{i}{j}" for i in range(n) for j in range(n + 1))
+        t = f"(SELECT {step} FROM {t})"
+    assert len(names) == n * (n + 1)
+    return f"(SELECT {', '.join(f'm{i}{n} AS c{i}' for i in range(n))} FROM {t})"
 
-_UNIT = {"one": "1e0", "u": "u", "v": "v", "uu": "u * u", "uv": "u * v", "vv": "v * v"}
 
+_SUMS6 = ", ".join([f"sum({_TERMS[i]} * {_TERMS[j]}) AS a{i}{j}" for i in range(6) for j in range(i, 6)] + [f"sum({_TERMS[i]} * z) AS b{i}" for i in range(6)])
 
-@query("detrend_normal_equations", " UNION ALL ".join(f"SELECT '{k}' AS term, CAST(0 AS DOUBLE) AS moment" for k in _UNIT))
+
+@query(
+    "quadratic_detrend",
+    f"WITH {EVT}, s AS (SELECT avg(x) AS mx, stddev_pop(x) AS dx, avg(y) AS my, stddev_pop(y) AS dy FROM evt), w AS (SELECT pid, x, y, z, (x - mx) / dx AS u, (y - my) / dy AS v FROM evt, s), q AS (SELECT {_SUMS6} FROM w), k AS (SELECT * FROM {solved(6, 'q')}) SELECT pid, {r('x')} AS x, y, {r('z - (' + ' + '.join(f'c{i} * {t}' for i, t in enumerate(_TERMS)) + ')')} AS z FROM w, k",
+)
 def _(spark, d):
-    """What is left of z is at right angles to every term of the surface."""
-    t = S.detrend(unit_events(spark, d).selectExpr("pid", "x", "y", "z"))[0].selectExpr("x AS u", "y AS v", "z")
-    sums = t.agg(F.count("*").alias("n"), *[F.sum(F.expr(f"z * {e}")).alias(k) for k, e in _UNIT.items()])
-    return rounded(sums.selectExpr(f"inline(array({', '.join(f"struct('{k}' AS term, {k} / n AS moment)" for k in _UNIT)}))"), "moment", digits=9)
+    return rounded(S.detrend(T.events(spark, d))[0], "x", "z")
+
+
+@query("detrend_normal_equations", f"WITH {EVT}, w AS (SELECT x / 720 AS u, y / (SELECT max(y) FROM evt) AS v, z / (SELECT max(z) FROM evt) AS z FROM evt), q AS (SELECT {_SUMS6} FROM w), k AS (SELECT * FROM {solved(6, 'q')}) SELECT unnest(range(6)) AS term, round(unnest([{', '.join(f'c{i}' for i in range(6))}]), 7) + 0 AS coefficient FROM k")
+def _(spark, d):
+    """The surface itself: the coefficients of its six terms."""
+    c = S.detrend(unit_events(spark, d).selectExpr("pid", "x", "y", "z"))[1]
+    return rounded(spark.createDataFrame([(i, float(v)) for i, v in enumerate(c)], "term long, coefficient double"), "coefficient", digits=7)
 
 
 @query("rotate_horizontal", f"""WITH {PTS}, n AS (SELECT nx, ny, nz, sx / n AS cx, sy / n AS cy, sz / n AS cz FROM {eig('pts', '', 0, normals=True)} AS e),
@@ -430,6 +447,18 @@ def _(spark, d):
     return blocks.grow(c, own, c.selectExpr("pid", "1e0 AS score"), 0.2)
 
 
+@query(
+    "grow_within_filter",
+    f"WITH {PTS}, c AS (SELECT a.pid, b.pid AS nid, {G.distance()} AS dist FROM pts a JOIN pts b ON b.grp < 5 AND a.grp >= 5 AND a.grp <> 7 AND a.z > 0), k AS (SELECT pid, arg_min(nid, (dist, nid)) AS nid FROM c WHERE dist <= 0.2 GROUP BY pid) SELECT pid, CAST(grp AS BIGINT) AS label FROM pts WHERE grp < 5 UNION ALL SELECT k.pid, CAST(p.grp AS BIGINT) FROM k JOIN pts p ON p.pid = k.nid",
+)
+def _(spark, d):
+    """Growing where a filter lets it and the score is enough."""
+    c = T.vectors(spark, d)
+    own = c.where("label < 5").selectExpr("pid", "CAST(label AS BIGINT) AS label")
+    score = c.selectExpr("pid", "CASE WHEN label = 7 THEN 0e0 ELSE 1e0 END AS score")
+    return blocks.grow(c.select("pid", "x", "y", "z"), own, score, 0.2, c.where("z > 0").select("pid"))
+
+
 _CELL = ", ".join(f"floor({c} / 0.1)" for c in "xyz")
 
 
@@ -474,6 +503,45 @@ def _(spark, d):
     return rounded(s.selectExpr("grp", f"{G.ellipsoid_area('a', 'b', 'c')} AS area", f"{G.ellipsoid_volume('a', 'b', 'c')} AS volume"), "area", "volume", digits=2)
 
 
+_CUBES = " + ".join(f"{64 // 8**i} * CAST(floor(8 * {c}) AS BIGINT)" for i, c in enumerate("xyz"))
+SEGS = f"{_EVT3}, sg AS (SELECT {_CUBES} AS label, x, y, z FROM ev), sm AS (SELECT * FROM sg WHERE label IN (SELECT label FROM sg GROUP BY label HAVING count(*) >= 6))"
+
+
+def event_segments(spark, d) -> DataFrame:
+    """Events of one cube of the unit box, where there are six and more: segments that grow in number and size with the table."""
+    rows = unit_events(spark, d).selectExpr(f"{_CUBES} AS label", "x", "y", "z", "0.01e0 AS surface")
+    return rows.join(rows.groupBy("label").agg(F.count("*").alias("n")).where("n >= 6").select("label"), "label", "left_semi")
+
+
+_UVW = ["1e0" if not any(m) else " * ".join(c for c, k in zip("uvw", m, strict=True) for _ in range(k)) for m in fit.MONOMIALS]
+
+
+@query("segment_moments", f"""WITH {SEGS}, b AS (SELECT label, (min(x) + max(x)) / 2 AS mx, (min(y) + max(y)) / 2 AS my, (min(z) + max(z)) / 2 AS mz, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z), 1e-8) AS size FROM sm GROUP BY label),
+  u AS (SELECT sm.label, (x - mx) / size AS u, (y - my) / size AS v, (z - mz) / size AS w FROM sm JOIN b ON b.label = sm.label), s AS (SELECT label, [{', '.join(f'sum({t})' for t in _UVW)}] AS t FROM u GROUP BY label)
+  SELECT label, CAST(unnest(range({len(_UVW)})) AS INTEGER) AS i, {r('unnest(t)', 7)} AS total FROM s""")
+def _(spark, d):
+    """The sums that boxes and quadrics are fitted from, out of parts of four points."""
+    return rounded(fit.moments(event_segments(spark, d), part=4), "total", digits=7)
+
+
+_SEGAX = "(SELECT *, ny * mz - nz * my AS bx, nz * mx - nx * mz AS by_, nx * my - ny * mx AS bz FROM " + eig("sm", "label", normals=True, major=True) + ")"
+BOXES = f"""{SEGS}, ax AS (SELECT * FROM {_SEGAX} AS t), pr AS (SELECT p.label, p.x * mx + p.y * my + p.z * mz AS a, p.x * bx + p.y * by_ + p.z * bz AS b, p.x * nx + p.y * ny + p.z * nz AS c FROM sm p JOIN ax ON ax.label = p.label),
+  ex AS (SELECT label, count(*) AS n, max(a) - min(a) AS a, max(b) - min(b) AS b, max(c) - min(c) AS c FROM pr GROUP BY label),
+  bo AS (SELECT ex.label, ex.n, list_reverse_sort([a, b, c]) AS e, CASE WHEN a >= b AND a >= c THEN [mx, my, mz] WHEN b >= c THEN [bx, by_, bz] ELSE [nx, ny, nz] END AS q FROM ex JOIN ax ON ax.label = ex.label),
+  cap AS (SELECT 0.14 * greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS cap FROM ev)"""
+
+
+def segment_boxes(spark, d) -> DataFrame:
+    """Block models of the segments, from parts of four points, under a size cap."""
+    return fit.fit(event_segments(spark, d), sizing="block", cap=S.span_cap(unit_events(spark, d), 0.14).first()[0], part=4)
+
+
+@query("segment_boxes", f"WITH {BOXES} SELECT label, n, {r('e[1]')} AS e0, {r('e[2]')} AS e1, {r('e[3]')} AS e2, e[1] <= cap + 1e-9 AS sizecapok FROM bo, cap")
+def _(spark, d):
+    t = segment_boxes(spark, d).selectExpr("label", "n", *[f"extents[{i}] AS e{i}" for i in range(3)], "sizecapok")
+    return rounded(t, "e0", "e1", "e2")
+
+
 def toy_models(spark, d):
     """A model table with known columns out of the events, for the summary operators."""
     return T.events(spark, d).selectExpr(
@@ -492,20 +560,23 @@ def toy_models(spark, d):
 
 MOD = f"{EVT}, mod AS (SELECT pid AS label, x, y, z, 1 + z / 10 AS r0, 1 + z / 20 AS r1, 1 + z / 40 AS r2, 1 + z AS v, 2 + z AS a FROM evt WHERE pid % 7 <> 0 AND pid % 11 <> 0)"
 _AM = "(atan2(CASE WHEN y - 40 < 0 THEN -1 ELSE 1 END * (y - 40), CASE WHEN y - 40 < 0 THEN -1 ELSE 1 END * (x - 360)) + pi() / 2)"
-_AX = "(atan2(CASE WHEN y - 50 < 0 THEN -1 ELSE 1 END * (x - 300), CASE WHEN y - 50 < 0 THEN -1 ELSE 1 END * (y - 50)) + pi() / 2)"
 
 
-@query("accepted_models", f"WITH {MOD} SELECT count(*) AS n FROM mod")
+@query("accepted_models", f"WITH {BOXES} SELECT count(*) AS n FROM bo, cap WHERE e[1] <= cap + 1e-9")
 def _(spark, d):
-    return summary.accepted(toy_models(spark, d)).agg(F.count("*").alias("n"))
+    return summary.accepted(segment_boxes(spark, d)).agg(F.count("*").alias("n"))
+
+
+_TURN = lambda y, x, s: f"(atan2(CASE WHEN {s} < 0 THEN -1 ELSE 1 END * {y}, CASE WHEN {s} < 0 THEN -1 ELSE 1 END * {x}) + pi() / 2)"
+_MAPPED, _SIDE = _TURN("q[2]", "q[1]", "q[2]"), _TURN("q[2]", "q[3]", "q[3]")
 
 
 @query(
     "orientation_angles",
-    f"WITH {MOD} SELECT label, {r(f'{_AM} - pi() * floor({_AM} / pi())')} AS angle_map, {r(f'{_AX} - pi() * floor({_AX} / pi())')} AS angle_x FROM mod",
+    f"WITH {BOXES} SELECT label, {r(f'{_MAPPED} - pi() * floor({_MAPPED} / pi())')} AS angle_map, {r(f'{_SIDE} - pi() * floor({_SIDE} / pi())')} AS angle_x FROM bo, cap WHERE e[1] <= cap + 1e-9",
 )
 def _(spark, d):
-    return rounded(summary.orientations(toy_models(spark, d)).select("label", "angle_map", "angle_x"), "angle_map", "angle_x")
+    return rounded(summary.orientations(segment_boxes(spark, d)).select("label", "angle_map", "angle_x"), "angle_map", "angle_x")
 
 
 _EDGE = lambda w, lo, hi: f"SELECT '{w}' AS what, greatest(2, CAST(ceil(sqrt(count(*))) AS INTEGER)) AS nbin, {lo} AS lo, greatest({hi}, {lo} * 1.01) AS hi FROM mod"
@@ -612,6 +683,25 @@ def _(spark, d):
     return labels.counts(labels.instance_labels(T.lines(spark, d), INSTANCES))
 
 
+_CORNERS = [(0.0, -1.0), (1.0, -0.4), (0.6, 0.8), (0.1, 0.1), (-0.8, 0.9), (-1.0, -0.2)]
+_POLY = "po AS (SELECT p_partkey AS ord, CAST(p_partkey % 97 + 1 AS INTEGER) AS code, (p_partkey * 37 % 7200) / 1e1 AS cx, (p_partkey * 53 % 1000) / 2e1 AS cy, p_size AS s FROM part)"
+_EDGES6 = " UNION ALL ".join(f"SELECT ord, code, cx, cy, s, cx + s * {a!r} AS x1, cy + s * {b!r} / 8 AS y1, cx + s * {c!r} AS x2, cy + s * {e!r} / 8 AS y2 FROM po" for (a, b), (c, e) in zip(_CORNERS, [*_CORNERS[1:], _CORNERS[0]], strict=True))
+
+
+@query(
+    "polygon_join",
+    f"""WITH {EVT}, {_POLY}, ed AS ({_EDGES6}), me AS (SELECT e.pid, p.ord FROM evt e JOIN po p ON e.x BETWEEN p.cx - p.s AND p.cx + p.s AND e.z BETWEEN p.cy - p.s / 8e0 AND p.cy + p.s / 8e0),
+  tu AS (SELECT me.pid, me.ord, ed.code, sum(CASE WHEN y1 <= z AND y2 > z AND (x2 - x1) * (z - y1) - (x - x1) * (y2 - y1) > 0 THEN 1 WHEN y1 > z AND y2 <= z AND (x2 - x1) * (z - y1) - (x - x1) * (y2 - y1) < 0 THEN -1 ELSE 0 END) AS turns FROM me JOIN evt e ON e.pid = me.pid JOIN ed ON ed.ord = me.ord GROUP BY me.pid, me.ord, ed.code),
+  la AS (SELECT pid, arg_max(code, ord) AS code FROM tu WHERE turns <> 0 GROUP BY pid) SELECT e.pid, coalesce(la.code, 0) AS code FROM evt e LEFT JOIN la ON la.pid = e.pid""",
+)
+def _(spark, d):
+    """A polygon for each part, placed and sized by its key; the last one that holds a point gives it its code."""
+    corners = ", ".join(f"struct(cx + p_size * {a!r}D AS x, cy + p_size * {b!r}D / 8 AS y)" for a, b in _CORNERS)
+    t = T.table(spark, d, "part").selectExpr("*", "(p_partkey * 37 % 7200) / 1e1 AS cx", "(p_partkey * 53 % 1000) / 2e1 AS cy")
+    polygons = t.selectExpr("p_partkey AS ord", "CAST(p_partkey % 97 + 1 AS INT) AS code", f"array({corners}) AS corners")
+    return spatial.polygon_codes(T.events(spark, d), polygons, "x", "z").select("pid", "code")
+
+
 @query(
     "ternary_coordinates",
     f"WITH {PTS}, co AS (SELECT a.pid, b.x, b.y, b.z FROM pts a JOIN pts b ON {G.distance()} <= 0.2), g AS (SELECT pid, greatest(l0, 1e-12) AS a, greatest(l1, 1e-12) AS b, greatest(l2, 1e-12) AS c FROM {eig('co', 'pid')} AS m WHERE n >= 10), e AS (SELECT pid, a / (a + b + c) AS e0, b / (a + b + c) AS e1, c / (a + b + c) AS e2 FROM g), w AS (SELECT *, 3 * e0 AS ball, (1 - 3 * e0) * (e2 - e1) AS line FROM e) SELECT pid, CAST(0.4 AS DOUBLE) AS diameter, {', '.join(f'{r(c)} AS {c}' for c in ('e0', 'e1', 'e2'))}, {r('0 * line + 1 * (1 - line - ball) + 0.5 * ball')} AS tx, {r('0.8660254037844386 * ball')} AS ty FROM w",
@@ -708,9 +798,13 @@ def _(spark, d):
     return rounded(roughness.roughness(T.vectors(spark, d), M.Parameters(minscale=0.1, maxscale=0.5), "matlab"), "rough", digits=6)
 
 
-@query("instance_colours")
+_TWENTY = "1f77b4 aec7e8 ff7f0e ffbb78 2ca02c 98df8a d62728 ff9896 9467bd c5b0d5 8c564b c49c94 e377c2 f7b6d2 7f7f7f c7c7c7 bcbd22 dbdb8d 17becf 9edae5"
+_PICK = lambda k: f"CAST(CASE WHEN grp > 0 THEN CAST(concat('0x', substr(split('{_TWENTY}', ' ')[least(20, 1 + CAST(floor(20 * (grp - 1) / greatest(top - 1, 1e0)) AS INTEGER))], {2 * k + 1}, 2)) AS INTEGER) ELSE 120 END AS SMALLINT)"
+
+
+@query("instance_colours", f"WITH {PTS}, t AS (SELECT greatest(max(grp), 1) AS top FROM pts) SELECT pid, CAST(grp AS INTEGER) AS code, {', '.join(f'{_PICK(k)} AS {c}' for k, c in enumerate(('red', 'green', 'blue')))} FROM pts, t")
 def _(spark, d):
-    return summary.instance_colours(T.vectors(spark, d).selectExpr("pid", "label AS code"))
+    return summary.instance_colours(T.vectors(spark, d).selectExpr("pid", "CAST(label AS INT) AS code"))
 
 
 @query("granulo_export")

@@ -118,13 +118,33 @@ def test_normals_point_up(spark):
 
 @pytest.mark.parametrize("strategy", ["bounded_pca", "hybrid_direct"])
 def test_ellipsoid_is_recovered(spark, strategy):
+    """Out of one part and out of many: the same model."""
     r = np.random.default_rng(3)
     u = r.normal(size=(1500, 3))
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     q = S.rotation_of([1, 2, 3], 0.7)
-    p = u * [3, 2, 1.6] @ q.T + [5, 6, 7]
-    m = fit.ellipsoid(p, 10.0, M.Parameters(), np.random.default_rng(0), strategy, None)
-    assert m["r"] == pytest.approx([3, 2, 1.6], rel=0.03) and m["c"] == pytest.approx([5, 6, 7], abs=0.05) and m["acover"] > 80
+    f = frame(spark, u * [3, 2, 1.6] @ q.T + [5, 6, 7], label=1, surface=10.0 / 1500)
+    whole, parts = (fit.fit(f, strategy=strategy, part=n).first() for n in (10_000, 100))
+    assert whole["r"] == pytest.approx([3, 2, 1.6], rel=0.03) and whole["c"] == pytest.approx([5, 6, 7], abs=0.05) and whole["acover"] > 80
+    for k in ("r", "c", "d_mean", "r2", "v", "a", "acover", "aratio", "extents", "n"):
+        assert parts[k] == pytest.approx(whole[k], rel=1e-6), k
+
+
+@pytest.mark.parametrize("shape", ["blob", "grid", "flat", "line", "same", "two", "one"])
+def test_a_block_is_the_sum_of_its_parts(spark, shape):
+    """Boxes, hulls and sums out of parts equal those of one array, for solid, flat and tiny segments."""
+    r = np.random.default_rng(5)
+    p = {"blob": r.normal(size=(3000, 3)) * [3, 2, 1], "grid": np.stack(np.meshgrid(*[np.arange(7.0)] * 3), -1).reshape(-1, 3) * [3, 2, 1], "flat": np.column_stack([r.random((300, 2)) * [2, 1], np.full(300, 0.5)]), "line": np.outer(r.random(200), [1, 2, 3]), "same": np.ones((50, 3)), "two": np.array([[1.0, 2, 3], [2, 5, 1]]), "one": np.array([[1.0, 2, 3]])}[shape] + 10
+    f = frame(spark, p, label=7, surface=1.0)
+    got = fit.fit(f, sizing="block", part=60).first()
+    want = fit.block(p, float(len(p)), None)
+    assert got["n"] == len(p) and got["extents"] == pytest.approx(fit.cuboid(p)[1], abs=1e-9) and got["c"] == pytest.approx(want["c"], abs=1e-8)
+    assert (got["v"], got["a"], got["acover"]) == pytest.approx((want["v"], want["a"], want["acover"]), rel=1e-8, abs=1e-9)
+    if shape == "blob":
+        assert len(fit.summaries(fit.dealt(f, 60)).where("size(corners) > 0").collect()) == 50
+        mid, size = (p.min(axis=0) + p.max(axis=0)) / 2, np.ptp(p, axis=0).max()
+        sums = [x["total"] for x in fit.moments(f, 60).orderBy("i").collect()]
+        assert sums == pytest.approx(fit.monomial_sums((p - mid) / size), rel=1e-9, abs=1e-9)
 
 
 def test_cuboid_and_hull():
