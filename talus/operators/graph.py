@@ -1,31 +1,75 @@
-"""Components and rooted forests over edge tables."""
+"""Components and rooted forests over edge tables.
+
+Both work in rounds that are written to the shared folder. Before a round's shuffle each task contracts what it holds by itself, so that rounds are needed only for
+what lies apart; whether a round was the last is counted while it is written."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talus.session import cut, drop
+from talus.session import counted, drop
+
+#: Rows that a task contracts at a time.
+CHUNK = 1 << 21
+
+
+def _chunks(batches, columns: tuple[str, ...]):
+    held, n = [], 0
+    for batch in batches:
+        held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in columns])
+        n += len(batch)
+        if n >= CHUNK:
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held, n = [], 0
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def least_joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of an edge list and the least id that each reaches, by hooking larger roots to smaller ones and halving paths."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    root = np.arange(len(ids))
+    while True:
+        ru, rv = root[u], root[v]
+        open_ = ru != rv
+        if not open_.any():
+            return ids, ids[root]
+        u, v, ru, rv = u[open_], v[open_], ru[open_], rv[open_]
+        np.minimum.at(root, np.maximum(ru, rv), np.minimum(ru, rv))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _stars(batches):
+    """Edges (u, v) as stars: each id of a chunk with the least one that it reaches there."""
+    for u, v in _chunks(batches, ("u", "v")):
+        ids, root = least_joined(u, v)
+        far = ids != root
+        yield pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(root[far])], names=["u", "v"])
+
+
+_MARK = {"n": "count(*)", "hash": "sum(CAST(xxhash64(u, v) AS DECIMAL(38, 0)))"}
 
 
 def star_roots(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> (id, root): the smallest reachable id of every id that has an edge, without the driver.
 
     Alternating star contractions: a round joins every larger neighbour of u to the smallest one (large star), then every smaller one
-    (small star). The minima are combined before the shuffle, so a hub costs a row a task. Each round is written to the shared folder; it
-    ends when a round changes nothing."""
-    e = cut(edges.where("a <> b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct())
-    mark = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    seen = mark(e)
-    while seen[0]:
+    (small star). The minima are combined before the shuffle, so a hub costs a row a task. It ends when a round changes nothing."""
+    local = lambda t: t.mapInArrow(_stars, "u long, v long")
+    e, seen = counted(local(edges.where("a <> b").selectExpr("CAST(greatest(a, b) AS BIGINT) AS u", "CAST(least(a, b) AS BIGINT) AS v")), **_MARK)
+    while seen["n"]:
         both = e.union(e.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m")
         large = both.join(least, "u").where("v > u AND v <> m").selectExpr("v AS u", "m AS v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").selectExpr("inline(array(struct(greatest(v, m) AS u, least(v, m) AS v), struct(u, m AS v)))").where("u <> v").distinct()
-        old, e = e, cut(small)
+        old, (e, now) = e, counted(local(small).distinct(), **_MARK)
         drop(old)
-        now = mark(e)
         if now == seen:
             break
         seen = now
@@ -37,21 +81,40 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(star_roots(edges), "id", "left").selectExpr("id", "coalesce(root, id) AS root")
 
 
+def followed(pid: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How far each row's way leads within these rows: the id it leads to, whether it ends there, and whether it goes round in a circle."""
+    order = np.argsort(pid, kind="stable")
+    at = np.searchsorted(pid[order], parent)
+    known = pid[order[np.minimum(at, len(pid) - 1)]] == parent
+    to = np.where(known & (parent != pid), order[np.minimum(at, len(pid) - 1)], np.arange(len(pid)))
+    for _ in range(len(pid).bit_length() + 1):
+        to = to[to]
+    round_ = to != to[to]
+    # a row on a circle of whose length the steps are a multiple comes back to itself, though it has a way on
+    round_ |= known[to] & (parent[to] != pid[to])
+    return parent[to], (parent[to] == pid[to]) & ~round_, round_
+
+
+def _ways(batches):
+    for pid, parent in _chunks(batches, ("pid", "parent")):
+        root, sink, round_ = followed(pid, parent)
+        yield pa.RecordBatch.from_arrays([pa.array(pid), pa.array(root, mask=round_), pa.array(sink | round_)], names=["pid", "root", "ended"])
+
+
+_OPEN = "count_if(NOT ended)"
+
+
 def forest_roots(parents: DataFrame) -> DataFrame:
     """parents (pid, parent): (pid, root) by pointer jumping; root is null where the chain ends in a cycle of two or more.
 
-    A row that has come to its root (a row that is its own parent) asks no more, so the rows of a large tree meet at its root once."""
-    todo, done, rounds = cut(parents.selectExpr("pid", "parent AS root", "pid = parent AS sink")), None, 0
-    limit = max(1, parents.count()).bit_length() + 1
-    while rounds < limit:
-        known = todo if done is None else todo.unionByName(done)
-        far = known.selectExpr("pid AS root", "root AS far", "sink AS ends")
-        new = cut(todo.join(far, "root").select("pid", "root", "far", "sink", "ends"))
-        rounds += 1
-        ended = new.where("ends").select("pid", "root", "sink")
-        done = ended if done is None else done.unionByName(ended)
-        todo = new.where("NOT ends").selectExpr("pid", "far AS root", "sink")
-        if todo.isEmpty():
-            break
+    Each task first follows the ways within its own rows. A row that has come to its root (a row that is its own parent) asks no more, so the rows of a large tree
+    meet at its root once."""
+    ways = parents.selectExpr("CAST(pid AS BIGINT) AS pid", "CAST(parent AS BIGINT) AS parent").mapInArrow(_ways, "pid long, root long, ended boolean")
+    known, seen = counted(ways, n="count(*)", open=_OPEN)
+    done, todo, rounds, left = known.where("ended"), known.where("NOT ended"), 0, seen["open"]
+    while left and rounds <= seen["n"].bit_length():
+        far = todo.unionByName(done).selectExpr("pid AS root", "root AS far", "ended AS ends")
+        new, now = counted(todo.select("pid", "root").join(far, "root").selectExpr("pid", "far AS root", "ends AS ended"), open=_OPEN)
+        done, todo, left, rounds = done.unionByName(new.where("ended")), new.where("NOT ended"), now["open"], rounds + 1
     # what still asks after so many rounds goes round in a circle
     return done.select("pid", "root").unionByName(todo.selectExpr("pid", "CAST(NULL AS BIGINT) AS root"))

@@ -6,7 +6,8 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(master: str | None = None, partitions: int | None = None, shared: str | None = None) -> SparkSession:
@@ -77,6 +78,13 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def counted(df: DataFrame, **sums: str) -> tuple[DataFrame, dict]:
+    """``cut``, and aggregates of the rows that are taken while they are written."""
+    seen = Observation()
+    out = cut(df.observe(seen, *[F.expr(e).alias(k) for k, e in sums.items()]))
+    return out, seen.get
+
+
 def drop(df: DataFrame) -> None:
     """Frees what ``cut`` wrote."""
     df._talus_workspace.drop()

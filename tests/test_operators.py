@@ -84,6 +84,33 @@ def test_forest_with_flat_cycle(spark):
     assert {r["pid"]: r["root"] for r in graph.forest_roots(t).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: None, 6: None, 7: None}
 
 
+@pytest.mark.parametrize("chunk", [1 << 20, 7])
+def test_components_and_forests_in_chunks(spark, monkeypatch, chunk):
+    """Random graphs and forests with circles against plain walks, contracted whole and in chunks of a few rows."""
+    monkeypatch.setattr(graph, "CHUNK", chunk)
+    r = np.random.default_rng(chunk)
+    e = r.integers(0, 120, (90, 2))
+    root = list(range(120))
+    for _ in range(120):
+        for a, b in e.tolist():
+            root[a] = root[b] = min(root[a], root[b])
+    edges = spark.createDataFrame(e.tolist(), "a long, b long").repartition(3)
+    got = {x["id"]: x["root"] for x in graph.components(spark.range(120), edges).collect()}
+    assert got == dict(enumerate(root))
+    parent = [int(r.integers(0, 200)) if r.random() < 0.95 else i for i in range(200)]
+    want = {}
+    for i in range(200):
+        j = i
+        for _ in range(200):
+            j = parent[j]
+        want[i] = j if parent[j] == j else None
+    rows = spark.createDataFrame(list(enumerate(parent)), "pid long, parent long").repartition(4)
+    assert {x["pid"]: x["root"] for x in graph.forest_roots(rows).collect()} == want and None in want.values()
+    pid, far = np.arange(200), np.array(parent)
+    ends, sink, round_ = graph.followed(pid, far)
+    assert {i: None if c else int(x) for i, x, s, c in zip(pid.tolist(), ends, sink, round_, strict=True) if s or c} == want
+
+
 def test_components_of_a_long_chain(spark):
     n = 60
     nodes = spark.range(n + 2)
