@@ -325,9 +325,15 @@ def _objects(x) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=1)
+def vocabulary_of(text: str) -> Vocabulary:
+    """Parsed once in a Python worker, which serves many tasks."""
+    return Vocabulary(text)
+
+
 def _encode(shared, rest: list[str]):
     def run(batches):
-        for part, found in coded(Coder(Vocabulary(shared.value)), batches):
+        for part, found in coded(Coder(vocabulary_of(shared.value)), batches):
             n, ids, decoded = zip(*found, strict=True)
             own = [pa.array(n, pa.int64()), pa.array([x.decode() for x in ids], pa.string()), pa.array(decoded, pa.string())]
             yield pa.record_batch([*(part.column(c) for c in rest), *own], [*rest, "n_tokens", "ids", "decoded"])
@@ -337,7 +343,7 @@ def _encode(shared, rest: list[str]):
 
 def _digests(shared):
     def run(batches):
-        for part, found in coded(Coder(Vocabulary(shared.value)), batches):
+        for part, found in coded(Coder(vocabulary_of(shared.value)), batches):
             n, ids, decoded = zip(*((n, hashlib.sha256(joined).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) for n, joined, text in found), strict=True)
             yield pa.record_batch(
                 [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)],
