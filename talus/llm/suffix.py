@@ -443,4 +443,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs).selectExpr("doc_id", "n_bytes", "n_bytes - octet_length(kept) AS n_removed", "CAST(size(spans) AS BIGINT) AS n_spans", "sha2(kept, 256) AS kept_sha256")
 
 
+#: The same by counting the digest of every string of 200 bytes, over the hexadecimal form of the texts.
+ORACLE = f"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+  w AS (SELECT doc_id, s, md5_number(substr(x, 2 * s + 1, {2 * WINDOW})) AS g FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - {WINDOW - 1})) AS s FROM d)),
+  r AS (SELECT doc_id, s FROM w WHERE g IN (SELECT g FROM w GROUP BY g HAVING count(*) > 1)),
+  i AS (SELECT doc_id, s, sum(CASE WHEN s - p <= {WINDOW} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS p FROM r)),
+  n AS (SELECT doc_id, run, min(s) AS a, max(s) + {WINDOW} AS b FROM i GROUP BY doc_id, run),
+  k AS (SELECT doc_id, run, b AS a, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY a), 1000000000) AS b FROM n UNION ALL SELECT doc_id, 0, 0, min(a) FROM n GROUP BY doc_id),
+  t AS (SELECT k.doc_id, string_agg(substr(d.x, 2 * k.a + 1, 2 * (k.b - k.a)), '' ORDER BY k.a) AS kept FROM k JOIN d ON d.doc_id = k.doc_id GROUP BY k.doc_id),
+  c AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS runs FROM n GROUP BY doc_id)
+  SELECT d.doc_id, length(x) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(runs, 0) AS n_spans, sha256(unhex(coalesce(t.kept, x))) AS kept_sha256
+  FROM d LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id"""
+
 QUERIES = {"op11_suffix_array_dedup": query}
+ORACLES = {"op11_suffix_array_dedup": ORACLE}
