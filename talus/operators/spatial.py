@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from talus.functions import geometry as G
-from talus.session import cut, drop
+from talus.session import counted, cut, drop
 
 #: Expected points of a tile; points of a tile above which it is cut in eight; points that one task compares with at a time.
 TILE, MOST, PART = 1500, 6000, 24_000
 #: How often a tile may be cut; rows still open that are few enough to be compared with everything; distances held at a time.
 LEVELS, SCAN, HELD = 24, 2000, 1 << 21
+#: Points of a leaf of a task's k-d tree.
+LEAF = 32
 
 
 def extent(cloud: DataFrame) -> dict:
@@ -24,28 +26,67 @@ def extent(cloud: DataFrame) -> dict:
     return cloud.agg(F.count("*").alias("n"), *[f(c).alias(f"{k}{c}") for c in "xyz" for f, k in ((F.min, "lo"), (F.max, "hi"))]).first().asDict()
 
 
+def leaves(p: np.ndarray, most: int = LEAF) -> list[np.ndarray]:
+    """Rows of p in the leaves of a k-d tree: halves along the longer side over and over."""
+    out, todo = [], [np.arange(len(p))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= most:
+            out.append(rows)
+            continue
+        axis, half = int(np.ptp(p[rows], axis=0).argmax()), len(rows) // 2
+        order = np.argpartition(p[rows, axis], half)
+        todo += [rows[order[half:]], rows[order[:half]]]
+    return out
+
+
+def _picked(part: np.ndarray, own: np.ndarray, pts: np.ndarray, ids: np.ndarray, k: int, skip_self: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest of all pts, which are in the order of their ids."""
+    m = min(k, len(pts))
+    d = np.sqrt((part[:, None, 0] - pts[None, :, 0]) ** 2 + (part[:, None, 1] - pts[None, :, 1]) ** 2 + (part[:, None, 2] - pts[None, :, 2]) ** 2)
+    if skip_self:
+        d[own[:, None] == ids[None, :]] = np.inf
+    near = np.sort(np.argpartition(d, m - 1, axis=1)[:, :m], axis=1)  # in the order of ids
+    far = np.take_along_axis(d, near, axis=1)
+    limit = far.max(axis=1)
+    for i in np.flatnonzero((d <= limit[:, None]).sum(axis=1) > m):  # ties at the last place
+        tied = np.flatnonzero(d[i] <= limit[i])
+        near[i] = np.sort(tied[np.argsort(d[i][tied], kind="stable")][:m])
+        far[i] = d[i][near[i]]
+    rank = np.argsort(far, axis=1, kind="stable")
+    near, far = np.take_along_axis(near, rank, axis=1), np.take_along_axis(far, rank, axis=1)
+    return np.where(np.isfinite(far), ids[near], -1), far
+
+
 def k_nearest(q: np.ndarray, ids: np.ndarray, pts: np.ndarray, all_ids: np.ndarray, k: int, skip_self: bool):
-    """ids and distances of the k nearest by (distance, id), for each row of q; -1 and inf where there are fewer."""
+    """ids and distances of the k nearest by (distance, id), for each row of q; -1 and inf where there are fewer.
+
+    Both sides are cut into the leaves of a k-d tree. The rows of a leaf are compared with the leaves nearest to it, which bounds their k-th distance, and then
+    with all leaves that are no farther away than the largest bound."""
     out_i, out_d = np.full((len(q), k), -1, np.int64), np.full((len(q), k), np.inf)
+    if not len(pts) or not len(q):
+        return out_i, out_d
     order = np.argsort(all_ids, kind="stable")
     pts, all_ids = pts[order], all_ids[order]
-    m, step = min(k, len(pts)), max(1, HELD // max(1, len(pts)))
-    for at in range(0, len(q) if m else 0, step):
-        part = q[at : at + step]
-        d = np.sqrt((part[:, None, 0] - pts[None, :, 0]) ** 2 + (part[:, None, 1] - pts[None, :, 1]) ** 2 + (part[:, None, 2] - pts[None, :, 2]) ** 2)
-        if skip_self:
-            d[ids[at : at + step, None] == all_ids[None, :]] = np.inf
-        near = np.sort(np.argpartition(d, m - 1, axis=1)[:, :m], axis=1)  # in the order of ids
-        far = np.take_along_axis(d, near, axis=1)
-        limit = far.max(axis=1)
-        for i in np.flatnonzero((d <= limit[:, None]).sum(axis=1) > m):  # ties at the last place
-            tied = np.flatnonzero(d[i] <= limit[i])
-            near[i] = np.sort(tied[np.argsort(d[i][tied], kind="stable")][:m])
-            far[i] = d[i][near[i]]
-        rank = np.argsort(far, axis=1, kind="stable")
-        near, far = np.take_along_axis(near, rank, axis=1), np.take_along_axis(far, rank, axis=1)
-        out_d[at : at + step, :m] = far
-        out_i[at : at + step, :m] = np.where(np.isfinite(far), all_ids[near], -1)
+    cells = leaves(pts)
+    low, high, size = np.array([pts[c].min(axis=0) for c in cells]), np.array([pts[c].max(axis=0) for c in cells]), np.array([len(c) for c in cells])
+    enough = 2 * (k + 1) + LEAF
+    for rows in leaves(q):
+        part, own = q[rows], ids[rows]
+        gap = np.maximum(0, np.maximum(low - part.max(axis=0), part.min(axis=0) - high))
+        away = np.sqrt((gap**2).sum(axis=1))
+        near = np.argsort(away, kind="stable")
+        first = near[: int(np.searchsorted(np.cumsum(size[near]), enough)) + 1]
+        if len(first) < len(cells):
+            c = np.concatenate([cells[i] for i in first])
+            _, far = _picked(part, own, pts[c], all_ids[c], k, skip_self)
+            bound = far[:, -1].max()
+            first = np.flatnonzero(away <= bound * (1 + 1e-9))
+        c = np.sort(np.concatenate([cells[i] for i in first]))
+        step = max(1, HELD // len(c))
+        for at in range(0, len(rows), step):
+            i, d = _picked(part[at : at + step], own[at : at + step], pts[c], all_ids[c], k, skip_self)
+            out_i[rows[at : at + step], : i.shape[1]], out_d[rows[at : at + step], : i.shape[1]] = i, d
     return out_i, out_d
 
 
@@ -187,10 +228,11 @@ def nearest(ask: DataFrame, have: DataFrame, k: int, skip_self: bool) -> DataFra
         found = cut(_round(rows, have, k, e, reach * e, False, skip_self))
         done.append(found.where("rank > 0"))
         left.append(found.where("rank = 0").select("pid"))
-    left, halo = reduce(DataFrame.unionByName, left), reach * edge
+    # tiles of the first size have had their halo; those that were cut had a smaller one
+    left, halo = reduce(DataFrame.unionByName, left), reach * edge * (2.5 if len(parts) == 1 else 1)
     while True:
-        todo = cut(ask.select("pid", "x", "y", "z").join(left, "pid", "left_semi"))
-        rest = todo.count()
+        todo, seen = counted(ask.select("pid", "x", "y", "z").join(left, "pid", "left_semi"), n="count(*)")
+        rest = seen["n"]
         if rest <= SCAN:
             done += [_scan(todo, have, k, skip_self)] if rest else []
             return reduce(DataFrame.unionByName, done)
