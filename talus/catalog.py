@@ -710,6 +710,13 @@ def _(spark, d):
     return rounded(roughness.ternary(T.vectors(spark, d), 0.4).where("e0 IS NOT NULL"), "e0", "e1", "e2", "tx", "ty")
 
 
+@query("ternary_density")
+def _(spark, d):
+    """The ternary plot with the density of its points, as it is coloured."""
+    t = roughness.ternary(T.vectors(spark, d), 0.4).where("e0 IS NOT NULL").select("pid", "tx", "ty")
+    return rounded(summary.density(t), "tx", "ty", "density")
+
+
 @query(
     "param_row_lookup",
     "SELECT p_name AS name, coalesce(CASE WHEN p_size > 25 THEN p_size END, 20) AS nnptcloud, lower(trim(p_brand)) IN ('brand#11', 'brand#12') AS denoise FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS rn FROM part) WHERE rn = 1",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -240,3 +241,49 @@ def sphere_points(spark, n: int) -> DataFrame:
         f"acos(1 - 2 * (id + 0.5e0) / {n}) AS t",
         "pi() * (1 + sqrt(5e0)) * id AS u",
     ).selectExpr("id", "cos(u) * sin(t) AS x", "sin(u) * sin(t) AS y", "cos(t) AS z")
+
+
+#: Step of the density's grid and reach of its kernel, in kernel widths.
+DENSITY_STEP, DENSITY_REACH = 0.05, 6.0
+
+
+def _smoothed(axis: str):
+    """A grid (i, j, w) convolved with the kernel along one axis, a line of cells at a time; cells out of reach of all others stay out."""
+    n, spread = round(DENSITY_REACH / DENSITY_STEP), 1 - DENSITY_STEP**2 / 3  # what dealing to cells and reading between them spreads, the kernel lacks
+    kernel = np.exp(-0.5 * (np.arange(-n, n + 1) * DENSITY_STEP) ** 2 / spread) / np.sqrt(2 * np.pi * spread)
+    other = "j" if axis == "i" else "i"
+
+    def run(t: pa.Table) -> pa.Table:
+        at, w = t.column(axis).to_numpy(), t.column("w").to_numpy()
+        low = int(at.min())
+        line, full = np.zeros(int(at.max()) - low + 1), np.zeros(int(at.max()) - low + 1)
+        np.add.at(line, at - low, w)
+        full[at - low] = 1
+        near = np.flatnonzero(np.convolve(full, np.ones(2 * n + 1)) > 0.5)
+        return pa.table({axis: near + low - n, other: np.full(len(near), t.column(other)[0].as_py()), "w": np.convolve(line, kernel)[near]}).select(["i", "j", "w"])
+
+    return run
+
+
+def density(points: DataFrame, x: str = "tx", y: str = "ty") -> DataFrame:
+    """points (pid, x, y) with density: the Gaussian kernel estimate of all points at each, its width by Scott's rule from their covariance; 1 where that is
+    singular, null where a coordinate is.
+
+    Points are dealt to the four cells around them on a grid over coordinates in which the kernel is round; the counts are smoothed along one axis, then along the
+    other, and read between the cells. The work grows with points and cells, not with pairs."""
+    ok = " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c}) AND abs({c}) < double('inf')" for c in (x, y))
+    s = points.where(ok).agg(F.count("*").alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_samp(x).alias("xx"), F.covar_samp(x, y).alias("xy"), F.var_samp(y).alias("yy")).first()
+    flat = s["n"] < 3 or not s["xx"] > 0 or not s["xx"] * s["yy"] - s["xy"] ** 2 > 1e-14 * s["xx"] * s["yy"]
+    if flat:
+        return points.selectExpr("*", f"CASE WHEN {ok} THEN 1e0 END AS density")
+    root = np.linalg.cholesky(np.array([[s["xx"], s["xy"]], [s["xy"], s["yy"]]]) * s["n"] ** (-1 / 3))
+    (a, _), (b, c) = np.linalg.inv(root) / DENSITY_STEP
+    at = points.where(ok).selectExpr("pid", f"{float(a)!r}D * ({x} - ({s['mx']!r}D)) AS u", f"({float(b)!r}D) * ({x} - ({s['mx']!r}D)) + {float(c)!r}D * ({y} - ({s['my']!r}D)) AS v")
+    at = at.selectExpr("pid", "CAST(floor(u) AS BIGINT) AS i", "CAST(floor(v) AS BIGINT) AS j", "u - floor(u) AS a", "v - floor(v) AS b")
+    corner = lambda p, q: f"struct(i + {p} AS i, j + {q} AS j, {'a' if p else '(1 - a)'} * {'b' if q else '(1 - b)'} AS w)"
+    dealt = at.selectExpr("pid", f"inline(array({corner(0, 0)}, {corner(0, 1)}, {corner(1, 0)}, {corner(1, 1)}))")
+    grid = dealt.groupBy("i", "j").agg(F.sum("w").alias("w"))
+    for axis, other in (("i", "j"), ("j", "i")):
+        grid = grid.groupBy(other).applyInArrow(_smoothed(axis), "i long, j long, w double")
+    read = dealt.join(grid.withColumnRenamed("w", "height"), ["i", "j"]).groupBy("pid").agg((F.sum(F.col("w") * F.col("height")) / float(s["n"] * root[0, 0] * root[1, 1])).alias("density"))
+    return points.join(read, "pid", "left")

@@ -392,3 +392,17 @@ def test_elongation_and_volume(spark):
     m = spark.createDataFrame([(1, [2.0, 1.5, 1.0], 10.0), (2, [1.0, 1.0, 1.0], 0.0)], "label long, r array<double>, v double")
     got = {g["label"]: (g["elongation"], g["log_volume"]) for g in summary.elongation(m).collect()}
     assert got == {1: (0.5, 1.0), 2: (0.0, -12.0)}
+
+
+def test_density_equals_all_pairs(spark):
+    """Against the sum of kernels over all pairs, for a lump with outliers; flat points and nulls."""
+    r = np.random.default_rng(3)
+    p = np.concatenate([r.normal(0, [0.1, 0.02], (600, 2)) @ np.array([[1, 0.5], [0, 1]]), r.random((60, 2)), [[4.0, 4.0]]])
+    n, cov = len(p), np.cov(p.T) * len(p) ** (-1 / 3)
+    d = p[:, None] - p[None]
+    want = np.exp(-0.5 * np.einsum("ijk,kl,ijl->ij", d, np.linalg.inv(cov), d)).sum(axis=1) / (n * 2 * np.pi * np.sqrt(np.linalg.det(cov)))
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(p)] + [(-1, None, 1.0), (-2, float("nan"), 1.0)]
+    got = summary.density(spark.createDataFrame(rows, "pid long, tx double, ty double").repartition(3)).orderBy("pid").toPandas()
+    assert got["density"][:2].isna().all() and got["density"][2:].to_numpy() == pytest.approx(want, rel=1e-3)
+    line = spark.createDataFrame([(i, i / 7, i / 7) for i in range(9)], "pid long, tx double, ty double")
+    assert {x["density"] for x in summary.density(line).collect()} == {1.0} and summary.density(line.limit(0)).count() == 0
