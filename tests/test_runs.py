@@ -57,6 +57,10 @@ def test_blocks_on_a_slope(spark):
         assert found["pid"].isin(up).all() and out.notes["prefilter_points"] == len(up) and out.notes["candidate_points"] <= len(found)
         models = out.models.toPandas()
         assert (models["aratio"] <= 1 + 1e-9).all() and (models["aratio"] > 0).all() and out.counts["models"] == len(models) == out.counts["final_labels"]
+    clouds = engine.ground_clouds(engine.S.normalise(frame(spark, p)), out.cloud, out.ground)
+    mask, height = clouds["ground_mask"].toPandas(), clouds["height_above_ground"].toPandas()
+    assert set(clouds) == {"height_above_ground", "ground_mask"} and len(mask) == len(height) == len(p)
+    assert (mask["red"] == 244).sum() == len(up) and set(mask["red"]) == {244, 61} and height.loc[height["height"].idxmax(), "red"] == 252
     assert {"elevation", "fitted_cuboids", "granulo_edges"} <= set(figs := engine.figures(out, "block", 500)) and "fitted_ellipsoids" not in figs
     assert figs["elevation"].count() <= 2 * 500
 
