@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talus.session import counted, drop
+from talus.session import counted, cut, drop
 
 #: Rows that a task contracts at a time.
 CHUNK = 1 << 21
@@ -118,3 +118,37 @@ def forest_roots(parents: DataFrame) -> DataFrame:
         done, todo, left, rounds = done.unionByName(new.where("ended")), new.where("NOT ended"), now["open"], rounds + 1
     # what still asks after so many rounds goes round in a circle
     return done.select("pid", "root").unionByName(todo.selectExpr("pid", "CAST(NULL AS BIGINT) AS root"))
+
+
+def flooded(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """edges (a, b, w), sources (id, source); ids and sources from 0: (id, source), for every id that reaches one, the source at the end of the way whose largest w is least.
+
+    That is the tree of the least spanning forest in which an id hangs. Boruvka's rounds build it: each tree without a source takes its least edge (ties by the two
+    ids), trees that are joined become one, and of the edges between two trees the least stays. w may be a struct."""
+    mark = "coalesce(-1 - s{0}.source, {0})"
+    s = [sources.selectExpr(f"id AS {c}", "source").alias(f"s{c}") for c in "ab"]
+    key = edges.selectExpr("CAST(a AS BIGINT) AS a", "CAST(b AS BIGINT) AS b", "struct(w, least(a, b) AS i, greatest(a, b) AS j) AS k").where("a <> b")
+    left = key.join(s[0], "a", "left").join(s[1], "b", "left").selectExpr(f"{mark.format('a')} AS a", f"{mark.format('b')} AS b", "k")
+    hung = None
+    while True:
+        ends = left.where("a <> b AND (a >= 0 OR b >= 0)").selectExpr("greatest(a, b) AS a", "least(a, b) AS b", "k")
+        e, seen = counted(ends.groupBy("a", "b").agg(F.min("k").alias("k")), n="count(*)")
+        if not seen["n"]:
+            break
+        # an end with a source (below 0) takes no edge
+        took = e.union(e.selectExpr("b", "a", "k")).where("a >= 0").groupBy("a").agg(F.min_by("b", "k").alias("parent"))
+        took = cut(took)
+        back = took.selectExpr("a AS parent", "parent AS other")
+        up = took.join(back, "parent", "left").selectExpr("a AS pid", "CASE WHEN other = a AND a < parent THEN a ELSE parent END AS parent")
+        ways = cut(up.union(took.where("parent < 0").selectExpr("parent AS pid", "parent").distinct()))
+        step = ways.where("pid <> parent")
+        hung = step if hung is None else hung.union(step)
+        root = forest_roots(ways)
+        ra, rb = (root.selectExpr(f"pid AS {c}", f"root AS r{c}") for c in "ab")
+        left = e.join(ra, "a", "left").join(rb, "b", "left").selectExpr("coalesce(ra, a) AS a", "coalesce(rb, b) AS b", "k")
+    own = sources.selectExpr("CAST(id AS BIGINT) AS id", "CAST(source AS BIGINT) AS source")
+    if hung is None:
+        return own
+    ends = hung.where("parent < 0").selectExpr("parent AS pid", "parent").distinct()
+    tops = hung.selectExpr("parent AS pid").where("pid >= 0").distinct().join(hung.select("pid"), "pid", "left_anti").selectExpr("pid", "pid AS parent")
+    return own.union(forest_roots(hung.union(ends).union(tops)).where("root < 0 AND pid >= 0").selectExpr("pid", "-1 - root"))

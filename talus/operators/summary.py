@@ -176,8 +176,29 @@ def largest(models: DataFrame, value: str, most: int = 30) -> DataFrame:
 
 
 def quantiles(rows: DataFrame, value: str, shares: list[float], *by: str) -> DataFrame:
-    """(by, q): exact quantiles, between two values by their distance."""
-    return rows.groupBy(*by).agg(F.expr(f"percentile({value}, array({', '.join(map(repr, shares))}))").alias("q"))
+    """(by, q): exact quantiles of each group, between two values by their distance. Null and NaN are left out; a group without a value has no row.
+
+    Equal values are counted first, then dealt out by range of (group, value), so that neither a large group nor a frequent value is one task's; sums over the parts
+    give every value its places, and those that a share asks for are picked."""
+    names = [f"by{i}_" for i in range(len(by))]
+    key = f"struct({', '.join(f'{c} AS {n}' for c, n in zip(by, names, strict=True)) or '0 AS all_'}) AS k_"
+    some = rows.where(f"{value} IS NOT NULL AND NOT isnan({value})").selectExpr(key, f"CAST({value} AS DOUBLE) AS v_").groupBy("k_", "v_").agg(F.count("*").alias("n_"))
+    dealt = cut(some.repartitionByRange("k_", "v_").withColumn("part_", F.spark_partition_id()))
+    sizes = dealt.groupBy("k_", "part_").agg(F.sum("n_").alias("m_"))
+    sizes = sizes.selectExpr("k_", "part_", "sum(m_) OVER (PARTITION BY k_ ORDER BY part_) - m_ AS before_", "sum(m_) OVER (PARTITION BY k_) AS total_")
+    held = dealt.join(sizes, ["k_", "part_"]).selectExpr("k_", "v_", "n_", "total_ - 1 AS last_", "before_ + sum(n_) OVER (PARTITION BY k_, part_ ORDER BY v_) AS end_")
+    pick = lambda at: f"max(CASE WHEN end_ > {at} AND end_ - n_ <= {at} THEN v_ END)"
+    both = [F.expr(pick(f"{f}({s!r}D * last_)")).alias(f"{f}{i}_") for i, s in enumerate(shares) for f in ("floor", "ceil")]
+    found = held.groupBy("k_").agg(F.max("last_").alias("last_"), *both)
+    q = ", ".join(f"CASE WHEN floor{i}_ = ceil{i}_ THEN floor{i}_ ELSE floor{i}_ + (ceil{i}_ - floor{i}_) * ({s!r}D * last_ - floor({s!r}D * last_)) END" for i, s in enumerate(shares))
+    return found.selectExpr(*[f"k_.{n} AS {c}" for c, n in zip(by, names, strict=True)], f"array({q}) AS q")
+
+
+def array_quantile(values: str, share: float) -> str:
+    """SQL: the quantile of a sorted array, which must be small."""
+    at = f"{share!r}D * (size({values}) - 1)"
+    low, high = (f"element_at({values}, CAST({f}({at}) AS INT) + 1)" for f in ("floor", "ceil"))
+    return f"CASE WHEN size({values}) > 0 THEN {low} + ({high} - {low}) * ({at} - floor({at})) END"
 
 
 def exact_quantile(rows: DataFrame, value: str, share: float, keep: int = 200_000) -> float | None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from talus import model as M
 from talus.functions import geometry as G
 from talus.operators.graph import components, forest_roots
-from talus.operators.summary import exact_quantile
+from talus.operators.summary import array_quantile, exact_quantile
 from talus.session import cut
 
 
@@ -149,7 +149,8 @@ def normals(nbr: DataFrame, cloud: DataFrame) -> DataFrame:
 def surface_features(nbr: DataFrame, cloud: DataFrame, k: int = 20) -> DataFrame:
     """The seven features of each point from its k neighbours; one pass over the neighbour table with sums by nested scale."""
     rows = cut(neighbour_coordinates(nbr, cloud))
-    z = rows.groupBy("pid").agg(F.expr("percentile(z, array(0.15, 0.85))").alias("qz"), F.stddev_pop("z").alias("local_zstd"))
+    z = rows.groupBy("pid").agg(F.array_sort(F.collect_list("z")).alias("zs"), F.stddev_pop("z").alias("local_zstd"))  # k heights
+    z = z.selectExpr("pid", f"array({array_quantile('zs', 0.15)}, {array_quantile('zs', 0.85)}) AS qz", "local_zstd")
     own = cloud.selectExpr("pid", "z AS own").join(z, "pid").selectExpr("pid", "own - qz[0] AS top_hat", "qz[1] - qz[0] AS local_relief", "local_zstd")
     shapes = None
     for s in scales(k):

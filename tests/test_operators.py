@@ -272,15 +272,6 @@ def test_run_finds_two_bumps(spark):
         engine.run(frame(spark, bumps()), par, mode="other") if par.denoise else engine.run(frame(spark, bumps()), M.Parameters(), mode="other")
 
 
-def test_split_keeps_or_parts():
-    r = np.random.default_rng(0)
-    xy = np.concatenate([r.normal(0, 2, (400, 2)), r.normal(0, 2, (400, 2)) + [25, 0]])
-    top = np.exp(-np.minimum((xy**2).sum(axis=1), ((xy - [25, 0]) ** 2).sum(axis=1)) / 8)
-    part = blocks.split_parts(xy, top, top, top, top > 0.3, 1.0, 2.5, 5, 50)
-    assert len(set(part[:400][top[:400] > 0.6]) & set(part[400:][top[400:] > 0.6])) == 0
-    assert (blocks.split_parts(xy[:10], top[:10], top[:10], top[:10], top[:10] > 0, 1.0, 2.5, 5, 50) == 0).all()
-
-
 def test_polygons_last_wins_and_states():
     s = labels.normalise_zones([{"mode": "block", "vertices_xy": [[0, 0], [1, 0], [1, 1]]}, {"mode": "non-block", "vertices_xy": [[0, 0], [1, 1]]}])
     assert s["mode_order"] == ["block"] and s["zones"]["non-block"] is None
