@@ -120,11 +120,43 @@ def forest_roots(parents: DataFrame) -> DataFrame:
     return done.select("pid", "root").unionByName(todo.selectExpr("pid", "CAST(NULL AS BIGINT) AS root"))
 
 
-def flooded(edges: DataFrame, sources: DataFrame) -> DataFrame:
+def least_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of an edge list that is sorted by weight, and the end of the tree of the least forest in which each hangs; ids below 0 are ends and aren't joined."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v, root, end = at[: len(a)], at[len(a) :], np.arange(len(ids)), ids < 0
+    while True:
+        ru, rv = root[u], root[v]
+        open_ = (ru != rv) & ~(end[ru] & end[rv])
+        if not open_.any():
+            return ids, ids[root]
+        u, v, ru, rv = u[open_], v[open_], ru[open_], rv[open_]
+        first = np.full(len(ids), len(u))
+        for r in (ru, rv):
+            np.minimum.at(first, r, np.arange(len(u)))
+        who = np.flatnonzero((first < len(u)) & ~end)
+        up = np.arange(len(ids))
+        up[who] = ru[first[who]] + rv[first[who]] - who
+        back = who[(up[up[who]] == who) & (who < up[who])]
+        up[back] = back
+        while (up[up] != up).any():
+            up = up[up]
+        root = up[root]
+
+
+def _hung(batches):
+    held = [[x.column(c).to_numpy(zero_copy_only=False) for c in "ab"] for x in batches if len(x)]
+    if held:
+        ids, end = least_forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        far = ids != end
+        yield pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(end[far])], names=["pid", "parent"])
+
+
+def flooded(edges: DataFrame, sources: DataFrame, at_once: int = CHUNK) -> DataFrame:
     """edges (a, b, w), sources (id, source); ids and sources from 0: (id, source), for every id that reaches one, the source at the end of the way whose largest w is least.
 
     That is the tree of the least spanning forest in which an id hangs. Boruvka's rounds build it: each tree without a source takes its least edge (ties by the two
-    ids), trees that are joined become one, and of the edges between two trees the least stays. w may be a struct."""
+    ids), trees that are joined become one, and of the edges between two trees the least stays. When no more than ``at_once`` edges are left a task does the remaining
+    rounds, with the same result. w may be a struct."""
     mark = "coalesce(-1 - s{0}.source, {0})"
     s = [sources.selectExpr(f"id AS {c}", "source").alias(f"s{c}") for c in "ab"]
     key = edges.selectExpr("CAST(a AS BIGINT) AS a", "CAST(b AS BIGINT) AS b", "struct(w, least(a, b) AS i, greatest(a, b) AS j) AS k").where("a <> b")
@@ -135,9 +167,12 @@ def flooded(edges: DataFrame, sources: DataFrame) -> DataFrame:
         e, seen = counted(ends.groupBy("a", "b").agg(F.min("k").alias("k")), n="count(*)")
         if not seen["n"]:
             break
+        if seen["n"] <= at_once:
+            step = cut(e.coalesce(1).sortWithinPartitions("k").select("a", "b").mapInArrow(_hung, "pid long, parent long"))
+            hung = step if hung is None else hung.union(step)
+            break
         # an end with a source (below 0) takes no edge
-        took = e.union(e.selectExpr("b", "a", "k")).where("a >= 0").groupBy("a").agg(F.min_by("b", "k").alias("parent"))
-        took = cut(took)
+        took = cut(e.union(e.selectExpr("b", "a", "k")).where("a >= 0").groupBy("a").agg(F.min_by("b", "k").alias("parent")))
         back = took.selectExpr("a AS parent", "parent AS other")
         up = took.join(back, "parent", "left").selectExpr("a AS pid", "CASE WHEN other = a AND a < parent THEN a ELSE parent END AS parent")
         ways = cut(up.union(took.where("parent < 0").selectExpr("parent AS pid", "parent").distinct()))
@@ -149,6 +184,5 @@ def flooded(edges: DataFrame, sources: DataFrame) -> DataFrame:
     own = sources.selectExpr("CAST(id AS BIGINT) AS id", "CAST(source AS BIGINT) AS source")
     if hung is None:
         return own
-    ends = hung.where("parent < 0").selectExpr("parent AS pid", "parent").distinct()
-    tops = hung.selectExpr("parent AS pid").where("pid >= 0").distinct().join(hung.select("pid"), "pid", "left_anti").selectExpr("pid", "pid AS parent")
-    return own.union(forest_roots(hung.union(ends).union(tops)).where("root < 0 AND pid >= 0").selectExpr("pid", "-1 - root"))
+    ends = hung.selectExpr("parent AS pid").distinct().join(hung.select("pid"), "pid", "left_anti").selectExpr("pid", "pid AS parent")
+    return own.union(forest_roots(hung.union(ends)).where("root < 0 AND pid >= 0").selectExpr("pid", "-1 - root"))

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from talus.operators import graph, split, summary
+from talus.operators import graph, split, summary, surface
 from tests import plain_split
 
 
@@ -46,18 +46,20 @@ def barriers(n: int, edges, source: dict) -> dict:
     return out
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_floods_take_the_lowest_pass(spark, seed):
+@pytest.mark.parametrize(("seed", "at_once"), [(0, 0), (1, 60), (2, 1000)])
+def test_floods_take_the_lowest_pass(spark, seed, at_once):
+    """In rounds over the table, in rounds and then in one task, and in one task only."""
     r = np.random.default_rng(seed)
     n = 120
     edges = [(int(a), int(b), int(w)) for a, b, w in zip(r.integers(0, n, 170), r.integers(0, n, 170), r.integers(0, 6, 170), strict=True)] + [(200, 201, 1)]
     source = {int(i): int(s) for i, s in zip(r.choice(n, 8, replace=False), [0, 0, 1, 2, 2, 5, 6, 7], strict=True)}
     e = spark.createDataFrame(edges, "a long, b long, w int")
-    got = graph.flooded(e, spark.createDataFrame(list(source.items()), "id long, source long")).toPandas()
+    got = graph.flooded(e, spark.createDataFrame(list(source.items()), "id long, source long"), at_once).toPandas()
     assert got["id"].is_unique
     got = dict(zip(got["id"], got["source"], strict=True))
     ways = barriers(202, edges, source)
     assert set(got) == {i for i, w in ways.items() if w}
+    assert sorted(map(tuple, graph.flooded(e, spark.createDataFrame(list(source.items()), "id long, source long"), 1000 - at_once).collect())) == sorted(got.items())
     for i, s in got.items():
         assert source[i] == s if i in source else ways[i][s] == min(ways[i].values())
 
@@ -113,3 +115,18 @@ def test_split_equals_the_plain_version(spark):
         assert (own["plain"] == own["part"]).mean() > 0.97, root  # cells of equal cost may go either way
     assert (both[both["root"] == 3]["part"] == 0).all() and both[both["root"] == 0]["part"].nunique() >= 2
     assert split.split(spark.createDataFrame(rows.drop(columns="plain")).where("false"), 1.0, 2.5, 5, 50).count() == 0
+
+
+@pytest.mark.parametrize("radius", [1, 2, 3, 5, 11])
+def test_opening_equals_sliding_windows(spark, radius):
+    g = np.random.default_rng(radius).random((9, 14))
+
+    def slide(t, f):
+        for axis in (0, 1):
+            t = np.stack([f(np.take(t, range(max(0, i - radius), min(t.shape[axis], i + radius + 1)), axis=axis), axis=axis) for i in range(t.shape[axis])], axis=axis)
+        return t
+
+    want = slide(slide(g, np.min), np.max)
+    cells = spark.createDataFrame([(x, y, float(g[x, y])) for x in range(9) for y in range(14)], "gx long, gy long, value double")
+    got = surface.opened(cells, radius).collect()
+    assert len(got) == g.size and all(c["value"] == want[c["gx"], c["gy"]] for c in got)
