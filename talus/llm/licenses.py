@@ -3,8 +3,9 @@
 A text's words are lower-cased runs of letters and digits. Of every ``WINDOW`` consecutive ``GRAM``-word hashes of a template the least is kept
 (winnowing), with its place. The kept ones form an inverted index, which is a fixed set of templates and so a broadcast of bounded size. Hashes of
 a text that are in the index vote for a template. A local alignment (match 2, any other word -1) of the whole template with the text around
-its votes gives the matched words, and with them coverage (matched words of the template / its words) and span; it has no band, so it goes
-over whatever is put in or left out, as long as what matches on either side is worth more. All hashes of the text are looked up, so any
+its votes gives the matched words, and with them coverage (matched words of the template / its words) and span. It is banded: only places of the
+template and the text that are within twice the template's words of a vote's diagonal are compared. An alignment with a score above 0 leaves out fewer words than that, so
+none that holds a vote is lost, and it goes over whatever is put in or left out, as long as what matches on either side is worth more. All hashes of the text are looked up, so any
 shared run of GRAM + WINDOW - 1 words of a template is found.
 
 Cases: null and empty texts report nothing; a text that holds several copies of a template reports each; a template inside a longer one (of equal span) is
@@ -57,6 +58,14 @@ _GPL_HEADER = (
     "Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be "
     "useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
 )
+_BSD_NAMES = (
+    " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without "
+    "specific prior written permission."
+)
+_MPL_HEADER = (
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can "
+    "obtain one at https://mozilla.org/MPL/2.0/."
+)
 _UNLICENSE = "This is free and unencumbered software released into the public domain."
 #: Public licence texts and notices, by name.
 TEMPLATES: dict[str, str] = {
@@ -70,6 +79,10 @@ TEMPLATES: dict[str, str] = {
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "Unlicense": _UNLICENSE,
+    "BSD-3-Clause": _BSD_TERMS + _BSD_NAMES,
+    "MPL-2.0": _MPL_HEADER,
+    "LGPL-3.0": _GPL_HEADER.replace("GNU General", "GNU Lesser General"),
+    "AGPL-3.0": _GPL_HEADER.replace("GNU General", "GNU Affero General"),
 }
 
 
@@ -94,18 +107,27 @@ class Index:
             k = min(GRAM, len(x))
             g = grams(x, k) if k else x
             found.setdefault(k, []).extend((int(g[p]), i, p) for p in winnow(g, WINDOW).tolist())
-        #: By the length of the run: hashes in order, and their templates.
-        self.tables = {k: (np.array([f[0] for f in rows], np.uint64), np.array([f[1] for f in rows], np.int64)) for k, rows in ((k, sorted(v)) for k, v in found.items() if k and v)}
+        #: By the length of the run: hashes in order, and their templates and places.
+        self.tables = {k: (np.array([f[0] for f in rows], np.uint64), np.array([f[1:] for f in rows], np.int64)) for k, rows in ((k, sorted(v)) for k, v in found.items() if k and v)}
+
+
+def band(n: int, m: int, diagonals: np.ndarray) -> np.ndarray:
+    """By diagonal (place in a text of n words less place in a template of m, plus m): whether it is less than 2 m from one of ``diagonals``."""
+    step = np.zeros(n + m + 2, np.int64)
+    np.add.at(step, np.clip(diagonals + m - 2 * m + 1, 0, n + m + 1), 1)
+    np.add.at(step, np.clip(diagonals + m + 2 * m, 0, n + m + 1), -1)
+    return np.cumsum(step) > 0
 
 
-def align(template: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Local alignment (match 2, else -1) of the whole template with the whole text: for each end in ``text`` the best score, its
+def align(template: np.ndarray, text: np.ndarray, diagonals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Local alignment (match 2, else -1) of the template with the text in the band of the diagonals: for each end in ``text`` the best score, its
     matched words and its first word."""
-    n = len(text)
+    n, m_ = len(text), len(template)
+    inside = band(n, m_, diagonals)
     at = np.arange(n)
     score, matched, first = np.zeros(n, np.int64), np.zeros(n, np.int64), at.copy()
     best = score.copy(), matched.copy(), first.copy()
-    for x in template:
+    for q, x in enumerate(template):
         same = text == x
         s, m, f = (np.concatenate([z[:1] * 0, z[:-1]]) for z in (score, matched, first))
         fresh = s <= 0
@@ -119,7 +141,8 @@ def align(template: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarra
         new = np.concatenate([np.ones(1, bool), ahead[1:] > top[:-1]])
         source = np.maximum.accumulate(np.where(new, at, 0))
         source = np.where(ahead == top, at, source)
-        score, matched, first = np.maximum(top - at, 0), m[source], f[source]
+        near = inside[m_ - q : m_ - q + n]
+        score, matched, first = np.where(near, np.maximum(top - at, 0), 0), np.where(near, m[source], 0), np.where(near, f[source], at)
         better = score > best[0]
         for b, z in zip(best, (score, matched, first), strict=True):
             b[better] = z[better]
@@ -146,8 +169,8 @@ class Spans:
         self.ends.insert(i, b)
 
 
-def copies(template: np.ndarray, text: np.ndarray, votes: np.ndarray, least: float) -> list[tuple[int, int, int]]:
-    """(matched words, first word, end) of each copy of the template in ``text``, where ``votes`` are the places of shared fingerprints."""
+def copies(template: np.ndarray, text: np.ndarray, votes: np.ndarray, places: np.ndarray, least: float) -> list[tuple[int, int, int]]:
+    """(matched words, first word, end) of each copy of the template in ``text``; ``votes`` and ``places``: where shared fingerprints are in the text and in the template."""
     reach, need = 3 * len(template), max(1, least * len(template))  # a score above 0 spans at most three times the matched words
     known = np.isin(text, template)
     cut = np.flatnonzero(np.diff(votes) > 2 * reach) + 1
@@ -159,7 +182,7 @@ def copies(template: np.ndarray, text: np.ndarray, votes: np.ndarray, least: flo
         count = np.concatenate([[0], np.cumsum(known[a:b])])
         if i == j or (count[reach:] - count[: len(count) - reach] if len(count) > reach else count[-1:]).max() < need:
             continue
-        score, m, first = align(template, text[a:b])
+        score, m, first = align(template, text[a:b], np.unique(votes[i:j] - places[i:j]) - a)
         ends = np.flatnonzero((m >= need) & (score > 0))
         spans = Spans()
         for e in ends[np.lexsort((ends, -score[ends]))].tolist():
@@ -173,18 +196,19 @@ def copies(template: np.ndarray, text: np.ndarray, votes: np.ndarray, least: flo
 
 def scan(index: Index, words: np.ndarray, text: np.ndarray, first: np.ndarray, least: float) -> list[tuple[int, int, int, int, int]]:
     """(text, template, matched words, first word, end) of every match with coverage of ``least`` or more."""
-    votes: dict[tuple[int, int], list[int]] = {}
+    votes: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for k, (hashes, template) in index.tables.items():
         g = grams(words, k)
         lo, hi = np.searchsorted(hashes, g, "left"), np.searchsorted(hashes, g, "right")
         at = np.flatnonzero((hi > lo) & (text[: len(g)] == text[k - 1 :]))
         for p in at.tolist():
-            for name in set(template[lo[p] : hi[p]].tolist()):
-                votes.setdefault((int(text[p]), name), []).append(p)
+            for name, place in template[lo[p] : hi[p]].tolist():
+                votes.setdefault((int(text[p]), name), []).append((p, place))
     found = []
-    for (doc, name), places in votes.items():
+    for (doc, name), pairs in votes.items():
         a, b = int(first[doc]), int(first[doc + 1])
-        found += [(doc, name, m, a + x, a + y) for m, x, y in copies(index.words[name], words[a:b], np.array(places) - a, least)]
+        at, places = np.array(pairs).T
+        found += [(doc, name, m, a + x, a + y) for m, x, y in copies(index.words[name], words[a:b], at - a, places, least)]
     found.sort(key=lambda f: (f[0], -f[2], f[3], f[1]))
     kept: list[tuple[int, int, int, int, int]] = []
     spans: dict[int, Spans] = {}

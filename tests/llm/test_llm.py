@@ -587,6 +587,31 @@ def test_licenses_equal_plain_alignment(spark):
     assert all(got[i][0] == want[i][0] and got[i][1] <= want[i][1] + 1e-9 and got[i][1] >= want[i][1] - 0.03 for i in got)
 
 
+def test_licenses_alike_are_told_apart(spark):
+    """One row a text, of the licence itself: also where templates differ by a word or hold one another."""
+    names = [n for n in licenses.TEMPLATES if "notice" not in n]
+    out = licenses.find_licenses(docs(spark, [(i, "before it " + licenses.TEMPLATES[n] + " and after") for i, n in enumerate(names)])).collect()
+    assert sorted((g["doc_id"], g["license"], g["coverage"]) for g in out) == [(i, n, 1.0) for i, n in enumerate(names)]
+
+
+def test_the_band_loses_no_alignment():
+    """Alignments in the band against those in a band over everything, for texts with words put in, left out and replaced."""
+    r = np.random.default_rng(5)
+    for trial in range(30):
+        m = int(r.integers(4, 30))
+        template = r.integers(0, 40, m).astype(np.uint64)
+        mid = [x for w in template.tolist() for x in ([] if r.random() < 0.1 else [w] + [99] * int(r.integers(0, 3) * (r.random() < 0.2)))]
+        text = np.array([*r.integers(0, 60, 5 * m), *mid, *r.integers(0, 60, 5 * m)], np.uint64)
+        pairs = [(p, q) for p in range(len(text) - 1) for q in range(m - 1) if text[p] == template[q] and text[p + 1] == template[q + 1]]
+        if not pairs:
+            continue
+        votes, places = np.array(sorted(pairs)).T
+        near, wide = (licenses.align(template, text, d) for d in (np.unique(votes - places), np.arange(-m, len(text))))
+        best = int(wide[1].argmax())
+        held = any(wide[2][best] <= p <= best for p in votes)
+        assert not held or all(near[k][best] == wide[k][best] for k in range(3)), trial
+
+
 def test_licenses_of_few_words_and_odd_rows(spark):
     own = {"WTFPL": "WTFPL", "Zero": "Public Domain", "MIT": licenses.TEMPLATES["MIT"]}
     rows = [(1, "this is WTFPL."), (2, "wtfpl"), (3, "In the public domain since 1990"), (3, "In the public domain since 1990"), (4, "public, the domain"), (5, "x " * 100_000 + own["MIT"]), (None, "WTFPL"), (6, None), (7, "")]
