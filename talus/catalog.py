@@ -788,8 +788,8 @@ def _(spark, d):
 @query("block_split")
 def _(spark, d):
     c = T.events(spark, d)
-    top = F.broadcast(c.agg(F.max("z").alias("top")))  # one row
-    c = c.join(top).selectExpr("pid", "CAST(y AS BIGINT) DIV 10 AS root", "x / 24 AS x", "y AS y", "z / top AS score", "z AS local_relief", "z AS top_hat")
+    top = F.broadcast(c.agg(F.avg("z").alias("top")))  # one row
+    c = c.join(top).selectExpr("pid", "CAST(y AS BIGINT) DIV 10 AS root", "x / 24 AS x", "y AS y", "z / (z + top) AS score", "z AS local_relief", "z AS top_hat")
     return blocks.split(c, 1.0, 2.0, 5, 30).groupBy("root", "part").agg(F.count("*").alias("n"))
 
 

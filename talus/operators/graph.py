@@ -161,6 +161,7 @@ def flooded(edges: DataFrame, sources: DataFrame, at_once: int = CHUNK) -> DataF
     s = [sources.selectExpr(f"id AS {c}", "source").alias(f"s{c}") for c in "ab"]
     key = edges.selectExpr("CAST(a AS BIGINT) AS a", "CAST(b AS BIGINT) AS b", "struct(w, least(a, b) AS i, greatest(a, b) AS j) AS k").where("a <> b")
     left = key.join(s[0], "a", "left").join(s[1], "b", "left").selectExpr(f"{mark.format('a')} AS a", f"{mark.format('b')} AS b", "k")
+    own = sources.selectExpr("CAST(id AS BIGINT) AS id", "CAST(source AS BIGINT) AS source")
     hung = None
     while True:
         ends = left.where("a <> b AND (a >= 0 OR b >= 0)").selectExpr("greatest(a, b) AS a", "least(a, b) AS b", "k")
@@ -169,7 +170,9 @@ def flooded(edges: DataFrame, sources: DataFrame, at_once: int = CHUNK) -> DataF
             break
         if seen["n"] <= at_once:
             step = cut(e.coalesce(1).sortWithinPartitions("k").select("a", "b").mapInArrow(_hung, "pid long, parent long"))
-            hung = step if hung is None else hung.union(step)
+            if hung is None:
+                return own.union(step.where("parent < 0").selectExpr("pid", "-1 - parent"))
+            hung = hung.union(step)
             break
         # an end with a source (below 0) takes no edge
         took = cut(e.union(e.selectExpr("b", "a", "k")).where("a >= 0").groupBy("a").agg(F.min_by("b", "k").alias("parent")))
@@ -181,7 +184,6 @@ def flooded(edges: DataFrame, sources: DataFrame, at_once: int = CHUNK) -> DataF
         root = forest_roots(ways)
         ra, rb = (root.selectExpr(f"pid AS {c}", f"root AS r{c}") for c in "ab")
         left = e.join(ra, "a", "left").join(rb, "b", "left").selectExpr("coalesce(ra, a) AS a", "coalesce(rb, b) AS b", "k")
-    own = sources.selectExpr("CAST(id AS BIGINT) AS id", "CAST(source AS BIGINT) AS source")
     if hung is None:
         return own
     ends = hung.selectExpr("parent AS pid").distinct().join(hung.select("pid"), "pid", "left_anti").selectExpr("pid", "pid AS parent")
