@@ -10,16 +10,16 @@
 4. Verified links join documents to components. In buckets that still hold several components, the members outside the largest one are compared with the
    others in blocks of bounded size: the largest component's sets are read once, and only the others are copied to each block. Pairs of one
    component are skipped, survivors are verified on full sets at once, and only a link that joins two components of the block is emitted,
-   so a group never becomes all its pairs. A bucket with more than ``MANY`` blocks outside its largest component is first cut by a second band:
-   documents that share two bands meet.
+   so a group never becomes all its pairs. Members of buckets with more than ``MANY`` blocks outside their largest component meet at rare shingles
+   instead: two sets with the wanted similarity share one of the rarest 20 % (at 0.8) of either, so the bucket's text in common brings nobody together. Pairs that
+   share a band are looked at in the same way as in the blocks, so the links don't depend on which of the two a bucket takes.
 
 Cases: a null or empty text, or one without words, has no shingle (n_shingles 0), is linked with nothing and kept. Texts of any length
 take part whole. Repeated rows give one result row each. doc_id is taken for a key: of different texts under one doc_id the one with the
 fewest shingles (then least hashes) is compared for all of them, and equal sets are linked anyway. A null doc_id is in no link: component_id is null and the row is kept.
 An empty table gives an empty one. Other columns are not read.
 A link whose similarity is at the threshold is found with probability of at least 1 - (1 - t^ROWS)^BANDS (1 - 2e-5 at 0.8), less
-``miss`` a batch; in a bucket with more than ``MANY`` blocks outside its largest component, and neither is the hub, two bands must be
-shared (1 - 3e-4).
+``miss`` a batch, in buckets of any size.
 """
 
 from __future__ import annotations
@@ -38,8 +38,8 @@ from talus.operators.graph import star_roots
 ROWS, BANDS, BATCH = 5, 28, 20
 WIDTH = ROWS * BANDS
 #: Members of a bucket that meet in one task at a time, and about how many shingles they have together; blocks of members outside the largest component above
-#: which a bucket is cut by a second band.
-BLOCK, BLOCK_SHINGLES, MANY = 512, 1 << 20, 16
+#: which a bucket's members meet at rare shingles; counters that tell which shingles are rare.
+BLOCK, BLOCK_SHINGLES, MANY, COUNTERS = 512, 1 << 20, 16, 1 << 16
 
 _R = np.random.default_rng(7)
 _A, _B = (_R.integers(0, 2**31, WIDTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1) for _ in range(2))
@@ -97,6 +97,11 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def share_band(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which rows of two signature matrices have a band in common."""
+    return (a == b).reshape(len(a), BANDS, ROWS).all(axis=2).any(axis=1)
+
+
 def _matrix(column, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
 
@@ -145,7 +150,11 @@ def _sets(k: int):
 def _prune(plan):
     def run(batches):
         for batch in batches:
-            left = likely(_matrix(batch.column("sa"), np.uint16), _matrix(batch.column("sb"), np.uint16), plan) if len(batch) else []
+            left = np.zeros(0, np.int64)
+            if len(batch):
+                a, b = _matrix(batch.column("sa"), np.uint16), _matrix(batch.column("sb"), np.uint16)
+                left = likely(a, b, plan)
+                left = left[share_band(a[left], b[left])]
             yield batch.select(["a", "b", "nb", "own"]).take(pa.array(left, pa.int64()))
 
     return run
@@ -160,14 +169,41 @@ def _verify(percent: int):
     return run
 
 
-def block_links(ids, comp, out, left, sig, words, bands: tuple[int, ...], plan, percent: int) -> list[tuple[int, int]]:
+def rare_shingles(s: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The rarest shingles of a set, in the order of (counter, hash). Two sets with the wanted similarity share at least ``percent`` of the hundred of either, and the
+    first one that they share has the others behind it, so it is among the rarest of both, whatever the counters say. A shingle that no other set has is left out."""
+    seen = counts[s % np.uint64(len(counts))]
+    first = np.lexsort((s, seen))[: len(s) - (percent * len(s) + 99) // 100 + 1]
+    return s[first[seen[first] > 1]]
+
+
+def _counters(batches):
+    counts = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        every = np.frombuffer(b"".join(batch.column("words").to_pylist()), np.uint64)
+        counts += np.bincount((every % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+    at = np.flatnonzero(counts)
+    yield pa.record_batch([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], ["counter", "seen"])
+
+
+def _rare(counts: np.ndarray, percent: int):
+    def run(batches):
+        for batch in batches:
+            found = [rare_shingles(np.frombuffer(w, np.uint64), counts, percent) for w in batch.column("words").to_pylist()]
+            if found:
+                ids = np.repeat(batch.column("id").to_numpy(), [len(f) for f in found])
+                yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64), pa.int64()), pa.array(ids, pa.int64())], ["g", "id"])
+
+    return run
+
+
+def block_links(ids, comp, out, left, sig, words, band: int, plan, percent: int) -> list[tuple[int, int]]:
     """Verified links between components: the rows of ``left`` (or, where there are none, those marked ``out``, which are outside the group's largest component)
-    against the other rows. Two rows that are both out meet from either side and count once. ``bands`` are those the group shares: a pair is
-    looked at where they are the first that its documents share. Stops at links that the components so far imply, so there are fewer links than components."""
+    against the other rows. Two rows that are both out meet from either side and count once. ``band`` is the one that the group shares: a pair is
+    looked at where it is the first that its documents share; in a group around a shingle (-1) they may share any. Stops at links that the components so far imply, so there are fewer links than components."""
     order = np.lexsort((left, ids))
     ids, comp, out, left, sig = ids[order], comp[order], out[order], left[order], sig[order]
     parts = sig.reshape(len(sig), BANDS, ROWS)
-    before = [b for b in range(bands[-1]) if b not in bands]
     root = {c: c for c in comp.tolist()}
 
     def top(c):
@@ -179,9 +215,11 @@ def block_links(ids, comp, out, left, sig, words, bands: tuple[int, ...], plan,
     found_links = []
     for i in np.flatnonzero(left if left.any() else out):
         others = np.flatnonzero(~left & (comp != comp[i]) & (~out | (ids > ids[i])))
-        if before and len(others):
-            others = others[~(parts[others][:, before] == parts[i, before]).all(axis=2).any(axis=1)]
+        if band > 0 and len(others):
+            others = others[~(parts[others, :band] == parts[i, :band]).all(axis=2).any(axis=1)]
         found = others[likely(np.broadcast_to(sig[i], (len(others), sig.shape[1])), sig[others], plan)]
+        if band < 0:
+            found = found[share_band(sig[found], sig[i])]
         if len(found):
             found = found[np.argsort(-(sig[found] == sig[i]).sum(axis=1), kind="stable")]
         own = np.frombuffer(words[order[i]], np.uint64)
@@ -196,9 +234,9 @@ def block_links(ids, comp, out, left, sig, words, bands: tuple[int, ...], plan,
 def _block(plan, percent: int):
     def run(table: pa.Table) -> pa.Table:
         get = lambda c: table.column(c).to_numpy()
-        bands = tuple(int(b) for b in (table.column("band")[0].as_py(), table.column("next")[0].as_py()) if b >= 0)
+        band = table.column("band")[0].as_py()
         sig = _matrix(table.column("sig").combine_chunks(), np.uint16)
-        found = block_links(get("id"), get("comp"), get("out"), get("left"), sig, table.column("words").to_pylist(), bands, plan, percent)
+        found = block_links(get("id"), get("comp"), get("out"), get("left"), sig, table.column("words").to_pylist(), band, plan, percent)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     return run
@@ -229,34 +267,47 @@ def _groups(rows: DataFrame) -> DataFrame:
 _SIDES = ["comp <> big AS out", _OWN, "CAST(pmod(xxhash64(id, 2), ms) AS INT) AS chunk"]
 
 
-def _block_rows(now: DataFrame, reps: DataFrame, ws: Workspace) -> DataFrame:
-    """Groups to compare: buckets that hold several components, and what a second band makes of those with very many rows outside the largest one.
+def _rare_rows(who: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """who (id, comp, n), sets (id, words): (g, id, comp, n) for each rare shingle g of each set. How rare they are say sums over ``COUNTERS`` remainders of their
+    hashes, which is all that comes to the driver."""
+    spelled = who.select("id").join(sets, "id")
+    seen = spelled.mapInArrow(_counters, "counter long, seen long").groupBy("counter").agg(F.sum("seen").alias("seen")).toArrow()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[seen.column("counter").to_numpy()] = seen.column("seen").to_numpy()
+    return spelled.mapInArrow(_rare(counts, percent), "g long, id long").join(who, "id").select("g", "id", "comp", "n")
+
 
-    now (key, band, size, shingles, id, comp, n): (g, band, next, nb, ms, id, comp, out, own, chunk). Rows are dealt into nb blocks by ``own``; those that
-    are out of the largest component also into ms chunks."""
-    rows = now.selectExpr("key AS g", "band", "-1 AS next", "id", "comp", "n", f"{_blocks('size', 'shingles')} AS nb").selectExpr("*", _OWN)
+def _block_rows(now: DataFrame, sets: DataFrame, ws: Workspace, percent: int = 80) -> DataFrame:
+    """Groups to compare: buckets that hold several components, and the rare shingles of the members of those with very many rows outside the largest one.
+
+    now (key, band, size, shingles, id, comp, n): (g, band, nb, ms, id, comp, out, own, chunk), band -1 for a shingle. Rows are dealt into nb blocks by
+    ``own``; those that are out of the largest component also into ms chunks."""
+    rows = now.selectExpr("key AS g", "band", "id", "comp", "n", f"{_blocks('size', 'shingles')} AS nb").selectExpr("*", _OWN)
     groups = ws.put("groups", _groups(rows))
     dealt = rows.join(groups.where(f"ms <= {MANY}").selectExpr("g", "nb", "big", "ms", "explode(sequence(0, nb - 1)) AS own"), ["g", "nb", "own"])
-    names = ["g", "CAST(band AS INT) AS band", "next", "nb", "ms", "id", "comp"]
+    names = ["g", "CAST(band AS INT) AS band", "nb", "ms", "id", "comp"]
     small = dealt.drop("own").selectExpr(*names, *_SIDES)
-    cut = rows.join(groups.where(f"ms > {MANY}").select("g"), "g", "left_semi").select("g", "band", "id", "comp").join(reps, "id")
-    cut = cut.selectExpr(
-        "band",
-        "id",
-        "comp",
-        "n",
-        f"inline(transform(sequence(band + 1, {BANDS}), i -> struct(xxhash64(g, i, substring(sig, i * {2 * ROWS} + 1, {2 * ROWS})) AS g, i AS next)))",
-    ).where(f"next < {BANDS}")
-    large = cut.join(_groups(cut), "g").selectExpr(*names, *_SIDES)
+    many = groups.where(f"ms > {MANY}")
+    if many.isEmpty():
+        return small
+    who = ws.put("who", rows.join(many.select("g"), "g", "left_semi").select("id", "comp", "n").distinct())
+    rare = ws.put("rare", _rare_rows(who, sets, percent))
+    large = rare.join(_groups(rare), "g").withColumn("band", F.lit(-1)).selectExpr(*names, *_SIDES)
     return small.unionByName(large)
 
 
+def rare_pairs(rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) of groups of one block in which one is out of the largest component, each once."""
+    x, y = rows.where("out").selectExpr("g", "id AS a", "comp AS ca"), rows.selectExpr("g", "id AS b", "comp AS cb", "out")
+    return x.join(y, "g").where("ca <> cb AND (NOT out OR a < b)").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct()
+
+
 def block_copies(rows: DataFrame) -> DataFrame:
     """(bi, bj, left) for each meeting of a row: with every chunk in its own block, and, if it's out, with every block in its chunk. A group of N rows with M of
     them out costs N * ms + M * nb copies, where nb is N and ms is M by the size of a block; nothing is copied in a group of one block."""
     own = "transform(sequence(0, ms - 1), c -> struct(own AS bi, c AS bj, false AS left))"
     far = "CASE WHEN out AND nb * ms > 1 THEN transform(sequence(0, nb - 1), o -> struct(o AS bi, chunk AS bj, true AS left)) ELSE array() END"
-    return rows.selectExpr("g", "band", "next", "id", "comp", "out", f"inline(concat({own}, {far}))")
+    return rows.selectExpr("g", "band", "id", "comp", "out", f"inline(concat({own}, {far}))")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss: float = 1e-5) -> DataFrame:
@@ -293,23 +344,35 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     )
     sided = lambda t, c: t.selectExpr(f"id AS {c}", f"sig AS s{c}")
     whole = lambda c: sets.selectExpr(f"id AS {c}", f"words AS w{c}")
-    likely_ = _dealt(pairs.join(sided(reps, "a"), "a"), sided(reps, "b"), "b").select("a", "b", "nb", "own", "sa", "sb").mapInArrow(_prune(plan), "a long, b long, nb int, own int")
-    likely_ = ws.put("likely", likely_)
-    links = ws.put("links", _dealt(likely_.join(whole("a"), "a"), whole("b"), "b").select("a", "b", "wa", "wb").mapInArrow(_verify(percent), "a long, b long"))
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """The links among pairs (a, b, nb, own)."""
+        left = _dealt(pairs.join(sided(reps, "a"), "a"), sided(reps, "b"), "b").select("a", "b", "nb", "own", "sa", "sb").mapInArrow(_prune(plan), "a long, b long, nb int, own int")
+        left = ws.put(f"likely_{name}", left)
+        return ws.put(name, _dealt(left.join(whole("a"), "a"), whole("b"), "b").select("a", "b", "wa", "wb").mapInArrow(_verify(percent), "a long, b long"))
+
+    links = verified(pairs, "links")
     comp = ws.put("comp", star_roots(links))
 
     now = members.where("size > 2").join(comp.withColumnRenamed("root", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    rows = block_copies(ws.put("blocks", _block_rows(now, reps, ws)))
-    whole_rows = rows.join(reps.select("id", "sig"), "id").join(sets, "id").select("g", "bi", "bj", "band", "next", "id", "comp", "out", "left", "sig", "words")
+    blocks = ws.put("blocks", _block_rows(now, sets, ws, percent))
+    # a set in a small group around a shingle isn't sent there, as there are many of these
+    rare = blocks.where("band < 0 AND nb = 1")
+    rows = block_copies(blocks.where("band >= 0 OR nb > 1"))
+    whole_rows = rows.join(reps.select("id", "sig"), "id").join(sets, "id").select("g", "bi", "bj", "band", "id", "comp", "out", "left", "sig", "words")
     more = whole_rows.groupBy("g", "bi", "bj").applyInArrow(_block(plan, percent), "a long, b long")
     more = ws.put("more", more)
+    if not rare.isEmpty():
+        met = ws.put("met", rare_pairs(rare))
+        asks = met.groupBy("b").agg(F.expr(f"{_blocks('count(*)', '0')}").alias("nb"))
+        more = more.unionByName(verified(met.join(asks, "b").selectExpr("a", "b", "nb", "CAST(pmod(xxhash64(a, 1), nb) AS INT) AS own"), "rare_links"))
     # what the blocks found joins the roots of the first round
     at = lambda c: comp.selectExpr(f"id AS {c}", f"root AS r{c}")
     over = more.join(at("a"), "a", "left").join(at("b"), "b", "left").selectExpr("coalesce(ra, a) AS a", "coalesce(rb, b) AS b").distinct()
     last = ws.put("last", star_roots(over).selectExpr("id AS root", "root AS final"))
     every = comp.unionByName(last.join(comp.select("root"), "root", "left_anti").selectExpr("root AS id", "root")).join(last, "root", "left").selectExpr("id", "coalesce(final, root) AS component_id")
     classed = classes.join(every, "id", "left").selectExpr("h1", "h2", "n", "coalesce(component_id, id) AS component_id")
-    ws.drop("reps", "sets", "members", "likely", "links", "groups", "blocks", "more")
+    ws.drop("reps", "sets", "members", "likely_links", "links", "groups", "who", "rare", "blocks", "more", "met", "likely_rare_links", "rare_links")
     out = feats.select("doc_id", "n", "h1", "h2").join(classed, ["h1", "h2", "n"], "left")
     return out.selectExpr(
         "doc_id",

@@ -97,6 +97,41 @@ def test_copies_of_a_large_group_grow_linearly(spark, tmp_path):
     assert len(met) == len(set(met)) == 100 * 200 + 100 * 99 // 2
 
 
+def one_band(k=4):
+    """Two texts that are linked but share only band 24 of their signatures, and texts of another group in that band's bucket, one of which is its hub."""
+    r = random.Random(42392)
+    own = lambda t: minhash.shingle_set(Words(*buffers(pa.array([t]))).hash, k)
+    bands = lambda t: minhash.signature(own(t)).reshape(minhash.BANDS, minhash.ROWS)
+    a = words(r, 120, 5000)
+    b = edited(r, a, 3)
+    assert minhash.similar(own(a), own(b), 80) and np.flatnonzero((bands(a) == bands(b)).all(axis=1)).tolist() == [24]
+    hub = next(t for t in (edited(r, a, 10) for _ in range(10_000)) if (bands(t)[24] == bands(a)[24]).all() and not any(minhash.similar(own(t), own(x), 75) for x in (a, b)))
+    return [hub, *(edited(r, hub, 1) for _ in range(8)), a, b]
+
+
+@pytest.mark.parametrize("block", [512, 4, 1])
+@pytest.mark.parametrize("many", [16, 0])
+def test_links_do_not_depend_on_the_size_of_a_bucket(spark, monkeypatch, many, block):
+    """Pairs of one band are linked in buckets that are compared whole and in those whose members meet at rare shingles, in one block and in several."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "MANY", many)
+    got = minhash.near_duplicates(docs(spark, list(enumerate(one_band()))), shingle=4).collect()
+    assert {g["doc_id"]: g["component_id"] for g in got} == {**dict.fromkeys(range(9), 0), 9: 9, 10: 9}
+
+
+def test_rare_shingles_of_similar_sets_meet():
+    """Whatever the counters say; at the least similarity, and in sets of one shingle."""
+    r = np.random.default_rng(3)
+    for n in [1, 2, 3, 4, 5, 9, 10, 11, 57, 300] * 20:
+        both = mix(r.integers(0, 2**62, n).astype(np.uint64))
+        more = mix(r.integers(0, 2**62, n // 4).astype(np.uint64))
+        cut = r.integers(0, len(more) + 1)
+        a, b = np.sort(np.concatenate([both, more[:cut]])), np.sort(np.concatenate([both, more[cut:]]))
+        assert minhash.similar(a, b, 80)
+        counts = r.integers(2, 9, 64)
+        assert np.intersect1d(minhash.rare_shingles(a, counts, 80), minhash.rare_shingles(b, counts, 80)).size
+
+
 def test_signatures_of_long_unlike_texts_differ():
     r = np.random.default_rng(16)
     for n in (200, 20_000, 200_000):
