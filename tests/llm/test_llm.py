@@ -97,15 +97,15 @@ def test_copies_of_a_large_group_grow_linearly(spark, tmp_path):
     assert len(met) == len(set(met)) == 100 * 200 + 100 * 99 // 2
 
 
-def one_band(k=4):
-    """Two texts that are linked but share only band 24 of their signatures, and texts of another group in that band's bucket, one of which is its hub."""
-    r = random.Random(42392)
+def one_band(k=4, seed=42392, changes=3, band=24):
+    """Two texts that are linked but share only one band of their signatures, and texts of another group in that band's bucket, one of which is its hub."""
+    r = random.Random(seed)
     own = lambda t: minhash.shingle_set(Words(*buffers(pa.array([t]))).hash, k)
     bands = lambda t: minhash.signature(own(t)).reshape(minhash.BANDS, minhash.ROWS)
     a = words(r, 120, 5000)
-    b = edited(r, a, 3)
-    assert minhash.similar(own(a), own(b), 80) and np.flatnonzero((bands(a) == bands(b)).all(axis=1)).tolist() == [24]
-    hub = next(t for t in (edited(r, a, 10) for _ in range(10_000)) if (bands(t)[24] == bands(a)[24]).all() and not any(minhash.similar(own(t), own(x), 75) for x in (a, b)))
+    b = edited(r, a, changes)
+    assert minhash.similar(own(a), own(b), 80) and np.flatnonzero((bands(a) == bands(b)).all(axis=1)).tolist() == [band]
+    hub = next(t for t in (edited(r, a, 10) for _ in range(10_000)) if (bands(t)[band] == bands(a)[band]).all() and not any(minhash.similar(own(t), own(x), 75) for x in (a, b)))
     return [hub, *(edited(r, hub, 1) for _ in range(8)), a, b]
 
 
@@ -119,6 +119,15 @@ def test_links_do_not_depend_on_the_size_of_a_bucket(spark, monkeypatch, many, b
     assert {g["doc_id"]: g["component_id"] for g in got} == {**dict.fromkeys(range(9), 0), 9: 9, 10: 9}
 
 
+@pytest.mark.parametrize("many", [16, 0])
+def test_near_copies_of_the_pipeline_do_not_depend_on_the_size_of_a_bucket(spark, monkeypatch, many):
+    import corpus_pipeline
+
+    monkeypatch.setattr(minhash, "MANY", many)
+    kept = corpus_pipeline.near_dedup(spark, docs(spark, list(enumerate(one_band(5, 28912, 2, 4)))), "").collect()
+    assert sorted(g["doc_id"] for g in kept) == [0, 9]
+
+
 def test_rare_shingles_of_similar_sets_meet():
     """Whatever the counters say; at the least similarity, and in sets of one shingle."""
     r = np.random.default_rng(3)
