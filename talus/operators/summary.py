@@ -102,7 +102,7 @@ def colour_ramp(rows: DataFrame, value: str, name: str = "viridis") -> DataFrame
     ok = f"{value} IS NOT NULL AND NOT isnan({value}) AND abs({value}) < double('inf')"
     b = F.broadcast(rows.where(ok).agg(F.min(value).alias("lo_"), F.max(value).alias("hi_")))  # one row
     lut = ramp(name)
-    at = f"1 + CAST(rint(255 * greatest(0e0, least(1e0, ({value} - lo_) / CASE WHEN hi_ > lo_ THEN hi_ - lo_ ELSE 1e0 END))) AS INT)"
+    at = f"1 + CAST(rint(greatest(0e0, least(255e0, 255 * ({value} - lo_) / CASE WHEN hi_ > lo_ THEN hi_ - lo_ ELSE 1e0 END))) AS INT)"
     arrays = [f"array({', '.join(str(c[i]) for c in lut)})" for i in range(3)]
     return rows.join(b).selectExpr(
         *rows.columns,

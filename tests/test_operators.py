@@ -242,6 +242,18 @@ def test_label_queries_join_whole_clouds(spark):
         assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
 
 
+def test_ramp_rounds_as_its_sql(spark, tmp_path):
+    """Values halfway between two of the 256 steps, where the order of multiplying and dividing decides."""
+    duckdb = pytest.importorskip("duckdb")
+    at = [0.0, 500.1, *(c / 100 for c in range(50_011) if 510 * c % 50_010 == 0)]
+    rows = [(i, pd.Timestamp("2024-01-01"), i, v) for i, v in enumerate(at)]
+    pd.DataFrame(rows, columns=["event_id", "ts", "user_id", "value"]).to_parquet(tmp_path / "events.parquet", coerce_timestamps="us", allow_truncated_timestamps=True)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got = catalog.queries()["colour_ramp"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(catalog.oracle_sql()["colour_ramp"]).fetchall()) and len(got) > 30
+
+
 def test_smrf_flags_bumps_only(spark):
     r = np.random.default_rng(0)
     p = np.concatenate([r.random((3000, 3)) * [30, 30, 0], r.random((60, 3)) * [1, 1, 0.2] + [12, 12, 2.0]])
