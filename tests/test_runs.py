@@ -234,6 +234,9 @@ def test_growing_makes_no_table_of_pairs(spark, monkeypatch):
     f = frame(spark, p)
     got = blocks.grow(f, f.where(f"pid IN ({', '.join(map(str, np.flatnonzero(own)))})").selectExpr("pid", "pid AS label"), f.selectExpr("pid", "1e0 AS score"), 2.0).collect()
     assert {g["pid"]: g["label"] for g in got} == want and len(got) == len(want) and 601 in want and 602 not in want
+    some = blocks.grow(f, f.where("pid < 60").selectExpr("pid", "pid AS label"), f.selectExpr("pid", "CASE WHEN pid % 3 = 0 THEN 0e0 ELSE 1e0 END AS score"), 2.0, f.where("x < 6").select("pid")).toPandas()["pid"]
+    near = [np.sqrt(((q - p[:60]) ** 2).sum(axis=1)).min() <= 2.0 for q in p]
+    assert sorted(some) == [i for i in range(len(p)) if i < 60 or near[i] and i % 3 and p[i, 0] < 6]
 
 
 def test_flat_blocks_have_no_volume():
