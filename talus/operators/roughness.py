@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from talus.functions import geometry as G
 from talus.model import Parameters
-from talus.operators.spatial import extent, radius_join
+from talus.operators.spatial import ball_moments, extent
 from talus.operators.summary import placed
-from talus.operators.surface import eigen_table
+from talus.operators.surface import eigen_table, stepwise
 from talus.session import cut
 
 #: Draws that one row of the table of scales stands for.
@@ -70,8 +70,7 @@ def roughness(cloud: DataFrame, par: Parameters, mode: str = "matlab", seed: int
 
 def neighbourhood_eigenvalues(cloud: DataFrame, diameter: float, least: int = 10) -> DataFrame:
     """(pid, e0 <= e1 <= e2) of the ball of a diameter around each point, itself included; null with fewer points."""
-    ball = radius_join(cloud, cloud, diameter / 2, coordinates=True)
-    e = eigen_table(ball, xyz=("bx", "by", "bz")).selectExpr("pid", "n", *G.normalised())
+    e = stepwise(ball_moments(cloud, diameter / 2), [G.covariance(1), *G.eigen_steps()]).selectExpr("pid", "n", *G.normalised())
     return e.selectExpr("pid", *[f"CASE WHEN n >= {least} THEN e{i} END AS e{i}" for i in range(3)])
 
 

@@ -416,6 +416,24 @@ def test_points_meet_the_last_polygons_first(spark, monkeypatch):
     assert counts < everything / 4
 
 
+def test_balls_are_summed_without_pairs(spark, monkeypatch):
+    """Counts and eigenvalues of balls against all pairs, in many small parts; on a lattice many points lie at the radius itself."""
+    for name, value in (("BALL_ASK", 60), ("BALL_HAVE", 90), ("BALL_LEAF", (7, 5)), ("BALL_BLOCK", 64)):
+        monkeypatch.setattr(spatial, name, value, raising=False)
+    monkeypatch.setattr(spatial, "radius_join", None)
+    monkeypatch.setattr(roughness, "radius_join", None, raising=False)
+    r = np.random.default_rng(2)
+    p = np.concatenate([r.integers(0, 9, (500, 3)) * 0.1 + 1000, r.normal(1000, 0.3, (300, 3)), [[0, 0, 0], [np.nan, 0, 0]]])
+    got = roughness.neighbourhood_eigenvalues(frame(spark, p), 0.6).orderBy("pid").toPandas()
+    inside = np.sqrt(((p[:, None] - p[None]) ** 2).sum(axis=2)) <= 0.3
+    assert len(got) == len(p) - 1
+    for i in range(len(p) - 1):
+        e = np.maximum(np.linalg.eigvalsh(np.cov(p[inside[i]].T)), 1e-12) if inside[i].sum() >= 10 else np.full(3, np.nan)
+        assert got.loc[i, ["e0", "e1", "e2"]].to_numpy(float) == pytest.approx(e / e.sum(), abs=1e-6, nan_ok=True)
+    counts = spatial.ball_moments(frame(spark, p), 0.3).orderBy("pid").toPandas()["n"]
+    assert counts.tolist() == inside.sum(axis=1)[:-1].tolist()
+
+
 def test_elongation_and_volume(spark):
     m = spark.createDataFrame([(1, [2.0, 1.5, 1.0], 10.0), (2, [1.0, 1.0, 1.0], 0.0)], "label long, r array<double>, v double")
     got = {g["label"]: (g["elongation"], g["log_volume"]) for g in summary.elongation(m).collect()}
