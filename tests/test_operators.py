@@ -452,3 +452,14 @@ def test_density_equals_all_pairs(spark):
     assert got["density"][:2].isna().all() and got["density"][2:].to_numpy() == pytest.approx(want, rel=1e-3)
     line = spark.createDataFrame([(i, i / 7, i / 7) for i in range(9)], "pid long, tx double, ty double")
     assert {x["density"] for x in summary.density(line).collect()} == {1.0} and summary.density(line.limit(0)).count() == 0
+
+
+def test_density_makes_its_points_once(spark, tmp_path):
+    """Points that cost much to make are not made again for each of the steps."""
+
+    def made(batches):
+        (tmp_path / uuid.uuid4().hex).touch()
+        yield from batches
+
+    points = spark.createDataFrame([(i, i / 7, (i * i % 11) / 7) for i in range(40)], "pid long, tx double, ty double").coalesce(1)
+    assert summary.density(points.mapInArrow(made, points.schema)).count() == 40 and len(list(tmp_path.iterdir())) == 1
