@@ -463,3 +463,14 @@ def test_density_makes_its_points_once(spark, tmp_path):
 
     points = spark.createDataFrame([(i, i / 7, (i * i % 11) / 7) for i in range(40)], "pid long, tx double, ty double").coalesce(1)
     assert summary.density(points.mapInArrow(made, points.schema)).count() == 40 and len(list(tmp_path.iterdir())) == 1
+
+
+def test_radius_pairs_copy_half_the_cells(spark):
+    """Each pair once, on a lattice with negative coordinates and copies of points; a point is copied to 14 cells, not to 27."""
+    r = np.random.default_rng(6)
+    p = np.concatenate([r.integers(-3, 4, (150, 3)) * 0.5, r.normal(0, 1, (150, 3))])
+    got = spatial.radius_pairs(frame(spark, p), 0.5)
+    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(axis=2))
+    assert sorted(map(tuple, got.collect())) == sorted((i, j, d[i, j]) for i in range(300) for j in range(i + 1, 300) if d[i, j] <= 0.5)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "-1,0,1" not in plan.replace(" ", "")
