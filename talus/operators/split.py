@@ -7,12 +7,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talus import model as M
+from talus import session
 from talus.operators import spatial
 from talus.operators.graph import components, flooded
 from talus.operators.summary import in_order, quantiles
-from talus.session import cut
 
 KEYS = ["root", "gx", "gy"]
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``session.cut`` for tables that grow with the points: they are joined by sorting. Files are much smaller than their rows, so that Spark would take some for small and gather
+    them on the driver."""
+    return session.cut(df).hint("merge")
+
+
 #: Parts of a cell's height.
 WEIGHTS = {"score": 0.60, "top": 0.25, "relief": 0.15}
 
@@ -110,7 +118,7 @@ def split(rows: DataFrame, gap: float, radius: float, min_seeds: int, least: int
     if tops.isEmpty():
         return whole
     own = hills.join(tops.select("root").distinct(), "root", "left_semi")
-    got = regions(own, tops.select("id", "source"), int(radius // cell) + 1).join(tops.select("source", "part").distinct(), "source")
+    got = regions(own, tops.select("id", "source"), int(radius // cell) + 1).join(tops.select("source", "part").distinct(), "source").hint("merge")
     held = cut(pts.select("pid", *KEYS, "score").join(own.select("id", *KEYS), KEYS).join(got, "id").select("pid", "root", "part", "score"))
     size = held.groupBy("root", "part").agg(F.count("*").alias("n"), F.count_if(F.col("score") >= M.SEED_SCORE).alias("seeds"))
     size = size.withColumn("good", F.expr(f"n >= {max(s['min_points'], 2 * min_seeds)} AND seeds >= {min_seeds}"))

@@ -130,3 +130,12 @@ def test_opening_equals_sliding_windows(spark, radius):
     cells = spark.createDataFrame([(x, y, float(g[x, y])) for x in range(9) for y in range(14)], "gx long, gy long, value double")
     got = surface.opened(cells, radius).collect()
     assert len(got) == g.size and all(c["value"] == want[c["gx"], c["gy"]] for c in got)
+
+
+def test_tables_of_the_splitting_are_not_gathered(spark):
+    """However small their files are: the driver would hold the rows of a table that it broadcasts."""
+    from talus.operators import split
+
+    t = split.cut(spark.range(1000).selectExpr("id", "id DIV 10 AS root"))
+    plan = spark.range(1000).join(t.where("root > 3").select("id", "root"), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
